@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,8 @@ def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, text: s
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum(np.asarray(batch.column(text).cast(pa.large_binary()).fill_null(b"").to_pandas().str.len(), np.int64))
+        lengths = pc.binary_length(batch.column(text).fill_null(""))
+        sizes = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             before = sizes[at - 1] if at else 0

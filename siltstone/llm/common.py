@@ -17,16 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
 
-    The folder is ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a
-    temporary one is made, as there the driver's disk is the executors' disk.
+    Only where that is unset (tests, one machine) a temporary one is made, as there the driver's disk
+    is the executors' disk.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltstone-"))
+    return named or context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -44,7 +50,7 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 21, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of each have about ``most_bytes`` at most (one text at least)."""
     for batch in batches:
         if not batch.num_rows:

@@ -7,8 +7,7 @@ by the popcount of each language over its n-grams, corrected for the filter's fa
 with n n-grams, h hits and a false-positive rate f of a language, the estimate is (h - f n) / (1 - f).
 The language with the largest estimate wins.
 
-The filter is fitted on a bounded sample of labelled rows (``per_language`` documents each, those with
-the smallest hash of their id); every text is then scored whole. Labels, sources and ids are no
+The filter is fitted on a bounded sample of labelled rows (about ``per_language`` documents each); every text is then scored whole. Labels, sources and ids are no
 inputs of a prediction.
 """
 
@@ -19,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import pieces, utf8_buffer
@@ -79,16 +78,19 @@ def slots_of(codes: np.ndarray, probe: int) -> np.ndarray:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> LanguageFilter:
     """Learn from rows with text and a language. No such row: a filter that knows no language.
 
-    The sample is bounded by ``per_language`` rows (whole texts) of each of at most 64 languages; the
+    The sample is about ``per_language`` rows (whole texts) of each of at most 64 languages, picked by a
+    hash of the id against the language's number of rows, so no row is sorted or moved for it. The
     n-grams are counted on the executors, and only those in ``LEAST_SHARE`` of a language's sample
     reach the driver.
     """
     known = docs.where(F.col(lang_col).isNotNull() & (F.col(text_col) != ""))
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    sample = known.select("id", "lang", F.row_number().over(by).alias("n")).where(F.col("n") <= per_language).select("id", "lang").distinct()
-    sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().orderBy("lang").limit(64).collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(64).collect()}
     languages = tuple(sorted(sizes))
+    if not languages:
+        return LanguageFilter((), np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(0))
+    of = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("lang")]
+    rows = known.where(F.pmod(F.xxhash64("id"), of(sizes)) < per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -100,9 +102,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                 code, of = once & np.uint64((1 << _OWNER_SHIFT) - 1), (once >> np.uint64(_OWNER_SHIFT)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(names[of], pa.string()), pa.array(code.view(np.int64))], ["lang", "code"])
 
-    rows = known.join(F.broadcast(sample.where(F.col("lang").isin(*languages))), ["id", "lang"], "left_semi")  # per_language rows each
-    counts = rows.mapInArrow(run, "lang string, code long").groupBy("lang", "code").count()
-    least = F.greatest(F.lit(2), F.round(LEAST_SHARE * F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv))[F.col("lang")])) if sizes else F.lit(2)
+    counts = rows.select("lang", "text").mapInArrow(run, "lang string, code long").groupBy("lang", "code").count()
+    least = F.greatest(F.lit(2), F.round(LEAST_SHARE * of({k: min(n, per_language) for k, n in sizes.items()})))
     learned = counts.where(F.col("count") >= least).select("lang", "code").toPandas()
     slots = np.zeros(1 << SLOT_BITS, np.uint64)
     for k, language in enumerate(languages):

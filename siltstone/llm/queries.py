@@ -3,23 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import langid, licenses, secrets, simhash
-from siltstone.llm.common import table
+from siltstone.llm import langid, licenses, packing, secrets, simhash, token_files
+from siltstone.llm.common import shared_folder, table
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, VOCABULARY, end_id=1)
+    return token_files.read_checksums(spark, path)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, end_id=0, capacity=2048)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -33,7 +47,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_secrets": op3_secrets, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_licenses": op10_licenses}
+    return {"op3_secrets": op3_secrets, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import langid, licenses, packing, secrets, simhash, token_files
+from siltstone.llm import chat, decontaminate, langid, licenses, packing, secrets, simhash, token_files
 from siltstone.llm.common import shared_folder, table
 
 
@@ -20,6 +20,28 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), probe.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat.formatted(chat.canonical(chat.grouped(rows))).select("conv_id", "layout", "formatted", "loss")
+    back = out.select("conv_id", "layout", "formatted", chat.parsed(F.col("formatted")).alias("turns"), chat.learned_texts(F.col("formatted"), F.col("loss")).alias("learned"))
+    loss = F.array_join("learned", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "layout",
+    )
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +69,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_secrets": op3_secrets, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_licenses": op10_licenses}
+    return {"op1_chat": op1_chat, "op6_decontamination": op6_decontamination, "op3_secrets": op3_secrets, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, decontaminate, langid, licenses, packing, secrets, simhash, token_files
+from siltstone.llm import chat, decontaminate, hamming_search, langid, licenses, packing, secrets, simhash, token_files
 from siltstone.llm.common import shared_folder, table
 
 
@@ -42,6 +42,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op6_decontamination": op6_decontamination, "op3_secrets": op3_secrets, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_licenses": op10_licenses}
+    return {"op1_chat": op1_chat, "op2_neighbours": op2_neighbours, "op6_decontamination": op6_decontamination, "op3_secrets": op3_secrets, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

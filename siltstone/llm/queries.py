@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, decontaminate, hamming_search, langid, licenses, packing, secrets, simhash, token_files
+from siltstone.llm import chat, decontaminate, hamming_search, langid, licenses, packing, secrets, simhash, suffix_dedup, token_files
 from siltstone.llm.common import shared_folder, table
 
 
@@ -60,6 +60,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, end_id=0, capacity=2048)
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -73,7 +77,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op2_neighbours": op2_neighbours, "op6_decontamination": op6_decontamination, "op3_secrets": op3_secrets, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_licenses": op10_licenses}
+    return {"op1_chat": op1_chat, "op2_neighbours": op2_neighbours, "op6_decontamination": op6_decontamination, "op3_secrets": op3_secrets, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op7_substrings": op7_substrings, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written as a table to the shared folder and reread; smaller than a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df to be broadcast if it has ``rows`` rows at most (they are counted), else as it is: joins then shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def utf8_rows(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null becomes empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]

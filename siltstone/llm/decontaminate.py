@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siltstone.llm.common import ascii_lower, checkpointed
+from siltstone.llm.common import ascii_lower, checkpointed, small, stored
 
 #: Everything but digits, letters and non-ASCII; upper case is lowered before.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,8 +26,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 NEAR = 0.8
-#: Terms up to this many (some 10 MB) are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_TERMS = 200_000
+#: Terms, anchors and ids of candidate documents are broadcast up to this many (some 10 MB each), else shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -36,11 +36,9 @@ def words(text: Column) -> Column:
 
 
 def index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term_id, pos): the postings of all documents for ``terms`` (word, term_id), cut off by a checkpoint."""
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
+    """(id, term_id, pos): the postings of all documents for ``terms`` (word, term_id), as a stored table."""
     places = docs.select(F.col(id_col).alias("id"), F.posexplode(words(F.col(text_col))).alias("pos", "word"))
-    return checkpointed(places.join(terms, "word").select("id", "term_id", "pos"))
+    return stored(places.join(small(terms, BROADCAST_ROWS), "word").select("id", "term_id", "pos"), "postings")
 
 
 def matches(
@@ -65,12 +63,12 @@ def matches(
     width = F.least("n", F.lit(window))
     starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - width + 1), F.least("at", F.col("n") - width)))
     rarest = weighed.select("*", starts.alias("start")).groupBy("item", "start").agg(F.min(F.struct("count", "at", "term_id")).alias("r"))
-    anchors = rarest.where("r.count > 0").select("item", "r.at", "r.term_id").distinct()
-    offsets = posted.join(anchors, "term_id").select("id", "item", (F.col("pos") - F.col("at")).alias("offset")).distinct()
+    anchors = checkpointed(rarest.where("r.count > 0").select("item", "r.at", "r.term_id").distinct())
+    offsets = posted.join(small(anchors, BROADCAST_ROWS), "term_id").select("id", "item", (F.col("pos") - F.col("at")).alias("offset")).distinct()
 
     whole = weighed.groupBy("item", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term_id"))), lambda x: x["term_id"]).alias("ids"))
     candidates = checkpointed(offsets)
-    lists = posted.join(candidates.select("id").distinct(), "id", "left_semi")
+    lists = posted.join(small(checkpointed(candidates.select("id").distinct()), BROADCAST_ROWS), "id", "left_semi")
     lists = lists.groupBy("id").agg(F.collect_list(F.struct("pos", "term_id")).alias("list"))
     joined = candidates.join(whole, "item").join(lists, "id")
     here = F.filter("list", lambda p: (p["pos"] >= F.col("offset")) & (p["pos"] < F.col("offset") + F.col("n")))

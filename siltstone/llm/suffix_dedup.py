@@ -6,9 +6,9 @@ content alone (the anchor: the least gram hash), so equal windows choose equal s
 distances. The consecutive windows that share an anchor make a segment, and there is about one for
 seventy bytes.
 
-1. Segments are counted by (hash of the anchor's leading bytes, hash of the segment), combined
-   map-side. Anchors whose leading bytes stand nowhere else can't match. Copies of a whole segment
-   repeat throughout, which needs no comparison (two 64-bit hashes agree).
+1. Anchors are counted by a hash of their leading bytes, combined map-side; those whose leading bytes
+   stand nowhere else can't match. Copies of a whole segment repeat throughout, which needs no
+   comparison (two 64-bit hashes agree).
 2. Of the leading bytes that different segments share, one segment of each kind goes on, with its
    bytes. Sampled splitters range-partition these suffixes by their leading bytes; a splitter never
    falls between equal leads. Each bucket is sorted by multikey quicksort, and in each run of equal
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import pieces, utf8_buffer
+from siltstone.llm.common import pieces, stored, utf8_buffer
 from siltstone.llm.suffix_core import RollingHash, anchors, multikey_order, repeated_windows
 
 LENGTH = 200
@@ -161,14 +161,18 @@ def _counted(kinds: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_kinds: int = BUCKET_KINDS) -> DataFrame:
     """(row, start, end) of spans whose bytes all lie in repeated strings; docs: (row, text), rows unique."""
     segments = _segments(docs, length, gram)
-    kinds = segments.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last", "place")).alias("one"))
-    shared = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1)
-    copies = segments.join(kinds.where(F.col("n") > 1).select("h", "s"), ["h", "s"], "left_semi")
-    copies = copies.select("row", F.col("first").alias("start"), (F.col("last") + length).cast("int").alias("end"))
+    classes = segments.groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high"))
+    classes = stored(classes.where(F.col("n") > 1).select("h", (F.col("low") < F.col("high")).alias("mixed")), "leads")
+    found = stored(segments.join(classes, "h"), "segments")
+    mixed = found.where("mixed")
+    kinds = stored(mixed.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last", "place")).alias("one")), "kinds")
+    whole = ["row", F.col("first").alias("start"), (F.col("last") + length).cast("int").alias("end")]
+    copies = mixed.join(kinds.where(F.col("n") > 1).select("h", "s"), ["h", "s"], "left_semi").select(*whole)
+    shared = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
     wanted = kinds.join(shared, "h").select("kinds", "one.*", (F.col("n") > 1).alias("many"))
     cool = _with_bytes(docs, wanted.where(F.col("kinds") <= bucket_kinds), length, gram)
     hot = _with_bytes(docs, wanted.where(F.col("kinds") > bucket_kinds), length, gram)
-    return copies.union(_compared(cool, length, gram)).union(_counted(hot, length))
+    return found.where("not mixed").select(*whole).union(copies).union(_compared(cool, length, gram)).union(_counted(hot, length))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -5,8 +5,8 @@
 2. In each window of consecutive item words the term with the fewest postings is the anchor. Where an
    anchor's posting and its place in the item give the offset of a possible match, the offset-adjusted
    lists of the item's other terms are intersected with the document's.
-3. A window whose terms all stand at their offsets is an exact phrase match; one in which most of them
-   do is a proximity match.
+3. A window whose terms all stand at their offsets is an exact phrase match (none is missed); one in
+   which most of them do, its anchor among them, is a proximity match.
 
 A common word is an anchor only of a window of nothing but common words. Postings are joined by
 (term) or (doc_id) equality, and what is gathered for one document is bounded by its length.

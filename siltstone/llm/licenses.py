@@ -121,10 +121,11 @@ def matches(index: Index, data: np.ndarray, offsets: np.ndarray, least: float =
             m, first, stop = align(template, found.hash[begin + a : begin + b], d - a)
             if m >= least * len(template):
                 s, e = int(found.start[begin + a + first]), int(found.end[begin + a + stop - 1])
-                out.setdefault(of, []).append((index.names[t], m / len(template), s, e))
+                out.setdefault(of, []).append((index.names[t], m / len(template), s, e, m))
     for of, rows in out.items():
         rows = sorted(set(rows), key=lambda x: (x[2], -x[3], -x[1], x[0]))
-        out[of] = [x for x in rows if not any(y != x and y[2] <= x[2] and x[3] <= y[3] and (y[3] - y[2], y[1], x[0]) > (x[3] - x[2], x[1], y[0]) for y in rows)]
+        rank = lambda x: (x[3] - x[2], x[4], x[1], x[0])  # noqa: E731  span, words matched, share
+        out[of] = [x[:4] for x in rows if not any(y[2] <= x[2] and x[3] <= y[3] and rank(y) > rank(x) for y in rows)]
     return out
 
 

@@ -23,7 +23,7 @@ MACROS: dict[str, Callable[..., str]] = {
     "dv_int_to_datetime": _moment,
     "dv_int_to_string": lambda x: f"cast({x} as string)",
 }
-_INNERMOST = re.compile(r"\b(dv_\w+)\(([^()]*)\)")
+_INNERMOST = re.compile(r"\b(dv_\w+)\(((?:[^()']|'[^']*')*)\)")
 
 
 def arguments(text: str) -> list[str]:
@@ -49,7 +49,7 @@ def expand(template: str, args: list[str], macros: dict[str, Callable[..., str]]
             raise ValueError(f"argument {n} of {len(args)}")
         return args[n - 1]
 
-    text, held = re.sub(r"##(\d+)", argument, template), []
+    text, held = re.sub(r"##(\d+)", argument, template).replace("#", "'"), []
     while m := _INNERMOST.search(text):
         if m[1] not in macros:
             raise ValueError(f"unknown macro {m[1]}")
@@ -60,7 +60,7 @@ def expand(template: str, args: list[str], macros: dict[str, Callable[..., str]]
         text = f"{text[: m.start()]}\0{len(held) - 1}\0{text[m.end() :]}"
     for k in range(len(held) - 1, -1, -1):
         text = text.replace(f"\0{k}\0", held[k])
-    return text.replace("#", "'")
+    return text
 
 
 def computed(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:

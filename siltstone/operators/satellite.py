@@ -100,11 +100,11 @@ def replay(sat: Satellite, table: DataFrame, changes: DataFrame, order: list[str
     ``action`` is ``D`` for a delete, anything else an upsert. A change that leaves the state as it is
     (an equal payload, a delete of what isn't there) is dropped; as a dropped change carries the state of
     the one before, one look back is enough. Change i of a key starts i microseconds after the version
-    date. Deletes keep their staged payload in the tombstone.
+    date. Deletes keep their staged payload in the tombstone. Current rows and changes are shuffled once, by
+    key, and sorted there; keys without a change pass through.
     """
     keys, payload = list(sat.keys), list(sat.payload)
-    own = table.where(F.col(IS_CURRENT)).join(changes.select(*keys).distinct(), keys, "left_semi")
-    untouched = table.where(F.col(IS_CURRENT)).join(changes.select(*keys).distinct(), keys, "left_anti").select(*sat.columns)
+    own = table.where(F.col(IS_CURRENT))
     by_key = Window.partitionBy(*keys)
     rn = F.row_number().over(by_key.orderBy(*order))
     time = _source_time(changes, version_date)
@@ -130,7 +130,7 @@ def replay(sat: Satellite, table: DataFrame, changes: DataFrame, order: list[str
         end.alias(END),
         *payload,
     )
-    return Merge(untouched.unionByName(rows.where(F.col(IS_CURRENT))), rows.where(~F.col(IS_CURRENT)))
+    return Merge(rows.where(F.col(IS_CURRENT)), rows.where(~F.col(IS_CURRENT)))
 
 
 def duplicate_versions(sat: Satellite, table: DataFrame) -> DataFrame:

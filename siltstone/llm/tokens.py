@@ -2,9 +2,9 @@
 
 The vocabulary's normaliser and splitter never join text across ASCII white space, so the ids of a
 text are the ids of its white-space words in order. Each distinct word is encoded by the library once
-per worker and then looked up. Words of plain ASCII letters, digits and marks go to the library's model
-directly; all others (non-ASCII, apostrophes, control characters, special-token strings) go through
-the library's whole pipeline.
+per worker and then looked up. Words of ASCII and precomposed Latin-1 letters, digits and ASCII marks are
+already normal but for their case; their pre-tokens go to the library's model directly. All others (other
+scripts, apostrophes, control characters, special-token strings) go through the library's whole pipeline.
 """
 
 from __future__ import annotations
@@ -17,8 +17,11 @@ from tokenizers import Tokenizer
 
 #: Distinct words that a worker keeps; about 200 bytes each.
 CACHE_WORDS = 600_000
-_SIMPLE = re.compile(rb"[!-&(-;=-{}~]+\Z")
-_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+_SIMPLE = re.compile("[!-&(-;=-{}~À-ÖØ-öø-ÿ]+\\Z")
+_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Byte-level alphabet: bytes that aren't printable (in Latin-1) stand as characters from 256 on, in their order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def pack(ids: list[int]) -> bytes:
@@ -32,12 +35,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def _part(self, part: bytes) -> bytes:
+    def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            found = pack([t.id for t in self.model.tokenize(part.decode())])
+            found = pack([t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_ALPHABET))])
             if len(self.parts) >= CACHE_WORDS:
                 self.parts.clear()
             self.parts[part] = found
@@ -46,28 +49,30 @@ class WordEncoder:
     def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
         learned, other = {}, []
         for word in missing:
-            if _SIMPLE.match(word):
-                learned[word] = b"".join(map(self._part, _PIECES.findall(word.lower())))
+            text = word.decode()
+            if _SIMPLE.match(text):
+                learned[word] = b"".join(map(self._part, _PIECES.findall(text.lower())))
             else:
-                other.append(word)
+                other.append(text)
         for at in range(0, len(other), 10_000):
             some = other[at : at + 10_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                learned[word] = pack(found.ids)
-        if len(self.words) + len(learned) > CACHE_WORDS:
-            self.words.clear()
-        if len(learned) <= CACHE_WORDS:
-            self.words.update(learned)
+            for text, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                learned[text.encode()] = pack(found.ids)
         return learned
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         words = text.split()
         found = list(map(self.words.get, words))
-        if None in found:
-            learned = self._learn({w for w, f in zip(words, found, strict=True) if f is None})
-            found = [learned[w] if f is None else f for w, f in zip(words, found, strict=True)]
-        return b"".join(found)
+        if None not in found:
+            return b"".join(found)
+        learned = self._learn(set(words).difference(self.words))
+        if len(self.words) + len(learned) <= CACHE_WORDS:
+            self.words.update(learned)
+            return b"".join(map(self.words.__getitem__, words))
+        out = b"".join([learned[w] if f is None else f for w, f in zip(words, found, strict=True)])
+        self.words.clear()
+        return out
 
 
 @lru_cache(maxsize=2)

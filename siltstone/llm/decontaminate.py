@@ -2,11 +2,11 @@
 
 1. The index holds the postings (doc_id, term, position) of every whole document for the terms that
    occur in test items; other words can't match.
-2. In each window of consecutive item words the term with the fewest postings is the anchor. Where an
-   anchor's posting and its place in the item give the offset of a possible match, the offset-adjusted
-   lists of the item's other terms are intersected with the document's.
+2. In each window of consecutive item words the term with the fewest postings is the anchor; its postings
+   give the offsets of possible matches. The offset-adjusted list of the second rarest term is intersected
+   with them, and for what remains the lists of the item's other terms.
 3. A window whose terms all stand at their offsets is an exact phrase match (none is missed); one in
-   which most of them do, its anchor among them, is a proximity match.
+   which most of them do, its two rarest terms among them, is a proximity match.
 
 A common word is an anchor only of a window of nothing but common words. Postings are joined by
 (term) or (doc_id) equality, and what is gathered for one document is bounded by its length.
@@ -62,9 +62,19 @@ def matches(
     weighed = checkpointed(places.join(weight, "term_id", "left").withColumn("count", F.coalesce("count", F.lit(0))))
     width = F.least("n", F.lit(window))
     starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - width + 1), F.least("at", F.col("n") - width)))
-    rarest = weighed.select("*", starts.alias("start")).groupBy("item", "start").agg(F.min(F.struct("count", "at", "term_id")).alias("r"))
-    anchors = checkpointed(rarest.where("r.count > 0").select("item", "r.at", "r.term_id").distinct())
-    offsets = posted.join(small(anchors, BROADCAST_ROWS), "term_id").select("id", "item", (F.col("pos") - F.col("at")).alias("offset")).distinct()
+    ranked = F.slice(F.sort_array(F.collect_list(F.struct("count", "at", "term_id"))), 1, 2)
+    rarest = weighed.select("*", starts.alias("start")).groupBy("item", "start").agg(ranked.alias("r"))
+    rarest = rarest.where(F.forall("r", lambda x: x["count"] > 0))  # a term that no document has can't match
+    second = F.try_element_at("r", F.lit(2))
+    pairs = rarest.select("item", F.col("r")[0]["at"].alias("at"), F.col("r")[0]["term_id"].alias("term_id"), second["at"].alias("at_2"), second["term_id"].alias("term_2"))
+    pairs = checkpointed(pairs.distinct())
+    anchors = pairs.select("item", "at", "term_id").distinct()
+    first = posted.join(small(anchors, BROADCAST_ROWS), "term_id").select("id", "item", "at", (F.col("pos") - F.col("at")).alias("offset")).distinct()
+    both = first.join(small(pairs.drop("term_id"), BROADCAST_ROWS), ["item", "at"]).withColumn("pos_2", F.col("offset") + F.col("at_2"))
+    others = posted.join(small(pairs.select(F.col("term_2").alias("term_id")).distinct(), BROADCAST_ROWS), "term_id", "left_semi")
+    others = others.select("id", F.col("term_id").alias("term_2"), F.col("pos").alias("pos_2"))
+    agreed = both.join(others, ["id", "term_2", "pos_2"], "left_semi").select("id", "item", "offset")
+    offsets = agreed.union(both.where(F.col("term_2").isNull()).select("id", "item", "offset")).distinct()
 
     whole = weighed.groupBy("item", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term_id"))), lambda x: x["term_id"]).alias("ids"))
     candidates = checkpointed(offsets)

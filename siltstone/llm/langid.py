@@ -42,7 +42,7 @@ _FOLD[123:128] = 32
 
 @dataclass(frozen=True)
 class LanguageFilter:
-    """languages: bit k of a slot belongs to languages[k]; rates: each language's false-positive rate."""
+    """slots: (words of 64 languages, slots); bit k % 64 of word k // 64 belongs to languages[k]; rates: each language's false-positive rate."""
 
     languages: tuple[str, ...]
     slots: np.ndarray
@@ -78,17 +78,17 @@ def slots_of(codes: np.ndarray, probe: int) -> np.ndarray:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> LanguageFilter:
     """Learn from rows with text and a language. No such row: a filter that knows no language.
 
-    The sample is about ``per_language`` rows (whole texts) of each of at most 64 languages, picked by a
-    hash of the id against the language's number of rows, so no row is sorted or moved for it. The
-    n-grams are counted on the executors, and only those in ``LEAST_SHARE`` of a language's sample
+    The sample is about ``per_language`` rows (whole texts) of each language, picked by a hash of the id
+    against the language's number of rows, so no row is sorted or moved for it. The list of languages is
+    small (a name for each); every 64 of them take one bitmask word of 2 MB. The n-grams are counted on the executors, and only those in ``LEAST_SHARE`` of a language's sample
     reach the driver.
     """
     known = docs.where(F.col(lang_col).isNotNull() & (F.col(text_col) != ""))
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(64).collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = tuple(sorted(sizes))
     if not languages:
-        return LanguageFilter((), np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(0))
+        return LanguageFilter((), np.zeros((1, 1 << SLOT_BITS), np.uint64), np.zeros(0))
     of = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("lang")]
     rows = known.where(F.pmod(F.xxhash64("id"), of(sizes)) < per_language)
 
@@ -105,12 +105,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     counts = rows.select("lang", "text").mapInArrow(run, "lang string, code long").groupBy("lang", "code").count()
     least = F.greatest(F.lit(2), F.round(LEAST_SHARE * of({k: min(n, per_language) for k, n in sizes.items()})))
     learned = counts.where(F.col("count") >= least).select("lang", "code").toPandas()
-    slots = np.zeros(1 << SLOT_BITS, np.uint64)
+    slots = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), np.uint64)
     for k, language in enumerate(languages):
         codes = learned["code"][learned["lang"] == language].to_numpy(np.int64).view(np.uint64)
         for p in range(PROBES):
-            slots[slots_of(codes, p)] |= np.uint64(1 << k)
-    full = np.array([np.mean(slots >> np.uint64(k) & np.uint64(1)) for k in range(len(languages))])
+            slots[k // 64, slots_of(codes, p)] |= np.uint64(1 << k % 64)
+    full = np.array([np.mean(slots[k // 64] >> np.uint64(k % 64) & np.uint64(1)) for k in range(len(languages))])
     return LanguageFilter(languages, slots, full**PROBES)
 
 
@@ -120,12 +120,12 @@ def score_batch(model: LanguageFilter, data: np.ndarray, offsets: np.ndarray) ->
     hits, total = np.zeros((n, len(model.languages))), np.zeros(n)
     for size in SIZES:
         codes, of = grams(data, offsets, size)
-        mask = model.slots[slots_of(codes, 0)]
-        for p in range(1, PROBES):
-            mask &= model.slots[slots_of(codes, p)]
+        at = [slots_of(codes, p) for p in range(PROBES)]
         total += np.bincount(of, minlength=n)
-        for k in range(len(model.languages)):
-            hits[:, k] += np.bincount(of[(mask >> np.uint64(k) & np.uint64(1)).astype(bool)], minlength=n)
+        for word, slots in enumerate(model.slots):
+            mask = np.bitwise_and.reduce([slots[a] for a in at])
+            for k in range(64 * word, min(64 * word + 64, len(model.languages))):
+                hits[:, k] += np.bincount(of[(mask >> np.uint64(k % 64) & np.uint64(1)).astype(bool)], minlength=n)
     return np.clip((hits - model.rates * total[:, None]) / np.maximum((1 - model.rates) * total[:, None], 1e-9), 0, 1)
 
 

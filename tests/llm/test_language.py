@@ -42,3 +42,13 @@ def test_score_does_not_depend_on_neighbours(documents):
     one = {r["doc_id"]: r["score"] for r in langid.predict(documents(rows), model).collect()}
     two = {r["doc_id"]: r["score"] for k in (3, 17) for r in langid.predict(documents(rows).where(f"doc_id = {k}"), model).collect()}
     assert all(one[k] == two[k] for k in two)
+
+
+def test_more_languages_than_a_bitmask_word_holds(documents):
+    """A language in the second word of the bitmask is learned and told like any other."""
+    words = [f"{'abc'[k // 26]}{chr(97 + k % 26)}q" * 2 for k in range(70)]
+    rows = [f"{words[k % 70]} " * (4 + k // 70) for k in range(280)]
+    docs = documents(rows, {k: f"l{k % 70:02d}" for k in range(280)})
+    model = langid.fit(docs)
+    assert len(model.languages) == 70 and len(model.slots) == 2
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()} == {k: f"l{k % 70:02d}" for k in range(280)}

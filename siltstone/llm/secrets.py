@@ -3,7 +3,7 @@
 Source and configuration syntax is read as name-literal pairs: ``name = "literal"``, ``name: literal``,
 ``"name": "literal"``, ``name => 'literal'``, ``--name=literal``, ``<name>literal</name>``, and literals
 joined by ``+``. A pair whose right side is another name takes that name's literal (constants are
-propagated through chains of names, cycles end them). Each literal is scored by how sensitive the
+propagated through chains of names, from the nearest binding before; cycles end them). Each literal is scored by how sensitive the
 names are that it reaches and by how much it looks like a credential; the ones above a threshold are
 reported where the literal itself stands.
 
@@ -14,7 +14,9 @@ fixed below. Every text is read whole, one at a time, so memory is bounded by th
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator, Mapping
 from hashlib import sha256
 from math import log2
 
@@ -38,14 +40,20 @@ NAME_PARTS = {
     "clientsecret": 1.0, "bearer": 0.8, "auth": 0.6, "authorization": 0.7, "connectionstring": 0.8, "dsn": 0.6, "pin": 0.5, "salt": 0.5, "key": 0.4,
 }
 #: Literals that stand in for a value.
-PLACEHOLDERS = re.compile(r"^(?:x+|\*+|\.+|changeme|example|placeholder|dummy|test|none|null|true|false|your[_-].*|<.*>|\$\{.*\}|%.*%|\{\{.*\}\})$", re.I | re.A)
+PLACEHOLDERS = re.compile(r"(?:x+|\*+|\.+|changeme|example|placeholder|dummy|test|none|null|true|false|your[_-].*|<.*>|\$\{.*\}|%.*%|\{\{.*\}\})$", re.I | re.A)
 THRESHOLD = 0.6
 
 _OPERATOR = re.compile(r"=>|:=|[=:]|</", re.A)
-_NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]{0,63})["'\]]{0,2}[ \t]{0,4}\Z""", re.A)
-_TAG_BEFORE = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]{0,63})>([^<>\n]{8,512})\Z", re.A)
-_QUOTED = re.compile(r"""[ \t]{0,4}(?:\+[ \t]{0,4})?(["'])((?:(?!\1)[^\\\n]|\\.){0,4096})\1""", re.A)
-_BARE = re.compile(r"""[ \t]{0,4}([^\s"'`;,(){}\[\]]{1,4096})""", re.A)
+_NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]{0,63})["'\]]{0,2}\Z""", re.A)
+_TAG = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]{0,63})(?:\s[^<>]*)?\Z", re.A)
+_QUOTED = re.compile(r"""[ \t]*+(?:\+[ \t]*+)?(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)')""", re.A)
+_BARE_START = re.compile(r"""[ \t]*+(?:(?:Bearer|Basic|Token)[ \t]++)?+(?=[^\s"'`;,(){}\[\]])""", re.A | re.I)
+_BARE_END = re.compile(r"""[\s"'`;,(){}\[\]]|\Z""", re.A)
+#: A PEM block may follow an opening quote (or three), a block mark of YAML and line ends.
+_PEM_START = re.compile(r"""[ \t]*+(?:[|>][+-]?[ \t]*+)?+(?:\r?\n[ \t]*+)?+["']{0,3}(?:\\n|\s)*+(?=-----BEGIN )""", re.A)
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(.*)-----END ", re.A | re.S)
+#: Longer bare literals are scored by running counts, so that many in one another take linear time.
+_LONG = 4096
 _PLAIN_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,63}\Z", re.A)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.A)
 
@@ -69,55 +77,130 @@ def name_score(name: str) -> float:
     return max((NAME_PARTS.get(p, 0.0) for p in [*parts, *pairs]), default=0.0)
 
 
+def counted_score(counts: Mapping[str, int], size: int) -> float:
+    """0 to 1: entropy and character classes of characters that occur ``counts`` times."""
+    shares = [n / size for n in counts.values() if n]
+    bits = -sum(p * log2(p) for p in shares)
+    classes = sum(any(n and f(c) for c, n in counts.items()) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    return min(1.0, bits / 3.0) * (0.6 + 0.2 * min(classes - 1, 2))
+
+
 def literal_score(value: str) -> float:
-    """0 to 1: length, character classes and entropy of a literal; 0 for stand-ins and prose."""
-    if len(value) < ASSIGN_LEAST or len(value) > 4096 or PLACEHOLDERS.match(value) or any(c.isspace() for c in value):
+    """0 to 1: length, character classes and entropy of a literal; 0 for stand-ins and prose.
+
+    A PEM block has the score of its body; of several words, those with letters and digits count.
+    """
+    if pem := _PEM.search(value):
+        return literal_score("".join(pem[2].replace("\\r", "").replace("\\n", "").split()))
+    if len(value) < ASSIGN_LEAST or PLACEHOLDERS.match(value):
         return 0.0
-    counts = [value.count(c) / len(value) for c in set(value)]
-    bits = -sum(p * log2(p) for p in counts)
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, bits / 3.0) * (0.6 + 0.2 * min(classes - 1, 2))
+    parts = value.split()
+    if parts != [value]:
+        return max((literal_score(x) for x in parts if any(map(str.isdigit, x)) and any(map(str.isalpha, x))), default=0.0)
+    return counted_score(Counter(value), len(value))
 
 
 def lex(text: str) -> list[tuple[str, str | None, str | None, int, int]]:
-    """(name, literal, reference, start, end) of each pair; joined literals are one value, spanning all."""
+    """(name, literal, reference, start, end) of each pair; joined literals are one value, spanning all.
+
+    The literal is None where it is text[start:end]. Every stretch is scanned once, whatever its length.
+    """
     pairs = []
+    closed = word_end = word_strip = pem_end = -1
     for op in _OPERATOR.finditer(text):
         at = op.start()
         if op.group() == "</":
-            if tag := _TAG_BEFORE.search(text, max(0, at - 600), at):
-                pairs.append((tag[1], tag[2], None, tag.start(2), tag.end(2)))
+            floor, closed = max(closed, 0), at
+            begin = text.rfind(">", floor, at)
+            if begin < 0 or text.find("<", begin, at) >= 0:
+                continue
+            opened = text.rfind("<", floor, begin)
+            tag = _TAG.match(text, opened, begin) if opened >= 0 else None
+            value = text[begin + 1 : at].strip() if tag else ""
+            if len(value) >= ASSIGN_LEAST and ("\n" not in value or _PEM.match(value)):
+                start = text.index(value, begin + 1)
+                pairs.append((tag[1], None, None, start, start + len(value)))
             continue
-        if not (name := _NAME_BEFORE.search(text, max(0, at - 72), at)):
+        before = at
+        while before and text[before - 1] in " \t":
+            before -= 1
+        if not (name := _NAME_BEFORE.search(text, max(0, before - 68), before)):
             continue
+        if pem := _PEM_START.match(text, op.end()):
+            if pem_end < pem.end():
+                pem_end = text.find("-----END ", pem.end())
+                pem_end = len(text) + 1 if pem_end < 0 else pem_end
+            if pem_end < len(text):
+                stop = text.find("-----", pem_end + 5, pem_end + 80)
+                pairs.append((name[1], None, None, pem.end(), stop + 5 if stop >= 0 else pem_end + 9))
+                continue
         part = _QUOTED.match(text, op.end())
-        if part and "+" not in text[part.start() : part.start(2)]:
-            value, start, end = part[2], part.start(2), part.end(2)
-            while (more := _QUOTED.match(text, part.end())) and "+" in text[more.start() : more.start(2)]:
-                value, end, part = value + more[2], more.end(2), more
-            pairs.append((name[1], value, None, start, end))
-        elif bare := _BARE.match(text, op.end()):
-            word = bare[1].rstrip(".,:")
-            refers = word if _PLAIN_NAME.match(word) else None
-            pairs.append((name[1], word, refers, bare.start(1), bare.start(1) + len(word)))
+        if part and "+" not in text[part.start() : part.start(part.lastindex)]:
+            values, start, end = [part[part.lastindex]], part.start(part.lastindex), part.end(part.lastindex)
+            while (more := _QUOTED.match(text, part.end())) and "+" in text[more.start() : more.start(more.lastindex)]:
+                values.append(more[more.lastindex])
+                end, part = more.end(more.lastindex), more
+            pairs.append((name[1], "".join(values) if len(values) > 1 else None, None, start, end))
+        elif bare := _BARE_START.match(text, op.end()):
+            start = bare.end()
+            if start >= word_end:
+                word_end = word_strip = _BARE_END.search(text, start).start()
+                while word_strip > start and text[word_strip - 1] in ".,:":
+                    word_strip -= 1
+            end = max(start, word_strip)
+            refers = text[start:end] if _PLAIN_NAME.match(text, start, end) else None
+            pairs.append((name[1], None, refers, start, end))
     return pairs
 
 
+def resolved(pairs: list[tuple[str, str | None, str | None, int, int]]) -> list[int]:
+    """For each pair the one whose literal it holds: names stand for their nearest binding before, else the next after."""
+    places: dict[str, list[int]] = {}
+    for k, pair in enumerate(pairs):
+        places.setdefault(pair[0], []).append(k)
+    out = [-1] * len(pairs)
+    for k in range(len(pairs)):
+        path, on, at = [], set(), k
+        while out[at] < 0 and at not in on:
+            path.append(at)
+            on.add(at)
+            bindings = places.get(pairs[at][2], [])
+            n = bisect_left(bindings, at)
+            after = n + (n < len(bindings) and bindings[n] == at)
+            if n:
+                at = bindings[n - 1]
+            elif after < len(bindings):
+                at = bindings[after]
+        for x in path:
+            out[x] = at if out[at] < 0 else out[at]
+    return out
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, 3, end) of the literals that reach a sensitive name with a score of THRESHOLD or more."""
     if not any(c in text for c in "=:") and "</" not in text:
         return []
     pairs = lex(text)
-    bound = {name: k for k, (name, _, _, _, _) in enumerate(pairs)}
-    found = set()
-    for name, value, refers, start, end in pairs:
-        score, seen = name_score(name), set()
-        if score < THRESHOLD:
+    if not any(name_score(x[0]) >= THRESHOLD or text.startswith("-----BEGIN ", x[3]) for x in pairs):
+        return []
+    found, scores = set(), {}
+    run_end, run_start, counts = -1, 0, Counter()
+    for k, of in enumerate(resolved(pairs)):
+        name, (_, value, refers, start, end) = name_score(pairs[k][0]), pairs[of]
+        if text.startswith("-----BEGIN ", start) and "PRIVATE KEY-----" in text[start : start + 60]:
+            name = 1.0
+        if name < THRESHOLD or (refers and refers.isalpha()):
             continue
-        while refers and refers in bound and refers not in seen:
-            seen.add(refers)
-            _, value, refers, start, end = pairs[bound[refers]]
-        if value and not (refers and value == refers and value.isalpha()) and score * literal_score(value) >= THRESHOLD:
+        if of not in scores and value is None and end - start > _LONG and end == run_end and run_start <= start:
+            counts.subtract(text[run_start:start])
+            run_start = start
+            scores[of] = counted_score(counts, end - start)
+        elif of not in scores:
+            value = text[start:end] if value is None else value
+            scores[of] = literal_score(value)
+            if end - start > _LONG and not any(map(str.isspace, value)):
+                run_end, run_start, counts = end, start, Counter(value)
+        if name * scores[of] >= THRESHOLD:
             found.add((start, 3, end))
     return sorted(found)
 

@@ -2,14 +2,15 @@
 
 1. The index holds the postings (doc_id, term, position) of every whole document for the terms that
    occur in test items; other words can't match.
-2. In each window of consecutive item words the term with the fewest postings is the anchor; its postings
-   give the offsets of possible matches. The offset-adjusted list of the second rarest term is intersected
-   with them, and for what remains the lists of the item's other terms.
-3. A window whose terms all stand at their offsets is an exact phrase match (none is missed); one in
-   which most of them do, its two rarest terms among them, is a proximity match.
+2. In each window of consecutive item words the terms with the fewest postings are anchors: two more than
+   there are words that may differ, so two of them stand in place in every match (terms without postings
+   are of those that differ). Offsets on which the lists of two anchors agree are candidates; the lists of
+   the item's other terms are intersected with them, posting by posting.
+3. A window whose terms all stand at their offsets is an exact phrase match; one in which a share of
+   NEAR do, is a proximity match. None of either kind is missed.
 
 A common word is an anchor only of a window of nothing but common words. Postings are joined by
-(term) or (doc_id) equality, and what is gathered for one document is bounded by its length.
+equality, and what is gathered for one candidate is bounded by the item's length.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from siltstone.llm.common import ascii_lower, checkpointed, small, stored
 
 #: Everything but digits, letters and non-ASCII; upper case is lowered before.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same for texts in either case, where only the number of words counts.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 NEAR = 0.8
 #: Terms, anchors and ids of candidate documents are broadcast up to this many (some 10 MB each), else shuffled.
@@ -61,32 +60,28 @@ def matches(
     weight = posted.groupBy("term_id").count()
     weighed = checkpointed(places.join(weight, "term_id", "left").withColumn("count", F.coalesce("count", F.lit(0))))
     width = F.least("n", F.lit(window))
+    spare = width - F.ceil(width * near)  # words of a window that may differ
+    need = F.least(F.lit(2), width - spare)  # of the window's spare + need rarest terms so many stand in place
     starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - width + 1), F.least("at", F.col("n") - width)))
-    ranked = F.slice(F.sort_array(F.collect_list(F.struct("count", "at", "term_id"))), 1, 2)
-    rarest = weighed.select("*", starts.alias("start")).groupBy("item", "start").agg(ranked.alias("r"))
-    rarest = rarest.where(F.forall("r", lambda x: x["count"] > 0))  # a term that no document has can't match
-    second = F.try_element_at("r", F.lit(2))
-    pairs = rarest.select("item", F.col("r")[0]["at"].alias("at"), F.col("r")[0]["term_id"].alias("term_id"), second["at"].alias("at_2"), second["term_id"].alias("term_2"))
-    pairs = checkpointed(pairs.distinct())
-    anchors = pairs.select("item", "at", "term_id").distinct()
-    first = posted.join(small(anchors, BROADCAST_ROWS), "term_id").select("id", "item", "at", (F.col("pos") - F.col("at")).alias("offset")).distinct()
-    both = first.join(small(pairs.drop("term_id"), BROADCAST_ROWS), ["item", "at"]).withColumn("pos_2", F.col("offset") + F.col("at_2"))
-    others = posted.join(small(pairs.select(F.col("term_2").alias("term_id")).distinct(), BROADCAST_ROWS), "term_id", "left_semi")
-    others = others.select("id", F.col("term_id").alias("term_2"), F.col("pos").alias("pos_2"))
-    agreed = both.join(others, ["id", "term_2", "pos_2"], "left_semi").select("id", "item", "offset")
-    offsets = agreed.union(both.where(F.col("term_2").isNull()).select("id", "item", "offset")).distinct()
-
-    whole = weighed.groupBy("item", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term_id"))), lambda x: x["term_id"]).alias("ids"))
+    ranked = F.sort_array(F.collect_list(F.struct("count", "at", "term_id")))
+    rarest = weighed.select("*", starts.alias("start")).groupBy("item", "n", "start").agg(ranked.alias("r"))
+    rarest = rarest.select("item", need.cast("int").alias("need"), F.explode(F.slice("r", F.lit(1), (spare + need).cast("int"))).alias("r"))
+    rarest = rarest.where("r.count > 0")  # a term that no document has is one of those that differ
+    anchors = checkpointed(rarest.select("item", "need", "r.at", "r.term_id").distinct())
+    first = posted.join(small(anchors, BROADCAST_ROWS), "term_id").select("id", "item", "need", "at", (F.col("pos") - F.col("at")).alias("offset"))
+    agreed = first.groupBy("id", "item", "need", "offset").agg(F.count("at").alias("many"), F.min("at").alias("low"), F.max("at").alias("high"))
+    agreed = agreed.where((F.col("many") >= F.col("need")) & ((F.col("many") > 2) | (F.col("high") - F.col("low") < window)))
+    offsets = agreed.select("id", "item", "offset")
+
     candidates = checkpointed(offsets)
+    wanted = candidates.join(small(weighed.select("item", "n", "at", "term_id"), BROADCAST_ROWS), "item")
+    wanted = wanted.withColumn("pos", F.col("offset") + F.col("at")).where("pos >= 0")
     lists = posted.join(small(checkpointed(candidates.select("id").distinct()), BROADCAST_ROWS), "id", "left_semi")
-    lists = lists.groupBy("id").agg(F.collect_list(F.struct("pos", "term_id")).alias("list"))
-    joined = candidates.join(whole, "item").join(lists, "id")
-    here = F.filter("list", lambda p: (p["pos"] >= F.col("offset")) & (p["pos"] < F.col("offset") + F.col("n")))
-    flags = once(here, lambda own: F.array_join(F.transform("ids", lambda t, k: stands(own, t, k)), ""))
-    width = F.least("n", F.lit(window))
+    joined = lists.join(wanted, ["id", "pos", "term_id"]).groupBy("id", "item", "n", "offset").agg(F.collect_set("at").alias("ats"))
     every = F.sequence(F.lit(0), F.col("n") - width)
     # For each start the number of the window's words that stand in place, as (start, number).
-    shares = once(flags, lambda f: F.transform(every, lambda k: F.struct(k.alias("k"), F.length(F.replace(F.substring(f, k + 1, width), F.lit("0"), F.lit(""))).alias("in_place"))))
+    in_place = lambda k: F.size(F.filter("ats", lambda x: (x >= k) & (x < k + width)))
+    shares = F.transform(every, lambda k: F.struct(k.alias("k"), in_place(k).alias("in_place")))
     near_ones = F.filter(shares, lambda x: x["in_place"] >= F.ceil(width * near))
     found = joined.select("id", "item", "offset", width.alias("width"), near_ones.alias("near"))
     found = found.where(F.size("near") > 0)
@@ -95,17 +90,6 @@ def matches(
     return found.select("id", "item", "offset", starts_of(exact).alias("starts"), starts_of(F.col("near")).alias("near_starts"), "width")
 
 
-def once(value: Column, use) -> Column:
-    """use(value), with the value computed once however often it is used (projections would repeat it)."""
-    return F.transform(F.array(value), use)[0]
-
-
-def stands(own: Column, term: Column, k: Column) -> Column:
-    """"1" if the term stands at item place k under the row's offset, else "0"."""
-    place = F.struct((F.col("offset") + k).alias("pos"), term.alias("term_id"))
-    return F.when(F.array_contains(own, place), "1").otherwise("0")
-
-
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items) of every row of ``docs``.
 
@@ -121,8 +105,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str
         F.sort_array(F.collect_set(F.when(exact, F.col("item").cast("string")))).alias("hit_items"),
         F.count_distinct("item").alias("n_near_items"),
     )
-    n_words = F.size(F.regexp_extract_all(text_col, F.lit(WORD_ANY_CASE), F.lit(0)))
-    counted = docs.select(F.col(id_col), F.when(F.col(text_col).isNull(), 0).otherwise(n_words).cast("long").alias("n_words"))
+    counted = docs.select(F.col(id_col), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     joined = counted.join(by_doc, counted[id_col] == by_doc["id"], "left")
     items_of = F.coalesce("hit_items", F.array().cast("array<string>"))
     return joined.select(

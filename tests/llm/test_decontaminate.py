@@ -55,3 +55,29 @@ def test_empty_tables(spark, documents):
     rows = decontaminate.report(documents(["a b", None]), none).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["contaminated"]) for r in rows) == [(0, 2, 0, False), (1, 0, 0, False)]
     assert decontaminate.report(documents([]), none).count() == 0
+
+
+def near_items(text, items, window=10):
+    w, found = words(text), set()
+    for item, body in items:
+        t = words(body)
+        n = min(window, len(t))
+        for j in range(len(t) - n + 1):
+            for p in range(-n, len(w)):
+                found |= {item} if sum(0 <= p + k < len(w) and w[p + k] == t[j + k] for k in range(n)) >= 0.8 * n else set()
+    return len(found)
+
+
+def test_near_matches_against_brute_force(spark, documents):
+    rng = random.Random(5)
+    passage = [f"w{k}" for k in range(10)]
+    change = lambda ws, places: [f"c{rng.randrange(10**6)}" if k in places else x for k, x in enumerate(ws)]
+    texts = [["pre", *change(passage, {j, k}), "post"] for j in range(10) for k in range(j, 10)]
+    texts += [change(passage, set(rng.sample(range(10), 3))) for _ in range(20)]
+    texts += [change([f"m{k}" for k in range(18)], {9}), [f"s{k}" for k in range(4)] + ["x"], [f"m{k}" for k in range(7)], [f"m{k}" for k in range(8)], [], ["w0"], ["one"]]
+    texts += [[f"w{k}"] * (k + 2) for k in range(10)]  # so that any term can be rare or common
+    items = [(1, " ".join(passage)), (2, " ".join(f"m{k}" for k in range(18))), (3, "s0 s1 s2 s3 s4"), (4, "one"), (5, "zero none nothing never nowhere nil nought nix")]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["n_near_items"] for r in decontaminate.report(documents([" ".join(x) for x in texts]), df).collect()}
+    assert got == {k: near_items(" ".join(x), items) for k, x in enumerate(texts)}
+    assert got[len(texts) - 17] == 1

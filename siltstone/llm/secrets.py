@@ -1,8 +1,8 @@
 """Secret scans by assignment-aware lexing.
 
 Source and configuration syntax is read as name-literal pairs: ``name = "literal"``, ``name: literal``,
-``"name": "literal"``, ``name => 'literal'``, ``--name=literal``, ``<name>literal</name>``, and literals
-joined by ``+``. A pair whose right side is another name takes that name's literal (constants are
+``"name": "literal"``, ``name => 'literal'``, ``--name=literal``, ``<name>literal</name>``, literals in three
+quotes or with a prefix, indented blocks (``name: |``), and literals joined by ``+``. A pair whose right side is another name takes that name's literal (constants are
 propagated through chains of names, from the nearest binding before; cycles end them). Each literal is scored by how sensitive the
 names are that it reaches and by how much it looks like a credential; the ones above a threshold are
 reported where the literal itself stands.
@@ -44,9 +44,15 @@ PLACEHOLDERS = re.compile(r"(?:x+|\*+|\.+|changeme|example|placeholder|dummy|tes
 THRESHOLD = 0.6
 
 _OPERATOR = re.compile(r"=>|:=|[=:]|</", re.A)
-_NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]{0,63})["'\]]{0,2}\Z""", re.A)
-_TAG = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]{0,63})(?:\s[^<>]*)?\Z", re.A)
-_QUOTED = re.compile(r"""[ \t]*+(?:\+[ \t]*+)?(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)')""", re.A)
+_NAME_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-"
+_TAG = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*+)(?:\s[^<>]*)?\Z", re.A)
+#: A literal may follow a plus and a prefix of letters (raw, bytes, formatted).
+_LEAD = r"""[ \t]*+(?:\+[ \t]*+)?(?:[rRbBuUfF]{1,2}(?=["']))?"""
+_QUOTED = re.compile(_LEAD + r"""(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)')""", re.A)
+_TRIPLE = re.compile(_LEAD + r"""("{3}|'{3})""", re.A)
+#: A block of YAML: its lines follow, further in than the line of the name.
+_BLOCK_MARK = re.compile(r"[ \t]++[|>][+-]?[0-9]?[+-]?[ \t]*+\r?\n", re.A)
+_BLOCK_LINE = re.compile(r"([ \t]*+)([^\n]*+)(?:\n|\Z)", re.A)
 _BARE_START = re.compile(r"""[ \t]*+(?:(?:Bearer|Basic|Token)[ \t]++)?+(?=[^\s"'`;,(){}\[\]])""", re.A | re.I)
 _BARE_END = re.compile(r"""[\s"'`;,(){}\[\]]|\Z""", re.A)
 #: A PEM block may follow an opening quote (or three), a block mark of YAML and line ends.
@@ -54,7 +60,8 @@ _PEM_START = re.compile(r"""[ \t]*+(?:[|>][+-]?[ \t]*+)?+(?:\r?\n[ \t]*+)?+["']{
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----(.*)-----END ", re.A | re.S)
 #: Longer bare literals are scored by running counts, so that many in one another take linear time.
 _LONG = 4096
-_PLAIN_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,63}\Z", re.A)
+_PLAIN_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+\Z", re.A)
+_PEM_LABEL = re.compile(r"[A-Z0-9 ]*+-----", re.A)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.A)
 
 
@@ -100,13 +107,47 @@ def literal_score(value: str) -> float:
     return counted_score(Counter(value), len(value))
 
 
+def name_before(text: str, at: int) -> str:
+    """The name that ends before ``at``, behind blanks and two closing marks at most; empty if there is none."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    for _ in range(2):
+        at -= at > 0 and text[at - 1] in "\"']"
+    size = 64
+    while True:
+        part = text[max(0, at - size) : at]
+        rest = part.rstrip(_NAME_CHARS)
+        if rest or size >= at:
+            return part[len(rest) :].lstrip("0123456789.-")
+        size *= 2
+
+
+def block_of_lines(text: str, at: int, begin: int) -> tuple[int, int] | None:
+    """(start, end) of the lines from ``begin`` that stand further in than the line of ``at``; None if there is none."""
+    line = text.rfind("\n", 0, at) + 1
+    own = _BLOCK_LINE.match(text, line)
+    depth, start, end = len(own[1]), -1, -1
+    while begin < len(text):
+        m = _BLOCK_LINE.match(text, begin)
+        content = m[2].rstrip()
+        if content and len(m[1]) <= depth:
+            break
+        if content:
+            start = m.start(2) if start < 0 else start
+            end = m.start(2) + len(content)
+        begin = m.end()
+    return (start, end) if start >= 0 else None
+
+
 def lex(text: str) -> list[tuple[str, str | None, str | None, int, int]]:
     """(name, literal, reference, start, end) of each pair; joined literals are one value, spanning all.
 
-    The literal is None where it is text[start:end]. Every stretch is scanned once, whatever its length.
+    The literal is None where it is text[start:end]. Names and literals may be of any length, and every
+    stretch is scanned once.
     """
     pairs = []
     closed = word_end = word_strip = pem_end = -1
+    unclosed: set[str] = set()
     for op in _OPERATOR.finditer(text):
         at = op.start()
         if op.group() == "</":
@@ -121,26 +162,32 @@ def lex(text: str) -> list[tuple[str, str | None, str | None, int, int]]:
                 start = text.index(value, begin + 1)
                 pairs.append((tag[1], None, None, start, start + len(value)))
             continue
-        before = at
-        while before and text[before - 1] in " \t":
-            before -= 1
-        if not (name := _NAME_BEFORE.search(text, max(0, before - 68), before)):
+        if not (name := name_before(text, at)):
             continue
         if pem := _PEM_START.match(text, op.end()):
             if pem_end < pem.end():
                 pem_end = text.find("-----END ", pem.end())
                 pem_end = len(text) + 1 if pem_end < 0 else pem_end
             if pem_end < len(text):
-                stop = text.find("-----", pem_end + 5, pem_end + 80)
-                pairs.append((name[1], None, None, pem.end(), stop + 5 if stop >= 0 else pem_end + 9))
+                label = _PEM_LABEL.match(text, pem_end + 9)
+                pairs.append((name, None, None, pem.end(), label.end() if label else pem_end + 9))
+                continue
+        if op.group() == ":" and (mark := _BLOCK_MARK.match(text, op.end())) and (lines := block_of_lines(text, at, mark.end())):
+            pairs.append((name, None, None, *lines))
+            continue
+        if (triple := _TRIPLE.match(text, op.end())) and triple[1] not in unclosed:
+            stop = text.find(triple[1], triple.end())
+            if stop >= 0:
+                pairs.append((name, None, None, triple.end(), stop))
                 continue
+            unclosed.add(triple[1])  # nor is any later one
         part = _QUOTED.match(text, op.end())
         if part and "+" not in text[part.start() : part.start(part.lastindex)]:
             values, start, end = [part[part.lastindex]], part.start(part.lastindex), part.end(part.lastindex)
             while (more := _QUOTED.match(text, part.end())) and "+" in text[more.start() : more.start(more.lastindex)]:
                 values.append(more[more.lastindex])
                 end, part = more.end(more.lastindex), more
-            pairs.append((name[1], "".join(values) if len(values) > 1 else None, None, start, end))
+            pairs.append((name, "".join(values) if len(values) > 1 else None, None, start, end))
         elif bare := _BARE_START.match(text, op.end()):
             start = bare.end()
             if start >= word_end:
@@ -149,7 +196,7 @@ def lex(text: str) -> list[tuple[str, str | None, str | None, int, int]]:
                     word_strip -= 1
             end = max(start, word_strip)
             refers = text[start:end] if _PLAIN_NAME.match(text, start, end) else None
-            pairs.append((name[1], None, refers, start, end))
+            pairs.append((name, None, refers, start, end))
     return pairs
 
 

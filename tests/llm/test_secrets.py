@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import time
 
@@ -88,8 +89,68 @@ def test_the_nearest_binding_before_counts():
     assert lexed('pwd = KEY\nKEY = "q8W2e9R4t1Y6"\n') == ["q8W2e9R4t1Y6"]
 
 
+def test_names_of_any_length_prefixes_and_blocks():
+    value = "q8W2e9R4t1Y6u3I5"
+    for size in (10, 60, 64, 80, 5000):
+        assert lexed(f'credential_{"a" * size} = "{value}"') == [value]
+        assert lexed(f"<credential_{'a' * size}>{value}</credential_{'a' * size}>") == [value]
+    for lead in ("r", "b", "Rb", "f"):
+        assert lexed(f"db_pwd = {lead}'{value}'") == [value]
+        assert lexed(f'db_pwd = {lead}"""{value}"""') == [value]
+    assert lexed(f"db_pwd = \'\'\'{value}\n{value}\'\'\'") == [f"{value}\n{value}"]
+    assert lexed(f'db_pwd = """{value}') == []
+    assert lexed(f"a:\n  db_pwd: |\n    {value}\n\n    {value[::-1]}\n  other: x\n") == [f"{value}\n\n    {value[::-1]}"]
+    assert lexed(f"db_pwd: >-\n{value}\n") == []
+    assert lexed('K = "Zx9qLm2Pw8Rt"\npwd_a = K\nK = "placeholder"\n') == ["Zx9qLm2Pw8Rt"]
+
+
+def written_pair(rng, name, value):
+    """(text, where the value begins, whether it is bare): one pair in a syntax picked at random."""
+    quote = rng.choice("\"'")
+    before, after = rng.choice([
+        (f"{name} = {quote}", f"{quote}\n"), (f"{name}={quote}", f"{quote};\n"), (f"{quote}{name}{quote}: {quote}", f"{quote},\n"), (f"  {name}: ", "\n"),
+        (f"{name} => {quote}", f"{quote}\n"), (f"run --{name}=", " now\n"), (f"<{name}>", f"</{name}>\n"), (f"export {name}=", "\n"), (f"{name} := r{quote}", f"{quote}\n"),
+        (f"x[{quote}{name}{quote}] = {quote * 3}", f"{quote * 3}\n"), (f"{name}: |\n    ", "\nend\n"),
+    ])
+    return before + value + after, len(before), before[-1] in "= "
+
+
+def test_generated_sources_against_what_was_written(documents):
+    """Pairs are written in every syntax, so each literal's place is known; the scores decide, name by name."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    texts, wants = [], []
+    for _ in range(400):
+        text, want = "", []
+        for k in range(rng.randint(1, 12)):
+            if rng.random() < 0.3:
+                text += "some prose between, of no interest.\n"
+            name = rng.choice(["db_pwd", "userCredential", "signing_key", "colour", "width", "auth_salt_x", "PRIVATE_KEY", "title"]) + f"_{k}"
+            value = "".join(rng.choices(letters, k=rng.choice([4, 12, 20, 40, 5000])))
+            value = rng.choice([value, value, "changeme", "aaaaaaaaaaaa"])
+            piece, at, bare = written_pair(rng, name, value)
+            if not (bare and value.isalpha() and "|\n" not in piece) and secrets.name_score(name) * secrets.literal_score(value) >= secrets.THRESHOLD:
+                want.append((len(text) + at, 3, len(text) + at + len(value)))
+            text += piece
+        texts.append(text)
+        wants.append(want)
+    assert sum(map(len, wants)) > 300
+    for text, want in zip(texts, wants, strict=True):
+        assert secrets.lexed_spans(text) == want, text[:500]
+    got = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x] for r in secrets.scan(documents(texts)).collect()}
+    for k, want in enumerate(wants):  # what a plain span covers isn't repeated
+        assert all(any(a <= start and end <= b for a, b in got[k]) for start, _, end in want)
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "token = abcdefgh12"), (None, None), (2, 'db_pwd = "q8W2e9R4t1Y6u3I5"'), (2, 'db_pwd = "q8W2e9R4t1Y6u3I5"'), (2, "")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, spans string, n_hex int")
+    got = sorted(str((r["doc_id"], r["spans"])) for r in secrets.scan(docs).collect())
+    assert got == sorted(str((i, secrets.written(secrets.spans(t or "")))) for i, t in rows)
+
+
 def test_time_is_linear():
-    for text in ("token=" * 50_000, "pwd = pwd\n" * 50_000, "pwd = '" + "\\'" * 200_000, "a" + " " * 200_000 + "=", "<token>" * 50_000 + "</", 'key="-----BEGIN ' * 20_000, "pwd=a" + ":" * 100_000):
+    for text in ("token=" * 50_000, "pwd = pwd\n" * 50_000, "pwd = '" + "\\'" * 200_000, "a" + " " * 200_000 + "=", "<token>" * 50_000 + "</", 'key="-----BEGIN ' * 20_000, "pwd=a" + ":" * 100_000, "a" * 300_000 + "=", "a = \"\"\"" * 30_000, "k: |\n" * 50_000, "x-" * 100_000 + "=1"):
         begun = time.perf_counter()
         secrets.spans(text)
         assert time.perf_counter() - begun < 20

@@ -119,21 +119,22 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, i
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(vocabulary), end_id.to_bytes(4, "little")
-        for batch in batches:
-            row, start, length, crc = [], [], [], []
-            for k, text in enumerate(utf8_rows(batch.column(1))):
-                ids = words.encode(text) + end
-                for at in range(0, len(ids), 4 * capacity):
-                    part = ids[at : at + 4 * capacity]
-                    row.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            start = pa.array(start, pa.int64())
-            piece = pa.array([s // capacity for s in start.to_pylist()], pa.int32())
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), piece, start, pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32"])
+        end = end_id.to_bytes(4, "little")
+        with encoder(vocabulary) as words:
+            for batch in batches:
+                row, start, length, crc = [], [], [], []
+                for k, text in enumerate(utf8_rows(batch.column(1))):
+                    ids = words.encode(text) + end
+                    for at in range(0, len(ids), 4 * capacity):
+                        part = ids[at : at + 4 * capacity]
+                        row.append(k)
+                        start.append(at // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                start = pa.array(start, pa.int64())
+                piece = pa.array([s // capacity for s in start.to_pylist()], pa.int32())
+                columns = [batch.column(0).take(pa.array(row, pa.int64())), piece, start, pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 

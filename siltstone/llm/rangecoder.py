@@ -1,15 +1,22 @@
-"""Adaptive context-mixing range coder for token ids, many blocks at a time.
+"""Adaptive context-mixing range coder for token ids: independently reset blocks of interleaved lanes.
 
-A block is coded on its own from a fresh model. Each id is coded in one to three steps:
+A block is coded on its own from a fresh model. Its ids are dealt to lanes, a stretch of the block each,
+and step t codes the t-th id of every lane as one numpy operation; all lanes of a block share and update
+one model, so a block learns from all of its ids.
 
-1. Which prediction is right: the id that last followed the same two ids (order 2), the one that last
-   followed the same id (order 1), or neither. Its probability mixes two adaptive counts, of the order-2
-   and of the order-1 prediction's confidence, weighted by the evidence that each has.
-2. If neither: the id's high and low byte under adaptive order-0 counts.
+Three predictions are mixed into one distribution, with weights that are learned as the block goes on,
+for each class of how often the two contexts were seen:
 
-The blocks of a batch are the lanes of numpy arrays, so that step t codes the t-th id of all blocks; a
-block's bytes don't depend on what else is in the batch. The arithmetic coder has a 32-bit range and
-emits 16-bit words; carries are settled once a batch is coded.
+* order 2: the ids that followed the same two ids, counted in SLOTS2 slots,
+* order 1: the ids that followed the same id, counted in SLOTS1 slots,
+* order 0: how often each id of the alphabet occurred.
+
+An id that one of the contexts predicts has the mixed mass of both; any other has its order-0 share of
+the rest. Weights move towards what each prediction contributed to the ids coded (expectation
+maximisation), and order 0 keeps a part, so that every id of the alphabet can be coded at any time.
+
+All masses are integers that sum to 2^24. Each lane's arithmetic coder has a range of 48 bits and emits 16-bit
+words; carries are settled once a block is coded. Encoder and decoder make the same steps.
 """
 
 from __future__ import annotations
@@ -18,214 +25,216 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1024
-SLOT_BITS = 9
-ID_LIMIT = 1 << 16
-_EVERY = 64  # steps between two refreshes of the order-0 counts
-_STEP0, _STEP = 24, 12
-_MUL1, _MUL2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-_LOW16 = np.uint64(0xFFFF)
-_FRESH = np.int64(1 | 1 << 16 | 1 << 32)
-_ADD = np.array([_STEP, _STEP << 16, _STEP << 32], np.int64)
+#: Ids of a block, and lanes that a full block has; shorter blocks have a lane for LEAST_STEPS ids.
+BLOCK, LANES, LEAST_STEPS = 1 << 20, 1024, 256
+SLOTS1, SLOTS2 = 12, 2
+HASH_BITS = 18
+TOTAL_BITS, ZERO_BITS = 24, 20
+_COUNT_BITS = 11
+_COUNT = (1 << _COUNT_BITS) - 1
+_EVERY = 8  # steps between two refreshes of the order-0 sums
+_LEAST_ZERO = 1 / 15
+_RATE = 0.02
+_SEEN = 1 << 12
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+_MASK32, _BITS16, _BITS32 = np.uint64(0xFFFFFFFF), np.uint64(16), np.uint64(32)
+#: The most ids that an alphabet may have: each keeps a share of order 0.
+ALPHABET_LIMIT = 1 << (ZERO_BITS - 1)
+
+
+def _classes(edges: tuple[int, ...]) -> np.ndarray:
+    return np.searchsorted(np.array(edges), np.arange(_SEEN), side="right")
+
+
+_NUMBERS = np.arange(SLOTS1 + SLOTS2, dtype=np.int32)[:, None]
+_CLASS2, _CLASS1 = _classes((1, 2, 3, 5, 9)), _classes((1, 3, 7, 15, 31, 63, 127, 255))
 
 
 class _Model:
-    """The state of every lane; encoder and decoder update it alike.
-
-    A slot holds a predicted id and, above its 16 bits, how sure it is (0 to 3). The three event counts
-    of a context are 16 bits each of one integer; a block is short enough that they don't run over.
-    """
-
-    def __init__(self, lanes: int):
-        self.lanes = lanes
-        base = np.arange(lanes, dtype=np.int64)
-        self.slot_base, self.context_base, self.sum_base, self.count_base = base << SLOT_BITS, base << 2, base * 257, base << 8
-        self.slots = [np.zeros(lanes << SLOT_BITS, np.int32) for _ in range(2)]
-        self.events = [np.full(lanes * 4, _FRESH) for _ in range(2)]
-        self.counts = [np.ones((lanes, 256), np.uint16) for _ in range(2)]
-        self.sums = [np.zeros((lanes, 257), np.uint32) for _ in range(2)]
-        self.last = np.zeros(lanes, np.uint32)
-        self.before = np.zeros(lanes, np.uint32)
+    """Slots hold an id (from 1; 0 is empty) above a count of _COUNT_BITS; a context is a row of slots."""
+
+    def __init__(self, alphabet: int, lanes: int):
+        self.tables = [np.zeros((1 << HASH_BITS, SLOTS2), np.int32), np.zeros((alphabet + 1, SLOTS1), np.int32)]
+        self.zero = np.ones(alphabet, np.int64)
+        self.weights = np.tile(np.array([0.2, 0.3, 0.5]), (6 * 9, 1))
+        self.last = np.zeros(lanes, np.int64)
+        self.before = np.zeros(lanes, np.int64)
+        self.steps = 0
         self.refresh()
 
     def refresh(self) -> None:
-        for c, s in zip(self.counts, self.sums, strict=True):
-            np.cumsum(c, axis=1, out=s[:, 1:], dtype=np.uint32)
-
-    def predict(self, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """(guesses, counts of order 2, order 1 and neither) of the first n lanes."""
-        one = self.last[:n] * _MUL1 + np.uint32(1)
-        two = (one + self.before[:n]) * _MUL2
-        shift = np.uint32(32 - SLOT_BITS)
-        self.at = [self.slot_base[:n] + ((x * _MUL1) >> shift) for x in (two, one)]
-        self.found = [s.take(a) for s, a in zip(self.slots, self.at, strict=True)]
-        self.context = [self.context_base[:n] + (f >> 16) for f in self.found]
-        counts = self.events[0].take(self.context[0]) + self.events[1].take(self.context[1])
-        parts = [(counts & 0xFFFF).astype(np.uint32), (counts >> 16 & 0xFFFF).astype(np.uint32), (counts >> 32).astype(np.uint32)]
-        return [f & 0xFFFF for f in self.found], parts
-
-    def update(self, n: int, ids: np.ndarray, guesses: list[np.ndarray], event: np.ndarray) -> None:
-        add = _ADD.take(event)
+        """Order-0 sums, scaled to 2^ZERO_BITS; each id keeps one at least."""
+        n = len(self.zero)
+        sums = np.zeros(n + 1, np.int64)
+        np.cumsum(self.zero, out=sums[1:])
+        self.sums = sums * ((1 << ZERO_BITS) - n) // sums[-1] + np.arange(n + 1)
+
+    def predict(self, n: int) -> None:
+        """For the first n lanes: ids and masses (slots, lanes), their running sums, and what is left for order 0."""
+        last, before = self.last[:n], self.before[:n]
+        hashed = ((before.astype(np.uint64) << np.uint64(24)) + last.astype(np.uint64)) * _MUL >> np.uint64(64 - HASH_BITS)
+        self.rows = [hashed.astype(np.int64), last]
+        self.found = np.concatenate([t.take(r, axis=0).T for t, r in zip(self.tables, self.rows, strict=True)])
+        self.ids, self.counts = self.found >> _COUNT_BITS, self.found & _COUNT
+        parts = (self.counts[:SLOTS2], self.counts[SLOTS2:])
+        seen = [p.sum(axis=0, dtype=np.int32) for p in parts]
+        kinds = [(p > 0).sum(axis=0, dtype=np.int32) for p in parts]
+        self.set = _CLASS2.take(seen[0], mode="clip") * 9 + _CLASS1.take(seen[1], mode="clip")
+        self.mass = np.empty((SLOTS2 + SLOTS1, n), np.int32)
+        self.mass2, mass1 = np.empty((SLOTS2, n), np.int32), self.mass[SLOTS2:]
+        for k, (part, out) in enumerate(zip(parts, (self.mass2, mass1), strict=True)):
+            share = self.weights[:, k].take(self.set) * (1 << TOTAL_BITS) / (seen[k] + 0.5 * kinds[k] + 0.5)
+            np.multiply(part, share.astype(np.int32), out=out)
+        self.shared = np.empty((SLOTS2, n), np.int32)  # what order 1 adds to the ids that order 2 has too
+        for k in range(SLOTS2):
+            same = mass1 * (self.ids[SLOTS2:] == self.ids[k])
+            same.sum(axis=0, dtype=np.int32, out=self.shared[k])
+            mass1 -= same
+        np.add(self.mass2, self.shared, out=self.mass[:SLOTS2])
+        self.ends = np.cumsum(self.mass, axis=0, dtype=np.int32)
+        self.rest = (1 << TOTAL_BITS) - self.ends[-1].astype(np.int64)
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of the ids coded."""
+        self.match = self.ids == ids
+        slot = np.where(self.match, _NUMBERS, SLOTS1 + SLOTS2).min(axis=0)
+        at = np.minimum(slot, SLOTS1 + SLOTS2 - 1) * len(ids) + np.arange(len(ids))
+        size = self.mass.take(at) * (slot < SLOTS1 + SLOTS2)
+        low = self.sums.take(ids - 1) * self.rest >> ZERO_BITS
+        high = self.sums.take(ids) * self.rest >> ZERO_BITS
+        by_slot = size > 0
+        return np.where(by_slot, self.ends.take(at) - size, self.ends[-1] + low), np.where(by_slot, size, high - low)
+
+    def lookup(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold these values."""
+        value = value.astype(np.int32)
+        at = (self.ends[:-1] <= value).sum(axis=0) * len(value) + np.arange(len(value))
+        inner = np.maximum(value - self.ends[-1], 0).astype(np.int64)
+        ids = np.searchsorted(self.sums, ((inner + 1 << ZERO_BITS) - 1) // self.rest, side="right")
+        return np.where(value < self.ends[-1], self.ids.take(at), ids)
+
+    def update(self, ids: np.ndarray) -> None:
+        n, lane, match = len(ids), np.arange(len(ids)), self.match
+        hit = match[:SLOTS2]
+        two, one = (self.mass2 * hit).sum(axis=0), (self.mass[SLOTS2:] * match[SLOTS2:]).sum(axis=0) + (self.shared * hit).sum(axis=0)
+        whole = np.maximum(two + one, 1)
+        own = (two / whole, one / whole)
+        many = np.bincount(self.set, minlength=len(self.weights))
+        some = np.flatnonzero(many)
+        rate = 1 - (1 - _RATE) ** np.minimum(many[some], 32)
         for k in range(2):
-            self.events[k][self.context[k]] += add
-            found = self.found[k]
-            miss = np.where(found >= 1 << 16, found - (1 << 16), ids)
-            hit = np.where(found < 3 << 16, found + (1 << 16), found)
-            self.slots[k][self.at[k]] = np.where(guesses[k] == ids, hit, miss)
+            mean = np.bincount(self.set, own[k], len(self.weights))[some] / many[some]
+            self.weights[some, k] += rate * (mean - self.weights[some, k])
+        self.weights[some, 2] = 1 - self.weights[some, 0] - self.weights[some, 1]
+        lack = np.maximum(_LEAST_ZERO - self.weights[some, 2], 0)
+        self.weights[some, :2] *= ((1 - self.weights[some, 2] - lack) / np.maximum(1 - self.weights[some, 2], 1e-9))[:, None]
+        self.weights[some, 2] += lack
+
+        fresh = (ids << _COUNT_BITS) + 1
+        for table, rows, part in ((self.tables[0], self.rows[0], slice(0, SLOTS2)), (self.tables[1], self.rows[1], slice(SLOTS2, None))):
+            counts, is_in = self.counts[part], match[part]
+            # The slot of the id, else the one of the least count.
+            best = np.where(is_in, _NUMBERS[: len(counts)] - 64, (counts << 6) + _NUMBERS[: len(counts)]).min(axis=0)
+            slot, there = best & 63, best < 0
+            at = slot * n + lane
+            entry, count = self.found[part].take(at), counts.take(at)
+            table.reshape(-1)[rows * table.shape[1] + slot] = np.where(there, entry + (count < _COUNT), np.where(count <= 1, fresh, entry - 1))
+        self.zero += 24 * np.bincount(ids - 1, minlength=len(self.zero))
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
+        self.steps += 1
+        if self.steps < 64 or self.steps % _EVERY == 0:
+            self.refresh()
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """(lanes, steps) of a block of n ids; only the last lane may have fewer."""
+    steps = -(-n // max(1, min(LANES, n // LEAST_STEPS)))
+    return -(-n // steps), steps
+
 
-    def literal(self, lanes: np.ndarray, high: np.ndarray, low: np.ndarray) -> None:
-        for c, part in zip(self.counts, (high, low), strict=True):
-            c.reshape(-1)[self.count_base[lanes] + part] += np.uint16(_STEP0)
-
-
-class _Encoder:
-    def __init__(self, lanes: int, steps: int):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint32)
-        self.width = 3 * steps + 2
-        self.words = np.zeros(lanes * self.width, np.uint32)
-        self.next = np.arange(lanes, dtype=np.int64) * self.width
-
-    def code(self, lanes: slice | np.ndarray, start: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        r = self.range[lanes] // total
-        low = self.low[lanes] + r * start
-        r = r * freq
-        out = np.flatnonzero(r < 1 << 16)
-        if len(out):
-            who = out if isinstance(lanes, slice) else lanes.take(out)
-            emitted, at = low.take(out), self.next.take(who)
-            self.words[at] = emitted >> np.uint64(16)
-            self.next[who] = at + 1
-            low[out] = (emitted & _LOW16) << np.uint64(16)
-            r[out] = r.take(out) << np.uint32(16)
-        self.low[lanes], self.range[lanes] = low, r
-
-    def finish(self) -> list[bytes]:
-        for part in (self.low >> np.uint64(16), self.low & _LOW16):
-            self.words[self.next] = part
-            self.next += 1
-        begin = np.arange(len(self.low), dtype=np.int64) * self.width
-        used = self.next - begin
-        ends = np.cumsum(used)
-        flat = self.words[np.repeat(begin - (ends - used), used) + np.arange(ends[-1])]
-        while (carry := flat >> np.uint32(16)).any():
-            flat &= np.uint32(0xFFFF)
-            flat[:-1] += carry[1:]
-        data = flat.astype("<u2").tobytes()
-        return [data[2 * (e - u) : 2 * e] for e, u in zip(ends.tolist(), used.tolist(), strict=True)]
-
-
-class _Decoder:
-    def __init__(self, blocks: list[bytes]):
-        sizes = np.array([len(b) // 2 for b in blocks], np.int64)
-        self.words = np.concatenate([np.frombuffer(b"".join(blocks), "<u2"), np.zeros(2, np.uint16)]).astype(np.uint32)
-        self.next = np.cumsum(sizes) - sizes
-        self.left = self.words[self.next] << np.uint32(16) | self.words[self.next + 1]
-        self.next += 2
-        self.range = np.full(len(blocks), 0xFFFFFFFF, np.uint32)
-
-    def value(self, lanes: slice | np.ndarray, total: np.ndarray) -> np.ndarray:
-        self.r = self.range[lanes] // total
-        self.code = self.left[lanes]
-        return np.minimum(self.code // self.r, total - np.uint32(1))
-
-    def take(self, lanes: slice | np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        code, r = self.code - self.r * start, self.r * freq
-        more = np.flatnonzero(r < 1 << 16)
-        if len(more):
-            who = more if isinstance(lanes, slice) else lanes.take(more)
-            at = self.next.take(who)
-            code[more] = code.take(more) << np.uint32(16) | self.words.take(at, mode="clip")
-            self.next[who] = at + 1
-            r[more] = r.take(more) << np.uint32(16)
-        self.left[lanes], self.range[lanes] = code, r
-
-
-def _active(lengths: np.ndarray, step: int) -> int:
-    """Only the last lane can be shorter."""
-    return len(lengths) - int(lengths[-1] <= step)
-
-
-def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Code ids (each below ID_LIMIT) as blocks of ``block`` ids (BLOCK at most), the last one of the rest; none for no ids."""
-    if not len(ids):
-        return []
-    if int(ids.max()) >= ID_LIMIT or block > BLOCK:
-        raise ValueError(f"ids must be below {ID_LIMIT}, blocks have {BLOCK} ids at most")
-    lanes = -(-len(ids) // block)
-    lengths = np.full(lanes, block)
-    lengths[-1] = len(ids) - block * (lanes - 1)
-    steps = int(lengths[0])
-    padded = np.zeros(lanes * block, np.int32)
+def _encode_block(ids: np.ndarray, alphabet: int) -> bytes:
+    lanes, steps = _shape(len(ids))
+    padded = np.zeros(lanes * steps, np.int64)
     padded[: len(ids)] = ids
-    columns = np.ascontiguousarray(padded.reshape(lanes, block).T)
-    model, coder = _Model(lanes), _Encoder(lanes, steps)
+    columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    short = len(ids) - steps * (lanes - 1)
+    model = _Model(alphabet, lanes)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
+    width = 2 * steps + 4
+    words, at = np.zeros(lanes * width, np.uint32), np.arange(lanes) * width
     for t in range(steps):
-        n = _active(lengths, t)
+        n = lanes - (t >= short)
         x = columns[t, :n]
-        guesses, (a, b, c) = model.predict(n)
-        is_two = guesses[0] == x
-        event = np.where(is_two, 0, np.where(guesses[1] == x, 1, 2))
-        ab = a + b
-        start = np.where(is_two, 0, np.where(event == 1, a, ab)).astype(np.uint32)
-        freq = np.where(is_two, a, np.where(event == 1, b, c))
-        coder.code(slice(n), start, freq, ab + c)
-        rest = np.flatnonzero(event == 2)
-        if len(rest):
-            y = x.take(rest)
-            parts = (y >> 8, y & 255)
-            for s, part in zip(model.sums, parts, strict=True):
-                at = model.sum_base.take(rest) + part
-                flat = s.reshape(-1)
-                start = flat.take(at)
-                coder.code(rest, start, flat.take(at + 1) - start, s[:, 256].take(rest))
-            model.literal(rest, *parts)
-        model.update(n, x, guesses, event)
-        if t % _EVERY == _EVERY - 1:
-            model.refresh()
-    return coder.finish()
-
-
-def decode(blocks: list[bytes], count: int, block: int = BLOCK) -> np.ndarray:
+        model.predict(n)
+        start, freq = model.interval(x)
+        r = size[:n] >> np.uint64(TOTAL_BITS)
+        low[:n] += r * start.astype(np.uint64)
+        size[:n] = r * freq.astype(np.uint64)
+        while len(out := np.flatnonzero(size[:n] >> _BITS32 == 0)):
+            emitted = low[out]
+            words[at[out]] = emitted >> _BITS32
+            at[out] += 1
+            low[out] = (emitted & _MASK32) << _BITS16
+            size[out] <<= _BITS16
+        model.update(x)
+    for _ in range(3):
+        words[at] = low >> _BITS32
+        at += 1
+        low = (low & _MASK32) << _BITS16
+    begin = np.arange(lanes) * width
+    used = at - begin
+    flat = words[np.repeat(begin - (np.cumsum(used) - used), used) + np.arange(used.sum())]
+    while (carry := flat >> np.uint32(16)).any():
+        flat &= np.uint32(0xFFFF)
+        flat[:-1] += carry[1:]
+    return used.astype("<u2").tobytes() + flat.astype("<u2").tobytes()
+
+
+def _decode_block(data: bytes, n_ids: int, alphabet: int) -> np.ndarray:
+    lanes, steps = _shape(n_ids)
+    used = np.frombuffer(data, "<u2", lanes).astype(np.int64)
+    words = np.concatenate([np.frombuffer(data, "<u2", offset=2 * lanes), np.zeros(3, np.uint16)]).astype(np.uint64)
+    at = np.cumsum(used) - used
+    code = words[at] << _BITS32 | words[at + 1] << _BITS16 | words[at + 2]
+    at += 3
+    size = np.full(lanes, 1 << 48, np.uint64)
+    short = n_ids - steps * (lanes - 1)
+    model = _Model(alphabet, lanes)
+    out = np.zeros((steps, lanes), np.int64)
+    for t in range(steps):
+        n = lanes - (t >= short)
+        model.predict(n)
+        r = size[:n] >> np.uint64(TOTAL_BITS)
+        value = np.minimum(code[:n] // r, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int64)
+        x = model.lookup(value)
+        start, freq = model.interval(x)
+        code[:n] -= r * start.astype(np.uint64)
+        size[:n] = r * freq.astype(np.uint64)
+        while len(more := np.flatnonzero(size[:n] >> _BITS32 == 0)):
+            code[more] = code[more] << _BITS16 | words.take(at[more], mode="clip")
+            at[more] += 1
+            size[more] <<= _BITS16
+        model.update(x)
+        out[t, :n] = x
+    return np.ascontiguousarray(out.T).reshape(-1)[:n_ids]
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, list[bytes]]:
+    """(alphabet, blocks): the ids that occur, ascending, and each block of ``block`` ids coded over them."""
+    alphabet, dense = np.unique(ids, return_inverse=True)
+    if len(alphabet) > ALPHABET_LIMIT or block > BLOCK:
+        raise ValueError(f"{len(alphabet)} different ids, blocks of {block}; {ALPHABET_LIMIT} and {BLOCK} are the most")
+    dense = dense.reshape(-1).astype(np.int64) + 1
+    return alphabet, [_encode_block(dense[at : at + block], len(alphabet)) for at in range(0, len(ids), block)]
+
+
+def decode(alphabet: np.ndarray, blocks: list[bytes], count: int, block: int = BLOCK) -> np.ndarray:
     """The ``count`` ids that ``encode`` made these blocks of."""
     if not count:
         return np.zeros(0, np.uint32)
-    lanes = len(blocks)
-    lengths = np.full(lanes, block)
-    lengths[-1] = count - block * (lanes - 1)
-    steps = int(lengths[0])
-    out = np.zeros((block, lanes), np.uint16)
-    model, coder = _Model(lanes), _Decoder(blocks)
-    for t in range(steps):
-        n = _active(lengths, t)
-        guesses, (a, b, c) = model.predict(n)
-        ab = a + b
-        v = coder.value(slice(n), ab + c)
-        event = (v >= a).astype(np.int64) + (v >= ab)
-        start = np.where(event == 0, 0, np.where(event == 1, a, ab)).astype(np.uint32)
-        coder.take(slice(n), start, np.where(event == 0, a, np.where(event == 1, b, c)))
-        x = np.where(event == 0, guesses[0], guesses[1])
-        rest = np.flatnonzero(event == 2)
-        if len(rest):
-            parts = []
-            for s in model.sums:
-                flat, at = s.reshape(-1), model.sum_base.take(rest)
-                first = at.copy()
-                v = coder.value(rest, s[:, 256].take(rest))
-                for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-                    at += bit * (flat.take(at + bit) <= v)
-                start = flat.take(at)
-                coder.take(rest, start, flat.take(at + 1) - start)
-                parts.append(at - first)
-            x[rest] = parts[0] << 8 | parts[1]
-            model.literal(rest, *parts)
-        model.update(n, x, guesses, event)
-        if t % _EVERY == _EVERY - 1:
-            model.refresh()
-        out[t, :n] = x
-    return np.ascontiguousarray(out.T).reshape(-1)[:count].astype(np.uint32)
+    parts = [_decode_block(data, min(block, count - k * block), len(alphabet)) for k, data in enumerate(blocks)]
+    return alphabet.astype(np.uint32)[np.concatenate(parts) - 1]
 
 
 def checksum(data: bytes) -> int:

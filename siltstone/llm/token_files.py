@@ -4,11 +4,12 @@ A file set is a parquet folder of rows (shard, first, n_ids, payload), so any st
 to can hold it. Shards follow each other in ascending document order; ``first`` is where a payload's
 ids begin within its shard. A payload is, little-endian:
 
-    magic "SLT1", version u16, block length u16, documents u32, ids u64, blocks u32
+    magic "SLT1", version u16, block length u32, documents u32, ids u64, blocks u32, alphabet bytes u32
     per document: id i64, null mark u8, number of ids u32 (three arrays)
     per block: bytes u32, crc32 u32 (two arrays)
+    the alphabet: the ids that occur, ascending, as differences u32, deflated
     crc32 of all the above u32
-    the blocks (see rangecoder), each coded from a fresh model
+    the blocks (see rangecoder), each coded from a fresh model over the alphabet
 
 A block that fails its checksum is reported with its place; no other block needs it.
 """
@@ -29,8 +30,8 @@ from siltstone.llm import rangecoder
 from siltstone.llm.common import utf8_rows
 from siltstone.llm.tokens import encoder
 
-MAGIC, VERSION = b"SLT1", 1
-_HEAD = struct.Struct("<4sHHIQI")
+MAGIC, VERSION = b"SLT1", 2
+_HEAD = struct.Struct("<4sHIIQII")
 #: Ids of a payload, about; a document is never cut.
 PAYLOAD_IDS = 1 << 22
 FILE_SCHEMA = "shard int, first long, n_ids long, payload binary"
@@ -42,11 +43,13 @@ class DamagedFile(ValueError):
 
 def dump(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
     """One payload of whole documents; counts: the number of ids of each."""
-    blocks = rangecoder.encode(ids)
-    head = _HEAD.pack(MAGIC, VERSION, rangecoder.BLOCK, len(doc_ids), len(ids), len(blocks))
+    alphabet, blocks = rangecoder.encode(ids)
+    letters = zlib.compress(np.diff(alphabet.astype("<u4"), prepend=np.uint32(0)).astype("<u4").tobytes(), 9)
+    head = _HEAD.pack(MAGIC, VERSION, rangecoder.BLOCK, len(doc_ids), len(ids), len(blocks), len(letters))
     head += np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes()
     head += np.array([x is None for x in doc_ids], "u1").tobytes() + np.array(counts, "<u4").tobytes()
     head += np.array([len(b) for b in blocks], "<u4").tobytes() + np.array([zlib.crc32(b) for b in blocks], "<u4").tobytes()
+    head += letters
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blocks)
 
 
@@ -54,16 +57,17 @@ def load(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc_ids, counts, ids) of a payload, with every checksum verified."""
     if len(payload) < _HEAD.size:
         raise DamagedFile("header cut short")
-    magic, version, block, n_docs, n_ids, n_blocks = _HEAD.unpack_from(payload)
+    magic, version, block, n_docs, n_ids, n_blocks, n_letters = _HEAD.unpack_from(payload)
     if magic != MAGIC or version != VERSION:
         raise DamagedFile(f"not a payload of version {VERSION}")
-    end = _HEAD.size + 13 * n_docs + 8 * n_blocks
+    end = _HEAD.size + 13 * n_docs + 8 * n_blocks + n_letters
     if len(payload) < end + 4 or struct.unpack_from("<I", payload, end)[0] != zlib.crc32(payload[:end]):
         raise DamagedFile("header checksum")
     at, arrays = _HEAD.size, []
     for kind, n in (("<i8", n_docs), ("u1", n_docs), ("<u4", n_docs), ("<u4", n_blocks), ("<u4", n_blocks)):
         arrays.append(np.frombuffer(payload, kind, n, at))
         at += arrays[-1].nbytes
+    alphabet = np.cumsum(np.frombuffer(zlib.decompress(payload[at:end]), "<u4"), dtype=np.uint32)
     numbers, absent, counts, sizes, sums = arrays
     ends = np.cumsum(sizes.astype(np.int64)) + end + 4
     blocks = [payload[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
@@ -71,18 +75,19 @@ def load(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         if zlib.crc32(b) != want:
             raise DamagedFile(f"checksum of block {k}")
     doc_ids = [None if a else int(x) for x, a in zip(numbers, absent, strict=True)]
-    return doc_ids, counts, rangecoder.decode(blocks, n_ids, block)
+    return doc_ids, counts, rangecoder.decode(alphabet, blocks, n_ids, block)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text (null: empty), append ``end_id`` to each, and write the files.
 
-    Order: ascending id, null ids first; rows of equal ids in order of their text. The texts are
-    shuffled once, by range of id; each task streams its rows and holds one payload.
+    Order: ascending id, null ids first; rows of equal ids in order of a hash of their text, then of the
+    text. The texts are shuffled once, by range of id and hash, so that an id that many rows share is
+    dealt to many tasks; each task streams its rows and holds one payload.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard, first = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        shard, first = TaskContext.get().partitionId(), 0
         end = struct.pack("<I", end_id)
         numbers, counts, parts, size = [], [], [], 0
 
@@ -91,21 +96,23 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
             columns = [pa.array([shard], pa.int32()), pa.array([first]), pa.array([len(ids)]), pa.array([dump(numbers, counts, ids)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["shard", "first", "n_ids", "payload"])
 
-        for batch in batches:
-            for number, text in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1)), strict=True):
-                found = words.encode(text) + end
-                numbers.append(number)
-                parts.append(found)
-                counts.append(len(found) // 4)
-                size += counts[-1]
-                if size >= PAYLOAD_IDS:
-                    yield flush()
-                    first += size
-                    numbers, counts, parts, size = [], [], [], 0
+        with encoder(vocabulary) as words:
+            for batch in batches:
+                for number, text in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1)), strict=True):
+                    found = words.encode(text) + end
+                    numbers.append(number)
+                    parts.append(found)
+                    counts.append(len(found) // 4)
+                    size += counts[-1]
+                    if size >= PAYLOAD_IDS:
+                        yield flush()
+                        first += size
+                        numbers, counts, parts, size = [], [], [], 0
         if numbers:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long"), text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text")
     rows.mapInArrow(run, FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 The vocabulary's normaliser and splitter never join text across ASCII white space, so the ids of a
 text are the ids of its white-space words in order. Each distinct word is encoded by the library once
-per worker and then looked up. Words of ASCII and precomposed Latin-1 letters, digits and ASCII marks are
+for as long as the cache holds it, and then looked up. Words of ASCII and precomposed Latin-1 letters, digits and ASCII marks are
 already normal but for their case; their pre-tokens go to the library's model directly. All others (other
 scripts, apostrophes, control characters, special-token strings) go through the library's whole pipeline.
 """
@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-#: Distinct words that a worker keeps; about 200 bytes each.
-CACHE_WORDS = 600_000
+#: Distinct words, and parts of words, that a worker keeps while its task runs; about 200 bytes each.
+CACHE_WORDS = 100_000
 _SIMPLE = re.compile("[!-&(-;=-{}~À-ÖØ-öø-ÿ]+\\Z")
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: Byte-level alphabet: bytes that aren't printable (in Latin-1) stand as characters from 256 on, in their order.
@@ -37,6 +39,10 @@ class WordEncoder:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Release the caches, for what the worker does next."""
+        self.words, self.parts = {}, {}
+
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
@@ -76,6 +82,15 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each vocabulary file and worker."""
+def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
+
+
+@contextmanager
+def encoder(path: str) -> Iterator[WordEncoder]:
+    """The worker's encoder of a vocabulary file; its caches are released at the end."""
+    found = _encoder(path)
+    try:
+        yield found
+    finally:
+        found.forget()

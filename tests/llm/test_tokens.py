@@ -1,15 +1,18 @@
+import os
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet
 import pytest
 from siltstone.llm import packing, rangecoder, token_files
 from siltstone.llm.tokens import WordEncoder
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"
 TEXTS = [
     "The quick brown fox.", None, "", "  \n", "don't I'll we've 'tis a'b's", "Straße ΣΑΣ ΟΔΟΣ. İstanbul É", "a\x1cb\x1fc d e f ̈x", "<|endoftext|> a<|startoftext|>b <|x|>",
     "x\x00y \x7f`~{|}<>", "१२३ 42 4.2e10 ½ ⅷ", "東京 日本語 한국어 😀👍🏽", "word " * 3000, "Zz!?" * 700, "The quick brown fox.",
@@ -37,21 +40,57 @@ def test_a_full_cache_changes_nothing(monkeypatch):
     assert np.frombuffer(words.encode(b"one two three four five one two, six"), "<u4").tolist() == plain("one two three four five one two, six", 0)[:-1]
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 1023, 1024, 1025, 5000])
-@pytest.mark.parametrize("kind", ["random", "skewed", "constant", "edge"])
+def test_random_latin_1_texts_encode_like_the_library():
+    """10,000 texts over U+0000 to U+00FF: words that take the short way and words that don't."""
+    rng, words, whole = random.Random(7), WordEncoder(PATH), Tokenizer.from_file(PATH)
+    often = "abcdefgh ABCéèüÉß0123456789.,:;-_!?'\"\n\t"
+    texts = ["".join(chr(rng.randrange(256)) if rng.random() < 0.3 else rng.choice(often) for _ in range(rng.randint(1, 40))) for _ in range(10_000)]
+    for text, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(words.encode(text.encode()), "<u4").tolist() == want.ids, text
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 255, 1024, 1025, 5000])
+@pytest.mark.parametrize("kind", ["random", "skewed", "constant", "edge", "wide", "phrases"])
 def test_range_coder_round_trip(n, kind):
     rng = np.random.default_rng(n)
-    ids = {"random": rng.integers(0, 1 << 16, n), "skewed": rng.zipf(1.3, n) % (1 << 16), "constant": np.full(n, 7), "edge": rng.choice([0, 65535], n)}[kind]
-    blocks = rangecoder.encode(ids.astype(np.uint32))
-    assert rangecoder.decode(blocks, n).tolist() == ids.tolist()
-    assert all(rangecoder.encode(ids[k * 1024 : (k + 1) * 1024].astype(np.uint32)) == [b] for k, b in enumerate(blocks))
+    phrase = rng.integers(0, 300, 40)
+    ids = {
+        "random": rng.integers(0, 1 << 16, n), "skewed": rng.zipf(1.3, n) % (1 << 16), "constant": np.full(n, 7), "edge": rng.choice([0, 65535], n),
+        "wide": rng.integers(0, 1 << 32, n), "phrases": np.concatenate([phrase[: rng.integers(2, 40)] for _ in range(n + 1)])[:n],
+    }[kind]
+    alphabet, blocks = rangecoder.encode(ids.astype(np.uint32), block=1024)
+    assert rangecoder.decode(alphabet, blocks, n, block=1024).tolist() == ids.tolist()
+    for k, data in enumerate(blocks):  # a block needs no other one
+        assert rangecoder.decode(alphabet, [data], len(ids[k * 1024 : (k + 1) * 1024]), block=1024).tolist() == ids[k * 1024 : (k + 1) * 1024].tolist()
     if kind == "constant" and n >= 1024:
-        assert sum(map(len, blocks)) < n
+        assert sum(map(len, blocks)) < n / 2
+
+
+def test_long_blocks_and_full_counts(monkeypatch):
+    """Several lanes, of which the last is shorter; counts that reach their limit."""
+    rng = np.random.default_rng(1)
+    for n in (70_000, 70_001, 131_072):
+        ids = np.where(rng.random(n) < 0.9, 5, rng.integers(0, 900, n)).astype(np.uint32)
+        alphabet, blocks = rangecoder.encode(ids)
+        assert (rangecoder.decode(alphabet, blocks, n) == ids).all()
+
+
+def test_files_are_smaller_than_deflate_and_than_order_0():
+    rows = pyarrow.parquet.read_table(DOCUMENTS, columns=["text"]) if os.path.exists(DOCUMENTS) else pytest.skip("no test tables here")
+    words = WordEncoder(PATH)
+    ids = np.frombuffer(b"".join(words.encode((x or "").encode()) for x in rows["text"].to_pylist()), "<u4")
+    payload = token_files.dump([1], [len(ids)], ids)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    entropy = -(share * np.log2(share)).sum() * len(ids) / 8
+    assert len(payload) < 0.95 * entropy
+    assert len(payload) < 0.9 * len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+    assert (token_files.load(payload)[2] == ids).all()
 
 
-def test_ids_that_do_not_fit_are_refused():
+def test_an_alphabet_that_is_too_large_is_refused(monkeypatch):
+    monkeypatch.setattr(rangecoder, "ALPHABET_LIMIT", 3)
     with pytest.raises(ValueError):
-        rangecoder.encode(np.array([1 << 16], np.uint32))
+        rangecoder.encode(np.arange(4, dtype=np.uint32))
 
 
 def test_damage_is_found():
@@ -83,6 +122,28 @@ def test_empty_files(spark, documents, tmp_path):
     assert token_files.read_checksums(spark, path).count() == 0
 
 
+ODD = "doc_id long, text string, id string, h long, start string, piece int"
+ODD_ROWS = [(None, "one two"), (None, None), (3, "b a"), (3, "a b"), (3, "a b"), (-2, "z" * 300), (9, "")]
+
+
+def test_null_and_repeated_ids_in_files(spark, tmp_path):
+    docs = spark.createDataFrame([(*r, "x", 1, "y", 2) for r in ODD_ROWS], ODD).repartition(3)
+    path = str(tmp_path / "odd")
+    token_files.write(docs, path, PATH, end_id=1)
+    rows = token_files.read(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None, None, -2, 3, 3, 3, 9]
+    assert sorted(map(str, ((r["doc_id"], list(r["ids"])) for r in rows))) == sorted(map(str, ((i, plain(t, 1)) for i, t in ODD_ROWS)))
+    assert [r["start"] for r in rows] == [sum(r["n_tokens"] for r in rows[:k]) for k in range(len(rows))]
+
+
+def test_null_and_repeated_ids_in_packing(spark):
+    docs = spark.createDataFrame([(*r, "x", 1, "y", 2) for r in ODD_ROWS], ODD).repartition(3)
+    rows = packing.pack_documents(docs, PATH, end_id=0, capacity=16).collect()
+    want = [(i, a, crc(plain(t, 0)[a : a + 16])) for i, t in ODD_ROWS for a in range(0, len(plain(t, 0)), 16)]
+    assert sorted(map(str, ((r["doc_id"], r["start"], r["ids_crc32"]) for r in rows))) == sorted(map(str, want))
+    check_packed(rows, 16)
+
+
 def check_packed(rows, capacity):
     places = defaultdict(list)
     for r in rows:

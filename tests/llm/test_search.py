@@ -65,13 +65,64 @@ def test_fewer_candidates_than_k_and_empty(spark):
     assert H.search(frame(spark, []), F.col("id") % 20 == 0, 20).count() == 0
 
 
-def test_probing_finds_every_code_in_the_ball(spark):
+def coder_of(piece, flips=0, radius=10**6):
+    return H.Coder(np.zeros((1, 1)), 1.0, piece, flips, radius)
+
+
+def retrieved(own, theirs, coder, flips):
+    """{(query, entry): bits}, over all tables and ranges; each pair once."""
+    found = {}
+    for table in range(H.TABLES):
+        leads = theirs[:, table] >> np.uint32(coder.piece - coder.lead)
+        for lead in np.unique(leads):
+            rows = np.flatnonzero(leads == lead)
+            rows = rows[np.argsort(theirs[rows, table], kind="stable")]
+            for a, b, bits in H.to_score(own, theirs[rows], table, int(lead), coder, flips):
+                for q, x, n in zip(a.tolist(), rows[b].tolist(), bits.tolist(), strict=True):
+                    assert (q, x) not in found
+                    found[q, x] = n
+    return found
+
+
+@pytest.mark.parametrize("piece", [10, 13, 16])
+@pytest.mark.parametrize("flips", [0, 1, 3])
+def test_probing_retrieves_what_a_substring_is_near_to(piece, flips):
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 2, (40, H.BITS))
-    flips = np.array([rng.permutation(H.BITS) < n for n in rng.integers(0, 45, 40)])
-    codes = [np.packbits(b, axis=1, bitorder="little").view("<i8") for b in (base, base ^ flips)]
-    columns = "c0 long, c1 long, c2 long, c3 long"
-    q, x = (spark.createDataFrame([(k, *map(int, c)) for k, c in enumerate(cs)], f"{n} long, {columns}") for n, cs in zip("qx", codes, strict=True))
-    got = {(r["q"], r["x"]): r["bits"] for r in H.probed_pairs(q, x).collect()}
-    all_bits = H.distances(codes[0].view(np.uint64), codes[1].view(np.uint64))
-    assert got == {(int(a), int(b)): int(all_bits[a, b]) for a, b in zip(*np.nonzero(all_bits <= H.PROBED), strict=True)}
+    base = rng.integers(0, 1 << piece, (60, H.TABLES), dtype=np.uint32)
+    noise = (rng.random((60, H.TABLES, piece)) < 0.2) << np.arange(piece)
+    theirs = np.concatenate([base ^ noise.sum(axis=2).astype(np.uint32), np.tile(base[:1], (3000, 1))])
+    got = retrieved(base, theirs, coder_of(piece), flips)
+    apart = np.bitwise_count(base[:, None] ^ theirs)
+    want = {(int(a), int(b)): int(apart[a, b].sum()) for a, b in zip(*np.nonzero((apart <= flips).any(axis=2)), strict=True)}
+    assert got == want
+    sure = apart.sum(axis=2) < H.TABLES * (flips + 1)  # the pigeonhole rule
+    assert all((int(a), int(b)) in got for a, b in zip(*np.nonzero(sure), strict=True))
+
+
+def test_floats_are_scored_for_few_pairs_and_recall_is_that_of_the_tables():
+    """On vectors without near neighbours: the tables supply the answers, and few pairs are scored."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12_000, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    coder = H.fit(x[:8000], 1.0, len(x), 20)
+    asked = np.arange(0, len(x), 400)
+    found = retrieved(coder.pieces(x[asked], True), coder.pieces(x, False), coder, coder.flips)
+    assert len(found) < 0.06 * len(asked) * len(x)
+    top = np.argsort(-(x[asked] @ x.T), axis=1)[:, 1:21]
+    assert np.mean([(q, int(n)) in found for q, row in enumerate(top) for n in row]) >= 0.9
+
+
+def test_ranges_are_split_and_short_queries_see_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1, 16)) + rng.normal(size=(300, 16)) * 0.01, rng.normal(size=(60, 16))])
+    rows = list(enumerate(x.astype(np.float32).tolist()))
+    want = brute(rows, 20)
+    monkeypatch.setattr(H, "BLOCK", 50)
+    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
+    got = result(H.search(frame(spark, rows), F.col("id") % 20 == 0, 20))
+    assert {q: len(v) for q, v in got.items()} == {q: 20 for q in want}
+    assert sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+    real = H.fit
+    monkeypatch.setattr(H, "fit", lambda *a: H.Coder(real(*a).rotation, real(*a).largest, real(*a).piece, 0, 0))  # probing finds next to nothing
+    got = result(H.search(frame(spark, rows), F.col("id") % 20 == 0, 20))
+    assert {q: [i for _, i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}

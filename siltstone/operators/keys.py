@@ -2,35 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Up to this many rows are numbered by one task.
-SINGLE_TASK_ROWS = 1_000_000
-_PER_BUCKET = 64
+from siltstone.plans.shared import checkpointed
 
+#: A row's number within its partition is in the low bits of ``monotonically_increasing_id``.
+_PLACE_BITS = 33
 
-def numbered(df: DataFrame, order: list[str], name: str, after: int = 0, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+
+def numbered(df: DataFrame, order: list[str], name: str, after: int = 0) -> DataFrame:
     """df with ``name`` = after + 1, after + 2, ... by ``order``, which must be unique.
 
-    Larger tables are cut at splitters from a sample; each range is numbered on its own and shifted by
-    the rows of the ranges before it, so no task sees more than about its share.
+    The rows are dealt to tasks by range and sorted there, and that is stored, once: so no task sees more
+    than its share, nothing is computed twice, and a lost executor can't number rows anew. The
+    partitions' sizes (a number for each) then say where each one begins. Storing runs when this is called.
     """
-    rows = df.count()
-    if rows <= single_task_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") + after)
-    buckets = -(-rows // single_task_rows) * 4
-    sample = df.select(*order).sample(min(1.0, buckets * _PER_BUCKET / rows), seed=1).orderBy(*order).collect()
-    splitters = sample[_PER_BUCKET::_PER_BUCKET]
-    key = F.struct(*order)
-    schema = df.select(key.alias("k")).schema["k"].dataType.simpleString()
-    bounds = F.array(*(F.struct(*(F.lit(v) for v in s)).cast(schema) for s in splitters)).cast(f"array<{schema}>")
-    ranged = df.withColumn("__range", F.size(F.filter(bounds, lambda b: b < key)))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    out = ranged.withColumn(name, inner).join(F.broadcast(counts), "__range")  # a row for each range
-    return out.withColumn(name, F.col(name) + F.col("__before") + after).select(*df.columns, name)
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = checkpointed(ranged.withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftright("__place", _PLACE_BITS)
+    sizes = sorted(placed.groupBy(part.alias("part")).count().collect())
+    begin, rows = after + 1, []
+    for p, n in sizes:
+        rows.append((p, begin))
+        begin += n
+    begins = spark.createDataFrame(rows, "__part long, __begin long")
+    within = F.col("__place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    out = placed.withColumn("__part", part).join(F.broadcast(begins), "__part")  # a row for each partition
+    return out.withColumn(name, F.col("__begin") + within).select(*df.columns, name)
 
 
 def greatest_key(table: DataFrame | None, name: str) -> int:

@@ -1,47 +1,28 @@
-"""Expression templates: numbered arguments and nested macros, expanded to one Spark SQL expression."""
+"""Expression templates: numbered arguments, and macros that are Spark SQL functions of the session."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _day(x: str) -> str:
-    return f"to_date(try_to_timestamp(lpad(cast({x} as string), 8, '0'), 'yyyyMMdd'))"
-
-
-def _moment(d: str, t: str) -> str:
-    return f"try_to_timestamp(concat(lpad(cast({d} as string), 8, '0'), ' ', lpad(cast({t} as string), 8, '0')), 'yyyyMMdd HHmmssSS')"
-
-
-MACROS: dict[str, Callable[..., str]] = {
-    "dv_concat": lambda *parts: f"concat({', '.join(parts)})",
-    "dv_int_to_date": _day,
-    "dv_int_to_datetime": _moment,
-    "dv_int_to_string": lambda x: f"cast({x} as string)",
+#: Signature and body of each macro. Spark parses and nests them; ``dv_concat`` is Spark's ``concat``, as it takes any number of arguments.
+MACROS = {
+    "dv_int_to_date": ("(x BIGINT) RETURNS DATE", "to_date(try_to_timestamp(lpad(cast(x as string), 8, '0'), 'yyyyMMdd'))"),
+    "dv_int_to_datetime": ("(d BIGINT, t BIGINT) RETURNS TIMESTAMP", "try_to_timestamp(concat(lpad(cast(d as string), 8, '0'), ' ', lpad(cast(t as string), 8, '0')), 'yyyyMMdd HHmmssSS')"),
+    "dv_int_to_string": ("(x BIGINT) RETURNS STRING", "cast(x as string)"),
 }
-_INNERMOST = re.compile(r"\b(dv_\w+)\(((?:[^()']|'[^']*')*)\)")
 
 
-def arguments(text: str) -> list[str]:
-    """Split at commas outside of parentheses and quotes."""
-    out, depth, quoted, part = [], 0, False, ""
-    for c in text:
-        quoted ^= c == "'"
-        depth += 0 if quoted else (c == "(") - (c == ")")
-        if c == "," and not depth and not quoted:
-            out.append(part.strip())
-            part = ""
-        else:
-            part += c
-    return [*out, part.strip()] if part.strip() or out else []
+def register(spark: SparkSession) -> None:
+    """Make the macros temporary functions of the session."""
+    for name, (signature, body) in MACROS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{signature} RETURN {body}")
 
 
-def expand(template: str, args: list[str], macros: dict[str, Callable[..., str]] = MACROS) -> str:
-    """``##n`` becomes the n-th argument, macros are expanded innermost first, ``#`` becomes a quote."""
+def expand(template: str, args: list[str]) -> str:
+    """``##n`` becomes the n-th argument and ``#`` a quote; what is left is a Spark SQL expression."""
 
     def argument(m: re.Match) -> str:
         n = int(m[1])
@@ -49,22 +30,16 @@ def expand(template: str, args: list[str], macros: dict[str, Callable[..., str]]
             raise ValueError(f"argument {n} of {len(args)}")
         return args[n - 1]
 
-    text, held = re.sub(r"##(\d+)", argument, template).replace("#", "'"), []
-    while m := _INNERMOST.search(text):
-        if m[1] not in macros:
-            raise ValueError(f"unknown macro {m[1]}")
-        inner = m[2]
-        for k in range(len(held) - 1, -1, -1):
-            inner = inner.replace(f"\0{k}\0", held[k])
-        held.append(macros[m[1]](*arguments(inner)))
-        text = f"{text[: m.start()]}\0{len(held) - 1}\0{text[m.end() :]}"
-    for k in range(len(held) - 1, -1, -1):
-        text = text.replace(f"\0{k}\0", held[k])
-    return text
+    text = re.sub(r"##(\d+)", argument, template).replace("#", "'")
+    if unknown := set(re.findall(r"\b(dv_\w+)\(", text)) - set(MACROS) - {"dv_concat"}:
+        raise ValueError(f"unknown macros {sorted(unknown)}")
+    return re.sub(r"\bdv_concat\(", "concat(", text)
 
 
 def computed(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     """Add expressions in order; a later one may use those before it."""
+    if columns:
+        register(df.sparkSession)
     for name, expression in columns:
         df = df.withColumn(name, F.expr(expression))
     return df

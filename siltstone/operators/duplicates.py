@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: The message of journal entries about rows set aside.
+REMOVED = "Duplicate Key Removed"
+
+
 class DuplicateKeys(ValueError):
     """More duplicated rows than the threshold allows."""
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.naming import IS_CURRENT, IS_TOMBSTONE, LOAD_TIME, RECORD_SOURCE
+from siltstone.operators.temporal import point_in_time
 
 
 def by_record_source(table: DataFrame, sources: DataFrame | None = None, until: Column | None = None) -> DataFrame:
@@ -29,25 +33,48 @@ def satellite_counts(table: DataFrame) -> DataFrame:
 def column_profile(table: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each column: least and greatest as text, distinct values, nulls, blanks, text lengths.
 
-    Statistics that don't apply to a type are 0 (least and greatest: null). Everything but the distinct
-    counts comes from one pass; those share one expansion of the rows.
+    Statistics that don't apply to a type are 0 (least and greatest: null). The columns are unpivoted, one
+    field for each of their types, and (column, value) is counted, combined map-side; everything else
+    comes from the distinct values.
     """
     kinds = {c: table.schema[c].dataType for c in columns}
-    parts = []
-    for c in columns:
-        text, ordered = isinstance(kinds[c], T.StringType), not isinstance(kinds[c], T.BinaryType | T.ArrayType | T.StructType)
-        length = F.length(F.rtrim(F.col(c)))
-        parts.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                (F.min(c).cast("string") if ordered else F.lit(None).cast("string")).alias("least"),
-                (F.max(c).cast("string") if ordered else F.lit(None).cast("string")).alias("greatest"),
-                F.count_distinct(F.col(c)).alias("domain"),
-                F.count_if(F.col(c).isNull()).alias("nulls"),
-                (F.count_if(F.trim(F.col(c)) == "") if text else F.lit(0).cast("long")).alias("blanks"),
-                (F.coalesce(F.min(length), F.lit(0)) if text else F.lit(0)).cast("long").alias("least_length"),
-                (F.coalesce(F.max(length), F.lit(0)) if text else F.lit(0)).cast("long").alias("greatest_length"),
-            ).alias(c)
-        )
-    one = table.agg(*parts)
-    return one.select(F.inline(F.array(*(F.col(f"`{c}`") for c in columns))))
+    types = list(dict.fromkeys(kinds.values()))
+    fields = [f"v{k}" for k in range(len(types))]
+    cell = lambda c: F.struct(F.lit(c).alias("column_name"), *(F.col(c).alias(f) if kinds[c] == t else F.lit(None).cast(t).alias(f) for f, t in zip(fields, types, strict=True)))
+    counted = table.select(F.inline(F.array(*(cell(c) for c in columns)))).groupBy("column_name", *fields).agg(F.count("*").alias("n"))
+    present = reduce(lambda a, b: a | b, (F.col(f).isNotNull() for f in fields))
+    aggregates = [F.count_if(present).alias("domain"), F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("nulls")]
+    no_text = F.lit(None).cast("string")
+    least, greatest, blanks, shortest, longest = [no_text], [no_text], [F.lit(0).cast("long")], [F.lit(0)], [F.lit(0)]
+    for f, t in zip(fields, types, strict=True):
+        if not isinstance(t, T.BinaryType | T.ArrayType | T.StructType):
+            aggregates += [F.min(f).alias(f"{f}_least"), F.max(f).alias(f"{f}_greatest")]
+            least.insert(0, F.col(f"{f}_least").cast("string"))
+            greatest.insert(0, F.col(f"{f}_greatest").cast("string"))
+        if isinstance(t, T.StringType):
+            length = F.length(F.rtrim(F.col(f)))
+            aggregates += [F.sum(F.when(F.trim(F.col(f)) == "", F.col("n"))).alias(f"{f}_blanks"), F.min(length).alias(f"{f}_shortest"), F.max(length).alias(f"{f}_longest")]
+            blanks.insert(0, F.col(f"{f}_blanks"))
+            shortest.insert(0, F.col(f"{f}_shortest"))
+            longest.insert(0, F.col(f"{f}_longest"))
+    found = counted.groupBy("column_name").agg(*aggregates)
+    return found.select(
+        "column_name",
+        F.coalesce(*least).alias("least"),
+        F.coalesce(*greatest).alias("greatest"),
+        "domain",
+        "nulls",
+        F.coalesce(*blanks).alias("blanks"),
+        F.coalesce(*shortest).cast("long").alias("least_length"),
+        F.coalesce(*longest).cast("long").alias("greatest_length"),
+    )
+
+
+def satellite_profile(table: DataFrame, columns: list[str], at: datetime | None = None) -> DataFrame:
+    """``column_profile`` of the versions of a satellite that are valid at a time (now: the current ones), without tombstones."""
+    return column_profile(point_in_time(table, at), columns)
+
+
+def profiled_today(key: int, day: date, run_type: str = "Weekly", only: int = 0) -> bool:
+    """Whether a satellite's columns are profiled: each on one day of the week, all on a full run, one alone if it is named."""
+    return key == only if only else run_type == "Full" or key % 7 == day.isoweekday() % 7

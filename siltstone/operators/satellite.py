@@ -47,61 +47,58 @@ def _source_time(source: DataFrame, version_date: datetime) -> Column:
     return F.col(SOURCE_TIME).cast("timestamp_ntz") if SOURCE_TIME in source.columns else _time(version_date)
 
 
-@dataclass(frozen=True)
-class Merge:
-    """current: the key's current versions after the load; history: rows that ended in it, to append."""
-
-    current: DataFrame
-    history: DataFrame
-
-    def whole(self, before: DataFrame) -> DataFrame:
-        """The satellite after the load: what had ended before stays as it is."""
-        return before.where(~F.col(IS_CURRENT)).unionByName(self.history).unionByName(self.current)
-
-
-def merge(sat: Satellite, table: DataFrame, source: DataFrame, version_date: datetime, record_source: str, infer_deletes: bool) -> Merge:
-    """Load one row for each key: changed keys get a new version, new keys a first one.
+def merge(sat: Satellite, table: DataFrame, source: DataFrame, version_date: datetime, record_source: str, infer_deletes: bool) -> DataFrame:
+    """The rows of ``table`` after a load of one row for each key: changed keys get a new version, new keys a first one.
 
     ``infer_deletes`` (a full run of a source that isn't a delta): current keys that the source lacks are
     closed and get a tombstone with null payload. Keys that come back after a tombstone are new. A version
     closes at the version date, or a millisecond after its start if that is later.
 
-    One full outer join of the current rows and the source finds all cases, so both are shuffled once.
+    One full outer join with the source finds all cases, and every row of the result comes from it: rows
+    that have ended match nothing and pass. A caller that keeps current rows apart gives only those, and
+    gets the new current rows and the rows that ended in this load.
     """
-    keys, payload = list(sat.keys), list(sat.payload)
-    own = table.where(F.col(IS_CURRENT)).select(*keys, F.struct(*[c for c in sat.columns if c not in keys]).alias("was"))
-    new = source.select(*keys, F.struct(_source_time(source, version_date).alias(SOURCE_TIME), *payload).alias("new"))
-    both = own.join(new, keys, "full_outer")
+    keys, payload, kinds = list(sat.keys), list(sat.payload), {f.name: f.dataType for f in table.schema}
+    others = [c for c in sat.columns if c not in keys]
+    own = table.select(*keys, IS_CURRENT, F.struct(*[c for c in others if c != IS_CURRENT]).alias("was"))
+    typed = [F.col(p) if source.schema[p].dataType == kinds[p] else F.col(p).cast(kinds[p]).alias(p) for p in payload]
+    new = source.select(*keys, F.lit(True).alias(IS_CURRENT), F.struct(_source_time(source, version_date).alias(SOURCE_TIME), *typed).alias("new"))
+    both = own.join(new, [*keys, IS_CURRENT], "full_outer")
     same = F.struct(*(F.col(f"was.{p}") for p in payload)).eqNullSafe(F.struct(*(F.col(f"new.{p}") for p in payload)))
-    gone = F.col("new").isNull()
     close = F.greatest(_time(version_date), F.timestamp_add("MILLISECOND", F.lit(1), F.col(f"was.{START}")))
-    state = (
-        F.when(F.col("was").isNull(), "insert")
-        .when(gone, "delete" if infer_deletes else "keep")
-        .when(same, "keep")
-        .otherwise("change")
-    )
-    judged = both.select(*keys, "was", "new", state.alias("state"), close.alias("close"))
-    kept = judged.where("state = 'keep'").select(*keys, "was.*").select(*sat.columns)
-    start = F.when(F.col("state") == "insert", _time(version_date)).otherwise(F.col("close"))
-    opened = judged.where("state in ('insert', 'change')").select(
-        *_version(sat, start, _time(HIGH_DATE), True, False, record_source, F.col(f"new.{SOURCE_TIME}"), [F.col(f"new.{p}") for p in payload])
+
+    def version(time: Column, source_name: Column, current: Column | bool, tombstone: Column | bool, start: Column, end: Column, values: list[Column]) -> Column:
+        flags = [F.lit(current) if isinstance(current, bool) else current, F.lit(tombstone) if isinstance(tombstone, bool) else tombstone]
+        fixed = dict(zip((SOURCE_TIME, RECORD_SOURCE, IS_CURRENT, IS_TOMBSTONE, START, END), (time, source_name, *flags, start, end), strict=True))
+        return F.struct(*(c.alias(n) for n, c in (fixed | dict(zip(payload, values, strict=True))).items()))
+
+    was = lambda c: F.col(f"was.{c}")
+    own_values, new_values = ([F.col(f"{side}.{p}") for p in payload] for side in ("was", "new"))
+    kept = version(was(SOURCE_TIME), was(RECORD_SOURCE), F.col(IS_CURRENT), was(IS_TOMBSTONE), was(START), was(END), own_values)
+    closed = version(was(SOURCE_TIME), was(RECORD_SOURCE), False, was(IS_TOMBSTONE), was(START), close, own_values)
+    opened = lambda start: version(F.col(f"new.{SOURCE_TIME}"), F.lit(record_source), True, False, start, _time(HIGH_DATE), new_values)
+    absent = [F.lit(None).cast(kinds[p]) for p in payload]
+    tombstone = version(_time(version_date), F.lit(record_source), False, True, close, close, absent)
+    gone = F.array(closed, tombstone) if infer_deletes else F.array(kept)
+    rows = (
+        F.when(F.col("was").isNull(), F.array(opened(_time(version_date))))
+        .when(~F.col(IS_CURRENT), F.array(kept))
+        .when(F.col("new").isNull(), gone)
+        .when(same, F.array(kept))
+        .otherwise(F.array(closed, opened(close)))
     )
-    ended = judged.where("state in ('change', 'delete')")
-    closed = ended.select(*keys, "was.*", "close").withColumns({IS_CURRENT: F.lit(False), END: F.col("close")}).select(*sat.columns)
-    absent = [F.lit(None).cast(table.schema[p].dataType) for p in payload]
-    tombstones = ended.where("state = 'delete'").select(*_version(sat, F.col("close"), F.col("close"), False, True, record_source, _time(version_date), absent))
-    return Merge(kept.unionByName(opened), closed.unionByName(tombstones))
+    return both.select(*keys, F.inline(rows)).select(*sat.columns)
 
 
-def replay(sat: Satellite, table: DataFrame, changes: DataFrame, order: list[str], version_date: datetime, record_source: str, action: str = "dv_cdc_action") -> Merge:
-    """Load several changes for each key in the order given, at once.
+def replay(sat: Satellite, table: DataFrame, changes: DataFrame, order: list[str], version_date: datetime, record_source: str, action: str = "dv_cdc_action") -> DataFrame:
+    """The rows of ``table`` after several changes for each key, loaded in the order given, at once.
 
     ``action`` is ``D`` for a delete, anything else an upsert. A change that leaves the state as it is
     (an equal payload, a delete of what isn't there) is dropped; as a dropped change carries the state of
     the one before, one look back is enough. Change i of a key starts i microseconds after the version
     date. Deletes keep their staged payload in the tombstone. Current rows and changes are shuffled once, by
-    key, and sorted there; keys without a change pass through.
+    key, and sorted there, so the changes of one key meet in one task, as replaying them in order asks for;
+    keys without a change and rows that have ended pass through.
     """
     keys, payload = list(sat.keys), list(sat.payload)
     own = table.where(F.col(IS_CURRENT))
@@ -130,7 +127,7 @@ def replay(sat: Satellite, table: DataFrame, changes: DataFrame, order: list[str
         end.alias(END),
         *payload,
     )
-    return Merge(rows.where(F.col(IS_CURRENT)), rows.where(~F.col(IS_CURRENT)))
+    return rows.unionByName(table.where(~F.col(IS_CURRENT)).select(*sat.columns))
 
 
 def duplicate_versions(sat: Satellite, table: DataFrame) -> DataFrame:

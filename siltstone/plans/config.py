@@ -6,15 +6,19 @@ import dataclasses
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from siltstone.functions.naming import next_abbreviation
 from siltstone.functions.types import ColumnDef
 from siltstone.sources.stage import LOAD_TYPES, Source
 
 
 @dataclass(frozen=True)
 class HubConfig:
+    """types: declared types of keys that aren't strings, for a hub that is created before its first load."""
+
     name: str
     keys: tuple[str, ...]
     release: int = 0
+    types: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -37,6 +41,7 @@ class SatelliteConfig:
     computed: tuple[tuple[str, str], ...] = ()
     duplicate_threshold: int = 0
     release: int = 0
+    abbreviation: str | None = None
 
 
 @dataclass(frozen=True)
@@ -55,11 +60,75 @@ class SourceConfig:
         return self.source.name
 
 
+@dataclass(frozen=True)
+class MatchConfig:
+    """A comparison of two objects, each (kind, name); columns: (left, right) names that are compared."""
+
+    name: str
+    left: tuple[str, str]
+    right: tuple[str, str]
+    columns: tuple[tuple[str, str], ...]
+    release: int = 0
+
+
+@dataclass(frozen=True)
+class ConnectionConfig:
+    """Where sources are read from: a format and its reader options. Passwords are no part of it."""
+
+    name: str
+    format: str = "parquet"
+    options: dict[str, str] = field(default_factory=dict)
+    release: int = 0
+
+
+@dataclass(frozen=True)
+class SystemConfig:
+    """A source system: what its feeds have in common."""
+
+    name: str
+    connection: str | None = None
+    time_zone: str = "UTC"
+    release: int = 0
+
+
+@dataclass(frozen=True)
+class VersionConfig:
+    """A version of a source: from when it holds, and which one is in use."""
+
+    name: str
+    source: str
+    number: int
+    active: bool = True
+    release: int = 0
+
+
+@dataclass(frozen=True)
+class FunctionConfig:
+    """A named expression template for computed columns."""
+
+    name: str
+    template: str
+    release: int = 0
+
+
+@dataclass(frozen=True)
+class DefaultConfig:
+    """A default value, by its name."""
+
+    name: str
+    value: str
+    release: int = 0
+
+
 class ConfigError(ValueError):
     """A configuration that can't be loaded."""
 
 
-KINDS = {"hub": HubConfig, "link": LinkConfig, "satellite": SatelliteConfig, "source": SourceConfig}
+#: Kinds of rows; what others depend on comes first.
+KINDS = {
+    "default": DefaultConfig, "function": FunctionConfig, "connection": ConnectionConfig, "system": SystemConfig, "hub": HubConfig, "link": LinkConfig,
+    "satellite": SatelliteConfig, "source": SourceConfig, "version": VersionConfig, "match": MatchConfig,
+}
 
 
 @dataclass
@@ -67,6 +136,7 @@ class Registry:
     """All configuration rows, by kind and name."""
 
     releases: set[int] = field(default_factory=lambda: {0})
+    builds: dict[int, int] = field(default_factory=dict)
     rows: dict[str, dict[str, object]] = field(default_factory=lambda: {k: {} for k in KINDS})
 
     def insert(self, kind: str, row) -> object:
@@ -100,9 +170,40 @@ class Registry:
 
     def empty(self) -> None:
         """Delete every row, those that others depend on last."""
-        for kind in ("source", "satellite", "link", "hub"):
+        for kind in reversed(KINDS):
             self.rows[kind].clear()
 
+    def move_all(self, release: int) -> None:
+        """Every row becomes one of this release."""
+        for kind, rows in self.rows.items():
+            for name in list(rows):
+                self.move(kind, name, release)
+
+    def recreate_satellite(self, name: str, stage: list[ColumnDef], **changes) -> SatelliteConfig:
+        """The satellite anew, with the columns that its stage has now and the next abbreviation."""
+        old: SatelliteConfig = self.get("satellite", name)
+        last = max((s.abbreviation for s in self.rows["satellite"].values() if s.abbreviation), default=None)
+        gone = [c for c in old.columns if c not in {d.name for d in stage}]
+        kept = {c: dataclasses.replace(old.columns[c], retired=True) for c in gone}
+        self.rows["satellite"][name] = dataclasses.replace(old, columns=satellite_columns(stage) | kept, abbreviation=next_abbreviation(last), **changes)
+        return self.rows["satellite"][name]
+
+    def matches(self) -> list[dict[str, str]]:
+        """Every compared column of every match, with the names that both sides have."""
+        return [
+            {"match": m.name, "left_kind": m.left[0], "left_object": m.left[1], "left_column": a, "right_kind": m.right[0], "right_object": m.right[1], "right_column": b}
+            for m in self.rows["match"].values() for a, b in m.columns
+        ]
+
+    def stages(self) -> list[dict[str, str | None]]:
+        """The sources whose version is in use, or that have no versions, with kind and place."""
+        retired = {v.source for v in self.rows["version"].values()} - {v.source for v in self.rows["version"].values() if v.active}
+        return [{"source": n, "load_type": s.source.load_type, "kind": s.source.kind, "path": s.source.path} for n, s in sorted(self.rows["source"].items()) if n not in retired]
+
+    def default(self, name: str, otherwise: str | None = None) -> str | None:
+        found = self.rows["default"].get(name)
+        return found.value if found else otherwise
+
     def check(self, name: str) -> SourceConfig:
         """A source may feed one link at most; without a link it feeds one hub; everything must exist."""
         found: SourceConfig = self.get("source", name)

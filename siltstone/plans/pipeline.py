@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.macros import computed
-from siltstone.functions.naming import CDC_ACTION, IS_CURRENT, SOURCE_TIME, key_name, object_name
+from siltstone.functions.naming import CDC_ACTION, END, IS_CURRENT, SOURCE_TIME, START, key_name, object_name
 from siltstone.functions.types import spark_type
-from siltstone.operators import duplicates, hub, link, lookup, satellite
-from siltstone.plans.config import Registry, SatelliteConfig, SourceConfig
-from siltstone.plans.state import TASK_SCHEMA, Log
+from siltstone.operators import compare, duplicates, hub, link, lookup, satellite, temporal
+from siltstone.plans.config import ConfigError, HubConfig, LinkConfig, MatchConfig, Registry, SatelliteConfig, SourceConfig
+from siltstone.plans.state import JOURNAL_SCHEMA, TASK_SCHEMA, Journal, Log, last_mark
 from siltstone.plans.store import Table
-from siltstone.sources.stage import stage
+from siltstone.sources.stage import high_water, read, stage
+
+
+class NotUnique(ValueError):
+    """A hub or link that holds a key more than once."""
 
 
 @dataclass
@@ -27,47 +31,125 @@ class Vault:
     registry: Registry = field(default_factory=Registry)
 
     def table(self, kind: str, name: str) -> Table:
-        return Table(self.spark, self.root, f"{kind}/{object_name(kind, name)}")
+        keys = ()
+        if kind == "sat":
+            s: SatelliteConfig = self.registry.get("satellite", name)
+            keys = (key_name(s.parent_kind, s.parent),)
+        return Table(self.spark, self.root, f"{kind}/{object_name(kind, name)}", keys)
 
     @property
     def states(self) -> Log:
         return Log(self.spark, f"{self.root}/task_state", TASK_SCHEMA)
 
+    @property
+    def journal(self) -> Journal:
+        return Journal(Log(self.spark, f"{self.root}/journal", JOURNAL_SCHEMA))
+
+    def create(self, kind: str, name: str) -> Table:
+        """An empty hub, link or satellite by its declared columns; one that exists stays as it is."""
+        table = self.table(kind, name)
+        if table.latest() is None:
+            empty = {"hub": empty_hub, "link": empty_link, "sat": empty_satellite}[kind]
+            table.commit(empty(self.spark, self.registry.get("satellite" if kind == "sat" else kind, name)), IS_CURRENT if kind == "sat" else None)
+        return table
+
+    def check_unique(self, kind: str, name: str) -> None:
+        """A hub must hold each business key once, a link each combination of roles, a satellite each start of a key."""
+        config = self.registry.get("satellite" if kind == "sat" else kind, name)
+        keys = {"hub": lambda: list(config.keys), "link": lambda: [key_name("hub", r) for r in config.roles], "sat": lambda: [key_name(config.parent_kind, config.parent), START, END]}[kind]()
+        rows = self.table(kind, name).read()
+        found = [] if rows is None else duplicates.duplicate_keys(rows, keys).limit(1).collect()
+        if found:
+            raise NotUnique(f"{object_name(kind, name)}: {found[0].asDict()}")
+
+    def read_object(self, kind: str, name: str, at: datetime | None = None) -> DataFrame:
+        """One side of a comparison: a hub, a link with the business keys of its hubs, a satellite at a time, or a staged source."""
+        if kind == "stage":
+            return read(self.spark, self.registry.get("source", name).source, "Full")
+        rows = self.table(kind, name).read()
+        if rows is None:
+            raise ConfigError(f"{object_name(kind, name)} was never loaded")
+        if kind == "sat":
+            return temporal.point_in_time(rows, at)
+        if kind == "link":
+            roles = self.registry.get("link", name).roles
+            hubs = {key_name("hub", r): (self.table("hub", h).read(), key_name("hub", h), list(self.registry.get("hub", h).keys)) for r, h in roles.items()}
+            return compare.link_business_keys(rows, hubs)
+        return rows
+
+    def compared(self, match: str, at: datetime | None = None) -> DataFrame:
+        """What only one side of a configured match has."""
+        m: MatchConfig = self.registry.get("match", match)
+        sides = [self.read_object(kind, name, at) for kind, name in (m.left, m.right)]
+        return compare.left_right(*sides, list(m.columns), (object_name(*m.left), object_name(*m.right)))
+
     def load(self, name: str, run_type: str, at: datetime, run: int = 0, after=None, until=None) -> dict[str, int]:
-        """Load a source; every target commits on its own, and a failed load can be repeated."""
+        """Load a source; every target commits on its own, and a failed load can be repeated.
+
+        A delta of a source with a sequence goes on after the mark of the last load of its satellites (else
+        of its stage) if ``after`` isn't given; the mark it reaches is noted with the state of every
+        target, and it is an error if there is none. What is set aside as duplicate, and how the load ends,
+        goes to the journal.
+        """
+        with self.journal.guarded(at, run, name):
+            return self._load(name, run_type, at, run, after, until)
+
+    def _load(self, name: str, run_type: str, at: datetime, run: int, after, until) -> dict[str, int]:
         config = self.registry.check(name)
+        source = config.source
+        if source.kind == "match":
+            source = replace(source, kind="callable", reader=lambda s, r: self.compared(source.match, at))
         keys = [c for columns in config.hub_columns.values() for c in columns]
-        rows = stage(self.spark, config.source, run_type, at, after, until, keys).persist()
+        delta = run_type == "Delta" and source.load_type != "Full"
+        last = self.states.read()
+        if delta and source.sequence and after is None:
+            after = last_mark(last, name)
+            after = None if after is None else F.lit(after).cast(read(self.spark, source, run_type).schema[source.sequence].dataType)
+        rows = stage(self.spark, source, run_type, at, after, until, keys).persist()
         counts = {}
         try:
+            mark = None
+            if source.sequence:
+                reached = F.lit(until) if until is not None else F.max(source.sequence)
+                marked = rows.agg(reached.cast("string").alias("mark"), F.count("*").alias("n")).where("n > 0 or mark is not null")
+                mark = high_water(marked, "mark", last, name)
+                if delta and mark is None:
+                    raise ValueError(f"{name}: a delta without a high-water mark")
+            counts[name] = rows.count()
+            feeds: dict[str, list[dict[str, str]]] = {}
             for role, columns in config.hub_columns.items():
-                counts |= self._hub(config, rows, role, columns, at)
+                feeds.setdefault(self._hub_of(config, role), []).append(columns)
+            for hub_name, columns in feeds.items():
+                counts |= self._hub(config, rows, hub_name, columns, at)
             looked_up = self._lookup(config, rows)
             if config.link:
                 counts |= self._link(config, looked_up, at)
                 looked_up = self._link_lookup(config, looked_up)
-            for s in config.satellites:
-                counts |= self._satellite(config, looked_up, s, run_type, at)
+            looked_up = looked_up.persist()  # every satellite reads it
+            try:
+                for s in config.satellites:
+                    counts |= self._satellite(config, looked_up, s, run_type, at, run)
+            finally:
+                looked_up.unpersist()
         finally:
             rows.unpersist()
-        mark = None if until is None else str(until)
-        self.states.append([(name, o, o.split("_")[0], run, n, mark, at, datetime.now()) for o, n in counts.items()])
+        kinds = {**{o: {"h": "hub", "l": "link", "s": "sat"}[o.split("_")[0]] for o in counts if o != name}, name: "stage"}
+        self.states.append([(name, o, kinds[o], run, n, mark, at, datetime.now()) for o, n in counts.items()])
         return counts
 
     def _hub_of(self, config: SourceConfig, role: str) -> str:
         return self.registry.get("link", config.link).roles[role] if config.link else role
 
-    def _hub(self, config: SourceConfig, rows: DataFrame, role: str, columns: dict[str, str], at: datetime) -> dict[str, int]:
-        name = self._hub_of(config, role)
+    def _hub(self, config: SourceConfig, rows: DataFrame, name: str, feeds: list[dict[str, str]], at: datetime) -> dict[str, int]:
+        """All roles of the source that go to this hub, at once."""
         table = self.table("hub", name)
         keys = list(self.registry.get("hub", name).keys)
-        staged = rows.select(*(F.col(s).alias(b) for s, b in columns.items()))
-        new = hub.new_rows([staged], table.read(), name, keys, at, str(config.source.version)).persist()
+        staged = [rows.select(*(F.col(s).alias(b) for s, b in columns.items())) for columns in feeds]
+        new = hub.new_rows(staged, table.read(), name, keys, at, str(config.source.version))
         n = new.count()
         if n or table.latest() is None:
-            table.commit(append=new, note={"rows": n})
-        new.unpersist()
-        return {f"{object_name('hub', name)}": n}
+            table.commit(new, note={"rows": n})
+        return {object_name("hub", name): n}
 
     def _lookup(self, config: SourceConfig, rows: DataFrame) -> DataFrame:
         for role, columns in config.hub_columns.items():
@@ -79,18 +161,17 @@ class Vault:
 
     def _link(self, config: SourceConfig, rows: DataFrame, at: datetime) -> dict[str, int]:
         table, roles = self.table("link", config.link), [key_name("hub", r) for r in config.hub_columns]
-        new = link.new_rows(rows, table.read(), config.link, roles, at, str(config.source.version)).persist()
+        new = link.new_rows(rows, table.read(), config.link, roles, at, str(config.source.version))
         n = new.count()
         if n or table.latest() is None:
-            table.commit(append=new, note={"rows": n})
-        new.unpersist()
+            table.commit(new, note={"rows": n})
         return {object_name("link", config.link): n}
 
     def _link_lookup(self, config: SourceConfig, rows: DataFrame) -> DataFrame:
         roles = [key_name("hub", r) for r in config.hub_columns]
         return lookup.link_key(rows, self.table("link", config.link).read(), roles, key_name("link", config.link))
 
-    def _satellite(self, config: SourceConfig, rows: DataFrame, name: str, run_type: str, at: datetime) -> dict[str, int]:
+    def _satellite(self, config: SourceConfig, rows: DataFrame, name: str, run_type: str, at: datetime, run: int) -> dict[str, int]:
         s: SatelliteConfig = self.registry.get("satellite", name)
         key = key_name(s.parent_kind, s.parent)
         cdc = config.source.load_type in ("DateCdc", "SequenceCdc") and run_type == "Delta"
@@ -100,23 +181,45 @@ class Vault:
         payload = [*(c.name for c in s.columns.values()), *(n for n, _ in s.computed)]
         shape = satellite.Satellite((key,), tuple(payload))
         table = self.table("sat", name)
-        before = table.read()
+        infer = run_type == "Full" and config.source.load_type != "Delta"
+        if not cdc:
+            source, aside = duplicates.apply_policy(source, [key], s.duplicate_threshold)
+            if aside is not None:
+                self.journal.write_rows(aside, at, run, object_name("sat", name), "warning", duplicates.REMOVED)
+        touched = None if infer else [r[0] for r in source.select(table.bucket()).distinct().collect()]
+        before = table.read(part="current", buckets=touched)
         if before is None:
             before = satellite.initial(shape, source, at, "").limit(0)
+            touched = None
+        source_name = str(config.source.version)
         if cdc:
-            done = satellite.replay(shape, before, source, [config.source.sequence], at, str(config.source.version))
+            done = satellite.replay(shape, before, source, [config.source.sequence], at, source_name)
         else:
-            source, _ = duplicates.apply_policy(source, [key], s.duplicate_threshold)
-            infer = run_type == "Full" and config.source.load_type != "Delta"
-            done = satellite.merge(shape, before.where(F.col(IS_CURRENT)), source, at, str(config.source.version), infer)
-        table.commit(current=done.current, history=done.history)
-        version = table.latest()
-        return {object_name("sat", name): self.spark.read.parquet(f"{table.path}/{version.current[-1]}").count()}
+            done = satellite.merge(shape, before, source, at, source_name, infer)
+        version = table.commit(done, IS_CURRENT, touched)
+        fresh = (F.col(START) >= F.lit(at).cast("timestamp_ntz")) | ~F.col(IS_CURRENT)
+        return {object_name("sat", name): table.written(version).where(fresh).count()}
+
+
+_LOADED = "dv_load_date_time timestamp_ntz, dv_record_source string"
+
+
+def empty_hub(spark: SparkSession, config: HubConfig) -> DataFrame:
+    """A hub of no rows, by its declared keys."""
+    own = ", ".join(f"`{k}` {config.types.get(k, 'string')}" for k in config.keys)
+    return spark.createDataFrame([], f"{key_name('hub', config.name)} long, {_LOADED}, {own}")
+
+
+def empty_link(spark: SparkSession, config: LinkConfig) -> DataFrame:
+    """A link of no rows, by its roles."""
+    own = ", ".join(f"`{key_name('hub', r)}` long" for r in config.roles)
+    return spark.createDataFrame([], f"{key_name('link', config.name)} long, {_LOADED}, {own}")
 
 
 def empty_satellite(spark: SparkSession, config: SatelliteConfig) -> DataFrame:
-    """A satellite of no rows, by its declared columns."""
-    key = key_name(config.parent_kind, config.parent)
-    fixed = f"{key} long, dv_source_date_time timestamp_ntz, dv_record_source string, dv_row_is_current boolean, dv_is_tombstone boolean, dv_rowstartdate timestamp_ntz, dv_rowenddate timestamp_ntz"
+    """A satellite of no rows, by its declared and its computed columns."""
     own = ", ".join(f"`{c.name}` {spark_type(c).simpleString()}" for c in config.columns.values())
-    return spark.createDataFrame([], f"{fixed}, {own}")
+    key = key_name(config.parent_kind, config.parent)
+    rows = computed(spark.createDataFrame([], f"{key} long, {own}"), list(config.computed))
+    payload = tuple(c for c in rows.columns if c != key)
+    return satellite.initial(satellite.Satellite((key,), payload), rows, datetime(1900, 1, 1), "")

@@ -11,15 +11,20 @@ from siltstone.functions.types import ColumnDef
 from siltstone.plans.config import KINDS, ConfigError, Registry, SourceConfig
 from siltstone.sources.stage import Source
 
-#: What others depend on comes first.
-LOAD_ORDER = ("hub", "link", "satellite", "source")
+LOAD_ORDER = tuple(KINDS)
+
+
+def build(registry: Registry, release: int) -> list[dict]:
+    """``rows_of`` under the next build number of the release, which the header names."""
+    registry.builds[release] = registry.builds.get(release, 0) + 1
+    return rows_of(registry, release)
 
 
 def rows_of(registry: Registry, release: int) -> list[dict]:
     """A header with the expected counts, then the rows of a release. Readers given as Python code stay out."""
     rows = [(kind, row) for kind in LOAD_ORDER for _, row in sorted(registry.rows[kind].items()) if row.release == release]
     counts = {kind: sum(k == kind for k, _ in rows) for kind in LOAD_ORDER}
-    out: list[dict] = [{"kind": "header", "release": release, "counts": counts}]
+    out: list[dict] = [{"kind": "header", "release": release, "build": registry.builds.get(release, 0), "counts": counts}]
     for kind, row in rows:
         body = dataclasses.asdict(row)
         if kind == "source":
@@ -46,6 +51,8 @@ def _row(kind: str, body: dict):
         return SourceConfig(**body | {"source": source, "satellites": tuple(body["satellites"])})
     if kind == "hub":
         body = body | {"keys": tuple(body["keys"])}
+    if kind == "match":
+        body = body | {"left": tuple(body["left"]), "right": tuple(body["right"]), "columns": tuple(map(tuple, body["columns"]))}
     return KINDS[kind](**body)
 
 
@@ -62,6 +69,7 @@ def apply(registry: Registry, rows: list[dict]) -> dict[str, int]:
     if counts != header["counts"]:
         raise ConfigError(f"expected {header['counts']}, found {counts}")
     registry.releases.add(header["release"])
+    registry.builds[header["release"]] = header.get("build", 0)
     for kind, row in built:
         registry.rows[kind][row.name] = row
     return counts

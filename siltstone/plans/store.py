@@ -1,18 +1,29 @@
-"""Versioned tables without MERGE: immutable parquet segments and a manifest for each version.
+"""Tables of a vault as plain partitioned Parquet, with a list of the loads that count.
 
-``current`` segments are rewritten by a load, ``history`` segments are only added to. A commit writes the
-segments first and then the next manifest; readers see a version or the one before it, and a crash
-leaves at most segments that no manifest names. Manifests are Spark-written JSON, so the root may be any
-store that Spark knows. Writers of one table must be serialised (the scheduler does that).
+``data`` is partitioned by part (``current`` or ``history``), load and bucket; every load adds folders and
+changes none. ``versions`` has a row for each load that was finished: its number, its folder, and the
+buckets whose current rows it replaced. So a reader picks folders by partition columns, sees a load as a
+whole or not at all, and may read any version there was; what a crash leaves is never read. Both are written
+and read by Spark alone, so the root may be any store that it knows. Writers of one table take turns.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Buckets of current rows, by a hash of their keys.
+BUCKETS = 64
+_VERSION = "load string, buckets array<int>, whole boolean, schema string, note string"
+_PART, _LOAD, _BUCKET = "__part", "__load", "__bucket"
 
 
 class Conflict(RuntimeError):
@@ -21,62 +32,104 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Version:
+    """current: bucket to the load that has it; history: the loads whose ended rows count."""
+
     number: int
-    current: tuple[str, ...]
-    history: tuple[str, ...]
-    note: dict
+    schema: T.StructType
+    current: dict[int, str] = field(default_factory=dict)
+    history: tuple[str, ...] = ()
+    note: dict = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
 class Table:
-    def __init__(self, spark: SparkSession, root: str, name: str):
-        self.spark, self.path = spark, f"{root}/{name}"
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """keys: what current rows are bucketed by; a table without keys is only added to."""
+
+    spark: SparkSession
+    root: str
+    name: str
+    keys: tuple[str, ...] = ()
+
+    @property
+    def path(self) -> str:
+        return f"{self.root}/{self.name}"
+
+    def versions(self) -> list[Version]:
+        """All versions in their order; none if nothing was committed."""
+        try:
+            rows = self.spark.read.schema(f"{_VERSION}, number int").parquet(f"{self.path}/versions").orderBy("number").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        out, current, history = [], {}, ()
+        for r in rows:
+            if r["whole"]:
+                current, history = {}, ()
+            current = current | dict.fromkeys(r["buckets"], r["load"])
+            history = (*history, r["load"])
+            out.append(Version(r["number"], T.StructType.fromJson(json.loads(r["schema"])), current, history, json.loads(r["note"])))
+        return out
 
     def latest(self) -> Version | None:
-        folder = self._path(f"{self.path}/_manifest")
-        if not self._fs.exists(folder):
-            return None
-        numbers = [int(f.getPath().getName().removesuffix(".json")) for f in self._fs.listStatus(folder) if f.getPath().getName().endswith(".json")]
-        return self.version(max(numbers)) if numbers else None
+        return next(iter(reversed(self.versions())), None)
 
-    def version(self, number: int) -> Version:
-        lines = self.spark.read.text(f"{self.path}/_manifest/{number:06d}.json").collect()
-        row = json.loads("".join(r[0] for r in lines))
-        return Version(row["number"], tuple(row["current"]), tuple(row["history"]), row["note"])
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int")
 
-    def read(self, version: Version | None = None, part: str = "all") -> DataFrame | None:
-        """part: ``current`` reads those segments alone; None: no such rows yet."""
+    def _rows(self, version: Version, wanted: Column) -> DataFrame:
+        schema = T.StructType([*version.schema.fields, T.StructField(_PART, T.StringType()), T.StructField(_LOAD, T.StringType()), T.StructField(_BUCKET, T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/data").where(wanted).select(*version.schema.names)
+
+    def read(self, version: Version | None = None, part: str = "all", buckets: Iterable[int] | None = None) -> DataFrame | None:
+        """part: ``current``, ``history`` or all of a version (None: the latest); buckets: of the current rows, only these.
+
+        None: there is no version yet. Conditions are on partition columns, so only what counts is listed and read.
+        """
         version = version or self.latest()
         if version is None:
             return None
-        names = {"current": version.current, "history": version.history, "all": version.current + version.history}[part]
-        return self.spark.read.parquet(*(f"{self.path}/{s}" for s in names)) if names else None
-
-    def _segment(self, rows: DataFrame) -> str:
-        name = f"seg-{uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
-        return name
-
-    def commit(self, current: DataFrame | None = None, history: DataFrame | None = None, append: DataFrame | None = None, note: dict | None = None, base: Version | None = None) -> Version:
-        """current replaces the current segments, append adds to them, history adds to the history."""
+        only, loads = None if buckets is None else set(buckets), {}
+        for b, load in version.current.items():
+            if only is None or b in only:
+                loads.setdefault(load, []).append(b)
+        wanted = []
+        if part in ("current", "all"):
+            wanted += [(F.col(_PART) == "current") & (F.col(_LOAD) == load) & F.col(_BUCKET).isin(own) for load, own in loads.items()]
+        if part in ("history", "all"):
+            wanted += [(F.col(_PART) == "history") & F.col(_LOAD).isin(list(version.history))]
+        if not wanted:
+            return self.spark.createDataFrame([], version.schema)
+        return self._rows(version, reduce(lambda a, b: a | b, wanted))
+
+    def written(self, version: Version) -> DataFrame:
+        """The rows that the version's own load wrote."""
+        return self._rows(version, F.col(_LOAD) == version.history[-1])
+
+    def commit(self, rows: DataFrame, current: str | None = None, buckets: Iterable[int] | None = None, whole: bool = False, note: dict | None = None, base: Version | None = None) -> Version:
+        """Write rows once and publish them as the next version.
+
+        current: a boolean column; rows where it holds replace the current rows of ``buckets`` (None: of all),
+        the others are history. Without it all rows are added. whole: no earlier load counts any more.
+        """
         base = base or self.latest()
-        number = base.number + 1 if base else 1
-        now = (self._segment(current),) if current is not None else base.current if base else ()
-        now += (self._segment(append),) if append is not None else ()
-        then = (base.history if base else ()) + ((self._segment(history),) if history is not None else ())
-        version = Version(number, now, then, note or {})
-        self._publish(version)
-        return version
-
-    def _publish(self, version: Version) -> None:
-        final = self._path(f"{self.path}/_manifest/{version.number:06d}.json")
-        draft = self._path(f"{self.path}/_manifest/.draft-{uuid4().hex}")
-        stream = self._fs.create(draft, False)
-        body = {"number": version.number, "current": version.current, "history": version.history, "note": version.note}
-        stream.write(bytearray(json.dumps(body).encode()))
-        stream.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise Conflict(f"{self.path}: version {version.number} exists")
+        number, load = (base.number + 1 if base else 1), uuid4().hex
+        is_current = F.col(current) if current else F.lit(False)
+        placed = rows.withColumn(_PART, F.when(is_current, "current").otherwise("history")).withColumn(_LOAD, F.lit(load))
+        placed = placed.withColumn(_BUCKET, F.when(is_current, self.bucket()).otherwise(0) if current else F.lit(0))
+        placed.hint("rebalance", _PART, _BUCKET).write.partitionBy(_PART, _LOAD, _BUCKET).mode("append").parquet(f"{self.path}/data")
+        touched = [] if current is None else sorted(range(BUCKETS) if buckets is None else set(buckets))
+        row = [(load, touched, whole, rows.schema.json(), json.dumps(note or {}))]
+        try:
+            self.spark.createDataFrame(row, _VERSION).write.parquet(f"{self.path}/versions/number={number}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            raise Conflict(f"{self.path}: version {number} exists") from e
+        found = self.latest()
+        assert found is not None
+        return found
+
+    def compact(self, current: str | None = None) -> Version:
+        """Rewrite all rows as one load, so that many small loads need not be listed."""
+        return self.commit(self.read(), current, whole=True, note=self.latest().note)

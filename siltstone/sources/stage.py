@@ -9,7 +9,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.naming import CDC_ACTION, STAGE_TIME, VERSION_KEY
+from siltstone.functions.naming import CDC_ACTION, HIGH_DATE, IS_TOMBSTONE, LOW_DATE, STAGE_TIME, VERSION_KEY
+from siltstone.operators import temporal
 
 LOAD_TYPES = ("Full", "Delta", "DateCdc", "SequenceCdc")
 RUN_TYPES = ("Full", "Delta")
@@ -20,7 +21,9 @@ class Source:
     """One feed: how to read it, which columns to take and how it tells changes.
 
     reader: (spark, run type) -> rows; kind "table" reads ``path`` in ``format``; "external": the stage is
-    there already. row_filter: an SQL condition. sequence: the column of change order.
+    there already; "match": what only one side of the configured comparison ``match`` has (see ``Vault``);
+    "satellite": ``path`` is that of a satellite, of which a full run takes the current versions and a
+    delta the changes of the window. row_filter: an SQL condition. sequence: the column of change order.
     """
 
     name: str
@@ -36,6 +39,7 @@ class Source:
     operation: str | None = None
     sequence: str | None = None
     version: int = 1
+    match: str | None = None
 
 
 def read(spark: SparkSession, source: Source, run_type: str) -> DataFrame:
@@ -46,7 +50,7 @@ def read(spark: SparkSession, source: Source, run_type: str) -> DataFrame:
         if source.reader is None:
             raise ValueError(f"{source.name}: no reader")
         return source.reader(spark, run_type)
-    if source.kind in ("table", "external"):
+    if source.kind in ("table", "external", "satellite"):
         if source.path is None:
             raise ValueError(f"{source.name}: no path")
         return spark.read.format(source.format).options(**source.options).load(source.path)
@@ -74,6 +78,14 @@ def window(source: Source, rows: DataFrame, after, until) -> DataFrame:
     return rows if until is None else rows.where(at <= F.lit(until))
 
 
+def satellite_rows(rows: DataFrame, run_type: str, at: datetime | None, after: datetime | None, until: datetime | None) -> DataFrame:
+    """What a satellite gives to the next layer: a full run its versions at a time, a delta the changes of a window as actions."""
+    if run_type == "Full":
+        return temporal.point_in_time(rows, at).withColumn(CDC_ACTION, F.lit("U"))
+    low, high = after or LOW_DATE, until or HIGH_DATE
+    return temporal.changes_between(rows, low, high).withColumn(CDC_ACTION, F.when(F.col(IS_TOMBSTONE), "D").otherwise("U"))
+
+
 def stage(spark: SparkSession, source: Source, run_type: str, stage_time: datetime, after=None, until=None, keys: list[str] = ()) -> DataFrame:
     """The staged batch: filtered, pruned to the configured columns, with technical columns.
 
@@ -83,10 +95,12 @@ def stage(spark: SparkSession, source: Source, run_type: str, stage_time: dateti
     if source.row_filter:
         rows = rows.where(source.row_filter)
     delta = run_type == "Delta" and source.load_type != "Full"
-    if delta:
+    if source.kind == "satellite":
+        rows = satellite_rows(rows, run_type if source.load_type == "DateCdc" else "Full", None, after, until)
+    elif delta:
         rows = window(source, rows, after, until)
     if source.columns:
-        extra = [c for c in (source.operation, source.sequence) if c and c not in source.columns]
+        extra = [c for c in (source.operation, source.sequence, CDC_ACTION if source.kind == "satellite" else None) if c and c not in source.columns]
         rows = rows.select(*source.columns, *extra)
     if source.operation:
         rows = decode_operations(rows, source.operation)
@@ -97,12 +111,19 @@ def stage(spark: SparkSession, source: Source, run_type: str, stage_time: dateti
     return rows.withColumns({STAGE_TIME: F.lit(stage_time).cast("timestamp_ntz"), VERSION_KEY: F.lit(source.version)})
 
 
-def high_water(stage_rows: DataFrame, mark: str, states: DataFrame, source: str) -> Column | None:
-    """The mark to go on from: the least of the batch, else of the last satellite load, else of the last stage load.
+def high_water_marks(sources: DataFrame, batches: DataFrame, states: DataFrame) -> DataFrame:
+    """(source, mark) to go on from: the least of the batch, else of the last satellite load, else of the last stage load.
 
-    states: (source, kind, mark, ended). None of them: None.
+    sources: (source); batches: (source, mark) of staged rows; states: (source, kind, mark, ended). None of them: null.
     """
-    least = stage_rows.agg(F.min(mark)).first()[0]
-    own = states.where(F.col("source") == source)
-    last = {k: own.where(F.col("kind") == k).agg(F.max_by("mark", "ended")).first()[0] for k in ("sat", "stage")}
-    return next((v for v in (least, last["sat"], last["stage"]) if v is not None), None)
+    least = batches.groupBy("source").agg(F.min("mark").alias("batch"))
+    ended = lambda kind: F.when((F.col("kind") == kind) & F.col("mark").isNotNull(), F.col("ended"))
+    last = states.groupBy("source").agg(*(F.max_by("mark", ended(k)).alias(k) for k in ("sat", "stage")))
+    found = sources.join(least, "source", "left").join(last, "source", "left")
+    return found.select("source", F.coalesce("batch", "sat", "stage").alias("mark"))
+
+
+def high_water(stage_rows: DataFrame, mark: str, states: DataFrame, source: str):
+    """The mark of one source; see ``high_water_marks``."""
+    one = states.sparkSession.createDataFrame([(source,)], "source string")
+    return high_water_marks(one, stage_rows.select(F.lit(source).alias("source"), F.col(mark).alias("mark")), states).first()["mark"]

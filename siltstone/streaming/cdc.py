@@ -6,24 +6,30 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from siltstone.functions.naming import IS_CURRENT
 from siltstone.operators.satellite import Satellite, replay
 from siltstone.plans.store import Table
 
 
-def into_satellite(changes: DataFrame, sat: Satellite, table: Table, order: list[str], checkpoint: str, record_source: str, clock: Callable[[], datetime] = datetime.now) -> StreamingQuery:
+def into_satellite(changes: DataFrame, sat: Satellite, table: Table, order: list[str], checkpoint: str, record_source: str, clock: Callable[[], datetime] | None = None) -> StreamingQuery:
     """Start a query that takes what is available and ends.
 
-    The batch number is stored in the manifest with the rows, so a batch that is delivered again after a
-    crash isn't loaded twice. The table must exist (it may be empty).
+    The batch number is stored with the version, so a batch that is delivered again after a crash isn't
+    loaded twice. A batch's version date is ``clock()``; without a clock it is the latest ``order[0]`` of the
+    batch, a time, so that a batch delivered again gives the same rows. Only the buckets that a batch
+    touches are read and rewritten. The table must exist (it may be empty).
     """
 
     def load(batch: DataFrame, number: int) -> None:
         version = table.latest()
         if version.note.get("batch", -1) >= number:
             return
-        done = replay(sat, table.read(version), batch, order, clock(), record_source)
-        table.commit(current=done.current, history=done.history, note={"batch": number}, base=version)
+        touched = [r[0] for r in batch.select(table.bucket()).distinct().collect()]
+        at = batch.agg(F.max(order[0])).first()[0] if clock is None else clock()
+        done = replay(sat, table.read(version, "current", touched), batch, order, at, record_source)
+        table.commit(done, IS_CURRENT, touched, note={"batch": number}, base=version)
 
     return changes.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

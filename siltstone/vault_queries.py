@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from siltstone.functions import macros, scalar
 from siltstone.functions.naming import END, IS_CURRENT, IS_TOMBSTONE, LOAD_TIME, RECORD_SOURCE, SOURCE_TIME, START
 from siltstone.functions.types import ColumnDef
 from siltstone.operators import compare, duplicates, hub, link, lookup, metrics, satellite, temporal
-from siltstone.plans import scheduler, state
+from siltstone.plans import config, scheduler, state
+from siltstone.plans.pipeline import Vault
+from siltstone.plans.shared import shared_folder
 from siltstone.sources import stage
 
 T1, T2, T3 = datetime(2024, 1, 1), datetime(2024, 2, 1), datetime(2024, 3, 1)
@@ -170,10 +173,21 @@ def dup_keys_removed(spark, sf_dir):
     return clean.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 4 AS severity, 'Duplicate Key Removed' AS message FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1")
+def dup_rows_journaled(spark, sf_dir):
+    """What is set aside goes to the journal, and is read back from there."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    _, aside = duplicates.apply_policy(rows, ["l_orderkey", "l_linenumber"], 2**62)
+    journal = state.Journal(state.Log(spark, f"{shared_folder(spark)}/journal-{uuid4().hex}", state.JOURNAL_SCHEMA))
+    journal.write_rows(rows.limit(0) if aside is None else aside, T1, 1, "s_lineitem", "warning", duplicates.REMOVED)
+    kept = journal.log.read()
+    return kept.select(F.from_json("detail", rows.schema).alias("d"), "severity", "message").select("d.*", "severity", "message")
+
+
 # Satellites
 
 
-def customer_rows(spark, sf_dir, version: int = 1) -> DataFrame:
+def customer_rows(spark, sf_dir, version: int = 1, hubs: DataFrame | None = None) -> DataFrame:
     """Snapshots of customers with their hub key; the second has changed, emptied and missing rows."""
     rows = table(spark, sf_dir, "customer")
     if version == 2:
@@ -181,15 +195,16 @@ def customer_rows(spark, sf_dir, version: int = 1) -> DataFrame:
         rows = rows.where(k % 11 != 0).withColumns(
             {"c_acctbal": F.when(k % 7 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")), "c_mktsegment": F.when(k % 13 != 0, F.col("c_mktsegment"))}
         )
-    return lookup.hub_key(rows, customer_hub(spark, sf_dir), {"c_custkey": "c_custkey"}, "h_customer_key")
+    return lookup.hub_key(rows, customer_hub(spark, sf_dir) if hubs is None else hubs, {"c_custkey": "c_custkey"}, "h_customer_key")
 
 
 def loads(spark, sf_dir, upto: int, infer: bool = True) -> DataFrame:
     """The customer satellite after one, two or three loads."""
-    whole = satellite.initial(CUSTOMER, customer_rows(spark, sf_dir), T1, "1")
+    hubs = customer_hub(spark, sf_dir)
+    whole = satellite.initial(CUSTOMER, customer_rows(spark, sf_dir, 1, hubs), T1, "1")
     for k, (version, t) in enumerate(((2, T2), (1, T3)), 2):
         if k <= upto:
-            whole = satellite.merge(CUSTOMER, whole, customer_rows(spark, sf_dir, version), t, str(k), infer).whole(whole)
+            whole = satellite.merge(CUSTOMER, whole, customer_rows(spark, sf_dir, version, hubs), t, str(k), infer)
     return whole
 
 
@@ -220,7 +235,7 @@ def sat_changed_rows(spark, sf_dir):
 @query(_SAT + "SELECT CAST(count(*) AS BIGINT) AS n_changed FROM ch")
 def sat_null_safe_change(spark, sf_dir):
     first = loads(spark, sf_dir, 2)
-    again = satellite.merge(CUSTOMER, first, customer_rows(spark, sf_dir, 2), T3, "3", True).whole(first)
+    again = satellite.merge(CUSTOMER, first, customer_rows(spark, sf_dir, 2), T3, "3", True)
     return again.agg(F.count_if((F.col(RECORD_SOURCE) != "1") & ~F.col(IS_TOMBSTONE)).alias("n_changed"))
 
 
@@ -245,7 +260,7 @@ def sat_same_instant_guard(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     first = satellite.initial(shape, rows, T1, "1")
     new = rows.withColumn("v", F.when(F.col("k") % 7 == 0, F.col("v") + 1).otherwise(F.col("v")))
-    whole = satellite.merge(shape, first, new, T1, "2", True).whole(first)
+    whole = satellite.merge(shape, first, new, T1, "2", True)
     closed = F.when(~F.col(IS_CURRENT), F.timestamp_diff("MILLISECOND", F.col(START), F.col(END)))
     return whole.groupBy("k").agg(F.count("*").alias("n_versions"), F.max(closed).alias("closed_after_ms"))
 
@@ -261,7 +276,7 @@ def event_changes(spark, sf_dir) -> DataFrame:
 def replayed(spark, sf_dir) -> DataFrame:
     changes = event_changes(spark, sf_dir)
     empty = satellite.initial(USER, changes, T1, "").limit(0)
-    return satellite.replay(USER, empty, changes, ["ts"], T1, "1").whole(empty)
+    return satellite.replay(USER, empty, changes, ["ts"], T1, "1")
 
 
 _REPLAY = """WITH c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn, event_type = 'error' AS gone, CASE WHEN event_type <> 'error' THEN event_type END AS e, CASE WHEN event_type <> 'error' THEN CAST(floor(value / 50) AS BIGINT) END AS v FROM events),
@@ -288,10 +303,12 @@ def sat_cdc_delete_unknown(spark, sf_dir):
     return _micro(replayed(spark, sf_dir)).agg(F.count_if(first).alias("n_leading_tombstones"))
 
 
-@query("SELECT user_id, dv_start, CAST(count(*) AS BIGINT) AS n FROM (SELECT user_id, CAST(ts AS DATE) AS dv_start FROM events) GROUP BY ALL HAVING count(*) > 1")
+@query(_SAT + f"SELECT h_customer_key, dv_rowstartdate AS dv_start, CAST(2 AS BIGINT) AS n FROM {_AFTER2} WHERE dv_row_is_current AND h_customer_key % 5 = 0")
 def sat_duplicate_versions(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias(START))
-    return satellite.duplicate_versions(USER, rows).withColumnRenamed(START, "dv_start")
+    """A satellite into which some current versions were put twice."""
+    whole = loads(spark, sf_dir, 2)
+    spoiled = whole.unionByName(whole.where(F.col(IS_CURRENT) & (F.col("h_customer_key") % 5 == 0)))
+    return plain(satellite.duplicate_versions(CUSTOMER, spoiled)).withColumnRenamed(START, "dv_start")
 
 
 # Reads in time
@@ -380,6 +397,68 @@ def metrics_columns(spark, sf_dir):
     return metrics.column_profile(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus"])
 
 
+@query(_SAT + f", p AS (FROM {_AFTER3} WHERE NOT dv_is_tombstone AND dv_rowstartdate <= DATE '2024-02-15' AND dv_rowenddate > DATE '2024-02-15') " + _profile_sql("p", {"c_name": True, "c_nationkey": False, "c_mktsegment": True}))
+def metrics_sat_columns(spark, sf_dir):
+    return metrics.satellite_profile(loads(spark, sf_dir, 3), ["c_name", "c_nationkey", "c_mktsegment"], datetime(2024, 2, 15))
+
+
+@query("SELECT k AS satellite_key FROM range(1, 50) AS g(k) WHERE k % 7 = 3")
+def metrics_weekly_choice(spark, sf_dir):
+    chosen = [(k,) for k in range(1, 50) if metrics.profiled_today(k, date(2024, 1, 3))]  # a Wednesday
+    return spark.createDataFrame(chosen, "satellite_key long")
+
+
+@query("(SELECT 'documents' AS _master_table, * FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) UNION ALL (SELECT 'labels', * FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents))")
+def compare_match_source(spark, sf_dir):
+    """A configured match of two staged sources."""
+    vault = Vault(spark, f"{shared_folder(spark)}/vault-{uuid4().hex}")
+    for name in ("documents", "labels"):
+        vault.registry.insert("source", config.SourceConfig(stage.Source(name, path=f"{sf_dir}/{name}.parquet"), {"doc": {"doc_id": "doc_id"}}))
+    vault.registry.insert("match", config.MatchConfig("texts", ("stage", "documents"), ("stage", "labels"), (("doc_id", "doc_id"),)))
+    return vault.compared("texts")
+
+
+# Whole loads
+
+
+def loaded_orders(spark, sf_dir) -> Vault:
+    """Orders loaded twice into two hubs, a link and two satellites of it: first three of four, then all of them."""
+    vault = Vault(spark, f"{shared_folder(spark)}/vault-{uuid4().hex}")
+    r = vault.registry
+    r.insert("hub", config.HubConfig("orders", ("o_orderkey",), types={"o_orderkey": "bigint"}))
+    r.insert("hub", config.HubConfig("customer", ("c_custkey",), types={"c_custkey": "bigint"}))
+    r.insert("link", config.LinkConfig("order_customer", {"orders": "orders", "customer": "customer"}))
+    price = {"o_totalprice": ColumnDef("price", "decimal", precision=14, scale=2)}
+    r.insert("satellite", config.SatelliteConfig("order_price", "order_customer", "link", price, (("dear", "price > 100000"),)))
+    r.insert("satellite", config.SatelliteConfig("order_status", "order_customer", "link", {"o_orderstatus": ColumnDef("status", "varchar", length=1)}))
+    for k, where in ((1, "o_orderkey % 4 <> 0"), (2, None)):
+        source = stage.Source(f"orders_{k}", path=f"{sf_dir}/orders.parquet", columns=("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), row_filter=where, version=k)
+        hubs = {"orders": {"o_orderkey": "o_orderkey"}, "customer": {"o_custkey": "c_custkey"}}
+        r.insert("source", config.SourceConfig(source, hubs, "order_customer", ("order_price", "order_status")))
+    for kind, name in (("hub", "orders"), ("hub", "customer"), ("link", "order_customer"), ("sat", "order_price"), ("sat", "order_status")):
+        vault.create(kind, name)
+    vault.load("orders_1", "Full", T1, run=1)
+    vault.load("orders_2", "Full", T2, run=2)
+    for kind, name in (("hub", "orders"), ("hub", "customer"), ("link", "order_customer"), ("sat", "order_price")):
+        vault.check_unique(kind, name)
+    return vault
+
+
+@query("SELECT o_orderkey AS orders__o_orderkey, o_custkey AS customer__c_custkey, CAST(o_totalprice AS DECIMAL(14, 2)) AS price, CAST(o_totalprice AS DECIMAL(14, 2)) > 100000 AS dear, o_orderstatus AS status, CASE WHEN o_orderkey % 4 <> 0 THEN DATE '2024-01-01' ELSE DATE '2024-02-01' END AS dv_rowstartdate FROM orders")
+def load_end_to_end(spark, sf_dir):
+    """Two loads, read back by business key with both satellites of the link."""
+    vault = loaded_orders(spark, sf_dir)
+    key = "l_order_customer_key"
+    price, status = (vault.read_object("sat", n) for n in ("order_price", "order_status"))
+    rows = vault.read_object("link", "order_customer").join(price.select(key, "price", "dear", START), key).join(status.select(key, "status"), key)
+    return plain(rows.select("orders__o_orderkey", "customer__c_custkey", "price", "dear", "status", START))
+
+
+@query("WITH l AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 4 <> 0) AS m, count(DISTINCT o_custkey) AS c, count(DISTINCT o_custkey) FILTER (o_orderkey % 4 <> 0) AS d FROM orders) SELECT run, kind, object, CAST(rows AS BIGINT) AS rows FROM (SELECT unnest([1, 2, 1, 2, 1, 2, 1, 2, 1, 2, 1, 2]) AS run, unnest(['stage', 'stage', 'hub', 'hub', 'hub', 'hub', 'link', 'link', 'sat', 'sat', 'sat', 'sat']) AS kind, unnest(['orders_1', 'orders_2', 'h_orders', 'h_orders', 'h_customer', 'h_customer', 'l_order_customer', 'l_order_customer', 's_order_price', 's_order_price', 's_order_status', 's_order_status']) AS object, unnest([m, n, m, n - m, d, c - d, m, n - m, m, n - m, m, n - m]) AS rows FROM l)")
+def load_task_states(spark, sf_dir):
+    return loaded_orders(spark, sf_dir).states.read().select("run", "kind", "object", "rows")
+
+
 # Staging and functions
 
 
@@ -401,11 +480,51 @@ def stage_delta_extract(spark, sf_dir):
     return stage.stage(spark, source, "Delta", T1, 100, 5000).drop("dv_stage_date_time")
 
 
-@query("SELECT source, CAST(max_by(rows, ended) AS BIGINT) AS rows, max_by(mark, ended) AS mark FROM (SELECT event_type AS source, user_id AS rows, CAST(event_id AS VARCHAR) AS mark, event_id AS ended FROM events) GROUP BY source")
-def high_water_resolution(spark, sf_dir):
+_STATES = "s AS (SELECT event_type AS source, user_id AS rows, CASE WHEN event_id % 3 <> 0 THEN event_id END AS mark, CASE WHEN event_type IN ('view', 'error') THEN 'stage' ELSE 'sat' END AS kind, event_id AS ended FROM events)"
+
+
+def event_states(spark, sf_dir) -> DataFrame:
+    """Events as states of loads: of some types stage loads, of the others satellite loads; some have no mark."""
+    kind = F.when(F.col("event_type").isin("view", "error"), "stage").otherwise("sat")
     rows = table(spark, sf_dir, "events")
-    states = rows.select(F.col("event_type").alias("source"), F.lit("s").alias("object"), F.lit("sat").alias("kind"), F.lit(0).alias("run"), F.col("user_id").alias("rows"), F.col("event_id").cast("string").alias("mark"), F.col("ts").alias("started"), F.col("event_id").alias("ended"))
-    return state.latest_states(states).select("source", "rows", "mark")
+    return rows.select(
+        F.col("event_type").alias("source"), F.concat(F.lit("o"), (F.col("user_id") % 5).cast("string")).alias("object"), kind.alias("kind"), F.lit(0).cast("long").alias("run"),
+        F.col("user_id").alias("rows"), F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("mark"), F.col("ts").alias("started"), F.col("event_id").alias("ended"),
+    )
+
+
+@query(f"WITH {_STATES}, b AS (SELECT event_type AS source, min(event_id) AS mark FROM events WHERE event_type = 'click' AND event_id % 2 = 0 GROUP BY ALL), m AS (SELECT source, max_by(mark, ended) FILTER (kind = 'sat' AND mark IS NOT NULL) AS sat, max_by(mark, ended) FILTER (kind = 'stage' AND mark IS NOT NULL) AS stage FROM s GROUP BY source) SELECT source, coalesce(b.mark, sat, stage) AS mark FROM (SELECT source FROM m UNION SELECT 'none') LEFT JOIN b USING (source) LEFT JOIN m USING (source)")
+def high_water_resolution(spark, sf_dir):
+    """A source with staged rows, sources with loads only, and one with neither."""
+    states = event_states(spark, sf_dir)
+    batch = table(spark, sf_dir, "events").where("event_type = 'click' AND event_id % 2 = 0").select(F.col("event_type").alias("source"), F.col("event_id").alias("mark"))
+    sources = states.select("source").distinct().union(spark.sql("SELECT 'none'"))
+    return stage.high_water_marks(sources, batch, states)
+
+
+@query(f"WITH {_STATES} SELECT source, kind, 'o' || (rows % 5) AS object, 'object ' || (rows % 5) AS name, max_by(CAST(rows AS BIGINT), ended) AS rows, max(ended) AS ended FROM s GROUP BY source, kind, rows % 5")
+def load_state_current(spark, sf_dir):
+    kinds = spark.sql("SELECT explode(array('sat', 'stage')) AS kind").crossJoin(spark.range(5))
+    objects = kinds.select("kind", F.concat(F.lit("o"), F.col("id").cast("string")).alias("object"), F.concat(F.lit("object "), F.col("id").cast("string")).alias("name"))
+    return state.current_states(event_states(spark, sf_dir), objects).select("source", "kind", "object", "name", "rows", "ended")
+
+
+@query(_SAT + f"SELECT h_customer_key, 'U' AS dv_cdc_action, {_P} FROM {_AFTER2} WHERE dv_row_is_current")
+def stage_date_cdc_full(spark, sf_dir):
+    return _from_satellite(spark, sf_dir, "Full")
+
+
+@query(_SAT + f"SELECT h_customer_key, CASE WHEN dv_is_tombstone THEN 'D' ELSE 'U' END AS dv_cdc_action, {_P} FROM {_AFTER2} WHERE dv_rowstartdate > DATE '2024-01-01' AND dv_rowstartdate <= DATE '2024-02-01'")
+def stage_date_cdc_delta(spark, sf_dir):
+    return _from_satellite(spark, sf_dir, "Delta")
+
+
+def _from_satellite(spark, sf_dir, run_type: str) -> DataFrame:
+    """What a stored satellite gives to a source that reads it by date."""
+    path = f"{shared_folder(spark)}/satellite-{uuid4().hex}"
+    loads(spark, sf_dir, 2).write.parquet(path)
+    source = stage.Source("customers", "DateCdc", kind="satellite", path=path, columns=("h_customer_key", *CUSTOMER.payload))
+    return stage.stage(spark, source, run_type, T3, T1, T2).drop("dv_stage_date_time", "dv_source_version_key")
 
 
 @query("SELECT doc_id, CAST(i AS INT) AS item_number, parts[i] AS item FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), generate_series(1, len(parts)) AS g(i)")
@@ -413,6 +532,13 @@ def split_strings(spark, sf_dir):
     return scalar.split_strings(table(spark, sf_dir, "documents"), "text", "\n", ("doc_id",))
 
 
+@query("SELECT o_orderkey, try_cast(substr(d, 1, 4) || '-' || substr(d, 5, 2) || '-' || substr(d, 7, 2) || ' ' || substr(t, 1, 2) || ':' || substr(t, 3, 2) || ':' || substr(t, 5, 2) || '.' || substr(t, 7, 2) AS TIMESTAMP) AS moment, CAST(o_orderkey AS VARCHAR) AS number FROM (SELECT o_orderkey, CAST(20240101 + o_orderkey % 28 AS VARCHAR) AS d, lpad(CAST(o_orderkey * 7919 % 25000000 AS VARCHAR), 8, '0') AS t FROM orders)")
+def int_to_datetime(spark, sf_dir):
+    k = F.col("o_orderkey")
+    moment = scalar.int_to_datetime(F.lit(20240101) + k % 28, k * 7919 % 25000000)
+    return table(spark, sf_dir, "orders").select(k, moment.cast("timestamp_ntz").alias("moment"), scalar.int_to_string(k).alias("number"))
+
+
 @query("SELECT s_suppkey, ' ' || array_to_string(list_transform(string_split(lower(s_name), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS name FROM supplier")
 def proper_case(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", scalar.proper_case(F.col("s_name")).alias("name"))
@@ -449,6 +575,18 @@ def dag_paths(spark, sf_dir):
 _TASKS = "SELECT 'n' || n_nationkey AS task, CASE WHEN n_nationkey < 4 THEN 'Completed' WHEN n_nationkey = 4 THEN 'Processing' ELSE 'Scheduled' END AS status FROM nation"
 
 
+@query("SELECT * FROM (VALUES ('[a]'), ('[a] >>> [b]'), ('[a] >>> [c]'), ('[a] >>> [b] >>> [d]'), ('[a] >>> [c] >>> [d]')) AS v(path)")
+def dag_schedule_paths(spark, sf_dir):
+    """Paths of a configured schedule; an edge that would close a circle is refused when it is added."""
+    schedules = scheduler.Schedules()
+    schedules.insert(scheduler.Schedule("Nightly", {}))
+    for name in "abcd":
+        schedules.add_member("Nightly", scheduler.Task(name))
+    for task, predecessor in (("b", "a"), ("c", "a"), ("d", "b"), ("d", "c")):
+        schedules.add_edge("Nightly", task, predecessor)
+    return scheduler.paths(schedules.edges(spark, "nightly"))
+
+
 @query(f"WITH e AS ({_NODES}), t AS ({_TASKS}) SELECT task FROM t WHERE status = 'Scheduled' AND task NOT IN (SELECT e.task FROM e JOIN t p ON p.task = predecessor WHERE p.status <> 'Completed')")
 def dag_runnable_tasks(spark, sf_dir):
     k = F.col("n_nationkey")
@@ -456,13 +594,54 @@ def dag_runnable_tasks(spark, sf_dir):
     return scheduler.runnable_tasks(tasks, _edges(spark, sf_dir))
 
 
-@query("SELECT user_id AS run, CASE WHEN bool_or(event_type = 'error') THEN 'Failed' WHEN bool_or(event_type = 'signup') THEN 'Cancelled' WHEN bool_and(event_type = 'view') THEN 'Completed' ELSE 'Unknown' END AS status FROM events WHERE event_id % 17 = 0 GROUP BY user_id")
+@query("SELECT user_id || ' ' || CAST(ts AS DATE) || ' ' || date_part('hour', ts) AS run, CASE WHEN bool_or(event_type = 'error') THEN 'Failed' WHEN bool_or(event_type = 'signup') THEN 'Cancelled' WHEN bool_and(event_type = 'view') THEN 'Completed' ELSE 'Unknown' END AS status FROM events GROUP BY 1")
 def run_status_rollup(spark, sf_dir):
+    """Each hour of a user is a run, each event a task of it."""
     names = F.create_map(*(F.lit(x) for x in ("error", "Failed", "signup", "Cancelled", "view", "Completed")))
-    tasks = table(spark, sf_dir, "events").where("event_id % 17 = 0").select(F.col("user_id").alias("run"), F.coalesce(names[F.col("event_type")], F.lit("Processing")).alias("status"))
+    run = F.concat_ws(" ", F.col("user_id").cast("string"), F.to_date("ts").cast("string"), F.hour("ts").cast("string"))
+    tasks = table(spark, sf_dir, "events").select(run.alias("run"), F.coalesce(names[F.col("event_type")], F.lit("Processing")).alias("status"))
     return scheduler.run_status(tasks)
 
 
+@query("SELECT user_id AS run, event_type AS task, max_by(CASE WHEN value > 50 THEN 'Completed' ELSE 'Failed' END, event_id) AS status, CAST(max_by(event_id % 100, event_id) AS BIGINT) AS seconds FROM events GROUP BY ALL")
+def run_current_tasks(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run"), F.col("event_type").alias("task"), F.lit("Full").alias("load_type"), F.lit(0).alias("priority"), F.lit("001").alias("queue"),
+        F.when(F.col("value") > 50, "Completed").otherwise("Failed").alias("status"), F.col("ts").alias("started"),
+        F.timestamp_add("SECOND", F.col("event_id") % 100, F.col("ts")).alias("ended"), F.lit("").alias("error"), F.col("ts").alias("created"), F.col("event_id").alias("noted"),
+    )
+    return scheduler.current_tasks(rows).select("run", "task", "status", "seconds")
+
+
+@query("WITH t AS (SELECT user_id AS run, event_id AS task, ts AS started, CASE WHEN event_id % 3 <> 0 THEN ts + INTERVAL 6 HOUR END AS ended FROM events WHERE event_type = 'signup') SELECT t.run, t.task, e.event_id FROM t JOIN events e ON e.user_id = t.run AND e.event_type = 'error' AND e.ts >= t.started AND (e.ts <= t.ended OR t.ended IS NULL)")
+def report_errors_within_tasks(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    ended = F.when(F.col("event_id") % 3 != 0, F.timestamp_add("HOUR", F.lit(6), F.col("ts")))
+    tasks = rows.where("event_type = 'signup'").select(F.col("user_id").alias("run"), F.col("event_id").alias("task"), F.col("ts").alias("started"), ended.alias("ended"))
+    level = F.when(F.col("event_type") == "error", 8).otherwise(2)
+    journal = rows.select(F.col("user_id").alias("run"), F.col("ts").alias("at"), level.alias("severity"), F.col("event_id").cast("string").alias("message"))
+    return scheduler.exceptions_within(tasks, journal).select("run", "task", F.col("message").cast("long").alias("event_id"))
+
+
+@query("WITH f AS (SELECT user_id, CAST(rank() OVER (ORDER BY min(ts), user_id) % 2 AS INT) AS stripe FROM events GROUP BY user_id) SELECT event_id, stripe FROM events JOIN f USING (user_id)")
+def report_striping(spark, sf_dir):
+    return scheduler.striped(table(spark, sf_dir, "events"), "user_id", "ts").select("event_id", "stripe")
+
+
+@query("SELECT event_id, CAST(CASE event_type WHEN 'error' THEN 8 ELSE 2 END AS INT) AS severity FROM events, (SELECT max(ts) AS now FROM events) WHERE ts >= now - CASE event_type WHEN 'error' THEN INTERVAL 5 DAY ELSE INTERVAL 2 DAY END")
+def journal_cleanup(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    journal = rows.select("event_id", F.col("ts").alias("at"), F.when(F.col("event_type") == "error", 8).otherwise(2).alias("severity"))
+    return state.kept(journal, rows.agg(F.max("ts")).first()[0], 2, 5).select("event_id", "severity")
+
+
+@query("SELECT event_id FROM events, (SELECT max(ts) AS now FROM events) WHERE event_type = 'error' AND ts >= now - INTERVAL 1 DAY ORDER BY ts DESC LIMIT 100")
+def journal_exceptions(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    journal = rows.select("event_id", F.col("ts").alias("at"), F.when(F.col("event_type") == "error", 8).otherwise(2).alias("severity"), F.col("event_type").alias("message"))
+    return state.exceptions(journal, rows.agg(F.max("ts")).first()[0], days=1, limit=100).select("event_id")
+
+
 @query("SELECT event_id, severity FROM (SELECT event_id, CAST(CASE event_type WHEN 'error' THEN 8 WHEN 'signup' THEN 4 WHEN 'view' THEN 2 ELSE 1 END AS INT) AS severity, event_type FROM events) WHERE severity & 12 = severity AND event_type LIKE '%r%' ORDER BY event_id DESC LIMIT 100")
 def journal_severity_mask(spark, sf_dir):
     level = F.when(F.col("event_type") == "error", 8).when(F.col("event_type") == "signup", 4).when(F.col("event_type") == "view", 2).otherwise(1)

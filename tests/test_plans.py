@@ -10,7 +10,7 @@ from siltstone.functions.types import ColumnDef
 from siltstone.operators import temporal
 from siltstone.operators.satellite import Satellite, initial
 from siltstone.plans import config, release, scheduler, state, store
-from siltstone.plans.pipeline import Vault
+from siltstone.plans.pipeline import NotUnique, Vault
 from siltstone.sources import stage
 from siltstone.streaming.cdc import into_satellite
 
@@ -31,7 +31,8 @@ def test_scalars(spark):
 def test_macros(spark):
     assert macros.expand("dv_concat(##1, ##2)", ["x", "y"]) == "concat(x, y)"
     assert macros.expand("##10-##1", [str(k) for k in range(1, 11)]) == "10-1"
-    nested = macros.expand("dv_concat(dv_int_to_string(##1), #-, (#, dv_int_to_string(dv_int_to_date(##2)))", ["a + 1", "b"])
+    macros.register(spark)
+    nested = macros.expand("dv_concat(dv_int_to_string(##1), #-, (#, cast(dv_int_to_date(##2) as string))", ["a + 1", "b"])
     assert spark.sql("SELECT 4 AS a, 20260102 AS b").select(F.expr(nested)).first()[0] == "5-, (2026-01-02"
     for bad in ("##3", "dv_other(1)"):
         with pytest.raises(ValueError):
@@ -79,15 +80,32 @@ def test_staging(spark, tmp_path):
 
 def test_store_versions_and_conflicts(spark, tmp_path):
     table = store.Table(spark, str(tmp_path), "hub/h")
-    assert table.latest() is None and table.read() is None
-    table.commit(append=spark.range(2))
-    base = table.commit(append=spark.range(2, 3))
-    table.commit(current=spark.range(9, 10), history=spark.range(50, 51))
-    assert sorted(r[0] for r in table.read().collect()) == [9, 50] and table.read(part="current").count() == 1
-    assert table.read(base).count() == 3
+    assert table.latest() is None and table.read() is None and table.versions() == []
+    table.commit(spark.range(2))
+    base = table.commit(spark.range(2, 3), note={"rows": 1})
+    assert base.number == 2 and base.note == {"rows": 1} and table.read().count() == 3
+    table.commit(spark.range(5, 6))
+    assert table.read(base).count() == 3 and table.read().count() == 4
     with pytest.raises(store.Conflict):
-        table.commit(append=spark.range(1), base=base)
-    assert table.latest().number == 3
+        table.commit(spark.range(1), base=base)
+    assert table.latest().number == 3 and table.read().count() == 4  # what the other writer left isn't read
+    table.compact()
+    assert table.read().count() == 4 and len(table.latest().history) == 1 and table.read(base).count() == 3
+
+
+def test_current_rows_are_replaced_by_bucket(spark, tmp_path):
+    table = store.Table(spark, str(tmp_path), "sat/s", ("k",))
+    rows = lambda *v: spark.createDataFrame(v, "k long, now boolean, v string")
+    assert table.commit(rows().limit(0), "now").number == 1 and table.read().count() == 0
+    table.commit(rows(*((k, True, "a") for k in range(100))), "now")
+    at = [r[0] for r in rows((7, True, "b")).select(table.bucket()).collect()]
+    same = [r["k"] for r in table.read(part="current", buckets=at).collect()]
+    assert 7 in same and len(same) < 20
+    table.commit(rows(*((k, True, "b") for k in same), (7, False, "a")), "now", at)
+    assert table.read(part="current").count() == 100 and [tuple(r) for r in table.read(part="history").collect()] == [(7, False, "a")]
+    assert sorted(r["k"] for r in table.read(part="current").where("v = 'b'").collect()) == sorted(same)
+    table.compact("now")
+    assert table.read(part="current").count() == 100 and table.read(part="history").count() == 1
 
 
 @pytest.fixture
@@ -113,9 +131,101 @@ def test_a_source_from_end_to_end(spark, vault):
     sat = v.table("sat", "pay").read()
     assert sorted((r["name"], r["loud"]) for r in temporal.point_in_time(sat).collect()) == [("c", "C"), ("d", "D")]
     assert sorted(r["name"] for r in temporal.point_in_time(sat, T1).collect()) == ["a", "b"]
+    before = sat.count()
     v.load("people", "Full", T2 + timedelta(1), run=3)
-    assert v.table("sat", "pay").read().count() == sat.count()
-    assert v.states.read().where("run = 3").agg(F.sum(F.when(F.col("kind") != "s", F.col("rows")))).first()[0] == 0
+    assert v.table("sat", "pay").read().count() == before
+    assert v.states.read().where("run = 3 and kind <> 'stage'").agg(F.sum("rows")).first()[0] == 0
+    assert {(r["object"], r["kind"], r["rows"]) for r in v.states.read().where("run = 2").collect()} == {("people", "stage", 2), ("h_person", "hub", 1), ("l_reports", "link", 1), ("s_pay", "sat", 2 + 2 + 1)}
+    assert v.journal.log.read().where(f"severity = {state.severity('success')}").count() == 3
+
+
+def test_duplicates_and_errors_go_to_the_journal(spark, vault):
+    v, frames = vault
+    v.registry.update("satellite", "pay", duplicate_threshold=2)
+    frames["Full"] = [(1, "a", 5), (1, "b", 5), (2, "c", 5)]
+    v.load("people", "Full", T1, run=1)
+    assert [r["name"] for r in v.table("sat", "pay").read().collect()] == ["c"]
+    kept = v.journal.log.read().where("message = 'Duplicate Key Removed'").select(F.get_json_object("detail", "$.name").alias("name"), "object", "run").collect()
+    assert sorted(tuple(r) for r in kept) == [("a", "s_pay", 1), ("b", "s_pay", 1)]
+    frames["Full"] = [(1, "x" * 3, 5)] * 3
+    with pytest.raises(ValueError, match="Duplicate Keys"):
+        v.load("people", "Full", T2, run=2)
+    errors = state.exceptions(v.journal.log.read(), T2).collect()
+    assert [(r["run"], r["object"]) for r in errors] == [(2, "people")] and "Duplicate Keys" in errors[0]["message"]
+    assert state.exceptions(v.journal.log.read(), T2 + timedelta(days=40)).count() == 0
+
+
+def test_a_delta_goes_on_after_the_last_mark(spark, tmp_path):
+    v, path = Vault(spark, str(tmp_path / "vault")), str(tmp_path / "changes")
+    schema = "id long, name string, op int, lsn long"
+    put = lambda *rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+    put((1, "a", 2, 1), (2, "b", 2, 2))
+    r = v.registry
+    r.insert("hub", config.HubConfig("person", ("pk",)))
+    r.insert("satellite", config.SatelliteConfig("names", "person", "hub", {"name": ColumnDef("name", "varchar", length=5)}))
+    r.insert("source", config.SourceConfig(stage.Source("people", "SequenceCdc", path=path, columns=("id", "name"), operation="op", sequence="lsn"), {"person": {"id": "pk"}}, satellites=("names",)))
+    v.load("people", "Delta", T1, run=1)
+    put((2, None, 1, 3), (1, "c", 4, 4))
+    v.load("people", "Delta", T2, run=2)
+    assert [r["mark"] for r in v.states.read().where("kind = 'sat'").orderBy("run").collect()] == ["2", "4"]
+    assert [r["name"] for r in temporal.point_in_time(v.table("sat", "names").read()).collect()] == ["c"]
+    assert v.states.read().where("kind = 'stage' and run = 2").first()["rows"] == 2
+    v.load("people", "Delta", T2 + timedelta(1), run=3)  # nothing new: the mark stays
+    assert v.states.read().where("kind = 'sat' and run = 3").first()["mark"] == "4"
+    empty = config.SourceConfig(stage.Source("none", "SequenceCdc", path=path, row_filter="lsn > 99", sequence="lsn", operation="op"), {"person": {"id": "pk"}}, satellites=("names",))
+    r.insert("source", empty)
+    with pytest.raises(ValueError, match="high-water"):
+        v.load("none", "Delta", T2)
+
+
+def test_tables_are_created_and_checked(spark, vault):
+    v, _ = vault
+    v.registry.update("hub", "person", types={"pk": "bigint"})
+    for kind, name in (("hub", "person"), ("link", "reports"), ("sat", "pay")):
+        assert v.create(kind, name).read().count() == 0
+        v.create(kind, name)
+        v.check_unique(kind, name)
+    v.load("people", "Full", T1)
+    assert v.table("hub", "person").read().count() == 4 and v.table("sat", "pay").read().count() == 2
+    twice = v.table("hub", "person").read().where("pk = 1")
+    v.table("hub", "person").commit(twice)
+    with pytest.raises(NotUnique, match="h_person"):
+        v.check_unique("hub", "person")
+    with pytest.raises(config.ConfigError):
+        Vault(spark, v.root + "-none", v.registry).read_object("hub", "person")
+
+
+def test_a_comparison_is_a_source(spark, vault):
+    v, frames = vault
+    v.load("people", "Full", T1)
+    frames["Full"] = [(1, "a", 5), (3, "d", 6)]
+    r = v.registry
+    r.insert("match", config.MatchConfig("people_pay", ("stage", "people"), ("sat", "pay"), (("name", "name"),)))
+    r.insert("hub", config.HubConfig("difference", ("name",)))
+    r.insert("source", config.SourceConfig(stage.Source("differences", kind="match", match="people_pay"), {"difference": {"name": "name"}}))
+    assert sorted(tuple(x) for x in v.compared("people_pay").collect()) == [("people", "d"), ("s_pay", "b")]
+    v.load("differences", "Full", T2)
+    assert sorted(x["name"] for x in v.table("hub", "difference").read().collect()) == ["b", "d"]
+    assert r.matches() == [{"match": "people_pay", "left_kind": "stage", "left_object": "people", "left_column": "name", "right_kind": "sat", "right_object": "pay", "right_column": "name"}]
+    assert v.read_object("link", "reports").columns[-2:] == ["person__pk", "boss__pk"]
+
+
+def test_the_other_kinds_of_configuration(vault):
+    r = vault[0].registry
+    r.insert("connection", config.ConnectionConfig("files", "csv", {"header": "true"}))
+    r.insert("system", config.SystemConfig("erp", "files"))
+    r.insert("function", config.FunctionConfig("shout", "upper(##1)"))
+    r.insert("default", config.DefaultConfig("Prefix", "h_"))
+    r.insert("version", config.VersionConfig("people_1", "people", 1, active=False))
+    assert r.default("Prefix") == "h_" and r.default("Other", "x") == "x" and r.stages() == []
+    r.update("version", "people_1", active=True)
+    assert [s["source"] for s in r.stages()] == ["people"]
+    again = r.recreate_satellite("pay", [ColumnDef("boss", "bigint")])
+    assert list(again.columns) == ["boss", "name"] and again.columns["name"].retired and again.abbreviation == "aaaa"
+    assert r.recreate_satellite("pay", [ColumnDef("boss", "bigint")]).abbreviation == "aaab"
+    r.releases.add(3)
+    r.move_all(3)
+    assert {row.release for rows in r.rows.values() for row in rows.values()} == {3}
 
 
 def test_a_failed_load_leaves_the_satellite(vault):
@@ -156,7 +266,8 @@ def test_releases_round_trip(spark, vault, tmp_path):
     release.export(spark, r, 0, str(tmp_path / "release"))
     rows = release.load(spark, str(tmp_path / "release"))
     other = config.Registry()
-    assert release.apply(other, rows) == {"hub": 1, "link": 1, "satellite": 1, "source": 1}
+    assert {k: n for k, n in release.apply(other, rows).items() if n} == {"hub": 1, "link": 1, "satellite": 1, "source": 1}
+    assert release.build(r, 0)[0]["build"] == 1 and release.build(r, 0)[0]["build"] == 2
     assert other.rows["hub"] == r.rows["hub"] and other.rows["satellite"] == r.rows["satellite"]
     with pytest.raises(config.ConfigError, match="expected"):
         release.apply(config.Registry(), rows[:-1])
@@ -214,6 +325,57 @@ def test_process_order_failure_and_restart():
     assert not run.deletable(run.created) and run.deletable(run.created + timedelta(hours=25))
 
 
+def test_a_run_survives_its_driver(spark, tmp_path):
+    log = state.Log(spark, str(tmp_path / "runs"), scheduler.RUN_SCHEMA)
+    run, done = a_run([("b", "a"), ("c", "b")], number=7, log=log), []
+
+    def load(t):
+        if t.name == "b":
+            raise KeyboardInterrupt  # the driver ends
+        done.append(t.name)
+
+    with pytest.raises(KeyboardInterrupt):
+        run.process(load)
+    again = scheduler.Run.resumed(log, 7)
+    assert {n: t.status for n, t in again.tasks.items()} == {"a": "Completed", "b": "Failed", "c": "Scheduled", "d": "Scheduled"} and again.status == "Failed"
+    again.restart()
+    again.process(lambda t: done.append(t.name))
+    assert done == ["a", "b", "c", "d"] or done == ["a", "b", "d", "c"]
+    tasks = scheduler.current_tasks(log.read())
+    assert {r["task"]: r["status"] for r in tasks.collect()} == dict.fromkeys("abcd", "Completed")
+    assert scheduler.run_status(tasks.select("run", "status")).first()["status"] == "Completed"
+    with pytest.raises(ValueError, match="no run 8"):
+        scheduler.Run.resumed(log, 8)
+
+
+def test_a_report(spark, tmp_path):
+    log = state.Log(spark, str(tmp_path / "runs"), scheduler.RUN_SCHEMA)
+    at = lambda h: T1 + timedelta(hours=h)
+    log.append([(1, "a", "Full", 0, "001", "Completed", at(1), at(2), "", [], at(0), 1), (1, "b", "Full", 0, "001", "Failed", at(2), at(3), "x", ["a"], at(0), 2), (2, "a", "Full", 0, "001", "Processing", at(5), None, "", [], at(4), 1)])
+    journal = spark.createDataFrame([(at(2.5), 1, "b", 8, "no", ""), (at(9), 1, "b", 8, "late", ""), (at(6), 2, "a", 8, "odd", ""), (at(6), 2, "s", 4, "gone", ""), (at(6), 2, "s", 4, "gone", "")], state.JOURNAL_SCHEMA)
+    found = {k: sorted(tuple(r) for r in df.collect()) for k, df in scheduler.progress(log.read(), journal, T1, "gone").items()}
+    assert found["runs"] == [(1, "Failed"), (2, "Unknown")] and found["errors"] == [(1, "b", at(2.5), "no"), (2, "a", at(6), "odd")] and found["removed"] == [(2, "s", 2)]
+    assert sorted(r[-1] for r in found["open_tasks"]) == [0, 1]
+
+
+def test_schedules_are_edited():
+    all_ = scheduler.Schedules()
+    all_.insert(scheduler.Schedule("One", {}))
+    for n in "ab":
+        all_.add_member("One", scheduler.Task(n))
+    all_.add_edge("One", "b", "a")
+    for bad, error in ((lambda: all_.add_edge("One", "a", "b"), scheduler.CircularReference), (lambda: all_.add_edge("One", "a", "z"), ValueError), (lambda: all_.insert(scheduler.Schedule("One", {})), ValueError), (lambda: all_.delete("One"), scheduler.IllegalTransition), (lambda: all_.add_member("One", scheduler.Task("a")), ValueError)):
+        with pytest.raises(error):
+            bad()
+    assert all_.rows["One"].edges == {("b", "a")}
+    all_.remove_member("One", "a")
+    assert all_.rows["One"].edges == set() and list(all_.rows["One"].members) == ["b"]
+    all_.update("One", cancelled=True)
+    assert all_.current() == []
+    all_.delete("One")
+    assert all_.rows == {}
+
+
 def test_cycles_transitions_and_cancel():
     for edges in ([("a", "b"), ("b", "a")], [("a", "a")]):
         with pytest.raises(scheduler.CircularReference):
@@ -246,9 +408,9 @@ def test_paths(spark):
 
 
 def test_changes_stream_into_a_satellite(spark, tmp_path):
-    sat, table = Satellite(("k",), ("v",)), store.Table(spark, str(tmp_path), "sat/s")
+    sat, table = Satellite(("k",), ("v",)), store.Table(spark, str(tmp_path), "sat/s", ("k",))
     empty = spark.createDataFrame([], "k long, v string")
-    table.commit(current=initial(sat, empty, T1, ""))
+    table.commit(initial(sat, empty, T1, ""), "dv_row_is_current")
     schema = "k long, v string, dv_cdc_action string, n int"
     spark.createDataFrame([(1, "a", "U", 0), (1, "b", "U", 1), (2, "c", "U", 0)], schema).write.parquet(str(tmp_path / "in"))
     for rows in ([], [(1, None, "D", 2), (2, "d", "U", 3)]):

@@ -21,7 +21,7 @@ def versions(table):
 
 
 def load(spark, table, rows, t, infer=True):
-    return satellite.merge(SAT, table, source(spark, rows), t, "v", infer).whole(table)
+    return satellite.merge(SAT, table, source(spark, rows), t, "v", infer)
 
 
 # Hubs and links
@@ -55,12 +55,13 @@ def test_links(spark):
     assert link.new_rows(rows((1, 2), (2, 1), (None, 1)), None, "l", ["r1", "r2"], T1, "1").count() == 2
 
 
-def test_large_tables_are_numbered_in_ranges(spark):
+def test_numbers_follow_the_order_over_many_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("a"), F.lit("x").alias("b"))
-    out = keys.numbered(df, ["a", "b"], "n", after=5, single_task_rows=100)
+    out = keys.numbered(df, ["a", "b"], "n", after=5)
     assert sorted((r["a"], r["n"]) for r in out.collect()) == [(k, k + 6) for k in range(1000)]
-    window = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "__range" in window
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hash" not in plan and "SinglePartition" not in plan
+    assert keys.numbered(df.limit(0), ["a", "b"], "n").count() == 0
 
 
 def test_lookup_defaults(spark):
@@ -86,6 +87,20 @@ def test_full_loads(spark):
     assert versions(third) == sorted([*versions(second), (2, True, False, T3, HIGH_DATE, (5, "n"))])
 
 
+def test_a_merge_is_one_join(spark):
+    first = satellite.initial(SAT, source(spark, [(1, 1, "x"), (2, 1, "y")]), T1, "v")
+    plan = load(spark, first, [(1, 2, "x")], T2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Union" not in plan
+
+
+def test_payload_types_are_the_satellites_own(spark):
+    first = satellite.initial(SAT, source(spark, [(1, 1, "x")]), T1, "v")
+    other = spark.createDataFrame([(1, "1", "x"), (2, "7", "y")], "k long, a string, b string")
+    done = satellite.merge(SAT, first, other, T2, "v", True)
+    assert done.schema["a"].dataType == first.schema["a"].dataType
+    assert versions(done) == [(1, True, False, T1, HIGH_DATE, (1, "x")), (2, True, False, T2, HIGH_DATE, (7, "y"))]
+
+
 def test_delta_keeps_missing_keys(spark):
     first = satellite.initial(SAT, source(spark, [(1, 1, "x"), (2, 1, "y")]), T1, "v")
     assert versions(load(spark, first, [(1, 1, "x")], T2, infer=False)) == versions(first)
@@ -117,7 +132,7 @@ def test_replay_like_row_by_row(spark, seed):
     rows = [(k, a, None if a == "D" else v, None if a == "D" else "s", n) for k, own in changes.items() for n, (a, v) in enumerate(own)]
     frame = spark.createDataFrame(rows, "k long, dv_cdc_action string, a int, b string, n int")
     done = satellite.replay(SAT, table, frame, ["n"], T2, "w")
-    whole = versions(done.whole(table))
+    whole = versions(done)
     for k in start:
         own = sorted((r for r in whole if r[0] == k), key=lambda r: (r[3], not r[2]))
         got = [None if r[2] else r[5][0] for r in own]
@@ -188,5 +203,14 @@ def test_duplicate_policy(spark):
 def test_metrics(spark, history):
     assert tuple(metrics.satellite_counts(history).first()) == (3, 0, 2, 1)
     df = spark.createDataFrame([(1, " "), (1, "ab "), (None, None)], "n int, s string")
+    mixed = spark.createDataFrame([(1, 2.5, "b", T1, b"x", True), (10, -1.0, "B", T2, None, False), (9, None, None, T1, b"x", True)], "i long, d double, s string, t timestamp, b binary, f boolean")
+    rows = {r["column_name"]: tuple(r)[1:] for r in metrics.column_profile(mixed, mixed.columns).collect()}
+    assert rows["i"] == ("1", "10", 3, 0, 0, 0, 0) and rows["d"] == ("-1.0", "2.5", 2, 1, 0, 0, 0) and rows["s"] == ("B", "b", 2, 1, 0, 1, 1)
+    assert rows["b"] == (None, None, 1, 1, 0, 0, 0) and rows["f"] == ("false", "true", 2, 0, 0, 0, 0) and rows["t"][2:] == (2, 0, 0, 0, 0)
+    numbers = metrics.column_profile(mixed, ["i", "d"])._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in numbers and "SortAggregate" not in numbers
+    assert [k for k in range(1, 15) if metrics.profiled_today(k, date(2024, 1, 7))] == [7, 14]  # a Sunday
+    assert metrics.profiled_today(3, date(2024, 1, 7), "Full") and metrics.profiled_today(3, date(2024, 1, 7), only=3) and not metrics.profiled_today(4, date(2024, 1, 7), only=3)
+    assert [tuple(r)[:4] for r in metrics.satellite_profile(history, ["a"], T2).collect()] == [("a", "2", "2", 1)]
     got = {r["column_name"]: tuple(r)[1:] for r in metrics.column_profile(df, ["n", "s"]).collect()}
     assert got == {"n": ("1", "1", 1, 1, 0, 0, 0), "s": (" ", "ab ", 2, 1, 1, 0, 2)}

@@ -1,9 +1,12 @@
 """Licence scans: winnowed fingerprints pick templates, banded alignment reports what matched.
 
 The templates' winnowed word-gram fingerprints form an inverted index, in which every word-gram of a
-text is looked up (so a shared run of GRAM + WINDOW - 1 words is never missed). Fingerprints in common
+text is looked up (so a shared run of gram + window - 1 words is never missed; short notices have short
+grams, long texts longer ones and wider windows). Fingerprints in common
 that lie on nearby diagonals make a candidate, and a banded local alignment of template and text words gives the matched span and the share of the
-template's words that it covers. The index is as large as the templates, not the data.
+template's words that it covers. Of a LEAST_COVERAGE or more, a match has the template's name, if it also holds the
+words that tell the template from its neighbours (version, clause, name); from LEAST_PART on it is reported
+as a part. The index is as large as the templates, not the data.
 """
 
 from __future__ import annotations
@@ -16,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siltstone.llm.common import pieces, utf8_buffer
-from siltstone.llm.license_texts import TEMPLATES
+from siltstone.llm.license_texts import TELLING, TEMPLATES
 from siltstone.llm.words import Words, grams, winnowed, words
 
-GRAM = 3
-WINDOW = 3
-BAND = 12
-LEAST_COVERAGE = 0.8
+#: (gram, window) of templates of fewer words than LONG, and of the others.
+SHORT_GRAMS, LONG_GRAMS, LONG = (3, 3), (4, 5), 60
+#: Words by which an alignment may drift: a quarter of the template's, within these bounds.
+BANDS = (6, 24)
+LEAST_COVERAGE, LEAST_PART = 0.8, 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -30,6 +34,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 class Index:
     names: tuple[str, ...]
     hashes: tuple[np.ndarray, ...]
+    telling: tuple[tuple[np.ndarray, ...], ...]
+    gram: int
     keys: np.ndarray
     template: np.ndarray
     place: np.ndarray
@@ -40,28 +46,39 @@ def _tokens(text: str) -> Words:
     return words(data, np.array([0, len(data)]))
 
 
-def build(templates: Mapping[str, str]) -> Index:
-    """The inverted index, sorted by fingerprint; a template of fewer words than a gram is left out."""
-    names = tuple(sorted(templates))
-    keys, of, place, hashes = [], [], [], []
-    for k, name in enumerate(names):
-        found = _tokens(templates[name])
-        at, value = grams(found, GRAM)
-        kept = winnowed(at, value, found.owner, WINDOW)
-        keys.append(value[kept].astype(np.uint64))
-        place.append(at[kept])
-        of.append(np.full(len(kept), k))
-        hashes.append(found.hash)
-    keys, of, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, of, place))
-    order = np.argsort(keys, kind="stable")
-    return Index(names, tuple(hashes), keys[order], of[order], place[order])
-
-
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+def build(templates: Mapping[str, str], telling: Mapping[str, tuple[str, ...]] = TELLING) -> list[Index]:
+    """The inverted indexes of short and of long templates, each sorted by fingerprint; a template of fewer words than a gram is left out."""
+    sizes = {name: len(_tokens(text).hash) for name, text in templates.items()}
+    out = []
+    for (gram, window), is_long in ((SHORT_GRAMS, False), (LONG_GRAMS, True)):
+        names = tuple(sorted(n for n in templates if (sizes[n] >= LONG) == is_long))
+        keys, of, place, hashes = [], [], [], []
+        for k, name in enumerate(names):
+            found = _tokens(templates[name])
+            at, value = grams(found, gram)
+            kept = winnowed(at, value, found.owner, window)
+            keys.append(value[kept].astype(np.uint64))
+            place.append(at[kept])
+            of.append(np.full(len(kept), k))
+            hashes.append(found.hash)
+        keys, of, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, of, place))
+        order = np.argsort(keys, kind="stable")
+        marks = tuple(tuple(_tokens(t).hash for t in telling.get(n, ())) for n in names)
+        out.append(Index(names, tuple(hashes), marks, gram, keys[order].astype(np.uint64), of[order], place[order]))
+    return out
+
+
+def _holds(words_of: np.ndarray, run: np.ndarray) -> bool:
+    """Whether a run of words occurs among others."""
+    at = np.flatnonzero(words_of[: len(words_of) - len(run) + 1] == run[0]) if len(words_of) >= len(run) else ()
+    return any((words_of[k : k + len(run)] == run).all() for k in at)
+
+
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
     """(matches, first, end) of the best local alignment within ``band`` of a diagonal (text minus template).
 
     Row by row over the template; each row holds 2 * band + 1 cells of (score, matches, first word).
-    Ties take the match, then the skipped text word, then the skipped template word.
+    Ties take more matched words, then the match, the skipped text word, the skipped template word.
     """
     width = 2 * band + 1
     score, matches, first = [0] * width, [0] * width, [-1] * width
@@ -75,83 +92,95 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
             hit = template[i] == text[j]
             s = score[c] + (MATCH if hit else MISMATCH)
             m, f = matches[c] + hit, first[c]
-            if c and new_score[c - 1] + GAP > s:
+            if c and (new_score[c - 1] + GAP, new_matches[c - 1]) > (s, m):
                 s, m, f = new_score[c - 1] + GAP, new_matches[c - 1], new_first[c - 1]
-            if c + 1 < width and score[c + 1] + GAP > s:
+            if c + 1 < width and (score[c + 1] + GAP, matches[c + 1]) > (s, m):
                 s, m, f = score[c + 1] + GAP, matches[c + 1], first[c + 1]
             if s <= 0:
                 continue
             f = j if f < 0 else f
             new_score[c], new_matches[c], new_first[c] = s, m, f
-            if s > best[0]:
+            if (s, m) > best[:2]:
                 best = (s, m, f, j + 1)
         score, matches, first = new_score, new_matches, new_first
     return best[1:]
 
 
-def matches(index: Index, data: np.ndarray, offsets: np.ndarray, least: float = LEAST_COVERAGE) -> dict[int, list[tuple[str, float, int, int]]]:
-    """For each text with any: (name, coverage, start byte, end byte) of its matches, in order of place.
-
-    Overlapping matches stay if they are of different templates, unless one lies in a longer one.
-    """
-    found = words(data, offsets)
-    at, value = grams(found, GRAM)
+def candidates(index: Index, found: Words, begins: np.ndarray) -> dict[tuple[int, int], list[int]]:
+    """Diagonals (text minus template) on which fingerprints agree, by (text, template)."""
+    at, value = grams(found, index.gram)
     seen = np.zeros(1 << 16, bool)
     seen[(index.keys >> np.uint64(48)).astype(np.int64)] = True
     likely = seen[(value >> np.uint64(48)).astype(np.int64)]
     at, value = at[likely], value[likely]
     low = np.searchsorted(index.keys, value, side="left")
     n = np.searchsorted(index.keys, value, side="right") - low
-    hit = np.flatnonzero(n)
-    out: dict[int, list] = {}
-    begins = np.searchsorted(found.owner, np.arange(len(offsets)))
-    candidates: dict[tuple[int, int], list[int]] = {}
-    for h in hit.tolist():
+    out: dict[tuple[int, int], list[int]] = {}
+    for h in np.flatnonzero(n).tolist():
         for e in range(low[h], low[h] + n[h]):
             of = int(found.owner[at[h]])
-            candidates.setdefault((of, int(index.template[e])), []).append(int(at[h] - begins[of] - index.place[e]))
-    for (of, t), diagonals in candidates.items():
-        template, begin, end = index.hashes[t], int(begins[of]), int(begins[of + 1])
-        last = None
-        for d in sorted(set(diagonals)):
-            if last is not None and d - last <= BAND // 2:
-                continue
-            last = d
-            a, b = max(0, d - BAND), min(end - begin, d + len(template) + BAND)
-            m, first, stop = align(template, found.hash[begin + a : begin + b], d - a)
-            if m >= least * len(template):
-                s, e = int(found.start[begin + a + first]), int(found.end[begin + a + stop - 1])
-                out.setdefault(of, []).append((index.names[t], m / len(template), s, e, m))
+            out.setdefault((of, int(index.template[e])), []).append(int(at[h] - begins[of] - index.place[e]))
+    return out
+
+
+def matches(indexes: list[Index], data: np.ndarray, offsets: np.ndarray, least: float = LEAST_COVERAGE, part: float = LEAST_PART) -> dict[int, list[tuple[str, float, int, int, bool]]]:
+    """For each text with any: (name, coverage, start byte, end byte, whole) of its matches, in order of place.
+
+    whole: ``least`` of the template and every telling run are there. Overlapping matches stay if they are
+    of different templates, unless one lies in a longer one, or is a part that meets a whole one.
+    """
+    found = words(data, offsets)
+    begins = np.searchsorted(found.owner, np.arange(len(offsets)))
+    out: dict[int, list] = {}
+    for index in indexes:
+        for (of, t), diagonals in candidates(index, found, begins).items():
+            template, begin, end = index.hashes[t], int(begins[of]), int(begins[of + 1])
+            band, last = min(max(len(template) // 4, BANDS[0]), BANDS[1]), None
+            for d in sorted(set(diagonals)):
+                if last is not None and d - last <= band // 2:
+                    continue
+                last = d
+                a, b = max(0, d - band), min(end - begin, d + len(template) + band)
+                m, first, stop = align(template, found.hash[begin + a : begin + b], d - a, band)
+                if m >= part * len(template) and m >= 3:
+                    inside = found.hash[begin + a + first : begin + a + stop]
+                    whole = m >= least * len(template) and all(_holds(inside, run) for run in index.telling[t])
+                    s, e = int(found.start[begin + a + first]), int(found.end[begin + a + stop - 1])
+                    out.setdefault(of, []).append((index.names[t], m / len(template), s, e, whole, m))
     for of, rows in out.items():
         rows = sorted(set(rows), key=lambda x: (x[2], -x[3], -x[1], x[0]))
-        rank = lambda x: (x[3] - x[2], x[4], x[1], x[0])  # noqa: E731  span, words matched, share
-        out[of] = [x[:4] for x in rows if not any(y[2] <= x[2] and x[3] <= y[3] and rank(y) > rank(x) for y in rows)]
+        rank = lambda x: (x[4], x[3] - x[2], x[5], x[1], x[0])  # noqa: E731  whole, span, words matched, share
+        meets = lambda x, y: y[2] < x[3] and x[2] < y[3] if y[4] and not x[4] else y[2] <= x[2] and x[3] <= y[3]
+        out[of] = [x[:5] for x in rows if not any(y is not x and meets(x, y) and rank(y) > rank(x) for y in rows)]
     return out
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_matches, licenses, coverage, spans) of every row, from the whole text.
+    """(id, n_matches, licenses, coverage, spans, parts) of every row, from the whole text.
 
     licenses: the distinct names, sorted, comma-joined. coverage: the largest (0 without a match).
     spans: ``name:start:end:coverage`` by start, comma-joined; code points, end exclusive, coverage in
-    per cent rounded down. Null and empty texts match nothing; ids may repeat or be null.
+    per cent rounded down. parts: the same of matches that hold only a part of a template, or not the words
+    that tell it from its neighbours; they count in no other column. Null and empty texts match nothing; ids
+    may repeat or be null.
     """
-    index = build(templates)
+    indexes = build(templates)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text="__text"):
             data, offsets = utf8_buffer(batch.column("__text"))
-            got = matches(index, data, offsets)
+            got = matches(indexes, data, offsets)
             n = batch.num_rows
-            count, names, cover, spans = np.zeros(n, np.int64), [""] * n, np.zeros(n), [""] * n
+            count, names, cover, spans, parts = np.zeros(n, np.int64), [""] * n, np.zeros(n), [""] * n, [""] * n
             for of, rows in got.items():
                 text = data[offsets[of] : offsets[of + 1]].tobytes()
                 place = lambda b, o=offsets[of], t=text: len(t[: b - o].decode("utf-8", "ignore"))
-                count[of], names[of], cover[of] = len(rows), ",".join(sorted({x[0] for x in rows})), max(x[1] for x in rows)
-                spans[of] = ",".join(f"{name}:{place(s)}:{place(e)}:{int(100 * c)}" for name, c, s, e in rows)
-            arrays = [pa.array(count), pa.array(names, pa.string()), pa.array(cover), pa.array(spans, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [id_col, "n_matches", "licenses", "coverage", "spans"])
+                whole = [x for x in rows if x[4]]
+                count[of], names[of], cover[of] = len(whole), ",".join(sorted({x[0] for x in whole})), max((x[1] for x in whole), default=0)
+                spans[of], parts[of] = (",".join(f"{x[0]}:{place(x[2])}:{place(x[3])}:{int(100 * x[1])}" for x in rows if x[4] == w) for w in (True, False))
+            arrays = [pa.array(count), pa.array(names, pa.string()), pa.array(cover), pa.array(spans, pa.string()), pa.array(parts, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [id_col, "n_matches", "licenses", "coverage", "spans", "parts"])
 
-    schema = f"`{id_col}` {kind}, n_matches long, licenses string, coverage double, spans string"
+    schema = f"`{id_col}` {kind}, n_matches long, licenses string, coverage double, spans string, parts string"
     return docs.select(id_col, docs[text_col].alias("__text")).mapInArrow(run, schema)

@@ -1,7 +1,8 @@
 import random
+import re
 
 from siltstone.llm import licenses
-from siltstone.llm.license_texts import TEMPLATES
+from siltstone.llm.license_texts import TELLING, TEMPLATES
 
 
 def scan(documents, texts):
@@ -14,7 +15,7 @@ def test_every_template_is_found_in_place(documents):
     before = ["é " * rng.randint(0, 30) + "lorem ipsum dolor\n" for _ in names]
     got = scan(documents, [b + TEMPLATES[n] + "\nsit amet" for b, n in zip(before, names, strict=True)])
     for k, name in enumerate(names):
-        assert name in got[k]["licenses"].split(",")
+        assert name in got[k]["licenses"].split(","), name
         start, end = (int(x) for s in got[k]["spans"].split(",") if s.startswith(f"{name}:") for x in s.split(":")[1:3])
         assert (start, end) == (len(before[k]), len(before[k]) + len(TEMPLATES[name].rstrip('.,;:"/ ')))
 
@@ -38,3 +39,71 @@ def test_clean_and_odd_texts(documents):
 def test_two_licences_in_one_text(documents):
     got = scan(documents, [TEMPLATES["mit-line"] + " x " + TEMPLATES["gpl-3.0-line"] + " y " + TEMPLATES["mit-line"]])
     assert (got[0]["n_matches"], got[0]["licenses"]) == (3, "gpl-3.0-line,mit-line")
+
+
+def best_local(template, text):
+    """(matched words, end) of the best local alignment, by the full table of Smith and Waterman."""
+    score, hits, best = [[0] * (len(text) + 1) for _ in range(len(template) + 1)], [[0] * (len(text) + 1) for _ in range(len(template) + 1)], (0, 0)
+    for i in range(1, len(template) + 1):
+        for j in range(1, len(text) + 1):
+            hit = template[i - 1] == text[j - 1]
+            s, m = max((score[i - 1][j - 1] + (licenses.MATCH if hit else licenses.MISMATCH), hits[i - 1][j - 1] + hit), (score[i][j - 1] + licenses.GAP, hits[i][j - 1]), (score[i - 1][j] + licenses.GAP, hits[i - 1][j]))
+            score[i][j], hits[i][j] = (s, m) if s > 0 else (0, 0)
+            best = max(best, (score[i][j], hits[i][j]))
+    return best[1]
+
+
+def split(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+
+
+def shares_a_run(text, name):
+    """Whether a text has as many words of a template in a row as make it a candidate for certain."""
+    w, t = split(text), split(TEMPLATES[name])
+    size = sum(licenses.LONG_GRAMS if len(t) >= licenses.LONG else licenses.SHORT_GRAMS) - 1
+    runs = {tuple(t[k : k + size]) for k in range(max(1, len(t) - size + 1))}
+    return any(tuple(w[k : k + len(next(iter(runs)))]) in runs for k in range(len(w)))
+
+
+def holds(text, name):
+    """Whether a text holds enough of a template, and what tells it from others."""
+    w, t = split(text), split(TEMPLATES[name])
+    joined = " ".join(w)
+    return best_local(t, w) >= 0.8 * len(t) and all(f" {' '.join(split(r))} " in f" {joined} " for r in TELLING.get(name, ()))
+
+
+def test_against_full_alignment(documents):
+    """Every name that is reported is one that full alignment of all templates finds, and the largest such is never missed."""
+    rng = random.Random(5)
+    texts = []
+    for name in sorted(TEMPLATES):
+        words = TEMPLATES[name].split()
+        for share in (0.05, 0.25):
+            out = [w if rng.random() > share else rng.choice(["", "word", w + " word"]) for w in words]
+            texts.append(" ".join(["lorem"] * rng.randint(0, 5) + out + ["ipsum"] * rng.randint(0, 5)))
+    got = scan(documents, texts)
+    for k, text in enumerate(texts):
+        want = {n for n in TEMPLATES if holds(text, n)}
+        found = set(got[k]["licenses"].split(",")) - {""}
+        assert found <= want, (text, found, want)
+        assert found or not any(shares_a_run(text, n) for n in want), (text, want)
+
+
+def test_neighbours_keep_their_names(documents):
+    texts = [
+        TEMPLATES["lgpl-2.1-or-later-header"], TEMPLATES["agpl-3.0-or-later-header"], TEMPLATES["bsd-3-clause"], TEMPLATES["bsd-2-clause"], TEMPLATES["gpl-2.0-line"], TEMPLATES["cc-by-3.0-line"],
+        "This work is licensed under a Creative Commons Attribution 2.5 Generic License.", TEMPLATES["gpl-3.0-line"].replace("3", "4"), " ".join(TEMPLATES["mit"].split()[:90]),
+    ]
+    got = scan(documents, texts)
+    assert [got[k]["licenses"] for k in range(6)] == ["lgpl-2.1-or-later-header", "agpl-3.0-or-later-header", "bsd-3-clause", "bsd-2-clause", "gpl-2.0-line", "cc-by-3.0-line"]
+    assert [got[k]["n_matches"] for k in (6, 7, 8)] == [0, 0, 0]
+    assert got[6]["parts"] and got[7]["parts"] and got[8]["parts"].startswith("mit:0:")
+    assert all(not got[k]["parts"] for k in range(6))
+
+
+def test_very_long_texts_ties_and_ids(spark):
+    long = "free of charge " * 200_000 + TEMPLATES["mit"] + " x" * 300_000 + " " + TEMPLATES["mit-line"]
+    rows = [(None, long), (3, TEMPLATES["mit-line"]), (3, TEMPLATES["mit-line"]), (None, None)]
+    docs = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, spans string, licenses string").repartition(2)
+    got = sorted((str(r["doc_id"]), r["licenses"], r["n_matches"]) for r in licenses.scan(docs).collect())
+    assert got == [("3", "mit-line", 1), ("3", "mit-line", 1), ("None", "", 0), ("None", "mit,mit-line", 2)]

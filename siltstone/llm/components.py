@@ -8,27 +8,28 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import checkpointed
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (columns a, b); root is the smallest node reachable.
 
     Every round links each node's larger neighbours to its smallest neighbour (large star), then
-    its smaller ones (small star). Minima are aggregated map-side first and joined back by equality,
-    so that a hub is never gathered in one task. Each round ends in a checkpoint; only two numbers
-    go to the driver. Nulls and self-loops are ignored; an empty table gives an empty result.
+    its smaller ones (small star), until a round changes no edge. Minima are aggregated map-side first
+    and joined back by equality, so that a hub is never gathered in one task. Each round ends in a
+    checkpoint; only counts go to the driver. Nulls and self-loops are ignored; an empty table gives an
+    empty result.
     """
     star = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     star = checkpointed(star)
-    seen = None
-    for _ in range(rounds):
-        now = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-        if now == seen:
-            return star.select(F.col("a").alias("node"), F.col("b").alias("root")).union(star.select("b", "b").distinct())
-        seen = now
+    while star.limit(1).count():
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).where("a <> b")
-        star = checkpointed(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        after = checkpointed(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        marked = star.withColumn("was", F.lit(1)).unionByName(after.withColumn("was", F.lit(0)))
+        changed = marked.groupBy("a", "b").agg(F.min("was").alias("low"), F.max("was").alias("high")).where("low = high").limit(1).count()
+        star = after
+        if not changed:
+            break
+    return star.select(F.col("a").alias("node"), F.col("b").alias("root")).union(star.select("b", "b").distinct())

@@ -50,17 +50,42 @@ def test_query_against_brute_force(spark, documents, folder):
     assert [got[k]["component_id"] for k in range(len(texts))] == components(values)
 
 
-@pytest.mark.parametrize(("distance", "segments"), [(4, 3), (4, 4), (3, 2), (0, 3)])
-def test_links_lose_none(spark, distance, segments):
-    rng = np.random.default_rng(1)
+def clustered(seed, size=40):
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**63, 6)
-    values = sorted({int(b) ^ int(sum(1 << int(i) for i in rng.permutation(64)[: rng.integers(0, 4)])) for b in base for _ in range(40)})
-    values = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
-    got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), distance, segments).collect()}
-    mask = (1 << 64) - 1
+    values = sorted({int(b) ^ int(sum(1 << int(i) for i in rng.permutation(64)[: rng.integers(0, 4)])) for b in base for _ in range(size)})
+    return [v - (1 << 64) if v >= 1 << 63 else v for v in values]
+
+
+@pytest.mark.parametrize(("distance", "segments", "joined"), [(4, 3, 1), (4, 4, 1), (3, 2, 1), (0, 3, 1), (4, 6, 2), (4, 7, 3), (4, 8, 4), (5, 4, 2)])
+def test_links_lose_none(spark, distance, segments, joined):
+    values, mask = clustered(1), (1 << 64) - 1
+    distinct = spark.createDataFrame([(v,) for v in values], "fp long")
+    got = {(r["a"], r["b"]) for r in simhash.links(distinct, distance, simhash.key_set(distance, segments, joined)).collect()}
     assert got == {(a, b) for a in values for b in values if a < b and bin((a ^ b) & mask).count("1") <= distance}
 
 
+def test_more_fingerprints_take_longer_keys():
+    assert [k.mask.bit_count() for k in simhash.keys(4, 200_000)] == [22, 21, 21]
+    for n in (10**9, 10**11):
+        best = simhash.keys(4, n)
+        assert simhash.work(best, n) <= min(simhash.work(simhash.key_set(4, m, t), n) for m, t in ((3, 1), (5, 2), (7, 3), (8, 4)))
+        assert min(k.mask.bit_count() for k in best) > 22
+
+
+@pytest.mark.parametrize("many", [1, 3, 1000])
+def test_components_of_clusters_need_no_list_of_all_pairs(spark, many, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0 if many == 3 else 1000)
+    values, mask = clustered(7, 60), (1 << 64) - 1
+    distinct = spark.createDataFrame([(v,) for v in values], "fp long")
+    got = {r["node"]: r["root"] for r in simhash.roots(distinct, many=many).collect()}
+    want = components([v & mask for v in values])
+    groups = {}
+    for v, r in zip(values, want, strict=True):
+        groups.setdefault(r, []).append(v)
+    assert got == {v: min(own) for own in groups.values() for v in own}
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (300, 300), (None, 5)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

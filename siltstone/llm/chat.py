@@ -29,17 +29,18 @@ TEXT_ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
 ROLE_ESCAPES = (*TEXT_ESCAPES, (":", "\\c"), ("\n", "\\n"))
 LEARNED_ROLE = "assistant"
 
-# Names that data sets use for the three roles.
+# Names that ``from`` fields use for the three roles. A ``role`` field is canonical as it stands.
 ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 
 
 @dataclass(frozen=True)
 class Each:
-    """One turn for each element of an array of structs."""
+    """One turn for each element of an array of structs. named: roles are put into the canonical names; else they stay."""
 
     items: str
     role: str
     text: str
+    named: bool = False
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,7 @@ class Mapping:
 
 MAPPINGS = (
     Mapping("messages", (Each("messages", "role", "content"),), frozenset({"messages[].content"})),
-    Mapping("conversations", (Each("conversations", "from", "value"),), frozenset({"conversations[].value"})),
+    Mapping("conversations", (Each("conversations", "from", "value", named=True),), frozenset({"conversations[].value"})),
     Mapping(
         "instruction",
         (One("system", ("system",)), One("user", ("instruction", "input")), One("assistant", ("output",))),
@@ -123,14 +124,15 @@ def _has(df: DataFrame, path: str) -> bool:
     return True
 
 
-def _turn(role: Column, text: Column) -> Column:
+def _turn(role: Column, text: Column, named: bool = False) -> Column:
     name = F.coalesce(role.cast("string"), F.lit(""))
-    names = F.create_map(*(F.lit(x) for kv in ROLE_NAMES.items() for x in kv))
-    return F.struct(F.coalesce(names[name], name).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
+    if named:
+        name = F.coalesce(F.create_map(*(F.lit(x) for kv in ROLE_NAMES.items() for x in kv))[name], name)
+    return F.struct(name.alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
 def _each(items: Column, t: Each, has_text: bool) -> Column:
-    return F.transform(items, lambda m: _turn(m[t.role], m[t.text] if has_text else F.lit(None)))
+    return F.transform(items, lambda m: _turn(m[t.role], m[t.text] if has_text else F.lit(None), t.named))
 
 
 def _turns(df: DataFrame, mapping: Mapping) -> Column:

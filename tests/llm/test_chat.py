@@ -50,12 +50,12 @@ def test_control_strings_come_back(spark):
 
 
 def test_query_against_plain_python(spark, folder):
-    rows = [(1, 1, "assistant", "ho"), (1, 0, "user", None), (2, 0, None, ""), (2, 0, "assistant", "b"), (2, 0, "assistant", "b"), (None, 3, "assistant", "n"), (3, 7, "user", "###")]
+    rows = [(1, 1, "assistant", "ho"), (1, 0, "user", None), (2, 0, None, ""), (2, 0, "assistant", "b"), (2, 0, "assistant", "b"), (None, 3, "assistant", "n"), (3, 7, "user", "###"), (4, 0, "human", "h"), (4, 1, "gpt", "g")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, messages string")
     got = {r["conv_id"]: r for r in op1_chat(spark, folder(conversations=df)).collect()}
     rows += [(-7, k, role, "\\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))]
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert set(got) == {1, 2, 3, None, -7}
+    assert set(got) == {1, 2, 3, 4, None, -7}
     for conv, row in got.items():
         own = sorted((t, r or "", x or "") for c, t, r, x in rows if c == conv)
         learned = "".join(x for _, r, x in own if r == "assistant")

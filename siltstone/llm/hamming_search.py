@@ -6,8 +6,9 @@ substrings of about log2(rows) bits, each entered in a table of its own.
 
 1. Probing. A query looks up, in every table, all values within a few bits of its own substring. By the
    pigeonhole rule that retrieves every code within TABLES * (bits + 1) - 1 bits, and most of those farther
-   away. A first round flips one bit; a query whose k nearest lie within half of the radius that this
-   guarantees is settled. The others flip as many bits as retrieve RECALL of the neighbours within the sample.
+   away. Where the sample has neighbours that near, a first round flips one bit, and a query whose k nearest lie
+   within half of the radius that this guarantees is settled. The others flip as many bits as retrieve RECALL
+   of the neighbours within the sample.
 2. Of the codes retrieved, those within the learned Hamming radius are scored by inner products of the
    original vectors in double precision. No other pair is.
 3. A query that has fewer than k answers by then is scored against all rows, in blocks.
@@ -48,13 +49,22 @@ _PAIRS = 1 << 20
 
 @dataclass(frozen=True)
 class Coder:
-    """rotation: (dims + 1, bits); largest: the largest norm; piece: bits of a substring; flips, radius: learned."""
+    """rotation: (dims + 1, bits); largest: the largest norm; piece: bits of a substring; flips, radius, close: learned.
+
+    close: whether some neighbours of the sample lie within half of what one flip guarantees.
+    """
 
     rotation: np.ndarray
     largest: float
     piece: int
     flips: int = 0
     radius: int = 0
+    close: bool = True
+
+    @property
+    def kind(self) -> str:
+        """How a substring is stored."""
+        return "<u2" if self.piece <= 16 else "<u4"
 
     @property
     def lead(self) -> int:
@@ -72,6 +82,11 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
+def settled_bits(flips: int) -> int:
+    """Half of the bits within which so many flips retrieve every code."""
+    return (TABLES * (flips + 1) - 1) // 2
+
+
 def flips_of(bits: int, most: int) -> np.ndarray:
     """All values of ``bits`` bits with ``most`` ones at most."""
     return np.array([sum(1 << i for i in c) for n in range(min(most, bits) + 1) for c in combinations(range(bits), n)], np.uint32)
@@ -104,8 +119,9 @@ def fit(sample: np.ndarray, largest: float, rows: int, k: int) -> Coder:
     at = np.argpartition(-scores, near - 1, axis=1)[:, :near]
     apart = np.bitwise_count(coder.pieces(sample[:n], True)[:, None] ^ coder.pieces(sample, False)[at])
     flips = int(np.quantile(apart.min(axis=2), RECALL, method="higher"))
-    radius = int(np.quantile(apart.sum(axis=2, dtype=np.int32), QUANTILE)) + 1
-    return Coder(coder.rotation, largest, piece, flips, radius)
+    bits = apart.sum(axis=2, dtype=np.int32)
+    radius = int(np.quantile(bits, QUANTILE)) + 1
+    return Coder(coder.rotation, largest, piece, flips, radius, bool((bits.max(axis=1) <= settled_bits(1)).any()))
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -117,9 +133,9 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _matrix(column: pa.Array, kind: str) -> np.ndarray:
-    """Binary rows as a matrix of doubles or substrings."""
+    """Binary rows as a matrix, of doubles or of unsigned 32-bit substrings."""
     found = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
-    return found if kind == "<u4" else found.astype(float)
+    return found.astype(np.uint32 if "u" in kind else float)
 
 
 def _coded(df: DataFrame, coder: Coder, name: str, query: bool, kind: str) -> DataFrame:
@@ -130,29 +146,29 @@ def _coded(df: DataFrame, coder: Coder, name: str, query: bool, kind: str) -> Da
         for batch in batches:
             if batch.num_rows:
                 v = np.asarray(batch.column("v").flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
-                codes = shared.value.pieces(v, query).astype("<u4")
+                codes = shared.value.pieces(v, query).astype(shared.value.kind)
                 yield pa.RecordBatch.from_arrays([batch.column(name), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (v.astype(kind), codes))], [name, "v", "code"])
 
     return df.select(name, "v").mapInArrow(run, f"{name} long, v binary, code binary")
 
 
-def _dealt(coded: DataFrame, coder: Coder, name: str, flips: int | None) -> DataFrame:
+def _dealt(coded: DataFrame, coder: Coder, flips: int | None) -> DataFrame:
     """coded with table and lead: the range that an entry stands in (flips None), or the ranges that a query probes."""
-    lead, shift = coder.lead, coder.piece - coder.lead
+    lead, shift, kind, names = coder.lead, coder.piece - coder.lead, coder.kind, coded.columns
     masks = flips_of(lead, 0 if flips is None else flips)
+    each = TABLES * len(masks)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, max(1, (1 << 16) // (TABLES * len(masks)))):
-                some = batch.slice(at, max(1, (1 << 16) // (TABLES * len(masks))))
-                own = _matrix(some.column("code"), "<u4") >> np.uint32(shift)
+            for at in range(0, batch.num_rows, max(1, (1 << 16) // each)):
+                some = batch.slice(at, max(1, (1 << 16) // each))
+                own = _matrix(some.column("code"), kind) >> np.uint32(shift)
                 leads = (own[:, :, None] ^ masks).reshape(-1).astype(np.int32)
-                each = TABLES * len(masks)
                 index = pa.array(np.repeat(np.arange(some.num_rows), each))
                 tables = np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), len(masks)), some.num_rows)
-                yield pa.RecordBatch.from_arrays([*(c.take(index) for c in some.columns), pa.array(tables), pa.array(leads)], [name, "v", "code", "table", "lead"])
+                yield pa.RecordBatch.from_arrays([*(c.take(index) for c in some.columns), pa.array(tables), pa.array(leads)], [*names, "table", "lead"])
 
-    return coded.mapInArrow(run, f"{name} long, v binary, code binary, table int, lead int")
+    return coded.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coded.schema) + ", table int, lead int")
 
 
 @dataclass
@@ -225,18 +241,18 @@ def probed(queries: DataFrame, entries: DataFrame, coder: Coder, flips: int, k:
 
     queries: (q, v, code); entries: (x, v, code).
     """
-    right = _dealt(entries, coder, "x", None)
-    sizes = right.groupBy("table", "lead").count().select("table", "lead", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    right = _dealt(entries, coder, None)
+    sizes = _dealt(entries.select("code"), coder, None).groupBy("table", "lead").count().select("table", "lead", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
     sizes = small(checkpointed(sizes), BROADCAST_ROWS)
     right = right.join(sizes, ["table", "lead"]).withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).drop("parts")
-    left = _dealt(queries, coder, "q", flips).join(sizes, ["table", "lead"])
+    left = _dealt(queries, coder, flips).join(sizes, ["table", "lead"])
     left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
         found = Found(k)
         if q.num_rows and x.num_rows:
             table, lead = q.column("table")[0].as_py(), q.column("lead")[0].as_py()
-            qc, xc = (_matrix(d.column("code").combine_chunks(), "<u4") for d in (q, x))
+            qc, xc = (_matrix(d.column("code").combine_chunks(), coder.kind) for d in (q, x))
             qv, xv = (_matrix(d.column("v").combine_chunks(), kind) for d in (q, x))
             order = np.argsort(xc[:, table], kind="stable")
             asked, names = q.column("q").to_numpy(), x.column("x").to_numpy()[order]
@@ -297,12 +313,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     queries = checkpointed(_coded(wanted, coder, "q", True, kind))
 
     # An entry of a query's own copies is one of its answers, so k + 1 entries, and k + 1 rows of each, are enough.
-    first = min(1, coder.flips)
-    near = checkpointed(probed(queries, entries, coder, first, k + 1, kind))
-    safe = F.col("bits") <= (TABLES * (first + 1) - 1) // 2
-    sure = near.where(safe).join(groups.select("x", "rows"), "x").groupBy("q").agg(F.sum("rows").alias("n")).where(F.col("n") > k).select("q")
-    left = checkpointed(queries.join(sure, "q", "left_anti"))
-    found = near.join(sure, "q", "left_semi").union(probed(left, entries, coder, coder.flips, k + 1, kind))
+    left, found = queries, None
+    if coder.close and coder.flips > 1:
+        near = checkpointed(probed(queries, entries, coder, 1, k + 1, kind))
+        safe = F.col("bits") <= settled_bits(1)
+        sure = near.where(safe).join(groups.select("x", "rows"), "x").groupBy("q").agg(F.sum("rows").alias("n")).where(F.col("n") > k).select("q")
+        left, found = checkpointed(queries.join(sure, "q", "left_anti")), near.join(sure, "q", "left_semi")
+    last = probed(left, entries, coder, coder.flips, k + 1, kind)
+    found = last if found is None else found.union(last)
     found = checkpointed(_best(found, "q", k + 1, "x").select("q", "x", "score"))
     enough = found.join(groups.select("x", "rows"), "x").groupBy("q").agg(F.sum("rows").alias("n")).where(F.col("n") > k).select("q")
     short = checkpointed(queries.join(enough, "q", "left_anti"))

@@ -35,8 +35,10 @@ from siltstone.llm.suffix_core import RollingHash, anchors, multikey_order, repe
 
 LENGTH = 200
 GRAM = 40
-#: Kinds of segments that may share a lead in a bucket (some 25 MB); leads of more are counted by window.
-BUCKET_KINDS = 100_000
+#: Kinds of segments that may share a lead in a bucket (some 5 MB); leads of more are counted by window.
+BUCKET_KINDS = 20_000
+#: Bytes of segments that a bucket takes, about.
+BUCKET_BYTES = 32 << 20
 
 
 def _segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -89,8 +91,11 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(begin.tolist(), end.tolist(), strict=True))
 
 
-def _compared(kinds: DataFrame, length: int, gram: int) -> DataFrame:
-    """(row, start, end): spans of the segments' windows that another segment of the bucket repeats."""
+def _compared(kinds: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
+    """(row, start, end): spans of the segments' windows that another segment of the bucket repeats.
+
+    A task holds one bucket; there are as many as keep it at about BUCKET_BYTES.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
@@ -137,7 +142,7 @@ def _compared(kinds: DataFrame, length: int, gram: int) -> DataFrame:
             rows, starts, ends = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["row", "start", "end"])
 
-    return kinds.repartitionByRange("lead").mapInArrow(run, "row long, start int, end int")
+    return kinds.repartitionByRange(buckets, "lead").mapInArrow(run, "row long, start int, end int")
 
 
 def _counted(kinds: DataFrame, length: int) -> DataFrame:
@@ -170,9 +175,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     copies = mixed.join(kinds.where(F.col("n") > 1).select("h", "s"), ["h", "s"], "left_semi").select(*whole)
     shared = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
     wanted = kinds.join(shared, "h").select("kinds", "one.*", (F.col("n") > 1).alias("many"))
+    few = F.col("kinds") <= bucket_kinds
+    held = wanted.where(few).agg(F.sum(F.col("last") - F.col("first") + (length + gram))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // BUCKET_BYTES))
     cool = _with_bytes(docs, wanted.where(F.col("kinds") <= bucket_kinds), length, gram)
     hot = _with_bytes(docs, wanted.where(F.col("kinds") > bucket_kinds), length, gram)
-    return found.where("not mixed").select(*whole).union(copies).union(_compared(cool, length, gram)).union(_counted(hot, length))
+    return found.where("not mixed").select(*whole).union(copies).union(_compared(cool, length, gram, buckets)).union(_counted(hot, length))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -190,7 +198,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans: the removed runs.
 
     All on UTF-8 bytes; null is empty. Ids may repeat or be null: rows are told apart by their place in
-    the input, and equal texts of two rows remove each other if they have ``length`` bytes.
+    the input, and equal texts of two rows remove each other if they have ``length`` bytes. ``docs`` must be
+    a table or a checkpoint, one that every scan reads in the same order.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()

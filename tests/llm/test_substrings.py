@@ -65,3 +65,20 @@ def test_equal_windows_choose_equal_anchors():
         k = int(np.flatnonzero((a.first <= start) & (start <= a.last))[0])
         places.append(int(a.place[k]) - start)
     assert len(set(places)) == 1
+
+
+def test_very_long_texts_beyond_one_piece(spark, documents):
+    """Two texts of over 2 MB that share a passage in the middle; the rest repeats nowhere."""
+    rng = np.random.default_rng(6)
+    prose = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = prose(1000)
+    long = [prose(2_300_000) + passage + prose(50_000), prose(100_000) + passage + prose(2_200_000), passage[:300]]
+    got = {r["doc_id"]: r for r in suffix_dedup.deduplicated(documents(long)).collect()}
+    assert [(got[k]["n_removed"], got[k]["n_spans"]) for k in range(3)] == [(1000, 1), (1000, 1), (300, 1)]
+    assert got[0]["kept_sha256"] == hashlib.sha256(long[0].replace(passage, "").encode()).hexdigest()
+
+
+def test_many_small_buckets(documents, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 2000)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicated(documents(texts())).collect()}
+    assert got == brute(texts(), 200)

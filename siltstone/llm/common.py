@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -12,31 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.plans.shared import checkpointed, shared_folder
+
+__all__ = ["ascii_lower", "checkpointed", "pieces", "shared_folder", "small", "stored", "table", "utf8_buffer", "utf8_rows"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder; the path may be any that Spark's readers know."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where that is unset (tests, one machine) a temporary one is made, as there the driver's disk
-    is the executors' disk.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltstone-"))
-    return named or context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as a table to the shared folder and reread; smaller than a checkpoint."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"

@@ -32,6 +32,8 @@ PER_LANGUAGE = 1500
 _OWNER_SHIFT = 40
 LEAST_SHARE = 0.01
 UNKNOWN = "und"
+#: Bytes of text that are made n-grams of at once, and n-grams that are looked up at once.
+PIECE, BLOCK = 1 << 18, 1 << 16
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -49,60 +51,65 @@ class LanguageFilter:
     rates: np.ndarray
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, owners): the n-grams of each text and the text's number in the batch.
-
-    Bytes are folded to letters with one blank for any run of other ASCII; no n-gram spans two texts.
-    """
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    folded = _FOLD[data]
-    blank = folded == 32
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, owners): the texts with one blank for any run of other ASCII, and the number of each byte's text."""
+    owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    out = _FOLD[data]
+    blank = out == 32
     keep = ~blank
     keep[1:] |= ~blank[:-1] | (owner[1:] != owner[:-1])
     keep[:1] = True
-    f, of = folded[keep].astype(np.uint64), owner[keep]
-    if len(f) < size:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    n = len(f) - size + 1
-    code = np.full(n, size, np.uint64)
-    for k in range(size):
-        code = (code << np.uint64(8)) | f[k : n + k]
-    whole = of[:n] == of[size - 1 :]
-    return code[whole], of[:n][whole]
+    return out[keep], owner[keep]
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, owners), BLOCK at a time: the n-grams of each text and the text's number in the batch.
+
+    Bytes are folded to letters with one blank for any run of other ASCII; no n-gram spans two texts.
+    """
+    f, of = folded(data, offsets)
+    for at in range(0, len(f) - size + 1, BLOCK):
+        n = min(BLOCK, len(f) - size + 1 - at)
+        code = np.full(n, size, np.uint64)
+        for k in range(size):
+            code = (code << np.uint64(8)) | f[at + k : at + k + n]
+        whole = of[at : at + n] == of[at + size - 1 : at + size - 1 + n]
+        yield code[whole], of[at : at + n][whole]
 
 
 def slots_of(codes: np.ndarray, probe: int) -> np.ndarray:
     return ((codes * np.uint64(_MULTIPLIERS[probe])) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> LanguageFilter:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageFilter:
     """Learn from rows with text and a language. No such row: a filter that knows no language.
 
-    The sample is about ``per_language`` rows (whole texts) of each language, picked by a hash of the id
-    against the language's number of rows, so no row is sorted or moved for it. The list of languages is
+    The sample is about ``per_language`` rows (whole texts) of each language, picked by a hash of the text
+    against the language's number of rows, so no row is sorted or moved for it; equal texts of a language count as two at most. The list of languages is
     small (a name for each); every 64 of them take one bitmask word of 2 MB. The n-grams are counted on the executors, and only those in ``LEAST_SHARE`` of a language's sample
     reach the driver.
     """
     known = docs.where(F.col(lang_col).isNotNull() & (F.col(text_col) != ""))
-    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = tuple(sorted(sizes))
     if not languages:
         return LanguageFilter((), np.zeros((1, 1 << SLOT_BITS), np.uint64), np.zeros(0))
     of = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("lang")]
-    rows = known.where(F.pmod(F.xxhash64("id"), of(sizes)) < per_language)
+    rows = known.where(F.pmod(F.xxhash64("text"), of(sizes)) < per_language)
+    rows = rows.groupBy("lang", F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text"), F.least(F.count("*"), F.lit(2)).alias("copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE):
             data, offsets = utf8_buffer(batch.column("text"))
-            names = np.array(batch.column("lang").to_pylist(), object)
+            names, copies = np.array(batch.column("lang").to_pylist(), object), batch.column("copies").to_numpy()
             for size in SIZES:
-                code, of = grams(data, offsets, size)
-                once = np.unique(of.astype(np.uint64) << np.uint64(_OWNER_SHIFT) | code)  # a code has fewer bits than that
+                parts = [np.unique(of.astype(np.uint64) << np.uint64(_OWNER_SHIFT) | code) for code, of in grams(data, offsets, size)]
+                once = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))  # a code has fewer bits than that
                 code, of = once & np.uint64((1 << _OWNER_SHIFT) - 1), (once >> np.uint64(_OWNER_SHIFT)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names[of], pa.string()), pa.array(code.view(np.int64))], ["lang", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[of], pa.string()), pa.array(code.view(np.int64)), pa.array(copies[of])], ["lang", "code", "copies"])
 
-    counts = rows.select("lang", "text").mapInArrow(run, "lang string, code long").groupBy("lang", "code").count()
+    counts = rows.select("lang", "text", "copies").mapInArrow(run, "lang string, code long, copies long").groupBy("lang", "code").agg(F.sum("copies").alias("count"))
     least = F.greatest(F.lit(2), F.round(LEAST_SHARE * of({k: min(n, per_language) for k, n in sizes.items()})))
     learned = counts.where(F.col("count") >= least).select("lang", "code").toPandas()
     slots = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), np.uint64)
@@ -119,13 +126,13 @@ def score_batch(model: LanguageFilter, data: np.ndarray, offsets: np.ndarray) ->
     n = len(offsets) - 1
     hits, total = np.zeros((n, len(model.languages))), np.zeros(n)
     for size in SIZES:
-        codes, of = grams(data, offsets, size)
-        at = [slots_of(codes, p) for p in range(PROBES)]
-        total += np.bincount(of, minlength=n)
-        for word, slots in enumerate(model.slots):
-            mask = np.bitwise_and.reduce([slots[a] for a in at])
-            for k in range(64 * word, min(64 * word + 64, len(model.languages))):
-                hits[:, k] += np.bincount(of[(mask >> np.uint64(k % 64) & np.uint64(1)).astype(bool)], minlength=n)
+        for codes, of in grams(data, offsets, size):
+            at = [slots_of(codes, p) for p in range(PROBES)]
+            total += np.bincount(of, minlength=n)
+            for word, slots in enumerate(model.slots):
+                mask = np.bitwise_and.reduce([slots[a] for a in at])
+                for k in range(64 * word, min(64 * word + 64, len(model.languages))):
+                    hits[:, k] += np.bincount(of[(mask >> np.uint64(k % 64) & np.uint64(1)).astype(bool)], minlength=n)
     return np.clip((hits - model.rates * total[:, None]) / np.maximum((1 - model.rates) * total[:, None], 1e-9), 0, 1)
 
 
@@ -133,20 +140,23 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, lang_pred and score (0 to 1) of every row.
+def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns, the predicted language and its score (0 to 1) of every row, the latter two under ``names``.
 
     ``und`` with score 0 if a text is null or has no letter, or if the model knows no language; texts
     too short for an n-gram get the first language with score 0. Ties go to the first language in
-    alphabetical order. The score is the share of the text's n-grams that the winner contains.
+    alphabetical order. The score is the share of the text's n-grams that the winner contains. ``keep``
+    must not hold ``names``; the text itself is carried once, whether it is kept or not.
     """
+    if {*keep} & {*names}:
+        raise ValueError(f"{sorted({*keep} & {*names})} would stand twice; choose other names")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(keep)
+    columns = [*keep, *([text_col] if text_col not in keep else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in pieces(batches, text="__text"):
-            texts = batch.column("__text")
+        for batch in pieces(batches, PIECE, text_col):
+            texts = batch.column(text_col)
             data, offsets = utf8_buffer(texts)
             readable = np.array([has_letter(x) for x in texts.to_pylist()]) & bool(model.languages)
             if model.languages:
@@ -156,8 +166,8 @@ def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text", keep
                 found = np.where(readable, np.array(model.languages, object)[best], UNKNOWN)
             else:
                 score, found = np.zeros(batch.num_rows), np.full(batch.num_rows, UNKNOWN, object)
-            own = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            own = [batch.column(n) for n in keep]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
-    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names) + ", lang_pred string, score double"
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep) + f", `{names[0]}` string, `{names[1]}` double"
+    return docs.select(*columns).mapInArrow(run, schema)

@@ -39,7 +39,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near_items")
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +110,14 @@ t AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[j : j +
 p AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM t), generate_series(1, len(w) - n + 1) AS g(i)),
 m AS (SELECT doc_id, i, p.n, item_id FROM p JOIN t ON p.n = t.n AND p.s = t.s),
 h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM m, generate_series(i, i + n - 1) AS g(k) GROUP BY doc_id),
-x AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM m GROUP BY doc_id)
+x AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM m GROUP BY doc_id),
+bw AS (SELECT DISTINCT item_id, len(w) AS l, least(10, len(w)) AS n, g.j AS p, w[j] AS s FROM b, generate_series(1, len(w)) AS g(j)),
+dw AS (SELECT doc_id, g.i AS pos, w[i] AS s FROM d, generate_series(1, len(w)) AS g(i) WHERE w[i] IN (SELECT s FROM bw)),
+o AS (SELECT doc_id, item_id, pos - p AS k, l, n, list(p) AS ats FROM dw JOIN bw USING (s) GROUP BY ALL HAVING count(*) >= ceil(n * 0.8)),
+y AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM o, generate_series(1, l - n + 1) AS g(j) WHERE len(list_filter(ats, lambda a: a >= j AND a < j + n)) >= ceil(n * 0.8) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
-  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
 """
 
 

@@ -81,3 +81,21 @@ def test_near_matches_against_brute_force(spark, documents):
     got = {r["doc_id"]: r["n_near_items"] for r in decontaminate.report(documents([" ".join(x) for x in texts]), df).collect()}
     assert got == {k: near_items(" ".join(x), items) for k, x in enumerate(texts)}
     assert got[len(texts) - 17] == 1
+
+
+def test_null_repeated_and_clashing_ids(spark):
+    passage = [f"w{k}" for k in range(12)]
+    rows = [(None, " ".join(passage)), (5, " ".join(passage[:6])), (5, " ".join(["x"] * 6 + passage[6:])), (5, None), (None, "w1"), (7, " ".join(passage[:10]))]
+    docs = spark.createDataFrame([(*r, "x", 3, "y") for r in rows], "id long, text string, own string, n_words int, term_id string").repartition(3)
+    items = spark.createDataFrame([(1, " ".join(passage))], "id int, text string")
+    got = sorted(((r["id"], r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate.report(docs, items, id_col="id", item_col="id").collect()), key=str)
+    assert got == sorted([(None, 12, 12, True), (5, 6, 0, False), (5, 12, 0, False), (5, 0, 0, False), (None, 1, 0, False), (7, 10, 10, True)], key=str)
+
+
+def test_very_long_texts(spark, documents):
+    passage = [f"w{k}" for k in range(12)]
+    long = ["the", "of", "w3"] * 200_000 + passage + ["and"] * 200_000 + passage[:10]
+    items = spark.createDataFrame([(1, " ".join(passage))], "item_id int, text string")
+    rows = {r["doc_id"]: r for r in decontaminate.report(documents([" ".join(long), "w3"]), items).collect()}
+    assert (rows[0]["n_words"], rows[0]["n_hit"], rows[0]["n_items"]) == (len(long), 22, 1)
+    assert (rows[1]["n_words"], rows[1]["n_hit"]) == (1, 0)

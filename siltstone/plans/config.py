@@ -139,6 +139,19 @@ class Registry:
     builds: dict[int, int] = field(default_factory=dict)
     rows: dict[str, dict[str, object]] = field(default_factory=lambda: {k: {} for k in KINDS})
 
+    def add_release(self, number: int) -> None:
+        if number in self.releases:
+            raise ConfigError(f"release {number} exists")
+        self.releases.add(number)
+
+    def drop_release(self, number: int) -> None:
+        """Only one that no row belongs to."""
+        held = sorted(f"{kind} {name}" for kind, rows in self.rows.items() for name, row in rows.items() if row.release == number)
+        if held or number not in self.releases:
+            raise ConfigError(f"release {number} holds {held}" if held else f"release {number} does not exist")
+        self.releases.discard(number)
+        self.builds.pop(number, None)
+
     def insert(self, kind: str, row) -> object:
         if row.release not in self.releases:
             raise ConfigError(f"release {row.release} does not exist")

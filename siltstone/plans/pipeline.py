@@ -77,6 +77,12 @@ class Vault:
             return compare.link_business_keys(rows, hubs)
         return rows
 
+    def column_list(self, kind: str, name: str, alias: str | None = None) -> list[dict[str, object]]:
+        """Name, qualified name, type and nullability of the columns that ``read_object`` gives, in order."""
+        prefix = alias or object_name(kind, name)
+        fields = self.read_object(kind, name).schema.fields
+        return [{"name": f.name, "qualified": f"{prefix}.{f.name}", "type": f.dataType.simpleString(), "nullable": f.nullable} for f in fields]
+
     def compared(self, match: str, at: datetime | None = None) -> DataFrame:
         """What only one side of a configured match has."""
         m: MatchConfig = self.registry.get("match", match)

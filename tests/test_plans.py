@@ -208,6 +208,9 @@ def test_a_comparison_is_a_source(spark, vault):
     assert sorted(x["name"] for x in v.table("hub", "difference").read().collect()) == ["b", "d"]
     assert r.matches() == [{"match": "people_pay", "left_kind": "stage", "left_object": "people", "left_column": "name", "right_kind": "sat", "right_object": "pay", "right_column": "name"}]
     assert v.read_object("link", "reports").columns[-2:] == ["person__pk", "boss__pk"]
+    columns = v.column_list("hub", "person", "h")
+    assert [c["qualified"] for c in columns] == ["h.h_person_key", "h.dv_load_date_time", "h.dv_record_source", "h.pk"] and columns[-1]["type"] == "bigint"
+    assert v.column_list("sat", "pay")[-1] == {"name": "loud", "qualified": "s_pay.loud", "type": "string", "nullable": True}
 
 
 def test_the_other_kinds_of_configuration(vault):
@@ -223,8 +226,13 @@ def test_the_other_kinds_of_configuration(vault):
     again = r.recreate_satellite("pay", [ColumnDef("boss", "bigint")])
     assert list(again.columns) == ["boss", "name"] and again.columns["name"].retired and again.abbreviation == "aaaa"
     assert r.recreate_satellite("pay", [ColumnDef("boss", "bigint")]).abbreviation == "aaab"
-    r.releases.add(3)
+    r.add_release(3)
     r.move_all(3)
+    for bad in (lambda: r.add_release(3), lambda: r.drop_release(3), lambda: r.drop_release(9)):
+        with pytest.raises(config.ConfigError):
+            bad()
+    r.drop_release(0)
+    assert r.releases == {3}
     assert {row.release for rows in r.rows.values() for row in rows.values()} == {3}
 
 

@@ -26,13 +26,14 @@ import zlib
 import numpy as np
 
 #: Ids of a block, and lanes that a full block has; shorter blocks have a lane for LEAST_STEPS ids.
-BLOCK, LANES, LEAST_STEPS = 1 << 20, 1024, 256
-SLOTS1, SLOTS2 = 12, 2
+BLOCK, LANES, LEAST_STEPS = 1 << 20, 2048, 256
+SLOTS1, SLOTS2 = 8, 1
 HASH_BITS = 18
 TOTAL_BITS, ZERO_BITS = 24, 20
 _COUNT_BITS = 11
 _COUNT = (1 << _COUNT_BITS) - 1
 _EVERY = 8  # steps between two refreshes of the order-0 sums
+_LEARN = 8  # steps between two that the weights learn from
 _LEAST_ZERO = 1 / 15
 _RATE = 0.02
 _SEEN = 1 << 12
@@ -113,23 +114,26 @@ class _Model:
         ids = np.searchsorted(self.sums, ((inner + 1 << ZERO_BITS) - 1) // self.rest, side="right")
         return np.where(value < self.ends[-1], self.ids.take(at), ids)
 
-    def update(self, ids: np.ndarray) -> None:
-        n, lane, match = len(ids), np.arange(len(ids)), self.match
+    def learn(self, match: np.ndarray) -> None:
+        """Move the weights of the classes seen towards what each prediction contributed."""
         hit = match[:SLOTS2]
         two, one = (self.mass2 * hit).sum(axis=0), (self.mass[SLOTS2:] * match[SLOTS2:]).sum(axis=0) + (self.shared * hit).sum(axis=0)
         whole = np.maximum(two + one, 1)
-        own = (two / whole, one / whole)
         many = np.bincount(self.set, minlength=len(self.weights))
         some = np.flatnonzero(many)
         rate = 1 - (1 - _RATE) ** np.minimum(many[some], 32)
-        for k in range(2):
-            mean = np.bincount(self.set, own[k], len(self.weights))[some] / many[some]
+        for k, own in enumerate((two / whole, one / whole)):
+            mean = np.bincount(self.set, own, len(self.weights))[some] / many[some]
             self.weights[some, k] += rate * (mean - self.weights[some, k])
         self.weights[some, 2] = 1 - self.weights[some, 0] - self.weights[some, 1]
         lack = np.maximum(_LEAST_ZERO - self.weights[some, 2], 0)
         self.weights[some, :2] *= ((1 - self.weights[some, 2] - lack) / np.maximum(1 - self.weights[some, 2], 1e-9))[:, None]
         self.weights[some, 2] += lack
 
+    def update(self, ids: np.ndarray) -> None:
+        n, lane, match = len(ids), np.arange(len(ids)), self.match
+        if self.steps < 64 or self.steps % _LEARN == 0:
+            self.learn(match)
         fresh = (ids << _COUNT_BITS) + 1
         for table, rows, part in ((self.tables[0], self.rows[0], slice(0, SLOTS2)), (self.tables[1], self.rows[1], slice(SLOTS2, None))):
             counts, is_in = self.counts[part], match[part]

@@ -18,7 +18,7 @@ from functools import lru_cache
 from tokenizers import Tokenizer
 
 #: Distinct words, and parts of words, that a worker keeps while its task runs; about 200 bytes each.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 300_000
 _SIMPLE = re.compile("[!-&(-;=-{}~À-ÖØ-öø-ÿ]+\\Z")
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: Byte-level alphabet: bytes that aren't printable (in Latin-1) stand as characters from 256 on, in their order.

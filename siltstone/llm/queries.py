@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 from siltstone.llm import chat, decontaminate, hamming_search, langid, licenses, packing, secrets, simhash, suffix_dedup, token_files
 from siltstone.llm.common import shared_folder, table
 
-
-def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -38,10 +33,6 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -60,6 +51,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, end_id=0, capacity=2048)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -68,8 +63,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
     model = langid.fit(docs.where(~held))
-    found = langid.predict(docs.withColumn("held_out", held), model, keep=("doc_id", "held_out"))
-    return found
+    return langid.predict(docs.withColumn("held_out", held), model, keep=("doc_id", "held_out"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +76,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat": op1_chat, "op2_neighbours": op2_neighbours, "op6_decontamination": op6_decontamination, "op3_secrets": op3_secrets, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op7_substrings": op7_substrings, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_licenses": op10_licenses}
+    found = (op1_chat, op2_neighbours, op3_secrets, op4_token_files, op5_packing, op6_decontamination, op7_substrings, op8_language, op9_simhash, op10_licenses)
+    return {f.__name__: f for f in found}
 
 
 OP1_SQL = r"""

@@ -32,7 +32,10 @@ class LinkConfig:
 
 @dataclass(frozen=True)
 class SatelliteConfig:
-    """parent: a hub or a link; columns: stage column to declared column; computed: (column, expression) in order."""
+    """parent: a hub or a link; columns: stage column to declared column; computed: (column, expression) in order.
+
+    buckets: into how many its current rows are dealt, for good.
+    """
 
     name: str
     parent: str
@@ -42,6 +45,7 @@ class SatelliteConfig:
     duplicate_threshold: int = 0
     release: int = 0
     abbreviation: str | None = None
+    buckets: int = 64
 
 
 @dataclass(frozen=True)

@@ -31,11 +31,11 @@ class Vault:
     registry: Registry = field(default_factory=Registry)
 
     def table(self, kind: str, name: str) -> Table:
-        keys = ()
-        if kind == "sat":
-            s: SatelliteConfig = self.registry.get("satellite", name)
-            keys = (key_name(s.parent_kind, s.parent),)
-        return Table(self.spark, self.root, f"{kind}/{object_name(kind, name)}", keys)
+        place = (self.spark, self.root, f"{kind}/{object_name(kind, name)}")
+        if kind != "sat":
+            return Table(*place)
+        s: SatelliteConfig = self.registry.get("satellite", name)
+        return Table(*place, (key_name(s.parent_kind, s.parent),), s.buckets)
 
     @property
     def states(self) -> Log:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Buckets of current rows, by a hash of their keys.
+#: Buckets of current rows, by a hash of their keys, unless a table is given another number.
 BUCKETS = 64
 _VERSION = "load string, buckets array<int>, whole boolean, schema string, note string"
 _PART, _LOAD, _BUCKET = "__part", "__load", "__bucket"
@@ -43,12 +43,17 @@ class Version:
 
 @dataclass(frozen=True)
 class Table:
-    """keys: what current rows are bucketed by; a table without keys is only added to."""
+    """keys: what current rows are bucketed by; a table without keys is only added to.
+
+    n_buckets stays the same for as long as the table lives; a large satellite takes as many as give
+    buckets of a few files each.
+    """
 
     spark: SparkSession
     root: str
     name: str
     keys: tuple[str, ...] = ()
+    n_buckets: int = BUCKETS
 
     @property
     def path(self) -> str:
@@ -75,7 +80,7 @@ class Table:
         return next(iter(reversed(self.versions())), None)
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int")
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.n_buckets)).cast("int")
 
     def _rows(self, version: Version, wanted: Column) -> DataFrame:
         schema = T.StructType([*version.schema.fields, T.StructField(_PART, T.StringType()), T.StructField(_LOAD, T.StringType()), T.StructField(_BUCKET, T.IntegerType())])
@@ -118,7 +123,7 @@ class Table:
         placed = rows.withColumn(_PART, F.when(is_current, "current").otherwise("history")).withColumn(_LOAD, F.lit(load))
         placed = placed.withColumn(_BUCKET, F.when(is_current, self.bucket()).otherwise(0) if current else F.lit(0))
         placed.hint("rebalance", _PART, _BUCKET).write.partitionBy(_PART, _LOAD, _BUCKET).mode("append").parquet(f"{self.path}/data")
-        touched = [] if current is None else sorted(range(BUCKETS) if buckets is None else set(buckets))
+        touched = [] if current is None else sorted(range(self.n_buckets) if buckets is None else set(buckets))
         row = [(load, touched, whole, rows.schema.json(), json.dumps(note or {}))]
         try:
             self.spark.createDataFrame(row, _VERSION).write.parquet(f"{self.path}/versions/number={number}")

@@ -9,14 +9,16 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import macros, scalar
+from siltstone.functions import macros, naming, scalar, types
 from siltstone.functions.naming import END, IS_CURRENT, IS_TOMBSTONE, LOAD_TIME, RECORD_SOURCE, SOURCE_TIME, START
 from siltstone.functions.types import ColumnDef
 from siltstone.operators import compare, duplicates, hub, link, lookup, metrics, satellite, temporal
-from siltstone.plans import config, scheduler, state
+from siltstone.plans import config, release, scheduler, state
 from siltstone.plans.pipeline import Vault
 from siltstone.plans.shared import shared_folder
+from siltstone.plans.store import Table
 from siltstone.sources import stage
+from siltstone.streaming.cdc import into_satellite
 
 T1, T2, T3 = datetime(2024, 1, 1), datetime(2024, 2, 1), datetime(2024, 3, 1)
 CUSTOMER = satellite.Satellite(("h_customer_key",), ("c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
@@ -647,3 +649,140 @@ def journal_severity_mask(spark, sf_dir):
     level = F.when(F.col("event_type") == "error", 8).when(F.col("event_type") == "signup", 4).when(F.col("event_type") == "view", 2).otherwise(1)
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), level.alias("severity"), F.col("event_type").alias("message"))
     return state.search(rows, "r", "contains", 12, limit=100).select(F.col("at").alias("event_id"), "severity")
+
+
+# Configuration, runs, releases and streams
+
+
+def _rows(columns: str, *rows: str) -> str:
+    """SQL of literal rows."""
+    return f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) AS v({columns})"
+
+
+def example_registry() -> config.Registry:
+    """Two hubs, a link, a satellite, its source, a match and a source version that is out of use."""
+    r = config.Registry()
+    r.add_release(1)
+    r.insert("hub", config.HubConfig("orders", ("o_orderkey",), 1))
+    r.insert("hub", config.HubConfig("customer", ("c_custkey",), 1))
+    r.insert("link", config.LinkConfig("order_customer", {"orders": "orders", "customer": "customer"}, 1))
+    r.insert("satellite", config.SatelliteConfig("order_price", "order_customer", "link", {"o_totalprice": ColumnDef("price", "money")}, release=1))
+    hubs = {"orders": {"o_orderkey": "o_orderkey"}, "customer": {"o_custkey": "c_custkey"}}
+    r.insert("source", config.SourceConfig(stage.Source("orders", path="orders"), hubs, "order_customer", ("order_price",), release=1))
+    r.insert("source", config.SourceConfig(stage.Source("orders_old", path="old"), hubs, "order_customer"))
+    r.insert("version", config.VersionConfig("orders_old_1", "orders_old", 1, active=False))
+    r.insert("match", config.MatchConfig("prices", ("stage", "orders"), ("sat", "order_price"), (("o_orderkey", "o_orderkey"), ("o_totalprice", "price"))))
+    return r
+
+
+@query(_rows("match, left_kind, left_object, left_column, right_kind, right_object, right_column", "'prices', 'stage', 'orders', 'o_orderkey', 'sat', 'order_price', 'o_orderkey'", "'prices', 'stage', 'orders', 'o_totalprice', 'sat', 'order_price', 'price'"))
+def config_match_columns(spark, sf_dir):
+    return spark.createDataFrame(example_registry().matches())
+
+
+@query(_rows("source, load_type, kind, path", "'orders', 'Full', 'table', 'orders'"))
+def config_active_stages(spark, sf_dir):
+    return spark.createDataFrame(example_registry().stages())
+
+
+@query(_rows("kind, n", "'hub', 2", "'link', 1", "'satellite', 1", "'source', 1"))
+def release_round_trip(spark, sf_dir):
+    """A release is written, read and applied to an empty registry, which then holds its rows."""
+    path = f"{shared_folder(spark)}/release-{uuid4().hex}"
+    release.export(spark, example_registry(), 1, path)
+    other = config.Registry()
+    release.apply(other, release.load(spark, path))
+    found = [(kind, row.release) for kind, rows in other.rows.items() for row in rows.values()]
+    return spark.createDataFrame(found, "kind string, release int").where("release = 1").groupBy("kind").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT chr(97 + k // 17576 % 26) || chr(97 + k // 676 % 26) || chr(97 + k // 26 % 26) || chr(97 + k % 26) AS abbreviation FROM (SELECT CAST(k AS INT) AS k FROM range(0, 800) AS g(k))")
+def config_abbreviations(spark, sf_dir):
+    found = [naming.next_abbreviation(None)]
+    while len(found) < 800:
+        found.append(naming.next_abbreviation(found[-1]))
+    return spark.createDataFrame([(x,) for x in found], "abbreviation string")
+
+
+@query(_rows("name, pit, changes, key", "'s_customer', 'get_s_customer_pit', 'get_s_customer_all', 'h_customer_key'", "'s_orders', 'get_s_orders_pit', 'get_s_orders_all', 'h_orders_key'"))
+def config_names(spark, sf_dir):
+    sats = [(naming.object_name("sat", n), naming.key_name("hub", n)) for n in ("customer", "orders")]
+    return spark.createDataFrame([(s, naming.access_name("pit", s), naming.access_name("all", s), k) for s, k in sats], "name string, pit string, changes string, key string")
+
+
+@query(_rows("name, type", "'o_orderkey', 'bigint'", "'o_custkey', 'bigint'", "'o_orderstatus', 'varchar'", "'o_totalprice', 'float'", "'o_orderdate', 'datetime'", "'o_orderpriority', 'varchar'"))
+def config_declared_columns(spark, sf_dir):
+    """The columns of a table that exists, as declared ones."""
+    found = types.declared(table(spark, sf_dir, "orders").schema)
+    return spark.createDataFrame([(c.name, c.type) for c in found], "name string, type string")
+
+
+@query(_rows("milliseconds, text", "5, '5 milliseconds'", "1000, '1 sec'", "61000, '1 min and 1 sec'", "7322000, '2 hrs, 2 mins and 2 secs'"))
+def elapsed_texts(spark, sf_dir):
+    return spark.createDataFrame([(n, scalar.elapsed_text(n)) for n in (5, 1000, 61_000, 7_322_000)], "milliseconds int, text string")
+
+
+@query("SELECT l_linenumber AS k, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_linenumber > 2 GROUP BY l_linenumber")
+def stage_bespoke_reader(spark, sf_dir):
+    """A source that is a function, by run type; its stage has the filter and the columns of its configuration."""
+    reader = lambda s, run: table(s, sf_dir, "lineitem") if run == "Full" else table(s, sf_dir, "lineitem").limit(0)
+    source = stage.Source("lines", kind="callable", reader=reader, columns=("l_linenumber",), row_filter="l_linenumber > 2", derived={"k": "l_linenumber"})
+    return stage.stage(spark, source, "Full", T1).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 1")
+def stage_external(spark, sf_dir):
+    """A stage that something else filled."""
+    path = f"{shared_folder(spark)}/external-{uuid4().hex}"
+    table(spark, sf_dir, "orders").where("o_orderkey % 2 = 1").write.parquet(path)
+    source = stage.Source("orders", kind="external", path=path, columns=("o_orderkey", "o_orderstatus"))
+    return stage.stage(spark, source, "Full", T1).drop("dv_stage_date_time", "dv_source_version_key")
+
+
+@query(_rows("task, status, times", "'a', 'Completed', 1", "'b', 'Completed', 2", "'c', 'Completed', 1", "'d', 'Completed', 1"))
+def run_restart(spark, sf_dir):
+    """A run of four tasks, of which one fails at first; it is read back from its log and restarted."""
+    log = state.Log(spark, f"{shared_folder(spark)}/runs-{uuid4().hex}", scheduler.RUN_SCHEMA)
+    schedule = scheduler.Schedule("Nightly", {n: scheduler.Task(n) for n in "abcd"}, {("b", "a"), ("c", "a"), ("d", "b"), ("d", "c")})
+    run, done = scheduler.Run.of([schedule], "nightly"), []
+    run.number, run.log = 1, log
+
+    def load(task):
+        done.append(task.name)
+        if done == ["a", "b"]:
+            raise RuntimeError("the first try")
+
+    try:
+        run.process(load)
+    except scheduler.RunFailed:
+        run = scheduler.Run.resumed(log, 1)
+        run.restart()
+        run.process(load)
+    times = spark.createDataFrame([(n, done.count(n)) for n in sorted(set(done))], "task string, times int")
+    return scheduler.current_tasks(log.read()).select("task", "status").join(times, "task")
+
+
+@query(_REPLAY + "FROM r")
+def sat_stream_replay(spark, sf_dir):
+    """The changes of ``sat_cdc_replay`` as a stream, in one batch, into a stored satellite."""
+    folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    changes = event_changes(spark, sf_dir)
+    changes.write.parquet(f"{folder}/changes")
+    target = Table(spark, folder, "sat/s_user", ("user_id",))
+    target.commit(satellite.initial(USER, changes, T1, "").limit(0), IS_CURRENT)
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/changes")
+    into_satellite(stream, USER, target, ["ts"], f"{folder}/checkpoint", "1", lambda: T1).awaitTermination()
+    return _micro(target.read())
+
+
+@query("SELECT c_custkey, c_acctbal, c_custkey % 7 = 0 AS replaced FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, c_acctbal + 1, true FROM customer WHERE c_custkey % 7 = 0")
+def table_current_buckets(spark, sf_dir):
+    """Current rows of some keys are replaced; only the buckets that hold them are rewritten."""
+    target = Table(spark, f"{shared_folder(spark)}/table-{uuid4().hex}", "sat/s_customer", ("c_custkey",))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.lit(False).alias("replaced"), F.lit(True).alias("now"))
+    target.commit(rows, "now")
+    changed = rows.where("c_custkey % 7 = 0").withColumns({"c_acctbal": F.col("c_acctbal") + 1, "replaced": F.lit(True)})
+    touched = [r[0] for r in changed.select(target.bucket()).distinct().collect()]
+    kept = target.read(part="current", buckets=touched).join(changed.select("c_custkey"), "c_custkey", "left_anti")
+    target.commit(kept.unionByName(changed), "now", touched)
+    return target.read().drop("now")

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, decontaminate, hamming_search, langid, licenses, packing, secrets, simhash, suffix_dedup, token_files
+from siltstone.llm import chat, decontaminate, fill_middle, hamming_search, langid, licenses, packing, secrets, simhash, suffix_dedup, token_files
 from siltstone.llm.common import shared_folder, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -75,8 +75,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transformed(table(spark, sf_dir, "documents"), seed=1, rate=90, suffix_first=20)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat, op2_neighbours, op3_secrets, op4_token_files, op5_packing, op6_decontamination, op7_substrings, op8_language, op9_simhash, op10_licenses)
+    found = (op1_chat, op2_neighbours, op3_secrets, op4_token_files, op5_packing, op6_decontamination, op7_substrings, op8_language, op9_simhash, op10_licenses, op12_fill_middle)
     return {f.__name__: f for f in found}
 
 
@@ -121,6 +127,21 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN y USING (
 """
 
 
+OP12_SQL = """
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+),
+r AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (len(w) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(w) + 1) AS b, CAST('0x' || h[17:24] AS BIGINT) AS c, CAST('0x' || h[25:32] AS BIGINT) AS d FROM u),
+f AS (
+  SELECT doc_id, t, len(w) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c % 100 >= 90 THEN 'plain' WHEN d % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(w[1:least(a, b)], '') AS p, array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(w[greatest(a, b) + 1:], '') AS s FROM r
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others need learned models, BPE, positions of matches, XXH64 or 200-byte joins, which SQL lacks or is too slow for."""
-    return {"op1_chat": OP1_SQL, "op6_decontamination": OP6_SQL}
+    return {"op1_chat": OP1_SQL, "op6_decontamination": OP6_SQL, "op12_fill_middle": OP12_SQL}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, decontaminate, fill_middle, hamming_search, langid, licenses, packing, secrets, simhash, suffix_dedup, token_files
+from siltstone.llm import centroids, chat, decontaminate, fill_middle, hamming_search, langid, licenses, packing, secrets, simhash, suffix_dedup, token_files
 from siltstone.llm.common import shared_folder, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +75,15 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = centroids.fit(vectors, k=8, rounds=10, seed=3, dims=64, scale=1024)
+    rows = [(k, n, sum(found.inertia), found.digest(k)) for k, n in enumerate(found.inertia)]
+    clusters = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    out = centroids.assigned(vectors, found, dims=64, scale=1024).join(F.broadcast(clusters), "cluster")  # 8 rows
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.transformed(table(spark, sf_dir, "documents"), seed=1, rate=90, suffix_first=20)
     back = fill_middle.restored(F.col("output"), F.col("form"))
@@ -82,7 +91,7 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat, op2_neighbours, op3_secrets, op4_token_files, op5_packing, op6_decontamination, op7_substrings, op8_language, op9_simhash, op10_licenses, op12_fill_middle)
+    found = (op1_chat, op2_neighbours, op3_secrets, op4_token_files, op5_packing, op6_decontamination, op7_substrings, op8_language, op9_simhash, op10_licenses, op11_centroids, op12_fill_middle)
     return {f.__name__: f for f in found}
 
 
@@ -127,6 +136,28 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN y USING (
 """
 
 
+_APART = "CAST(list_sum(list_transform(generate_series(1, 64), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT)"
+_ROUND = """
+a{n} AS MATERIALIZED (SELECT v.r, any_value(v.vec_id) AS vec_id, min(struct_pack(d := {apart}, k := c.k)) AS b FROM v, c{n} c GROUP BY v.r),
+c{next} AS MATERIALIZED (
+  SELECT k, list(m ORDER BY i) AS x FROM (SELECT b.k AS k, i, CAST((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m FROM a{n} JOIN v USING (r), generate_series(1, 64) AS g(i) GROUP BY ALL) GROUP BY k
+  UNION ALL SELECT k, x FROM c{n} WHERE k NOT IN (SELECT b.k FROM a{n})
+),"""
+OP11_SQL = (
+    """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64 AND len(embedding) = 64
+),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT 8)),"""
+    + "".join(_ROUND.format(n=n, next=n + 1, apart=_APART) for n in range(10))
+    + f"""
+z AS MATERIALIZED (SELECT v.r, any_value(v.vec_id) AS vec_id, min(struct_pack(d := {_APART}, k := c.k)) AS b FROM v, c10 c GROUP BY v.r)
+SELECT vec_id, CAST(b.k AS INT) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.k) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM z JOIN c10 c ON c.k = b.k
+"""
+)
+
 OP12_SQL = """
 WITH u AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
@@ -144,4 +175,4 @@ FROM f
 
 def oracle_sql() -> dict[str, str]:
     """The others need learned models, BPE, positions of matches, XXH64 or 200-byte joins, which SQL lacks or is too slow for."""
-    return {"op1_chat": OP1_SQL, "op6_decontamination": OP6_SQL, "op12_fill_middle": OP12_SQL}
+    return {"op1_chat": OP1_SQL, "op6_decontamination": OP6_SQL, "op11_centroids": OP11_SQL, "op12_fill_middle": OP12_SQL}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import centroids, chat, decontaminate, fill_middle, hamming_search, langid, licenses, packing, secrets, simhash, suffix_dedup, token_files
+from siltstone.llm import centroids, chat, decontaminate, fill_middle, hamming_search, langid, licenses, packing, secrets, simhash, sliced_topk, suffix_dedup, token_files
 from siltstone.llm.common import shared_folder, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -90,8 +90,13 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op13_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return sliced_topk.search(sliced_topk.build(vectors, scale=256), vectors, F.col("id") % 50 == 0, scale=256, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat, op2_neighbours, op3_secrets, op4_token_files, op5_packing, op6_decontamination, op7_substrings, op8_language, op9_simhash, op10_licenses, op11_centroids, op12_fill_middle)
+    found = (op1_chat, op2_neighbours, op3_secrets, op4_token_files, op5_packing, op6_decontamination, op7_substrings, op8_language, op9_simhash, op10_licenses, op11_centroids, op12_fill_middle, op13_sliced_topk)
     return {f.__name__: f for f in found}
 
 
@@ -173,6 +178,20 @@ FROM f
 """
 
 
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)
+),
+q AS (SELECT DISTINCT vec_id, x FROM v WHERE vec_id % 50 = 0),
+s AS (
+  SELECT q.vec_id AS query_id, q.x AS qx, v.vec_id, CAST(coalesce(list_sum(list_transform(generate_series(1, len(q.x)), lambda i: q.x[i] * v.x[i])), 0) AS BIGINT) AS score
+  FROM q JOIN v ON len(v.x) = len(q.x) AND v.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, qx ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others need learned models, BPE, positions of matches, XXH64 or 200-byte joins, which SQL lacks or is too slow for."""
-    return {"op1_chat": OP1_SQL, "op6_decontamination": OP6_SQL, "op11_centroids": OP11_SQL, "op12_fill_middle": OP12_SQL}
+    return {"op1_chat": OP1_SQL, "op6_decontamination": OP6_SQL, "op11_centroids": OP11_SQL, "op12_fill_middle": OP12_SQL, "op13_sliced_topk": OP13_SQL}

@@ -1,11 +1,14 @@
 """Secret scans by assignment-aware lexing.
 
 Source and configuration syntax is read as name-literal pairs: ``name = "literal"``, ``name: literal``,
-``"name": "literal"``, ``name => 'literal'``, ``--name=literal``, ``<name>literal</name>``, literals in three
-quotes or with a prefix, indented blocks (``name: |``), and literals joined by ``+``. A pair whose right side is another name takes that name's literal (constants are
-propagated through chains of names, from the nearest binding before; cycles end them). Each literal is scored by how sensitive the
-names are that it reaches and by how much it looks like a credential; the ones above a threshold are
-reported where the literal itself stands.
+``"name": "literal"``, ``name => 'literal'``, ``--name=literal``, ``<name>literal</name>``, ``#define NAME literal``,
+``define('NAME', 'literal')``, ``key="name" value="literal"``, ``name ?= literal`` and ``name += literal``,
+declarations with a type (``var name string =``, ``name: &str =``, ``Dim name As String =``; a type is never a name), literals in
+three quotes, in backticks or with a prefix, indented blocks (``name: |``), and literals joined by ``+`` or in parentheses,
+over lines too, behind a call or a name. A pair whose right side is another name takes that name's literal
+(constants are propagated through chains of names, from the nearest binding before; cycles end them). Each literal
+is scored by how sensitive the names are that it reaches and by how much it looks like a credential; the ones
+above a threshold are reported where the literal itself stands.
 
 Three plain kinds are always reported beside that (``assign``, ``access``, ``hex``); their rules are
 fixed below. Every text is read whole, one at a time, so memory is bounded by the longest text.
@@ -43,12 +46,28 @@ NAME_PARTS = {
 PLACEHOLDERS = re.compile(r"(?:x+|\*+|\.+|changeme|example|placeholder|dummy|test|none|null|true|false|your[_-].*|<.*>|\$\{.*\}|%.*%|\{\{.*\}\})$", re.I | re.A)
 THRESHOLD = 0.6
 
-_OPERATOR = re.compile(r"=>|:=|[=:]|</", re.A)
+_OPERATOR = re.compile(r"""=>|:=|[=:]|</|\#[ \t]*+define[ \t]++|\bdefine\([ \t]*+["']""", re.A)
 _NAME_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-"
 _TAG = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*+)(?:\s[^<>]*)?\Z", re.A)
-#: A literal may follow a plus and a prefix of letters (raw, bytes, formatted).
-_LEAD = r"""[ \t]*+(?:\+[ \t]*+)?(?:[rRbBuUfF]{1,2}(?=["']))?"""
-_QUOTED = re.compile(_LEAD + r"""(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)')""", re.A)
+#: A literal may follow a prefix of letters (raw, bytes, formatted); others join it behind a plus, or in parentheses.
+_LEAD = r"""[ \t]*+(?:[rRbBuUfF]{1,2}(?=["']))?"""
+_LITERAL = r"""(?:[rRbBuUfF]{1,2}(?=["']))?(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`]*+)`)"""
+_QUOTED = re.compile(r"[ \t]*+" + _LITERAL, re.A)
+_JOINED = re.compile(r"\s*+\+\s*+" + _LITERAL, re.A)
+_WITHIN = re.compile(r"\s*+(?:\+\s*+)?" + _LITERAL, re.A)
+_PARENTHESIS = re.compile(r"[ \t]*+\(\s*+(?=[rRbBuUfF]{0,2}[\"'`])", re.A)
+#: What may stand before a plus and a literal: a call, or a name.
+_OPERAND = re.compile(r"""[ \t]*+[A-Za-z_][A-Za-z0-9_.]*+(?:\([^()\n]{0,200}\))?+[ \t]*+\+[ \t]*+(?=[rRbBuUfF]{0,2}["'`])""", re.A)
+#: A type behind a colon, with an assignment behind it. Types of more than 200 characters aren't taken for such.
+_TYPE = re.compile(r"""[ \t]*+[&*]*+(?:'[a-z_]++[ \t]++)?(?:mut[ \t]++)?[A-Za-z_][A-Za-z0-9_.:<>\[\]|&?*,' \t]{0,200}?(?:[ \t](=)[ \t]++(?=\S)|(=)[ \t]*+(?=[rRbBuUfF]{0,2}["'`]))""", re.A)
+#: A declaration whose type follows its name, as it ends before an assignment.
+_DECLARED = re.compile(r"\b(var|const|let|val|[Dd]im)[ \t]++([A-Za-z_][A-Za-z0-9_]*+)[ \t]++(As[ \t]++)?([*&]*+[A-Za-z_\[][A-Za-z0-9_.\[\]<>*]*+)[ \t]*+\Z", re.A)
+#: Names of types, which stand for no literal.
+TYPES = frozenset("str string String &str char byte bytes bool int long float double object any Any error rune None Optional Final Text AnyStr StringBuilder wstring".split())
+#: Names that hold a name, and those that hold its value beside them.
+KEY_NAMES, VALUE_NAMES = frozenset("key name id property field setting variable".split()), frozenset("value content val default".split())
+_GAP = re.compile(r"""["'`,;\s-]{0,200}\Z""", re.A)
+_DEFINED = re.compile(r"""([A-Za-z_][A-Za-z0-9_]*+)(?:[ \t]++|["'][ \t]*+,)""", re.A)
 _TRIPLE = re.compile(_LEAD + r"""("{3}|'{3})""", re.A)
 #: A block of YAML: its lines follow, further in than the line of the name.
 _BLOCK_MARK = re.compile(r"[ \t]++[|>][+-]?[0-9]?[+-]?[ \t]*+\r?\n", re.A)
@@ -145,11 +164,14 @@ def lex(text: str) -> list[tuple[str, str | None, str | None, int, int]]:
     The literal is None where it is text[start:end]. Names and literals may be of any length, and every
     stretch is scanned once.
     """
-    pairs = []
+    pairs: list[tuple[str, str | None, str | None, int, int]] = []
     closed = word_end = word_strip = pem_end = -1
     unclosed: set[str] = set()
+    typed, behind_type = "", -1  # the name whose type ends in an assignment there
     for op in _OPERATOR.finditer(text):
-        at = op.start()
+        at, begin = op.start(), op.end()
+        if at < behind_type:
+            continue
         if op.group() == "</":
             floor, closed = max(closed, 0), at
             begin = text.rfind(">", floor, at)
@@ -162,9 +184,20 @@ def lex(text: str) -> list[tuple[str, str | None, str | None, int, int]]:
                 start = text.index(value, begin + 1)
                 pairs.append((tag[1], None, None, start, start + len(value)))
             continue
-        if not (name := name_before(text, at)):
+        if "define" in op.group():
+            if not (defined := _DEFINED.match(text, begin)):
+                continue
+            name, begin = defined[1], defined.end()
+        elif at == behind_type:
+            name = typed
+        else:
+            name = assigned_name(text, at)
+        if not name:
+            continue
+        if op.group() == ":" and (kind := _TYPE.match(text, begin)):
+            typed, behind_type = name, kind.start(kind.lastindex)
             continue
-        if pem := _PEM_START.match(text, op.end()):
+        if pem := _PEM_START.match(text, begin):
             if pem_end < pem.end():
                 pem_end = text.find("-----END ", pem.end())
                 pem_end = len(text) + 1 if pem_end < 0 else pem_end
@@ -172,23 +205,24 @@ def lex(text: str) -> list[tuple[str, str | None, str | None, int, int]]:
                 label = _PEM_LABEL.match(text, pem_end + 9)
                 pairs.append((name, None, None, pem.end(), label.end() if label else pem_end + 9))
                 continue
-        if op.group() == ":" and (mark := _BLOCK_MARK.match(text, op.end())) and (lines := block_of_lines(text, at, mark.end())):
+        if op.group() == ":" and (mark := _BLOCK_MARK.match(text, begin)) and (lines := block_of_lines(text, at, mark.end())):
             pairs.append((name, None, None, *lines))
             continue
-        if (triple := _TRIPLE.match(text, op.end())) and triple[1] not in unclosed:
+        if (triple := _TRIPLE.match(text, begin)) and triple[1] not in unclosed:
             stop = text.find(triple[1], triple.end())
             if stop >= 0:
                 pairs.append((name, None, None, triple.end(), stop))
                 continue
             unclosed.add(triple[1])  # nor is any later one
-        part = _QUOTED.match(text, op.end())
-        if part and "+" not in text[part.start() : part.start(part.lastindex)]:
+        open_ = _PARENTHESIS.match(text, begin)
+        before = open_ or _OPERAND.match(text, begin)
+        if part := _QUOTED.match(text, before.end() if before else begin):
             values, start, end = [part[part.lastindex]], part.start(part.lastindex), part.end(part.lastindex)
-            while (more := _QUOTED.match(text, part.end())) and "+" in text[more.start() : more.start(more.lastindex)]:
+            while more := (_WITHIN if open_ else _JOINED).match(text, part.end()):
                 values.append(more[more.lastindex])
                 end, part = more.end(more.lastindex), more
-            pairs.append((name, "".join(values) if len(values) > 1 else None, None, start, end))
-        elif bare := _BARE_START.match(text, op.end()):
+            found = (name, "".join(values) if len(values) > 1 else None, None, start, end)
+        elif bare := _BARE_START.match(text, begin):
             start = bare.end()
             if start >= word_end:
                 word_end = word_strip = _BARE_END.search(text, start).start()
@@ -196,10 +230,44 @@ def lex(text: str) -> list[tuple[str, str | None, str | None, int, int]]:
                     word_strip -= 1
             end = max(start, word_strip)
             refers = text[start:end] if _PLAIN_NAME.match(text, start, end) else None
-            pairs.append((name, None, refers, start, end))
+            found = (name, None, refers if refers not in TYPES else None, start, end)
+        else:
+            continue
+        pairs.append(found)
+        named = paired(text, pairs, at)
+        if named:
+            pairs.append(named)
     return pairs
 
 
+def assigned_name(text: str, at: int) -> str:
+    """The name that an operator at ``at`` gives a value to: behind ``?``, ``+`` and the like, before a type that follows it."""
+    back = at
+    while back and at - back < 2 and text[back - 1] in "?+|&":
+        back -= 1
+    name = name_before(text, back)
+    line = text[max(0, back - 240) : back]
+    declared = _DECLARED.search(line[line.rfind("\n") + 1 :]) if "a" in line or "e" in line or "im" in line else None
+    if declared and (declared[1] == "var" or declared[3] or declared[4].lstrip("*&[]") in TYPES):
+        return declared[2]
+    return name
+
+
+def paired(text: str, pairs: list[tuple[str, str | None, str | None, int, int]], at: int) -> tuple[str, str | None, str | None, int, int] | None:
+    """The pair of name and value that the last two pairs make: one holds the name, the other beside it the value."""
+    if len(pairs) < 2:
+        return None
+    one, two = pairs[-2], pairs[-1]
+    kinds = one[0].lower(), two[0].lower()
+    if one[1] is not None or not ((kinds[0] in KEY_NAMES and kinds[1] in VALUE_NAMES) or (kinds[1] in KEY_NAMES and kinds[0] in VALUE_NAMES)):
+        return None
+    gap = text[one[4] : at].rstrip("\"' \t")
+    if len(gap) > 300 or not gap.endswith(two[0]) or not _GAP.match(gap[: len(gap) - len(two[0])]):
+        return None
+    holder, value = (one, two) if kinds[0] in KEY_NAMES else (two, one)
+    return (text[holder[3] : holder[4]], value[1], value[2], value[3], value[4])
+
+
 def resolved(pairs: list[tuple[str, str | None, str | None, int, int]]) -> list[int]:
     """For each pair the one whose literal it holds: names stand for their nearest binding before, else the next after."""
     places: dict[str, list[int]] = {}
@@ -225,7 +293,7 @@ def resolved(pairs: list[tuple[str, str | None, str | None, int, int]]) -> list[
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, 3, end) of the literals that reach a sensitive name with a score of THRESHOLD or more."""
-    if not any(c in text for c in "=:") and "</" not in text:
+    if not any(c in text for c in "=:") and "</" not in text and "define" not in text:
         return []
     pairs = lex(text)
     if not any(name_score(x[0]) >= THRESHOLD or text.startswith("-----BEGIN ", x[3]) for x in pairs):

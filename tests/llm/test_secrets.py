@@ -111,6 +111,8 @@ def written_pair(rng, name, value):
         (f"{name} = {quote}", f"{quote}\n"), (f"{name}={quote}", f"{quote};\n"), (f"{quote}{name}{quote}: {quote}", f"{quote},\n"), (f"  {name}: ", "\n"),
         (f"{name} => {quote}", f"{quote}\n"), (f"run --{name}=", " now\n"), (f"<{name}>", f"</{name}>\n"), (f"export {name}=", "\n"), (f"{name} := r{quote}", f"{quote}\n"),
         (f"x[{quote}{name}{quote}] = {quote * 3}", f"{quote * 3}\n"), (f"{name}: |\n    ", "\nend\n"),
+        (f"var {name} string = {quote}", f"{quote}\n"), (f"let {name}: &str = {quote}", f"{quote};\n"), (f"{name}: Optional[str] = {quote}", f"{quote}\n"), (f"#define {name} {quote}", f"{quote}\n"),
+        (f"{name} += {quote}", f"{quote}\n"), (f"{name} = `", "`\n"), (f"<add key={quote}{name}{quote} value={quote}", f"{quote}/>\n"), (f"{name} = call(1) + {quote}", f"{quote}\n"),
     ])
     return before + value + after, len(before), before[-1] in "= "
 
@@ -142,6 +144,28 @@ def test_generated_sources_against_what_was_written(documents):
         assert all(any(a <= start and end <= b for a, b in got[k]) for start, _, end in want)
 
 
+VALUE = "Zx9qLm2Pw8RtQ1"
+
+
+def test_declarations_with_types_and_other_forms():
+    for text in (
+        f'var dbPassword string = "{VALUE}"', f'var dbPassword Secret = "{VALUE}"', f'const dbPassword string = "{VALUE}"', f'let client_secret: &str = "{VALUE}";', f'self.db_pwd: Final[str] = "{VALUE}"',
+        f"let db_pwd: &'static str = \"{VALUE}\";", f'let pwd: std::string::String = "{VALUE}".into();', f'db_pwd:str="{VALUE}"', f"const dbPwd: string | undefined = '{VALUE}'", f'val dbPwd: String = "{VALUE}"',
+        f'Dim dbPwd As String = "{VALUE}"', f'const string DbPwd = "{VALUE}";', f'static final String DB_PWD = "{VALUE}";', f'const char *db_pwd = "{VALUE}";', f'<add key="DbPassword" value="{VALUE}"/>',
+        f'<add value="{VALUE}" key="DbPassword"/>', f'{{"name": "DB_PASSWORD", "value": "{VALUE}"}}', f"- name: DB_PWD\n  value: {VALUE}\n", f'#define DB_PWD "{VALUE}"', f"#  define DB_PWD {VALUE}\n",
+        f"define('DB_PWD', '{VALUE}');", f"dbPwd := `{VALUE}`", f"const dbPwd = `{VALUE}`;", f"DB_PWD ?= {VALUE}\n", f"db_pwd += '{VALUE}'", f'db_pwd = decode() + "{VALUE}"', f'db_pwd = PREFIX + "{VALUE}"',
+    ):
+        assert lexed(text) == [VALUE], text
+    assert lexed('db_pwd = (\n    "Zx9qLm2"\n    "Pw8RtQ1"\n)') == ['Zx9qLm2"\n    "Pw8RtQ1']
+    assert lexed('db_pwd = "Zx9qLm2" +\n    "Pw8RtQ1"') == ['Zx9qLm2" +\n    "Pw8RtQ1']
+
+
+def test_types_hold_no_secrets():
+    for text in (f'build_id: str = "{VALUE}"\ndef login(password: str) -> None: ...', f'let id: String = "{VALUE}";\nfn f(password: String) {{}}', f'var build string = "{VALUE}"\ntype T struct {{ password: string }}', f'<add key="Title" value="{VALUE}"/>', f'password == "{VALUE}"', f'{{"name": "build", "value": "{VALUE}"}}'):
+        assert lexed(text) == [], text
+    assert lexed("auth_token: QUJDREVGR0hJSktMTU5PUA=\n") == ["QUJDREVGR0hJSktMTU5PUA="]
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "token = abcdefgh12"), (None, None), (2, 'db_pwd = "q8W2e9R4t1Y6u3I5"'), (2, 'db_pwd = "q8W2e9R4t1Y6u3I5"'), (2, "")]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, spans string, n_hex int")
@@ -150,7 +174,7 @@ def test_null_and_repeated_ids(spark):
 
 
 def test_time_is_linear():
-    for text in ("token=" * 50_000, "pwd = pwd\n" * 50_000, "pwd = '" + "\\'" * 200_000, "a" + " " * 200_000 + "=", "<token>" * 50_000 + "</", 'key="-----BEGIN ' * 20_000, "pwd=a" + ":" * 100_000, "a" * 300_000 + "=", "a = \"\"\"" * 30_000, "k: |\n" * 50_000, "x-" * 100_000 + "=1"):
+    for text in ("token=" * 50_000, "pwd = pwd\n" * 50_000, "pwd = '" + "\\'" * 200_000, "a" + " " * 200_000 + "=", "<token>" * 50_000 + "</", 'key="-----BEGIN ' * 20_000, "pwd=a" + ":" * 100_000, "a" * 300_000 + "=", "a = \"\"\"" * 30_000, "k: |\n" * 50_000, "x-" * 100_000 + "=1", "a = `" * 40_000, "key=a value=" * 30_000, "var a b" * 30_000 + "=", "#define " * 50_000, "pwd: a " * 50_000, "pwd = (" * 50_000, "pwd = f(" * 50_000):
         begun = time.perf_counter()
         secrets.spans(text)
         assert time.perf_counter() - begun < 20

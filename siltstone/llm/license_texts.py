@@ -1,4 +1,9 @@
-"""Licence templates: fixed values, the wording of licences and of the notices that authors put into their files."""
+"""Licence templates: fixed values, the wording of licences and of the notices that authors put into their files.
+
+The long licences stand in ``license_files``, word for word, a file for each.
+"""
+
+from pathlib import Path
 
 # Name to text. Public licences and licence notices, in alphabetical order of their names.
 TEMPLATES: dict[str, str] = {
@@ -76,10 +81,12 @@ TEMPLATES: dict[str, str] = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. This work is published "
         "under the CC0 1.0 Universal Public Domain Dedication."
     ),
+    "cc0-1.0": ("CC0 1.0 Universal",),
     "epl-2.0-header": (
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
         "https://www.eclipse.org/legal/epl-2.0/"
     ),
+    "gpl-2.0": ("GNU General Public License Version 2",),
     "gpl-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-2.0-or-later-header": (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
@@ -146,11 +153,14 @@ TEMPLATES: dict[str, str] = {
         "software. This notice may not be removed or altered from any source distribution."
     ),
 }
+
+TEMPLATES |= {path.stem: path.read_text() for path in sorted((Path(__file__).parent / "license_files").glob("*.txt"))}
 # Word runs that tell a template from its neighbours; a match holds every one of them.
 TELLING: dict[str, tuple[str, ...]] = {
     "agpl-3.0-line": ("GNU Affero General Public License", "version 3"),
     "agpl-3.0-or-later-header": ("GNU Affero General Public License", "version 3"),
     "all-rights-reserved": ("All rights reserved",),
+    "apache-2.0": ("Apache License Version 2.0 January 2004",),
     "apache-2.0-header": ("Apache License", "Version 2.0"),
     "apache-2.0-line": ("Apache License", "Version 2.0"),
     "bsd-3-clause": ("Neither the name",),
@@ -166,14 +176,20 @@ TELLING: dict[str, tuple[str, ...]] = {
     "cc-by-sa-3.0-line": ("Attribution-ShareAlike 3.0",),
     "cc-by-sa-4.0-line": ("Attribution-ShareAlike 4.0",),
     "cc-by-sa-4.0-short": ("CC BY-SA 4.0",),
+    "cc0-1.0": ("CC0 1.0 Universal",),
     "epl-2.0-header": ("Eclipse Public License 2.0",),
+    "gpl-2.0": ("GNU General Public License Version 2",),
     "gpl-2.0-line": ("GNU General Public License", "version 2"),
     "gpl-2.0-or-later-header": ("GNU General Public License", "version 2 of"),
+    "gpl-3.0": ("GNU General Public License Version 3",),
     "gpl-3.0-line": ("GNU General Public License", "version 3"),
     "gpl-3.0-or-later-header": ("GNU General Public License", "version 3 of"),
     "isc": ("appear in all copies",),
+    "lgpl-2.1": ("GNU Lesser General Public License Version 2.1",),
     "lgpl-2.1-or-later-header": ("GNU Lesser General Public License", "version 2.1"),
+    "lgpl-3.0": ("GNU Lesser General Public License Version 3",),
     "lgpl-3.0-or-later-header": ("GNU Lesser General Public License", "version 3"),
     "mit-line": ("MIT License",),
+    "mpl-2.0": ("Mozilla Public License Version 2.0",),
     "mpl-2.0-header": ("Mozilla Public License", "2.0"),
 }

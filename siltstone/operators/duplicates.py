@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.plans.shared import checkpointed
 
 #: The message of journal entries about rows set aside.
 REMOVED = "Duplicate Key Removed"
@@ -27,12 +28,13 @@ def removed_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 def apply_policy(df: DataFrame, keys: list[str], threshold: int) -> tuple[DataFrame, DataFrame | None]:
     """(rows to load, rows set aside). threshold 0 refuses any duplicate; else it counts rows, not keys.
 
-    All rows of a duplicated key are set aside, none is kept.
+    All rows of a duplicated key are set aside, none is kept. Keys are grouped once: the duplicated ones are stored,
+    counted, and joined with both ways.
     """
-    doubled = duplicate_keys(df, keys)
+    doubled = checkpointed(duplicate_keys(df, keys))
     rows = doubled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not rows:
         return df, None
     if rows > threshold:
         raise DuplicateKeys(f"Duplicate Keys Detected: {rows} rows, {threshold} allowed")
-    return df.join(doubled.select(*keys), keys, "left_anti"), removed_rows(df, keys)
+    return df.join(doubled.select(*keys), keys, "left_anti"), df.join(doubled.select(*keys), keys, "left_semi")

@@ -75,6 +75,50 @@ def satellite_profile(table: DataFrame, columns: list[str], at: datetime | None
     return column_profile(point_in_time(table, at), columns)
 
 
+#: Registers of a sketch as a power of two: distinct counts are within 3 * 1.04 / sqrt(2^12), 4.9 %, nearly always.
+SKETCH_BITS = 12
+
+
+def profile_part(table: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: what ``merged_profile`` needs to know of these rows, whatever their number.
+
+    For each column the least and the greatest value, nulls, blanks, text lengths and a sketch of its distinct values.
+    """
+    out = [F.count("*").alias("n")]
+    for c in columns:
+        kind, value = table.schema[c].dataType, F.col(c)
+        text, length = isinstance(kind, T.StringType), F.length(F.rtrim(value)).cast("long") if isinstance(kind, T.StringType) else F.lit(0).cast("long")
+        sketched = value if isinstance(kind, T.IntegerType | T.LongType) else F.concat(F.lit("."), F.hex(value) if isinstance(kind, T.BinaryType) else value.cast("string"))  # a sketch leaves out empty text
+        plain = not isinstance(kind, T.BinaryType | T.ArrayType | T.StructType)
+        out += [
+            (F.min(value) if plain else F.min(F.lit(None).cast("string"))).alias(f"{c}__least"), (F.max(value) if plain else F.max(F.lit(None).cast("string"))).alias(f"{c}__greatest"),
+            F.count_if(value.isNull()).alias(f"{c}__nulls"), (F.count_if(F.trim(value) == "") if text else F.count_if(F.lit(False))).alias(f"{c}__blanks"),
+            F.min(length).alias(f"{c}__shortest"), F.max(length).alias(f"{c}__longest"), F.hll_sketch_agg(sketched, F.lit(SKETCH_BITS)).alias(f"{c}__sketch"),
+        ]
+    return table.agg(*out)
+
+
+def merged_profile(parts: DataFrame, columns: list[str]) -> DataFrame:
+    """``column_profile`` of all rows that the parts were made of; ``domain`` is estimated, everything else exact.
+
+    So the profile of a table that is added to reads the rows that are new, and a row for each load before.
+    """
+    merged = parts.agg(*(
+        f.alias(f"{c}__{n}") for c in columns for n, f in (
+            ("least", F.min(f"{c}__least")), ("greatest", F.max(f"{c}__greatest")), ("nulls", F.sum(f"{c}__nulls")), ("blanks", F.sum(f"{c}__blanks")),
+            ("shortest", F.min(f"{c}__shortest")), ("longest", F.max(f"{c}__longest")), ("domain", F.hll_sketch_estimate(F.hll_union_agg(f"{c}__sketch"))),
+        )
+    ))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    rows = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.col(f"{c}__least").cast("string").alias("least"), F.col(f"{c}__greatest").cast("string").alias("greatest"), zero(f"{c}__domain").alias("domain"),
+            zero(f"{c}__nulls").alias("nulls"), zero(f"{c}__blanks").alias("blanks"), zero(f"{c}__shortest").alias("least_length"), zero(f"{c}__longest").alias("greatest_length"),
+        ) for c in columns
+    ]
+    return merged.select(F.inline(F.array(*rows)))
+
+
 def profiled_today(key: int, day: date, run_type: str = "Weekly", only: int = 0) -> bool:
     """Whether a satellite's columns are profiled: each on one day of the week, all on a full run, one alone if it is named."""
     return key == only if only else run_type == "Full" or key % 7 == day.isoweekday() % 7

@@ -10,6 +10,7 @@ from graphlib import CycleError, TopologicalSorter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.intervals import points_within
 from siltstone.plans.shared import checkpointed
 from siltstone.plans.state import SEVERITIES, Log
 
@@ -266,15 +267,14 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def _closure(edges: DataFrame, depth: int) -> DataFrame:
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("__edges")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", depth)
-    return spark.sql(
-        """WITH RECURSIVE walk(task, path) AS (
-             SELECT DISTINCT predecessor, concat('[', predecessor, ']') FROM __edges WHERE predecessor NOT IN (SELECT task FROM __edges)
+    """(task, path) of all walks from the roots, of ``depth`` steps at most."""
+    return edges.sparkSession.sql(
+        f"""WITH RECURSIVE walk(task, path) MAX RECURSION LEVEL {depth} AS (
+             SELECT DISTINCT predecessor, concat('[', predecessor, ']') FROM {{edges}} WHERE predecessor NOT IN (SELECT task FROM {{edges}})
              UNION ALL
-             SELECT e.task, concat(w.path, ' >>> [', e.task, ']') FROM walk w JOIN __edges e ON e.predecessor = w.task
-           ) SELECT task, path FROM walk"""
+             SELECT e.task, concat(w.path, ' >>> [', e.task, ']') FROM walk w JOIN {{edges}} e ON e.predecessor = w.task
+           ) SELECT task, path FROM walk""",
+        edges=edges,
     )
 
 
@@ -317,6 +317,12 @@ def exceptions_within(tasks: DataFrame, journal: DataFrame) -> DataFrame:
     return tasks.join(errors, "run").where(within).select("run", "task", "at", "message")
 
 
+def errors_by_time(tasks: DataFrame, journal: DataFrame) -> DataFrame:
+    """(task, started, ended, at, message): errors of the journal with all tasks that ran then, whatever run either belongs to."""
+    errors = journal.where(F.col("severity") == SEVERITIES["error"]).select("at", "message")
+    return points_within(errors, tasks.select("task", "started", "ended"), "at", "started", "ended").select("task", "started", "ended", "at", "message")
+
+
 def progress(log: DataFrame, journal: DataFrame, since: datetime, removed: str) -> dict[str, DataFrame]:
     """The four parts of a report: recent runs, tasks that aren't completed, their errors, and rows removed as duplicates."""
     low = F.lit(since).cast("timestamp_ntz")

@@ -7,10 +7,11 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.plans.shared import exists
+
 TASK_SCHEMA = "source string, object string, kind string, run long, rows long, mark string, started timestamp_ntz, ended timestamp_ntz"
 JOURNAL_SCHEMA = "at timestamp_ntz, run long, object string, severity int, message string, detail string"
 #: Severities are bits, so that a reader can ask for several.
@@ -36,12 +37,9 @@ class Log:
 
     def read(self) -> DataFrame:
         """All rows; none before the first append."""
-        try:
-            return self.spark.read.schema(self.schema).parquet(self.path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not exists(self.spark, self.path):
             return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
 
 @dataclass(frozen=True)
@@ -102,7 +100,7 @@ def severity(name: str) -> int:
 def search(journal: DataFrame, pattern: str | None = None, how: str = "contains", mask: int | None = None, since: datetime | None = None, limit: int = 100, zone: str | None = None) -> DataFrame:
     """The newest entries whose message begins with, ends with or contains a text and whose severity is in a mask.
 
-    zone: times are given as of this zone instead of UTC.
+    Entries of one time are in the order of their other columns. zone: times are given as of this zone instead of UTC.
     """
     if how not in ("begins", "ends", "contains"):
         raise ValueError(f"unknown search {how}")
@@ -113,7 +111,8 @@ def search(journal: DataFrame, pattern: str | None = None, how: str = "contains"
         journal = journal.where(F.col("severity").bitwiseAND(F.lit(mask)) == F.col("severity"))
     if since is not None:
         journal = journal.where(F.col("at") >= F.lit(since).cast("timestamp_ntz"))
-    found = journal.orderBy(F.desc("at")).limit(limit)
+    ties = [c for c in ("run", "object", "severity", "message", "detail") if c in journal.columns]
+    found = journal.orderBy(F.desc("at"), *ties).limit(limit)
     return found if zone is None else found.withColumn("at", F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("at")))
 
 

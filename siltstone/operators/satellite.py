@@ -47,7 +47,7 @@ def _source_time(source: DataFrame, version_date: datetime) -> Column:
     return F.col(SOURCE_TIME).cast("timestamp_ntz") if SOURCE_TIME in source.columns else _time(version_date)
 
 
-def merge(sat: Satellite, table: DataFrame, source: DataFrame, version_date: datetime, record_source: str, infer_deletes: bool) -> DataFrame:
+def merge(sat: Satellite, table: DataFrame, source: DataFrame, version_date: datetime, record_source: str, infer_deletes: bool, unchanged: bool = True) -> DataFrame:
     """The rows of ``table`` after a load of one row for each key: changed keys get a new version, new keys a first one.
 
     ``infer_deletes`` (a full run of a source that isn't a delta): current keys that the source lacks are
@@ -56,7 +56,8 @@ def merge(sat: Satellite, table: DataFrame, source: DataFrame, version_date: dat
 
     One full outer join with the source finds all cases, and every row of the result comes from it: rows
     that have ended match nothing and pass. A caller that keeps current rows apart gives only those, and
-    gets the new current rows and the rows that ended in this load.
+    gets the new current rows and the rows that ended in this load; without ``unchanged`` only rows that this load
+    made or ended, so that what is written follows what has changed.
     """
     keys, payload, kinds = list(sat.keys), list(sat.payload), {f.name: f.dataType for f in table.schema}
     others = [c for c in sat.columns if c not in keys]
@@ -79,18 +80,19 @@ def merge(sat: Satellite, table: DataFrame, source: DataFrame, version_date: dat
     opened = lambda start: version(F.col(f"new.{SOURCE_TIME}"), F.lit(record_source), True, False, start, _time(HIGH_DATE), new_values)
     absent = [F.lit(None).cast(kinds[p]) for p in payload]
     tombstone = version(_time(version_date), F.lit(record_source), False, True, close, close, absent)
-    gone = F.array(closed, tombstone) if infer_deletes else F.array(kept)
+    stays = F.array(kept) if unchanged else F.slice(F.array(kept), 1, 0)
+    gone = F.array(closed, tombstone) if infer_deletes else stays
     rows = (
         F.when(F.col("was").isNull(), F.array(opened(_time(version_date))))
-        .when(~F.col(IS_CURRENT), F.array(kept))
+        .when(~F.col(IS_CURRENT), stays)
         .when(F.col("new").isNull(), gone)
-        .when(same, F.array(kept))
+        .when(same, stays)
         .otherwise(F.array(closed, opened(close)))
     )
     return both.select(*keys, F.inline(rows)).select(*sat.columns)
 
 
-def replay(sat: Satellite, table: DataFrame, changes: DataFrame, order: list[str], version_date: datetime, record_source: str, action: str = "dv_cdc_action") -> DataFrame:
+def replay(sat: Satellite, table: DataFrame, changes: DataFrame, order: list[str], version_date: datetime, record_source: str, action: str = "dv_cdc_action", unchanged: bool = True) -> DataFrame:
     """The rows of ``table`` after several changes for each key, loaded in the order given, at once.
 
     ``action`` is ``D`` for a delete, anything else an upsert. A change that leaves the state as it is
@@ -98,7 +100,7 @@ def replay(sat: Satellite, table: DataFrame, changes: DataFrame, order: list[str
     the one before, one look back is enough. Change i of a key starts i microseconds after the version
     date. Deletes keep their staged payload in the tombstone. Current rows and changes are shuffled once, by
     key, and sorted there, so the changes of one key meet in one task, as replaying them in order asks for;
-    keys without a change and rows that have ended pass through.
+    keys without a change and rows that have ended pass through, unless ``unchanged`` is false.
     """
     keys, payload = list(sat.keys), list(sat.payload)
     own = table.where(F.col(IS_CURRENT))
@@ -113,10 +115,11 @@ def replay(sat: Satellite, table: DataFrame, changes: DataFrame, order: list[str
     before = F.coalesce(F.lag("state").over(by_key.orderBy("rn")), nothing)
     kept = timeline.withColumn("before", before).where((F.col("rn") == 0) | ~F.col("state").eqNullSafe(F.col("before")))
     starts = F.coalesce(F.col(START), F.timestamp_add("MICROSECOND", F.col("rn"), F.greatest(_time(version_date), F.coalesce(F.max(F.timestamp_add("MILLISECOND", F.lit(1), F.col(START))).over(by_key), _time(version_date)))))
-    placed = kept.withColumn("__start", starts)
-    ends = F.lead("__start").over(by_key.orderBy("rn"))
+    placed = kept.withColumn("__start", starts).withColumn("__next", F.lead("__start").over(by_key.orderBy("rn")))
+    ends = F.col("__next")
     end = F.when(F.col("gone"), F.col("__start")).otherwise(F.coalesce(ends, _time(HIGH_DATE)))
     current = ~F.col("gone") & ends.isNull()
+    placed = placed if unchanged else placed.where((F.col("rn") > 0) | ends.isNotNull())
     rows = placed.select(
         *keys,
         SOURCE_TIME,
@@ -127,7 +130,7 @@ def replay(sat: Satellite, table: DataFrame, changes: DataFrame, order: list[str
         end.alias(END),
         *payload,
     )
-    return rows.unionByName(table.where(~F.col(IS_CURRENT)).select(*sat.columns))
+    return rows.unionByName(table.where(~F.col(IS_CURRENT)).select(*sat.columns)) if unchanged else rows
 
 
 def duplicate_versions(sat: Satellite, table: DataFrame) -> DataFrame:

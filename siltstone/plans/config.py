@@ -34,7 +34,8 @@ class LinkConfig:
 class SatelliteConfig:
     """parent: a hub or a link; columns: stage column to declared column; computed: (column, expression) in order.
 
-    buckets: into how many its current rows are dealt, for good.
+    buckets: into how many its current rows are dealt, for good. runs: how many loads may lie beside the base before
+    they are folded into it.
     """
 
     name: str
@@ -46,11 +47,12 @@ class SatelliteConfig:
     release: int = 0
     abbreviation: str | None = None
     buckets: int = 64
+    runs: int = 16
 
 
 @dataclass(frozen=True)
 class SourceConfig:
-    """hub_columns: hub or role name to (stage column to business key)."""
+    """hub_columns: hub or role name to (stage column to business key). stages: how many last batches stay readable."""
 
     source: Source
     hub_columns: dict[str, dict[str, str]]
@@ -58,6 +60,7 @@ class SourceConfig:
     satellites: tuple[str, ...] = ()
     source_date: str | None = None
     release: int = 0
+    stages: int = 2
 
     @property
     def name(self) -> str:
@@ -205,6 +208,13 @@ class Registry:
         self.rows["satellite"][name] = dataclasses.replace(old, columns=satellite_columns(stage) | kept, abbreviation=next_abbreviation(last), **changes)
         return self.rows["satellite"][name]
 
+    def declare(self, source: str, columns: Iterable[ColumnDef], rerun: bool = False) -> SourceConfig:
+        """Set the declared columns of a source. Ones that are there are only replaced on a rerun."""
+        old: SourceConfig = self.get("source", source)
+        if old.source.declared and not rerun:
+            raise ConfigError(f"{source} has {len(old.source.declared)} declared columns; a rerun replaces them")
+        return self.update("source", source, source=dataclasses.replace(old.source, declared=tuple(columns)))
+
     def matches(self) -> list[dict[str, str]]:
         """Every compared column of every match, with the names that both sides have."""
         return [

@@ -7,15 +7,17 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.macros import computed
-from siltstone.functions.naming import CDC_ACTION, END, IS_CURRENT, SOURCE_TIME, START, key_name, object_name
+from siltstone.functions.marks import as_text, from_text
+from siltstone.functions.naming import CDC_ACTION, END, SOURCE_TIME, START, key_name, object_name
 from siltstone.functions.types import spark_type
 from siltstone.operators import compare, duplicates, hub, link, lookup, satellite, temporal
 from siltstone.plans.config import ConfigError, HubConfig, LinkConfig, MatchConfig, Registry, SatelliteConfig, SourceConfig
 from siltstone.plans.state import JOURNAL_SCHEMA, TASK_SCHEMA, Journal, Log, last_mark
-from siltstone.plans.store import Table
-from siltstone.sources.stage import high_water, read, stage
+from siltstone.plans.store import WHOLE, Table
+from siltstone.sources.stage import Source, high_water, read, stage, vault_rows
 
 
 class NotUnique(ValueError):
@@ -31,6 +33,7 @@ class Vault:
     registry: Registry = field(default_factory=Registry)
 
     def table(self, kind: str, name: str) -> Table:
+        """kind: ``hub``, ``link``, ``sat``, or ``stage``, the last batches of a source."""
         place = (self.spark, self.root, f"{kind}/{object_name(kind, name)}")
         if kind != "sat":
             return Table(*place)
@@ -50,7 +53,7 @@ class Vault:
         table = self.table(kind, name)
         if table.latest() is None:
             empty = {"hub": empty_hub, "link": empty_link, "sat": empty_satellite}[kind]
-            table.commit(empty(self.spark, self.registry.get("satellite" if kind == "sat" else kind, name)), IS_CURRENT if kind == "sat" else None)
+            table.commit(empty(self.spark, self.registry.get("satellite" if kind == "sat" else kind, name)))
         return table
 
     def check_unique(self, kind: str, name: str) -> None:
@@ -92,57 +95,76 @@ class Vault:
     def load(self, name: str, run_type: str, at: datetime, run: int = 0, after=None, until=None) -> dict[str, int]:
         """Load a source; every target commits on its own, and a failed load can be repeated.
 
-        A delta of a source with a sequence goes on after the mark of the last load of its satellites (else
-        of its stage) if ``after`` isn't given; the mark it reaches is noted with the state of every
-        target, and it is an error if there is none. What is set aside as duplicate, and how the load ends,
-        goes to the journal.
+        The batch is written to the stage first, and hubs, links and satellites read it from there, so the source
+        is read once. A delta of a source with a sequence goes on after the mark of the last load of its satellites
+        (else of its stage) if ``after`` isn't given; the mark it reaches is noted with the state of every
+        target, and it is an error if there is none. The marks of a source that is a satellite of this vault are
+        versions of its table. What is set aside as duplicate, and how the load ends, goes to the journal.
         """
         with self.journal.guarded(at, run, name):
             return self._load(name, run_type, at, run, after, until)
 
     def _load(self, name: str, run_type: str, at: datetime, run: int, after, until) -> dict[str, int]:
         config = self.registry.check(name)
-        source = config.source
-        if source.kind == "match":
-            source = replace(source, kind="callable", reader=lambda s, r: self.compared(source.match, at))
-        keys = [c for columns in config.hub_columns.values() for c in columns]
-        delta = run_type == "Delta" and source.load_type != "Full"
-        last = self.states.read()
-        if delta and source.sequence and after is None:
-            after = last_mark(last, name)
-            after = None if after is None else F.lit(after).cast(read(self.spark, source, run_type).schema[source.sequence].dataType)
-        rows = stage(self.spark, source, run_type, at, after, until, keys).persist()
-        counts = {}
+        rows, mark, n = self._staged(config, run_type, at, after, until)
+        config = replace(config, source=replace(config.source, sequence=_order(config.source)))
+        counts = {name: n}
+        feeds: dict[str, list[dict[str, str]]] = {}
+        for role, columns in config.hub_columns.items():
+            feeds.setdefault(self._hub_of(config, role), []).append(columns)
+        for hub_name, columns in feeds.items():
+            counts |= self._hub(config, rows, hub_name, columns, at)
+        looked_up = self._lookup(config, rows)
+        if config.link:
+            counts |= self._link(config, looked_up, at)
+            looked_up = self._link_lookup(config, looked_up)
+        looked_up = looked_up.persist()  # every satellite reads it; lost parts are computed from stored tables
         try:
-            mark = None
-            if source.sequence:
-                reached = F.lit(until) if until is not None else F.max(source.sequence)
-                marked = rows.agg(reached.cast("string").alias("mark"), F.count("*").alias("n")).where("n > 0 or mark is not null")
-                mark = high_water(marked, "mark", last, name)
-                if delta and mark is None:
-                    raise ValueError(f"{name}: a delta without a high-water mark")
-            counts[name] = rows.count()
-            feeds: dict[str, list[dict[str, str]]] = {}
-            for role, columns in config.hub_columns.items():
-                feeds.setdefault(self._hub_of(config, role), []).append(columns)
-            for hub_name, columns in feeds.items():
-                counts |= self._hub(config, rows, hub_name, columns, at)
-            looked_up = self._lookup(config, rows)
-            if config.link:
-                counts |= self._link(config, looked_up, at)
-                looked_up = self._link_lookup(config, looked_up)
-            looked_up = looked_up.persist()  # every satellite reads it
-            try:
-                for s in config.satellites:
-                    counts |= self._satellite(config, looked_up, s, run_type, at, run)
-            finally:
-                looked_up.unpersist()
+            for s in config.satellites:
+                counts |= self._satellite(config, looked_up, s, run_type, at, run)
         finally:
-            rows.unpersist()
+            looked_up.unpersist()
         kinds = {**{o: {"h": "hub", "l": "link", "s": "sat"}[o.split("_")[0]] for o in counts if o != name}, name: "stage"}
         self.states.append([(name, o, kinds[o], run, n, mark, at, datetime.now()) for o, n in counts.items()])
         return counts
 
+    def _staged(self, config: SourceConfig, run_type: str, at: datetime, after, until) -> tuple[DataFrame, str | None, int]:
+        """The batch as it was stored, its mark and its number of rows, both from the one pass that stored it."""
+        source, last = config.source, self.states.read()
+        name, delta = source.name, run_type == "Delta" and source.load_type != "Full"
+        keys = [c for columns in config.hub_columns.values() for c in columns]
+        if source.kind == "match":
+            source = replace(source, kind="callable", reader=lambda s, r: self.compared(source.match, at))
+        own_mark = None
+        if source.kind == "satellite" and source.satellite:
+            table = self.table("sat", source.satellite)
+            known = {v.number: v for v in table.versions()}
+            last_seen = after if after is not None else last_mark(last, name) if delta else None
+            since, upto = known.get(int(last_seen or 0)), known[until] if until is not None else table.latest()
+            if upto is None:
+                raise ConfigError(f"{object_name('sat', source.satellite)} was never loaded")
+            own_mark, taken = str(upto.number), run_type if delta else "Full"
+            columns = source.columns and tuple(dict.fromkeys((*source.columns, CDC_ACTION, START)))
+            source = replace(source, kind="callable", reader=lambda s, r: vault_rows(table, taken, since, upto), columns=columns, sequence=None)
+            after = until = None
+        kind = read(self.spark, source, run_type).schema[source.sequence].dataType if source.sequence else None
+        if delta and source.sequence and after is None:
+            found = last_mark(last, name)
+            after = None if found is None else from_text(found, kind)
+        batch = stage(self.spark, source, run_type, at, after, until, keys)
+        batch = batch.select(*(F.col(f.name).cast("string") if isinstance(f.dataType, T.NullType) else F.col(f.name) for f in batch.schema))
+        reached = {"mark": as_text(F.max(source.sequence) if until is None else F.lit(until).cast(kind), kind)} if source.sequence else {}
+        table = self.table("stage", name)
+        version = table.commit(batch, WHOLE, observed=reached)
+        table.vacuum(config.stages)
+        mark = own_mark
+        if source.sequence:
+            batch_mark = [(version.note["observed"]["mark"],)] if version.note["rows"] or until is not None else []
+            mark = high_water(self.spark.createDataFrame(batch_mark, "mark string"), "mark", last, name)
+            if delta and mark is None:
+                raise ValueError(f"{name}: a delta without a high-water mark")
+        return table.read(version), mark, version.note["rows"]
+
     def _hub_of(self, config: SourceConfig, role: str) -> str:
         return self.registry.get("link", config.link).roles[role] if config.link else role
 
@@ -152,10 +174,7 @@ class Vault:
         keys = list(self.registry.get("hub", name).keys)
         staged = [rows.select(*(F.col(s).alias(b) for s, b in columns.items())) for columns in feeds]
         new = hub.new_rows(staged, table.read(), name, keys, at, str(config.source.version))
-        n = new.count()
-        if n or table.latest() is None:
-            table.commit(new, note={"rows": n})
-        return {object_name("hub", name): n}
+        return {object_name("hub", name): self._appended(table, new)}
 
     def _lookup(self, config: SourceConfig, rows: DataFrame) -> DataFrame:
         for role, columns in config.hub_columns.items():
@@ -168,10 +187,14 @@ class Vault:
     def _link(self, config: SourceConfig, rows: DataFrame, at: datetime) -> dict[str, int]:
         table, roles = self.table("link", config.link), [key_name("hub", r) for r in config.hub_columns]
         new = link.new_rows(rows, table.read(), config.link, roles, at, str(config.source.version))
-        n = new.count()
-        if n or table.latest() is None:
-            table.commit(new, note={"rows": n})
-        return {object_name("link", config.link): n}
+        return {object_name("link", config.link): self._appended(table, new)}
+
+    @staticmethod
+    def _appended(table: Table, new: DataFrame) -> int:
+        """How many rows were added; no version is made of none."""
+        before = table.latest()
+        version = table.commit(new, base=before, skip_empty=True)
+        return 0 if before and version.number == before.number else version.note["rows"]
 
     def _link_lookup(self, config: SourceConfig, rows: DataFrame) -> DataFrame:
         roles = [key_name("hub", r) for r in config.hub_columns]
@@ -192,19 +215,24 @@ class Vault:
             source, aside = duplicates.apply_policy(source, [key], s.duplicate_threshold)
             if aside is not None:
                 self.journal.write_rows(aside, at, run, object_name("sat", name), "warning", duplicates.REMOVED)
-        touched = None if infer else [r[0] for r in source.select(table.bucket()).distinct().collect()]
-        before = table.read(part="current", buckets=touched)
+        version = table.latest()
+        before = None if version is None else table.read(version, "current") if infer else table.current_of(source, version)
         if before is None:
             before = satellite.initial(shape, source, at, "").limit(0)
-            touched = None
         source_name = str(config.source.version)
         if cdc:
-            done = satellite.replay(shape, before, source, [config.source.sequence], at, source_name)
+            done = satellite.replay(shape, before, source, [config.source.sequence], at, source_name, unchanged=False)
         else:
-            done = satellite.merge(shape, before, source, at, source_name, infer)
-        version = table.commit(done, IS_CURRENT, touched)
-        fresh = (F.col(START) >= F.lit(at).cast("timestamp_ntz")) | ~F.col(IS_CURRENT)
-        return {object_name("sat", name): table.written(version).where(fresh).count()}
+            done = satellite.merge(shape, before, source, at, source_name, infer, unchanged=False)
+        written = table.commit(done, base=version)
+        if len(written.runs) > s.runs:
+            table.compact(history=False)
+        return {object_name("sat", name): written.note["rows"]}
+
+
+def _order(source: Source) -> str | None:
+    """The column in whose order a key's changes are replayed; what a satellite gives has one change for each key."""
+    return START if source.kind == "satellite" and source.satellite else source.sequence
 
 
 _LOADED = "dv_load_date_time timestamp_ntz, dv_record_source string"

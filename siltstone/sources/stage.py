@@ -9,8 +9,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.naming import CDC_ACTION, HIGH_DATE, IS_TOMBSTONE, LOW_DATE, STAGE_TIME, VERSION_KEY
+from siltstone.functions.naming import CDC_ACTION, HIGH_DATE, IS_CURRENT, IS_TOMBSTONE, LOW_DATE, STAGE_TIME, VERSION_KEY
+from siltstone.functions.types import ColumnDef, cast_to, spark_type
 from siltstone.operators import temporal
+from siltstone.plans.store import Table, Version
+from siltstone.sources import jdbc
 
 LOAD_TYPES = ("Full", "Delta", "DateCdc", "SequenceCdc")
 RUN_TYPES = ("Full", "Delta")
@@ -22,8 +25,11 @@ class Source:
 
     reader: (spark, run type) -> rows; kind "table" reads ``path`` in ``format``; "external": the stage is
     there already; "match": what only one side of the configured comparison ``match`` has (see ``Vault``);
-    "satellite": ``path`` is that of a satellite, of which a full run takes the current versions and a
-    delta the changes of the window. row_filter: an SQL condition. sequence: the column of change order.
+    "satellite": a full run takes the current versions, a delta what has changed, as actions, either of the satellite
+    ``satellite`` of the same vault (see ``Vault``; marks are versions of its table), or of loose satellite rows at
+    ``path`` (marks are times). row_filter: an SQL condition. sequence: the column of change order. declared: the
+    columns of the stage with types and defaults; those that a batch lacks are filled, others go.
+    A "jdbc" format with ``sequence`` and an option ``parts`` is read in so many parts.
     """
 
     name: str
@@ -40,10 +46,15 @@ class Source:
     sequence: str | None = None
     version: int = 1
     match: str | None = None
+    satellite: str | None = None
+    declared: tuple[ColumnDef, ...] = ()
 
 
-def read(spark: SparkSession, source: Source, run_type: str) -> DataFrame:
-    """The source's rows by its kind; table formats are any that Spark reads, JDBC included."""
+def read(spark: SparkSession, source: Source, run_type: str, after=None, until=None) -> DataFrame:
+    """The source's rows by its kind; table formats are any that Spark reads, JDBC included.
+
+    after, until: the window of a delta, for sources that are asked for its bounds.
+    """
     if source.load_type not in LOAD_TYPES or run_type not in RUN_TYPES:
         raise ValueError(f"{source.name}: load type {source.load_type}, run type {run_type}")
     if source.kind == "callable":
@@ -53,6 +64,9 @@ def read(spark: SparkSession, source: Source, run_type: str) -> DataFrame:
     if source.kind in ("table", "external", "satellite"):
         if source.path is None:
             raise ValueError(f"{source.name}: no path")
+        if source.format == "jdbc" and source.sequence and "parts" in source.options:
+            options = {k: v for k, v in source.options.items() if k != "parts"}
+            return jdbc.read_parts(spark, options | {"dbtable": source.path}, source.sequence, int(source.options["parts"]), after, until)
         return spark.read.format(source.format).options(**source.options).load(source.path)
     raise ValueError(f"{source.name}: unknown kind {source.kind}")
 
@@ -91,10 +105,10 @@ def stage(spark: SparkSession, source: Source, run_type: str, stage_time: dateti
 
     Filters and columns are applied before anything else, so they reach the scan.
     """
-    rows = read(spark, source, run_type)
+    delta = run_type == "Delta" and source.load_type != "Full"
+    rows = read(spark, source, run_type, *((after, until) if delta and source.kind != "satellite" else ()))
     if source.row_filter:
         rows = rows.where(source.row_filter)
-    delta = run_type == "Delta" and source.load_type != "Full"
     if source.kind == "satellite":
         rows = satellite_rows(rows, run_type if source.load_type == "DateCdc" else "Full", None, after, until)
     elif delta:
@@ -108,9 +122,39 @@ def stage(spark: SparkSession, source: Source, run_type: str, stage_time: dateti
     for name, expression in source.derived.items():
         value = F.expr(expression)
         rows = rows.withColumn(name, F.coalesce(F.col(name), value) if name in rows.columns else value)
+    if source.declared:
+        rows = typed(rows, list(source.declared), [c for c in (CDC_ACTION, source.sequence) if c and c in rows.columns])
     return rows.withColumns({STAGE_TIME: F.lit(stage_time).cast("timestamp_ntz"), VERSION_KEY: F.lit(source.version)})
 
 
+def typed(rows: DataFrame, columns: list[ColumnDef], keep: list[str] = ()) -> DataFrame:
+    """The declared columns, cast where types differ: nulls and columns that the rows lack get the default; retired ones are null.
+
+    A null in a column that isn't nullable and has no default is an error as the rows are read.
+    """
+    out = []
+    for c in columns:
+        default = F.lit(None) if c.default is None else F.expr(c.default)
+        have = c.name in rows.columns and not c.retired
+        value = cast_to(F.col(c.name), rows.schema[c.name].dataType, c) if have else F.lit(None).cast(spark_type(c))
+        value = value if c.retired or c.default is None else F.coalesce(value, default.cast(spark_type(c)))
+        if not c.nullable and not c.retired:
+            value = F.coalesce(value, F.raise_error(F.lit(f"column {c.name} is null")).cast(spark_type(c)))
+        out.append(value.alias(c.name))
+    names = {c.name for c in columns}
+    return rows.select(*out, *(k for k in keep if k not in names))
+
+
+def vault_rows(table: Table, run_type: str, since: Version | None, until: Version) -> DataFrame:
+    """What a vault's satellite gives to the next layer: a full run its current rows at a version, a delta what has changed between two.
+
+    A delta's rows are the net changes by key, with the action; deletes have no payload.
+    """
+    if run_type == "Full":
+        return table.read(until, "current").withColumn(CDC_ACTION, F.lit("U"))
+    return table.changes(since, until, net=True).withColumn(CDC_ACTION, F.when(F.col(IS_CURRENT), "U").otherwise("D"))
+
+
 def high_water_marks(sources: DataFrame, batches: DataFrame, states: DataFrame) -> DataFrame:
     """(source, mark) to go on from: the least of the batch, else of the last satellite load, else of the last stage load.
 

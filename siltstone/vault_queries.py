@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date, datetime
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import macros, naming, scalar, types
+from siltstone.functions import macros, marks, naming, scalar
 from siltstone.functions.naming import END, IS_CURRENT, IS_TOMBSTONE, LOAD_TIME, RECORD_SOURCE, SOURCE_TIME, START
 from siltstone.functions.types import ColumnDef
-from siltstone.operators import compare, duplicates, hub, link, lookup, metrics, satellite, temporal
-from siltstone.plans import config, release, scheduler, state
+from siltstone.operators import compare, duplicates, hub, intervals, link, lookup, metrics, satellite, temporal
+from siltstone.plans import config, scheduler, state
 from siltstone.plans.pipeline import Vault
 from siltstone.plans.shared import shared_folder
 from siltstone.plans.store import Table
 from siltstone.sources import stage
-from siltstone.streaming.cdc import into_satellite
+from siltstone.streaming.cdc import into_satellite, load_batch, stream_id
 
 T1, T2, T3 = datetime(2024, 1, 1), datetime(2024, 2, 1), datetime(2024, 3, 1)
 CUSTOMER = satellite.Satellite(("h_customer_key",), ("c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
@@ -331,11 +332,6 @@ def net_changes_window(spark, sf_dir):
     return plain(temporal.changes_between(loads(spark, sf_dir, 3), T1, T2))
 
 
-@query("SELECT d + INTERVAL 1 DAY - INTERVAL 1 MILLISECOND AS pit_date FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-31', INTERVAL 1 DAY) AS g(d)")
-def day_end_list(spark, sf_dir):
-    return temporal.day_ends(spark, date(2024, 1, 1), date(2024, 3, 31))
-
-
 @query(_SAT + f"SELECT h_customer_key, c_acctbal, CAST(g AS DATE) AS day FROM {_AFTER3}, generate_series(TIMESTAMP '2024-01-25', TIMESTAMP '2024-02-05', INTERVAL 1 DAY) AS s(g) WHERE NOT dv_is_tombstone AND dv_rowstartdate <= g + INTERVAL 1 DAY - INTERVAL 1 MILLISECOND AND dv_rowenddate > g + INTERVAL 1 DAY - INTERVAL 1 MILLISECOND")
 def pit_daily_grid(spark, sf_dir):
     grid = temporal.daily_grid(loads(spark, sf_dir, 3), date(2024, 1, 25), date(2024, 2, 5))
@@ -404,12 +400,6 @@ def metrics_sat_columns(spark, sf_dir):
     return metrics.satellite_profile(loads(spark, sf_dir, 3), ["c_name", "c_nationkey", "c_mktsegment"], datetime(2024, 2, 15))
 
 
-@query("SELECT k AS satellite_key FROM range(1, 50) AS g(k) WHERE k % 7 = 3")
-def metrics_weekly_choice(spark, sf_dir):
-    chosen = [(k,) for k in range(1, 50) if metrics.profiled_today(k, date(2024, 1, 3))]  # a Wednesday
-    return spark.createDataFrame(chosen, "satellite_key long")
-
-
 @query("(SELECT 'documents' AS _master_table, * FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) UNION ALL (SELECT 'labels', * FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents))")
 def compare_match_source(spark, sf_dir):
     """A configured match of two staged sources."""
@@ -431,8 +421,8 @@ def loaded_orders(spark, sf_dir) -> Vault:
     r.insert("hub", config.HubConfig("customer", ("c_custkey",), types={"c_custkey": "bigint"}))
     r.insert("link", config.LinkConfig("order_customer", {"orders": "orders", "customer": "customer"}))
     price = {"o_totalprice": ColumnDef("price", "decimal", precision=14, scale=2)}
-    r.insert("satellite", config.SatelliteConfig("order_price", "order_customer", "link", price, (("dear", "price > 100000"),)))
-    r.insert("satellite", config.SatelliteConfig("order_status", "order_customer", "link", {"o_orderstatus": ColumnDef("status", "varchar", length=1)}))
+    r.insert("satellite", config.SatelliteConfig("order_price", "order_customer", "link", price, (("dear", "price > 100000"),), buckets=8))
+    r.insert("satellite", config.SatelliteConfig("order_status", "order_customer", "link", {"o_orderstatus": ColumnDef("status", "varchar", length=1)}, buckets=8))
     for k, where in ((1, "o_orderkey % 4 <> 0"), (2, None)):
         source = stage.Source(f"orders_{k}", path=f"{sf_dir}/orders.parquet", columns=("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), row_filter=where, version=k)
         hubs = {"orders": {"o_orderkey": "o_orderkey"}, "customer": {"o_custkey": "c_custkey"}}
@@ -577,18 +567,6 @@ def dag_paths(spark, sf_dir):
 _TASKS = "SELECT 'n' || n_nationkey AS task, CASE WHEN n_nationkey < 4 THEN 'Completed' WHEN n_nationkey = 4 THEN 'Processing' ELSE 'Scheduled' END AS status FROM nation"
 
 
-@query("SELECT * FROM (VALUES ('[a]'), ('[a] >>> [b]'), ('[a] >>> [c]'), ('[a] >>> [b] >>> [d]'), ('[a] >>> [c] >>> [d]')) AS v(path)")
-def dag_schedule_paths(spark, sf_dir):
-    """Paths of a configured schedule; an edge that would close a circle is refused when it is added."""
-    schedules = scheduler.Schedules()
-    schedules.insert(scheduler.Schedule("Nightly", {}))
-    for name in "abcd":
-        schedules.add_member("Nightly", scheduler.Task(name))
-    for task, predecessor in (("b", "a"), ("c", "a"), ("d", "b"), ("d", "c")):
-        schedules.add_edge("Nightly", task, predecessor)
-    return scheduler.paths(schedules.edges(spark, "nightly"))
-
-
 @query(f"WITH e AS ({_NODES}), t AS ({_TASKS}) SELECT task FROM t WHERE status = 'Scheduled' AND task NOT IN (SELECT e.task FROM e JOIN t p ON p.task = predecessor WHERE p.status <> 'Completed')")
 def dag_runnable_tasks(spark, sf_dir):
     k = F.col("n_nationkey")
@@ -651,75 +629,7 @@ def journal_severity_mask(spark, sf_dir):
     return state.search(rows, "r", "contains", 12, limit=100).select(F.col("at").alias("event_id"), "severity")
 
 
-# Configuration, runs, releases and streams
-
-
-def _rows(columns: str, *rows: str) -> str:
-    """SQL of literal rows."""
-    return f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) AS v({columns})"
-
-
-def example_registry() -> config.Registry:
-    """Two hubs, a link, a satellite, its source, a match and a source version that is out of use."""
-    r = config.Registry()
-    r.add_release(1)
-    r.insert("hub", config.HubConfig("orders", ("o_orderkey",), 1))
-    r.insert("hub", config.HubConfig("customer", ("c_custkey",), 1))
-    r.insert("link", config.LinkConfig("order_customer", {"orders": "orders", "customer": "customer"}, 1))
-    r.insert("satellite", config.SatelliteConfig("order_price", "order_customer", "link", {"o_totalprice": ColumnDef("price", "money")}, release=1))
-    hubs = {"orders": {"o_orderkey": "o_orderkey"}, "customer": {"o_custkey": "c_custkey"}}
-    r.insert("source", config.SourceConfig(stage.Source("orders", path="orders"), hubs, "order_customer", ("order_price",), release=1))
-    r.insert("source", config.SourceConfig(stage.Source("orders_old", path="old"), hubs, "order_customer"))
-    r.insert("version", config.VersionConfig("orders_old_1", "orders_old", 1, active=False))
-    r.insert("match", config.MatchConfig("prices", ("stage", "orders"), ("sat", "order_price"), (("o_orderkey", "o_orderkey"), ("o_totalprice", "price"))))
-    return r
-
-
-@query(_rows("match, left_kind, left_object, left_column, right_kind, right_object, right_column", "'prices', 'stage', 'orders', 'o_orderkey', 'sat', 'order_price', 'o_orderkey'", "'prices', 'stage', 'orders', 'o_totalprice', 'sat', 'order_price', 'price'"))
-def config_match_columns(spark, sf_dir):
-    return spark.createDataFrame(example_registry().matches())
-
-
-@query(_rows("source, load_type, kind, path", "'orders', 'Full', 'table', 'orders'"))
-def config_active_stages(spark, sf_dir):
-    return spark.createDataFrame(example_registry().stages())
-
-
-@query(_rows("kind, n", "'hub', 2", "'link', 1", "'satellite', 1", "'source', 1"))
-def release_round_trip(spark, sf_dir):
-    """A release is written, read and applied to an empty registry, which then holds its rows."""
-    path = f"{shared_folder(spark)}/release-{uuid4().hex}"
-    release.export(spark, example_registry(), 1, path)
-    other = config.Registry()
-    release.apply(other, release.load(spark, path))
-    found = [(kind, row.release) for kind, rows in other.rows.items() for row in rows.values()]
-    return spark.createDataFrame(found, "kind string, release int").where("release = 1").groupBy("kind").agg(F.count("*").cast("int").alias("n"))
-
-
-@query("SELECT chr(97 + k // 17576 % 26) || chr(97 + k // 676 % 26) || chr(97 + k // 26 % 26) || chr(97 + k % 26) AS abbreviation FROM (SELECT CAST(k AS INT) AS k FROM range(0, 800) AS g(k))")
-def config_abbreviations(spark, sf_dir):
-    found = [naming.next_abbreviation(None)]
-    while len(found) < 800:
-        found.append(naming.next_abbreviation(found[-1]))
-    return spark.createDataFrame([(x,) for x in found], "abbreviation string")
-
-
-@query(_rows("name, pit, changes, key", "'s_customer', 'get_s_customer_pit', 'get_s_customer_all', 'h_customer_key'", "'s_orders', 'get_s_orders_pit', 'get_s_orders_all', 'h_orders_key'"))
-def config_names(spark, sf_dir):
-    sats = [(naming.object_name("sat", n), naming.key_name("hub", n)) for n in ("customer", "orders")]
-    return spark.createDataFrame([(s, naming.access_name("pit", s), naming.access_name("all", s), k) for s, k in sats], "name string, pit string, changes string, key string")
-
-
-@query(_rows("name, type", "'o_orderkey', 'bigint'", "'o_custkey', 'bigint'", "'o_orderstatus', 'varchar'", "'o_totalprice', 'float'", "'o_orderdate', 'datetime'", "'o_orderpriority', 'varchar'"))
-def config_declared_columns(spark, sf_dir):
-    """The columns of a table that exists, as declared ones."""
-    found = types.declared(table(spark, sf_dir, "orders").schema)
-    return spark.createDataFrame([(c.name, c.type) for c in found], "name string, type string")
-
-
-@query(_rows("milliseconds, text", "5, '5 milliseconds'", "1000, '1 sec'", "61000, '1 min and 1 sec'", "7322000, '2 hrs, 2 mins and 2 secs'"))
-def elapsed_texts(spark, sf_dir):
-    return spark.createDataFrame([(n, scalar.elapsed_text(n)) for n in (5, 1000, 61_000, 7_322_000)], "milliseconds int, text string")
+# Bespoke and external stages, stored tables and streams
 
 
 @query("SELECT l_linenumber AS k, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_linenumber > 2 GROUP BY l_linenumber")
@@ -739,50 +649,214 @@ def stage_external(spark, sf_dir):
     return stage.stage(spark, source, "Full", T1).drop("dv_stage_date_time", "dv_source_version_key")
 
 
-@query(_rows("task, status, times", "'a', 'Completed', 1", "'b', 'Completed', 2", "'c', 'Completed', 1", "'d', 'Completed', 1"))
-def run_restart(spark, sf_dir):
-    """A run of four tasks, of which one fails at first; it is read back from its log and restarted."""
-    log = state.Log(spark, f"{shared_folder(spark)}/runs-{uuid4().hex}", scheduler.RUN_SCHEMA)
-    schedule = scheduler.Schedule("Nightly", {n: scheduler.Task(n) for n in "abcd"}, {("b", "a"), ("c", "a"), ("d", "b"), ("d", "c")})
-    run, done = scheduler.Run.of([schedule], "nightly"), []
-    run.number, run.log = 1, log
-
-    def load(task):
-        done.append(task.name)
-        if done == ["a", "b"]:
-            raise RuntimeError("the first try")
-
-    try:
-        run.process(load)
-    except scheduler.RunFailed:
-        run = scheduler.Run.resumed(log, 1)
-        run.restart()
-        run.process(load)
-    times = spark.createDataFrame([(n, done.count(n)) for n in sorted(set(done))], "task string, times int")
-    return scheduler.current_tasks(log.read()).select("task", "status").join(times, "task")
-
-
 @query(_REPLAY + "FROM r")
 def sat_stream_replay(spark, sf_dir):
     """The changes of ``sat_cdc_replay`` as a stream, in one batch, into a stored satellite."""
     folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     changes = event_changes(spark, sf_dir)
     changes.write.parquet(f"{folder}/changes")
-    target = Table(spark, folder, "sat/s_user", ("user_id",))
-    target.commit(satellite.initial(USER, changes, T1, "").limit(0), IS_CURRENT)
+    target = user_table(spark, folder, changes)
     stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/changes")
     into_satellite(stream, USER, target, ["ts"], f"{folder}/checkpoint", "1", lambda: T1).awaitTermination()
     return _micro(target.read())
 
 
+def user_table(spark, folder: str, changes: DataFrame) -> Table:
+    """An empty stored satellite of users."""
+    target = Table(spark, folder, "sat/s_user", ("user_id",), 8)
+    target.commit(satellite.initial(USER, changes, T1, "").limit(0))
+    return target
+
+
+@query(_REPLAY + "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY start_us) AS BIGINT) AS n, dv_row_is_current, dv_is_tombstone, event_type, value FROM r")
+def sat_two_streams(spark, sf_dir):
+    """Users of even and of odd numbers as two streams of three batches each into one satellite; the last batch of one is delivered twice."""
+    folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    changes, at = event_changes(spark, sf_dir), F.unix_micros(F.col("ts").cast("timestamp"))
+    target = user_table(spark, folder, changes)
+    bounds = [0, *changes.agg(F.percentile_approx(at, F.array(F.lit(1 / 3), F.lit(2 / 3)))).first()[0], 2**62]
+    for odd in (0, 1):
+        for low, high, day in zip(bounds, bounds[1:], (T1, T2, T3), strict=False):
+            batch = changes.where((F.col("user_id") % 2 == odd) & (at > low) & (at <= high))
+            batch.write.mode("append").parquet(f"{folder}/changes-{odd}")
+            stream = spark.readStream.schema(changes.schema).parquet(f"{folder}/changes-{odd}")
+            into_satellite(stream, USER, target, ["ts"], f"{folder}/checkpoint-{odd}", "1", lambda day=day: day).awaitTermination()
+    load_batch(batch, stream_id(spark, f"{folder}/checkpoint-1"), 2, USER, target, ["ts"], "1", T3)
+    order = Window.partitionBy("user_id").orderBy(START)
+    return target.read().select("user_id", F.row_number().over(order).cast("long").alias("n"), IS_CURRENT, IS_TOMBSTONE, "event_type", "value")
+
+
 @query("SELECT c_custkey, c_acctbal, c_custkey % 7 = 0 AS replaced FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, c_acctbal + 1, true FROM customer WHERE c_custkey % 7 = 0")
 def table_current_buckets(spark, sf_dir):
-    """Current rows of some keys are replaced; only the buckets that hold them are rewritten."""
-    target = Table(spark, f"{shared_folder(spark)}/table-{uuid4().hex}", "sat/s_customer", ("c_custkey",))
+    """Current rows of some keys are replaced by a run beside the base, which is merged when it is read."""
+    target = Table(spark, f"{shared_folder(spark)}/table-{uuid4().hex}", "sat/s_customer", ("c_custkey",), 8, current="now")
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.lit(False).alias("replaced"), F.lit(True).alias("now"))
-    target.commit(rows, "now")
-    changed = rows.where("c_custkey % 7 = 0").withColumns({"c_acctbal": F.col("c_acctbal") + 1, "replaced": F.lit(True)})
-    touched = [r[0] for r in changed.select(target.bucket()).distinct().collect()]
-    kept = target.read(part="current", buckets=touched).join(changed.select("c_custkey"), "c_custkey", "left_anti")
-    target.commit(kept.unionByName(changed), "now", touched)
+    target.commit(rows)
+    target.commit(rows.where("c_custkey % 7 = 0").withColumns({"c_acctbal": F.col("c_acctbal") + 1, "replaced": F.lit(True)}))
     return target.read().drop("now")
+
+
+def customer_vault(spark, sf_dir) -> Vault:
+    """Customers loaded three times in full, as ``loads`` has them; after the second the satellite is folded."""
+    vault = Vault(spark, f"{shared_folder(spark)}/vault-{uuid4().hex}")
+    r = vault.registry
+    r.insert("hub", config.HubConfig("customer", ("c_custkey",)))
+    kinds = {"c_name": "varchar", "c_nationkey": "int", "c_acctbal": "float", "c_mktsegment": "varchar"}
+    columns = {c: ColumnDef(c, t, length=-1 if t == "varchar" else None) for c, t in kinds.items()}
+    r.insert("satellite", config.SatelliteConfig("customer", "customer", "hub", columns, buckets=8))
+    for n, at in enumerate((T1, T2, T3), 1):
+        reader = lambda s, run, n=n: customer_rows(s, sf_dir, 2 if n == 2 else 1, table(s, sf_dir, "customer").select("c_custkey", F.lit(0).alias("h_customer_key"))).drop("h_customer_key")
+        r.insert("source", config.SourceConfig(stage.Source(f"customer_{n}", kind="callable", reader=reader, version=n), {"customer": {"c_custkey": "c_custkey"}}, satellites=("customer",)))
+        vault.load(f"customer_{n}", "Full", at, run=n)
+        if n == 2:
+            vault.table("sat", "customer").compact(history=False)
+    return vault
+
+
+@query(_SAT + f"FROM {_AFTER3}")
+def sat_merge_on_read(spark, sf_dir):
+    """The stored satellite after three loads: a base that was folded, a run beside it, and what ended."""
+    return plain(customer_vault(spark, sf_dir).table("sat", "customer").read())
+
+
+@query(_SAT + f"SELECT h_customer_key, 'D' AS dv_cdc_action, {_P}, true AS first FROM tomb UNION ALL SELECT h_customer_key, 'U', {_P}, true FROM two UNION ALL SELECT h_customer_key, 'U', {_P}, false FROM h WHERE h_customer_key IN (FROM ch) OR h_customer_key IN (FROM gone)")
+def stage_vault_delta(spark, sf_dir):
+    """What a vault's satellite gives to a next layer: net changes from its first version to its second, and from there to its last."""
+    sat = customer_vault(spark, sf_dir).table("sat", "customer")
+    one, two, *_, last = sat.versions()
+    rows = [stage.vault_rows(sat, "Delta", a, b).withColumn("first", F.lit(a is one)) for a, b in ((one, two), (two, last))]
+    return rows[0].unionByName(rows[1]).select("h_customer_key", "dv_cdc_action", *CUSTOMER.payload, "first")
+
+
+@query(_SAT + "SELECT c_custkey, c_acctbal, c_mktsegment, h_customer_key IN (FROM ch) OR h_customer_key IN (FROM gone) AS changed FROM h")
+def load_next_layer(spark, sf_dir):
+    """A satellite that is fed from another one, by its versions: each delta takes what has changed since the last one."""
+    vault = customer_vault(spark, sf_dir)
+    r, first, second, *_ = vault.registry, *vault.table("sat", "customer").versions()
+    r.insert("hub", config.HubConfig("account", ("h_customer_key",)))
+    columns = {"c_acctbal": ColumnDef("c_acctbal", "float"), "c_mktsegment": ColumnDef("c_mktsegment", "varchar", length=-1)}
+    r.insert("satellite", config.SatelliteConfig("account", "account", "hub", columns, buckets=8))
+    source = stage.Source("accounts", "DateCdc", kind="satellite", satellite="customer", columns=("h_customer_key", "c_acctbal", "c_mktsegment"))
+    r.insert("source", config.SourceConfig(source, {"account": {"h_customer_key": "h_customer_key"}}, satellites=("account",)))
+    vault.load("accounts", "Full", T1, until=first.number)
+    vault.load("accounts", "Delta", T2, until=second.number)
+    vault.load("accounts", "Delta", T3)
+    vault.load("accounts", "Delta", datetime(2024, 4, 1))  # nothing new
+    found = vault.read_object("sat", "account").join(vault.table("hub", "account").read().select("h_account_key", "h_customer_key"), "h_account_key")
+    keys = vault.table("hub", "customer").read().select("h_customer_key", "c_custkey")
+    return found.join(keys, "h_customer_key").select("c_custkey", "c_acctbal", "c_mktsegment", (F.col(START) >= F.lit(T3).cast("timestamp_ntz")).alias("changed"))
+
+
+@query("WITH e AS (SELECT *, lpad(printf('%X', event_id * 40503 + 255), 20, '0') AS lsn FROM events) SELECT lsn, lpad(printf('%X', event_id * 40503 + 256), 20, '0') AS next_lsn, event_id, CASE WHEN event_id % 5 = 1 THEN 'D' ELSE 'U' END AS dv_cdc_action, CASE WHEN event_id <= (SELECT max(event_id) // 2 FROM events) THEN 1 ELSE 2 END AS batch FROM e WHERE event_id % 5 IN (1, 2, 4)")
+def stage_binary_lsn(spark, sf_dir):
+    """Changes in the order of binary sequence numbers, staged by two loads; the second goes on where the first has ended."""
+    folder = f"{shared_folder(spark)}/vault-{uuid4().hex}"
+    vault, rows = Vault(spark, folder), table(spark, sf_dir, "events")
+    lsn = F.unhex(F.lpad(F.hex(F.col("event_id") * 40503 + 255), 20, "0"))
+    changes = rows.select("event_id", "user_id", "event_type", (F.col("event_id") % 5).alias("operation"), lsn.alias("lsn"))
+    half = rows.agg(F.max("event_id")).first()[0] // 2
+    r = vault.registry
+    r.insert("hub", config.HubConfig("event", ("event_id",)))
+    r.insert("satellite", config.SatelliteConfig("event", "event", "hub", {"event_type": ColumnDef("event_type", "varchar", length=-1)}, buckets=8))
+    source = stage.Source("changes", "SequenceCdc", path=f"{folder}/changes", operation="operation", sequence="lsn", columns=("event_id", "event_type"))
+    r.insert("source", config.SourceConfig(source, {"event": {"event_id": "event_id"}}, satellites=("event",)))
+    found = []
+    for k, own in enumerate((changes.where(F.col("event_id") <= half), changes.where(F.col("event_id") > half)), 1):
+        own.write.mode("append").parquet(f"{folder}/changes")
+        vault.load("changes", "Delta", (T1, T2)[k - 1], run=k)
+        found.append(vault.table("stage", "changes").read().withColumn("batch", F.lit(k)))
+    return found[0].unionByName(found[1]).select(F.hex("lsn").alias("lsn"), F.hex(marks.next_lsn(F.col("lsn"))).alias("next_lsn"), "event_id", "dv_cdc_action", "batch")
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_totalprice AS DECIMAL(16, 2)) AS o_totalprice, CASE WHEN o_orderkey % 2 = 1 THEN CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority ELSE 'none' END END AS o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus FROM orders")
+def stage_typed_versions(spark, sf_dir):
+    """Two versions of a source: the second widens key and price, adds a column with a default and retires one. Both batches are read by the later columns."""
+    vault = Vault(spark, f"{shared_folder(spark)}/vault-{uuid4().hex}")
+    r, orders = vault.registry, table(spark, sf_dir, "orders")
+    status = ColumnDef("o_orderstatus", "varchar", length=1)
+    one = (ColumnDef("o_orderkey", "int"), ColumnDef("o_totalprice", "decimal", precision=12, scale=2), status)
+    two = (ColumnDef("o_orderkey", "bigint", nullable=False), ColumnDef("o_totalprice", "decimal", precision=16, scale=2), ColumnDef("o_orderpriority", "varchar", length=-1, default="'none'"), replace(status, retired=True))
+    later = orders.where("o_orderkey % 2 = 1").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")))
+    feeds = iter((orders.where("o_orderkey % 2 = 0"), later))
+    r.insert("hub", config.HubConfig("orders", ("o_orderkey",)))
+    r.insert("source", config.SourceConfig(stage.Source("orders", kind="callable", reader=lambda s, run: next(feeds)), {"orders": {"o_orderkey": "o_orderkey"}}))
+    staged = vault.table("stage", "orders")
+    for columns, at in ((one, T1), (two, T2)):
+        r.declare("orders", columns, rerun=True)
+        vault.load("orders", "Full", at)
+    first, last = staged.versions()
+    rows = [staged.read(v, schema=last.schema) for v in (first, last)]
+    return rows[0].unionByName(rows[1]).select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey > 100 AND c_nationkey < 20")
+def stage_jdbc_parts(spark, sf_dir):
+    """Customers in an embedded relational database, read from there after a mark, in four parts."""
+    spark._jvm.System.setProperty("derby.stream.error.file", "/dev/null")
+    options = {"url": f"jdbc:derby:memory:{uuid4().hex};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    table(spark, sf_dir, "customer").write.format("jdbc").options(**options, dbtable="customer").save()
+    source = stage.Source("customer", "SequenceCdc", path="customer", format="jdbc", options=options | {"parts": "4"}, sequence="c_custkey", columns=("c_custkey", "c_name", "c_acctbal"), row_filter="c_nationkey < 20")
+    return stage.stage(spark, source, "Delta", T1, after=100).drop("dv_stage_date_time", "dv_source_version_key")
+
+
+# Joins in time
+
+
+def user_states(spark, sf_dir) -> DataFrame:
+    """A satellite of users whose versions begin with sign-ups and purchases, and end in tombstones with errors."""
+    rows = table(spark, sf_dir, "events").where("event_type IN ('signup', 'purchase', 'error')")
+    until = F.coalesce(F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts")), F.lit(naming.HIGH_DATE).cast("timestamp_ntz"))
+    gone = F.col("event_type") == "error"
+    return rows.select("user_id", gone.alias(IS_TOMBSTONE), F.col("ts").alias(START), F.when(gone, F.col("ts")).otherwise(until).alias(END), F.when(~gone, F.col("event_id")).alias("state_id"))
+
+
+_STATE = "s AS (SELECT user_id, ts, event_type = 'error' AS gone, event_id AS state_id FROM events WHERE event_type IN ('signup', 'purchase', 'error'))"
+
+
+@query(f"WITH {_STATE} SELECT e.event_id, CASE WHEN NOT s.gone THEN s.state_id END AS state_id FROM events e ASOF LEFT JOIN s ON s.user_id = e.user_id AND s.ts <= e.ts")
+def asof_events_satellite(spark, sf_dir):
+    """Every event with the version of its user that was valid then."""
+    facts = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return temporal.as_of(facts, user_states(spark, sf_dir), ["user_id"], "ts", {"state_id": "state_id"}).select("event_id", "state_id")
+
+
+@query(f"WITH {_STATE} SELECT e.event_id, s.state_id FROM events e ASOF JOIN s ON s.user_id = e.user_id AND s.ts <= e.ts WHERE NOT s.gone")
+def asof_events_hot_users(spark, sf_dir):
+    """The same without events for which nothing was valid, and with every user split by time, as a hot key is."""
+    facts = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return temporal.as_of(facts, user_states(spark, sf_dir), ["user_id"], "ts", {"state_id": "state_id"}, "inner", hot_rows=10).select("event_id", "state_id")
+
+
+@query("WITH t AS (SELECT event_id AS task, ts AS started, CASE WHEN event_id % 97 <> 0 THEN ts + INTERVAL 1 HOUR END AS ended FROM events WHERE event_type = 'signup') SELECT t.task, e.event_id FROM t JOIN events e ON e.event_type = 'error' AND e.ts >= t.started AND (e.ts <= t.ended OR t.ended IS NULL)")
+def report_errors_by_time(spark, sf_dir):
+    """Errors with all tasks that ran then, without a run that both belong to."""
+    rows = table(spark, sf_dir, "events")
+    ended = F.when(F.col("event_id") % 97 != 0, F.timestamp_add("HOUR", F.lit(1), F.col("ts")))
+    tasks = rows.where("event_type = 'signup'").select(F.col("event_id").alias("task"), F.col("ts").alias("started"), ended.alias("ended"))
+    journal = rows.select(F.col("ts").alias("at"), F.when(F.col("event_type") == "error", 8).otherwise(2).alias("severity"), F.col("event_id").cast("string").alias("message"))
+    return scheduler.errors_by_time(tasks, journal).select("task", F.col("message").cast("long").alias("event_id"))
+
+
+_SPANS = "SELECT event_id AS {n}, ts AS {n}_from, ts + INTERVAL 1 MINUTE * (event_id % 50) AS {n}_to FROM events WHERE event_type = '{t}'"
+
+
+@query(f"SELECT a, b FROM ({_SPANS.format(n='a', t='purchase')}) JOIN ({_SPANS.format(n='b', t='error')}) ON a_from <= b_to AND b_from <= a_to")
+def interval_overlaps(spark, sf_dir):
+    """Pairs of a purchase and an error whose times overlap."""
+    rows = table(spark, sf_dir, "events")
+    to = F.timestamp_add("MINUTE", (F.col("event_id") % 50).cast("int"), F.col("ts"))
+    sides = [rows.where(F.col("event_type") == t).select(F.col("event_id").alias(n), F.col("ts").alias(f"{n}_from"), to.alias(f"{n}_to")) for n, t in (("a", "purchase"), ("b", "error"))]
+    return intervals.overlapping(*sides, ("a_from", "a_to"), ("b_from", "b_to")).select("a", "b")
+
+
+_PROFILED = {"l_orderkey": False, "l_partkey": False, "l_linenumber": False, "l_returnflag": True, "l_linestatus": True}
+
+
+@query(f"SELECT * EXCLUDE (domain) FROM ({_profile_sql('lineitem', _PROFILED)})")
+def metrics_columns_by_load(spark, sf_dir):
+    """Line items that arrive in three loads: each is profiled by itself, and the profile of all comes from the three rows."""
+    columns, rows = list(_PROFILED), table(spark, sf_dir, "lineitem")
+    parts = Table(spark, f"{shared_folder(spark)}/profile-{uuid4().hex}", "profile/lineitem")
+    for k in range(3):
+        parts.commit(metrics.profile_part(rows.where(F.col("l_orderkey") % 3 == k), columns))
+    return metrics.merged_profile(parts.read(), columns).drop("domain")

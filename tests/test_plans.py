@@ -82,8 +82,8 @@ def test_store_versions_and_conflicts(spark, tmp_path):
     table = store.Table(spark, str(tmp_path), "hub/h")
     assert table.latest() is None and table.read() is None and table.versions() == []
     table.commit(spark.range(2))
-    base = table.commit(spark.range(2, 3), note={"rows": 1})
-    assert base.number == 2 and base.note == {"rows": 1} and table.read().count() == 3
+    base = table.commit(spark.range(2, 3), note={"by": "a test"})
+    assert base.number == 2 and base.note == {"rows": 1, "by": "a test"} and table.read().count() == 3
     table.commit(spark.range(5, 6))
     assert table.read(base).count() == 3 and table.read().count() == 4
     with pytest.raises(store.Conflict):
@@ -93,19 +93,75 @@ def test_store_versions_and_conflicts(spark, tmp_path):
     assert table.read().count() == 4 and len(table.latest().history) == 1 and table.read(base).count() == 3
 
 
-def test_current_rows_are_replaced_by_bucket(spark, tmp_path):
-    table = store.Table(spark, str(tmp_path), "sat/s", ("k",))
-    rows = lambda *v: spark.createDataFrame(v, "k long, now boolean, v string")
-    assert table.commit(rows().limit(0), "now").number == 1 and table.read().count() == 0
-    table.commit(rows(*((k, True, "a") for k in range(100))), "now")
-    at = [r[0] for r in rows((7, True, "b")).select(table.bucket()).collect()]
-    same = [r["k"] for r in table.read(part="current", buckets=at).collect()]
-    assert 7 in same and len(same) < 20
-    table.commit(rows(*((k, True, "b") for k in same), (7, False, "a")), "now", at)
-    assert table.read(part="current").count() == 100 and [tuple(r) for r in table.read(part="history").collect()] == [(7, False, "a")]
-    assert sorted(r["k"] for r in table.read(part="current").where("v = 'b'").collect()) == sorted(same)
-    table.compact("now")
-    assert table.read(part="current").count() == 100 and table.read(part="history").count() == 1
+def size_of(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_current_rows_are_merged_when_read(spark, tmp_path):
+    table = store.Table(spark, str(tmp_path), "sat/s", ("k",), 8, "now", "gone")
+    rows = lambda *v: spark.createDataFrame(v, "k long, now boolean, gone boolean, v string")
+    assert table.commit(rows().limit(0)).number == 1 and table.read().count() == 0
+    base = table.commit(rows(*((k, True, False, "a" * 50 + str(k)) for k in range(5000))))
+    whole = size_of(tmp_path)
+    table.commit(rows((7, False, False, "a"), (7, True, False, "b"), (8, False, False, "a"), (8, False, True, None)))
+    assert size_of(tmp_path) - whole < whole / 5  # a load's bytes follow what it changes
+    table.commit(rows((9, True, False, "c"), (8, True, False, "d"), (6000, True, False, "new")))
+    table.commit(rows((8, False, False, "d"), (8, False, True, None)))
+    state = lambda v=None: {r["k"]: r["v"] for r in table.read(v, "current").collect()}
+    assert {k: state().get(k) for k in (7, 8, 9, 6000)} == {7: "b", 8: None, 9: "c", 6000: "new"} and len(state()) == 5000
+    assert len(state(base)) == 5000 and state(base)[8].startswith("a")
+    assert sorted(r["k"] for r in table.read(part="history").collect()) == [7, 8, 8, 8, 8]
+    asked = spark.createDataFrame([(7,), (8,), (8,), (9,), (77,), (7000,)], "k long")
+    assert sorted(r["k"] for r in table.current_of(asked).collect()) == [7, 9, 77]
+    assert [x for x in above_base(no_broadcast(spark, table.current_of(asked))) if x != "Other"][0] == "Join"  # the base is filtered where it lies
+    joined = table.read(part="current").join(asked.distinct(), "k", "full_outer")
+    assert [x for x in above_base(no_broadcast(spark, joined)) if x != "Other"] == ["Join", "Join"]  # and joined there
+    folded = table.compact(history=False)
+    assert folded.runs == () and len(state()) == 5000 and table.read(part="history").count() == 5
+    assert {r["k"] for r in table.changes(base).collect()} == {7, 8, 9, 6000}  # folding is no change
+    assert table.vacuum(keep=1) == 3 and len(state()) == 5000 and table.read().count() == 5005
+    table.compact()
+    assert table.vacuum() and len(table.versions()) == 1 and table.read(part="history").count() == 5 and len(state()) == 5000
+    assert table.vacuum() == 0
+
+
+def no_broadcast(spark, df):
+    """The plan without broadcasts."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def above_base(plan):
+    """Joins and exchanges on the way from the first scan, which is that of the base, up to the root."""
+    lines = plan.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(k for k, line in enumerate(lines) if "FileScan" in line)
+    found, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            found.append(next((x for x in ("Join", "Exchange") if x in line), "Other"))
+    return found
+
+
+def test_changes_between_versions(spark, tmp_path):
+    table = store.Table(spark, str(tmp_path), "sat/s", ("k",), 4, "now", "gone")
+    rows = lambda *v: spark.createDataFrame(v, "k long, now boolean, gone boolean, v string")
+    one = table.commit(rows((1, True, False, "a"), (2, True, False, "a"), (3, True, False, "a")))
+    table.commit(rows((1, False, False, "a"), (1, True, False, "b"), (4, True, False, "x"), (2, False, False, "a"), (2, False, True, None)))
+    two = table.commit(rows((1, False, False, "b"), (1, True, False, "a"), (4, False, False, "x"), (4, False, True, None), (3, False, False, "a"), (3, True, False, "c")))
+    found = lambda *a, **k: sorted(tuple(r) for r in table.changes(*a, **k).select("k", "now", "v").collect())
+    assert found(one, two) == [(1, True, "a"), (2, False, None), (3, True, "c"), (4, False, None)]
+    assert found(one, two, net=True) == [(2, False, None), (3, True, "c")]
+    assert found(two, two) == [] and found(None, one) == [(1, True, "a"), (2, True, "a"), (3, True, "a")]
+    table.compact(history=False)
+    assert found(one, net=True) == [(2, False, None), (3, True, "c")]
+    table.commit(rows((3, True, False, "c"), (5, True, False, "n")), store.WHOLE)
+    assert found(two) == [(1, False, "a"), (5, True, "n")]
 
 
 @pytest.fixture
@@ -116,7 +172,7 @@ def vault(spark, tmp_path):
     r = out.registry
     r.insert("hub", config.HubConfig("person", ("pk",)))
     r.insert("link", config.LinkConfig("reports", {"person": "person", "boss": "person"}))
-    r.insert("satellite", config.SatelliteConfig("pay", "reports", "link", {"name": ColumnDef("name", "varchar", length=5)}, (("loud", "upper(name)"),)))
+    r.insert("satellite", config.SatelliteConfig("pay", "reports", "link", {"name": ColumnDef("name", "varchar", length=5)}, (("loud", "upper(name)"),), buckets=4))
     r.insert("source", config.SourceConfig(stage.Source("people", kind="callable", reader=reader), {"person": {"id": "pk"}, "boss": {"boss": "pk"}}, "reports", ("pay",)))
     return out, frames
 
@@ -162,7 +218,7 @@ def test_a_delta_goes_on_after_the_last_mark(spark, tmp_path):
     put((1, "a", 2, 1), (2, "b", 2, 2))
     r = v.registry
     r.insert("hub", config.HubConfig("person", ("pk",)))
-    r.insert("satellite", config.SatelliteConfig("names", "person", "hub", {"name": ColumnDef("name", "varchar", length=5)}))
+    r.insert("satellite", config.SatelliteConfig("names", "person", "hub", {"name": ColumnDef("name", "varchar", length=5)}, buckets=4))
     r.insert("source", config.SourceConfig(stage.Source("people", "SequenceCdc", path=path, columns=("id", "name"), operation="op", sequence="lsn"), {"person": {"id": "pk"}}, satellites=("names",)))
     v.load("people", "Delta", T1, run=1)
     put((2, None, 1, 3), (1, "c", 4, 4))
@@ -416,9 +472,9 @@ def test_paths(spark):
 
 
 def test_changes_stream_into_a_satellite(spark, tmp_path):
-    sat, table = Satellite(("k",), ("v",)), store.Table(spark, str(tmp_path), "sat/s", ("k",))
+    sat, table = Satellite(("k",), ("v",)), store.Table(spark, str(tmp_path), "sat/s", ("k",), 4)
     empty = spark.createDataFrame([], "k long, v string")
-    table.commit(initial(sat, empty, T1, ""), "dv_row_is_current")
+    table.commit(initial(sat, empty, T1, ""))
     schema = "k long, v string, dv_cdc_action string, n int"
     spark.createDataFrame([(1, "a", "U", 0), (1, "b", "U", 1), (2, "c", "U", 0)], schema).write.parquet(str(tmp_path / "in"))
     for rows in ([], [(1, None, "D", 2), (2, "d", "U", 3)]):

@@ -4,7 +4,7 @@ Two texts are near copies if the sets of their ``WIDTH``-word shingles have a Ja
 or more. At 0.8 the SimHashes of two texts differ in 15 % of their bits, too many for balls around the
 segments of 64 bits. So fingerprints have 1,536 bits, and tables of segments are drawn from
 permuted fingerprints; a pair is proposed if some segment agrees and the whole fingerprints differ in no more
-bits than nearly any pair of that similarity would (three standard deviations above the mean, 99.9 % of pairs
+bits than nearly any pair of that similarity would (four standard deviations above the mean, 99.997 % of pairs
 at a similarity of exactly ``LEAST``). Segments are as long as
 the number of texts asks for (most values then hold one text), and there are as many tables as give RECALL
 at a similarity of ``LEAST`` by the binomial distribution (at 0.9 all but a few in 10^5). Most pairs below a
@@ -15,7 +15,7 @@ similarity of 0.7 differ in more bits, so that few are verified in vain.
    node and the exclusive or of the first fingerprint words, which is all that a value of two nodes takes.
 2. Of each node's pairs one is verified first, then those of the others that this hasn't joined; the links make
    components. In a value of more than MANY nodes, those of different components are then paired
-   by whole fingerprints. What has been joined isn't verified again; what remains of a large group near the
+   by 256 bits, and by whole fingerprints once they are pairs. What has been joined isn't verified again; what remains of a large group near the
    threshold is paired in full.
 
 Nodes meet each other by equality joins, which adaptive execution splits; no value is gathered in one task.
@@ -40,8 +40,9 @@ from siltstone.llm.words import mixed
 
 WIDTH, LEAST = 5, 0.8
 WORDS, RECALL, LEAST_SEGMENT = 24, 0.96, 18
-#: Differing bits allowed in the first 64 bits and in all; 9.7 and 233 are expected at a similarity of 0.8.
-FIRST_BITS, ALL_BITS = 22, 277
+#: Differing bits allowed in the first 64 bits, in the first 256 and in all; 9.7, 38.8 and 233 are expected at a similarity of 0.8.
+FIRST_BITS, SOME_BITS, ALL_BITS = 22, 62, 289
+SOME_WORDS = 4
 #: In values of more nodes than this, nodes meet the least one first.
 MANY = 4
 #: Lists of such values are broadcast up to this many, else shuffled.
@@ -137,20 +138,16 @@ def _close(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _alike(close: DataFrame, docs: DataFrame, width: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of ``close`` whose shingle sets are at least ``least`` alike.
-
-    The sets hold 32 bits of each shingle's hash: of two texts of a thousand words, one pair in some
-    thousands has one shingle too many in common.
-    """
+    """The pairs (a, b) of ``close`` whose shingle sets, as 64-bit hashes, are at least ``least`` alike."""
     close = checkpointed(close)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique((shingle_hashes(x, width) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in utf8_rows(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["id", "grams"])
+            found = [shingle_hashes(x, width).view(np.int64) for x in utf8_rows(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "grams"])
 
     ids = close.select(F.col("a_id").alias(id_col)).union(close.select("b_id")).distinct()
-    grams = docs.select(id_col, text_col).join(ids, id_col, "left_semi").mapInArrow(run, "id long, grams array<int>")
+    grams = docs.select(id_col, text_col).join(ids, id_col, "left_semi").mapInArrow(run, "id long, grams array<long>")
     both = close.join(grams.select(F.col("id").alias("a_id"), F.col("grams").alias("a_grams")), "a_id")
     both = both.join(grams.select(F.col("id").alias("b_id"), F.col("grams").alias("b_grams")), "b_id")
     both = both.select("a", "b", F.size("a_grams").alias("n"), F.size("b_grams").alias("m"), F.size(F.array_intersect("a_grams", "b_grams")).alias("common"))
@@ -189,13 +186,14 @@ def near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST, id_co
     links = one.union(verified(_close(pairs, nodes, least)))
     nodes = checkpointed(_rooted(nodes, connected_components(links)))
 
-    names = ["node", "root", "id", "size", *(f"w{k}" for k in range(WORDS))]
-    of = lambda rows, side: rows.select("slot", *(F.col(c).alias({"node": side}.get(c, f"{side}_{c}")) for c in names))
-    crowd = checkpointed(crowd.select("slot", F.col("b").alias("node")).join(nodes.select("node", "root"), "node"))
-    apart = crowd.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("slot")
-    dense = stored(crowd.drop("root").join(small(checkpointed(apart), BROADCAST_ROWS), "slot", "left_semi").join(nodes.drop("key"), "node"), "dense")
-    across = of(dense, "a").join(of(dense, "b"), "slot")
-    across = across.where((F.col("a_root") < F.col("b_root")) & _near(least)).select("a", "b", "a_id", "b_id").distinct()
+    crowd = crowd.select("slot", F.col("b").alias("node"))
+    marked = checkpointed(crowd.join(nodes.select("node", "root"), "node"))
+    apart = marked.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("slot")
+    some = [f"w{k}" for k in range(SOME_WORDS)]
+    dense = marked.join(small(checkpointed(apart), BROADCAST_ROWS), "slot", "left_semi").join(nodes.select("node", *some), "node")
+    of = lambda side: dense.select("slot", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "root", *some)))
+    across = of("a").join(of("b"), "slot").where((F.col("a_root") < F.col("b_root")) & (_apart("a_", "b_", SOME_WORDS) <= SOME_BITS))
+    across = _close(across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), nodes, least)
     stars = nodes.where(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b"))
     nodes = _rooted(nodes, connected_components(stars.union(verified(across))))
     return marks.join(nodes.select("key", F.col("root").alias("group")), "key").select(F.col("id").alias(id_col), "group")

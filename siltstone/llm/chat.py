@@ -184,20 +184,27 @@ def formatted(turned: DataFrame, learned: str = LEARNED_ROLE) -> DataFrame:
     Spans are code points of the formatted text, end exclusive. Null turns give null for both.
     """
     pieces = F.transform("turns", lambda t: F.struct(F.concat(F.lit(OPEN), escaped(t["role"], ROLE_ESCAPES), F.lit(ROLE_END)).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == learned).alias("learned")))
-    sized = turned.withColumn("__pieces", pieces)
-    step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + len(CLOSE)).alias("at"),
-        F.when(
-            p["learned"],
-            F.array_append(acc["spans"], F.struct((acc["at"] + F.length(p["head"])).alias("start"), (acc["at"] + F.length(p["head"]) + F.length(p["body"])).alias("end"))),
-        )
-        .otherwise(acc["spans"])
-        .alias("spans"),
-    )
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    spans = F.aggregate("__pieces", F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    size_of = lambda p: F.length(p["head"]) + F.length(p["body"]) + len(CLOSE)
+    sized = turned.withColumn("__pieces", pieces).withColumn("__begins", _sums_before(F.transform("__pieces", size_of)))
+    begin = lambda p, k: F.get("__begins", k) + F.length(p["head"])
+    placed = F.transform("__pieces", lambda p, k: F.struct(p["learned"].alias("learned"), begin(p, k).alias("start"), (begin(p, k) + F.length(p["body"])).alias("end")))
+    spans = F.transform(F.filter(placed, lambda s: s["learned"]), lambda s: F.struct(s["start"], s["end"]))
     text = F.array_join(F.transform("__pieces", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
-    return sized.withColumns({"formatted": text, "loss": spans}).drop("__pieces")
+    return sized.withColumns({"formatted": text, "loss": spans}).drop("__pieces", "__begins")
+
+
+def _sums_before(numbers: Column) -> Column:
+    """For each number the sum of those before it. Sums of blocks of about the square root of their count keep long arrays cheap."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    n = F.size(numbers)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    every = F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))
+    blocks = F.transform(every, lambda b: total(F.slice(numbers, b * width + 1, width)))
+    state = F.struct(numbers.alias("numbers"), width.alias("width"), blocks.alias("blocks"))
+    held = F.transform(F.array(state), lambda s: F.struct(s["numbers"].alias("numbers"), s["width"].alias("width"), F.transform(s["blocks"], lambda x, b: total(F.slice(s["blocks"], F.lit(1), b))).alias("before")))
+    block = lambda s, k: F.floor(k / s["width"]).cast("int")
+    begins = F.transform(held, lambda s: F.transform(s["numbers"], lambda x, k: F.get(s["before"], block(s, k)) + total(F.slice(s["numbers"], block(s, k) * s["width"] + 1, k % s["width"]))))
+    return F.when(n > 0, F.get(begins, F.lit(0))).when(n == 0, F.array().cast("array<int>"))
 
 
 def parsed(text: Column) -> Column:

@@ -49,6 +49,18 @@ def test_control_strings_come_back(spark):
         assert len(row["formatted"][span["start"] : span["end"]]) >= len(text)
 
 
+def test_many_turns_and_very_long_texts(spark):
+    """Offsets of every turn, for conversations of any number of turns; texts of megabytes."""
+    for n in (0, 1, 2, 3, 8, 9, 10, 99, 3000):
+        turns = [("assistant" if k % 2 else "user", f"turn {k} <" + "é" * (k % 7)) for k in range(n)]
+        row = back(turned(spark.createDataFrame([(turns,)], "messages array<struct<role:string,content:string>>"))).first()
+        if n:
+            assert [tuple(t) for t in row["again"]] == turns and row["learned"] == [t for r, t in turns if r == "assistant"]
+    long = "word <é " * 500_000
+    row = back(turned(spark.createDataFrame([([("user", long), ("assistant", long), ("assistant", "end")],)], "messages array<struct<role:string,content:string>>"))).first()
+    assert row["learned"] == [long, "end"] and row["again"][0]["text"] == long
+
+
 def test_query_against_plain_python(spark, folder):
     rows = [(1, 1, "assistant", "ho"), (1, 0, "user", None), (2, 0, None, ""), (2, 0, "assistant", "b"), (2, 0, "assistant", "b"), (None, 3, "assistant", "n"), (3, 7, "user", "###"), (4, 0, "human", "h"), (4, 1, "gpt", "g")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, messages string")

@@ -27,7 +27,7 @@ import numpy as np
 
 #: Ids of a block, and lanes that a full block has; shorter blocks have a lane for LEAST_STEPS ids.
 BLOCK, LANES, LEAST_STEPS = 1 << 20, 2048, 256
-SLOTS1, SLOTS2 = 8, 1
+SLOTS1, SLOTS2 = 12, 1
 HASH_BITS = 18
 TOTAL_BITS, ZERO_BITS = 24, 20
 _COUNT_BITS = 11

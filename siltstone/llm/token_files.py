@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.llm import rangecoder
 from siltstone.llm.common import utf8_rows
@@ -83,8 +84,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
 
     Order: ascending id, null ids first; rows of equal ids in order of a hash of their text, then of the
     text. The texts are shuffled once, by range of id and hash, so that an id that many rows share is
-    dealt to many tasks; each task streams its rows and holds one payload.
+    dealt to many tasks; each task streams its rows and holds one payload. Ids must be whole numbers (the files
+    hold them as 64 bits); others are refused.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}, not a whole number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, first = TaskContext.get().partitionId(), 0

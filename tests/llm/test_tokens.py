@@ -194,3 +194,9 @@ def test_plan_fills_every_slot_once(seed):
 def test_plan_refuses_what_does_not_fit():
     with pytest.raises(ValueError):
         packing.plan({11: 1}, 10)
+
+
+def test_ids_that_are_not_whole_numbers_are_refused(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="whole number"):
+        token_files.write(docs, str(tmp_path / "x"), PATH, end_id=1)

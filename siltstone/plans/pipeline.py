@@ -13,10 +13,10 @@ from siltstone.functions.macros import computed
 from siltstone.functions.marks import as_text, from_text
 from siltstone.functions.naming import CDC_ACTION, END, SOURCE_TIME, START, key_name, object_name
 from siltstone.functions.types import spark_type
-from siltstone.operators import compare, duplicates, hub, link, lookup, satellite, temporal
+from siltstone.operators import compare, duplicates, hub, link, lookup, metrics, satellite, temporal
 from siltstone.plans.config import ConfigError, HubConfig, LinkConfig, MatchConfig, Registry, SatelliteConfig, SourceConfig
 from siltstone.plans.state import JOURNAL_SCHEMA, TASK_SCHEMA, Journal, Log, last_mark
-from siltstone.plans.store import WHOLE, Table
+from siltstone.plans.store import ADD, WHOLE, Table
 from siltstone.sources.stage import Source, high_water, read, stage, vault_rows
 
 
@@ -92,6 +92,25 @@ class Vault:
         sides = [self.read_object(kind, name, at) for kind, name in (m.left, m.right)]
         return compare.left_right(*sides, list(m.columns), (object_name(*m.left), object_name(*m.right)))
 
+    def profile(self, kind: str, name: str, columns: list[str]) -> DataFrame:
+        """``merged_profile`` of a hub or a link, of which only the loads since the last call are read.
+
+        What each call finds is kept as a row beside the table; other columns, or a table that was rewritten, begin anew.
+        """
+        table = self.table(kind, name)
+        parts, now = Table(self.spark, self.root, f"profile/{object_name(kind, name)}"), table.latest()
+        if now is None or table.keys:
+            raise ConfigError(f"{object_name(kind, name)} " + ("was never loaded" if now is None else "is not only added to"))
+        last = parts.latest()
+        known = {v.number: v for v in table.versions()}
+        since = known.get(last.note["upto"]) if last and last.note["columns"] == columns else None
+        if since and any(v.kind == WHOLE for v in known.values() if v.number > since.number):
+            since = None
+        if since is None or since.number < now.number:
+            part = metrics.profile_part(table.added(since, now), columns)
+            last = parts.commit(part, ADD if since else WHOLE, {"upto": now.number, "columns": columns})
+        return metrics.merged_profile(parts.read(last), columns)
+
     def load(self, name: str, run_type: str, at: datetime, run: int = 0, after=None, until=None) -> dict[str, int]:
         """Load a source; every target commits on its own, and a failed load can be repeated.
 
@@ -141,6 +160,8 @@ class Vault:
             known = {v.number: v for v in table.versions()}
             last_seen = after if after is not None else last_mark(last, name) if delta else None
             since, upto = known.get(int(last_seen or 0)), known[until] if until is not None else table.latest()
+            if last_seen and since is None:
+                raise ValueError(f"{name}: version {last_seen} of {source.satellite} is no longer there; a full load begins anew")
             if upto is None:
                 raise ConfigError(f"{object_name('sat', source.satellite)} was never loaded")
             own_mark, taken = str(upto.number), run_type if delta else "Full"

@@ -30,7 +30,7 @@ from siltstone.plans.shared import exists
 
 #: Buckets of current rows, by a hash of their keys, unless a table is given another number.
 BUCKETS = 64
-_VERSION = "load string, kind string, parts array<string>, schema string, note string, ledger map<string,long>"
+_VERSION = "load string, kind string, parts array<string>, schema string, note string, ledger map<string,long>, history array<string>"
 _PART = "__part"
 #: A load adds to what there is, puts itself in place of the current rows (which it has folded) or in place of everything.
 ADD, FOLD, WHOLE = "add", "fold", "whole"
@@ -63,8 +63,8 @@ class Version:
 def _after(before: Version | None, row: dict) -> Version:
     """The version that a row of ``versions`` makes of the one before it."""
     base, runs, history = (before.base, before.runs, before.history) if before else (None, (), ())
-    if row["kind"] in (FOLD, WHOLE):
-        base, runs, history = None, (), history if row["kind"] == FOLD else ()
+    if row["kind"] in (FOLD, WHOLE):  # such a row says all; none before it is needed
+        base, runs, history = None, (), tuple(row["history"])
     if "current" in row["parts"]:
         base, runs = (base, (*runs, row["load"])) if base else (row["load"], runs)
     if "history" in row["parts"]:
@@ -171,20 +171,23 @@ class Table:
     def changes(self, since: Version | None, until: Version | None = None, net: bool = False) -> DataFrame:
         """The state at ``until`` of each key that a load after ``since`` has touched: its current row, or a tombstone.
 
-        Only the loads between the two are read; where one of them replaced everything, both states are compared.
+        Only the loads between the two are read; where one of them replaced everything, both states are compared. Since
+        None: all current rows.
         net: without keys that are again as they were at ``since``, and tombstones of keys that weren't there; the state at
         ``since`` is then read for the touched keys.
         """
         until = until or self.latest()
-        between = [v for v in self.versions() if (since.number if since else 0) < v.number <= until.number and v.kind != FOLD]
-        if since and any(v.kind == WHOLE for v in between):
+        if since is None:
+            return self.read(until, "current")
+        between = [v for v in self.versions() if since.number < v.number <= until.number and v.kind != FOLD]
+        if any(v.kind == WHOLE for v in between):
             now, was = self.read(until, "current"), self.read(since, "current", until.schema)
             gone = was.join(now, list(self.keys), "left_anti").withColumns({self.current: F.lit(False), self.tombstone: F.lit(True)})
             touched, net = now.unionByName(gone), True
         else:
             sides = [self._current(v.load, until.schema) for v in between if "current" in v.parts]
             touched = self._newest(sides) if sides else self.spark.createDataFrame([], until.schema)
-        if not (net and since):
+        if not net:
             return touched
         others = [c for c in until.schema.names if c not in self.keys]
         was = (self.current_of(touched, since) if not any(v.kind == WHOLE for v in between) else was).select(*self.keys, F.struct(*(F.col(c) if c in since.schema.names else F.lit(None).cast(until.schema[c].dataType).alias(c) for c in others)).alias("__was"))
@@ -192,6 +195,16 @@ class Table:
         same = (F.col(self.current) & F.struct(*others).eqNullSafe(F.col("__was"))) | (~F.col(self.current) & F.col("__was").isNull())
         return both.where(~same).select(*touched.columns)
 
+    def added(self, since: Version | None, until: Version) -> DataFrame:
+        """The rows that loads after ``since`` up to ``until`` added for good; only those loads are read.
+
+        Where one of them replaced everything, all rows are given.
+        """
+        between = [v for v in self.versions() if (since.number if since else 0) < v.number <= until.number]
+        whole = any(v.kind == WHOLE for v in between)
+        loads = until.history if whole else tuple(v.load for v in between if "history" in v.parts and v.kind == ADD)
+        return self._history(loads, until.schema) if loads else self.spark.createDataFrame([], until.schema)
+
     def commit(self, rows: DataFrame, kind: str = ADD, note: dict | None = None, base: Version | None = None, ledger: dict[str, int] | None = None, observed: dict[str, Column] | None = None, skip_empty: bool = False) -> Version:
         """Write rows once and publish them as the next version.
 
@@ -223,14 +236,14 @@ class Table:
         if skip_empty and before and not found["rows"]:
             return before
         note = (note or {}) | {"rows": found["rows"]} | ({"observed": {n: found[n] for n in observed}} if observed else {})
-        row = [(load, kind, [p for p in ("current", "history") if found[p]], rows.schema.json(), json.dumps(note), (before.ledger if before else {}) | (ledger or {}))]
+        row = [(load, kind, [p for p in ("current", "history") if found[p]], rows.schema.json(), json.dumps(note), (before.ledger if before else {}) | (ledger or {}), list(before.history) if before and kind == FOLD else [])]
         try:
             self.spark.createDataFrame(row, _VERSION).coalesce(1).write.parquet(f"{self.path}/versions/number={number}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_ALREADY_EXISTS":
                 raise
             raise Conflict(f"{self.path}: version {number} exists") from e
-        return _after(before, dict(zip(("load", "kind", "parts", "schema", "note", "ledger", "number"), (*row[0], number), strict=True)))
+        return _after(before, dict(zip(("load", "kind", "parts", "schema", "note", "ledger", "history", "number"), (*row[0], number), strict=True)))
 
     def compact(self, history: bool = True) -> Version:
         """Fold the runs into a new base; with ``history`` rewrite that too, so that all is one load. Notes and ledger stay."""
@@ -250,7 +263,7 @@ class Table:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
         files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         gone = [f.getPath() for f in files.listStatus(path) if f.getPath().getName() not in named] if files.exists(path) else []
-        whole = next((v.number for v in reversed(versions) if v.kind == WHOLE and v.number <= kept[0].number), 0) if kept else 0
+        whole = next((v.number for v in reversed(versions) if v.kind != ADD and v.number <= kept[0].number), 0) if kept else 0
         for f in gone:
             files.delete(f, True)
         for v in versions:

@@ -13,6 +13,10 @@ from siltstone.operators.satellite import Satellite, replay
 from siltstone.plans.store import Table
 
 
+#: Batches that may lie beside the base before they are folded into it.
+MOST_RUNS = 16
+
+
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The identity that Spark gives to a stream with its checkpoint, and that a new checkpoint hasn't."""
     return spark.read.json(f"{checkpoint}/metadata").first()["id"]
@@ -31,7 +35,9 @@ def load_batch(batch: DataFrame, stream: str, number: int, sat: Satellite, table
     try:
         at = at or batch.agg(F.max(order[0])).first()[0]
         done = replay(sat, table.current_of(batch, version), batch, order, at or datetime(1900, 1, 1), record_source, unchanged=False)
-        table.commit(done, base=version, ledger={stream: number})
+        written = table.commit(done, base=version, ledger={stream: number})
+        if len(written.runs) > MOST_RUNS:
+            table.compact(history=False)
     finally:
         batch.unpersist()
     return True

@@ -16,7 +16,7 @@ from siltstone.functions.types import ColumnDef
 from siltstone.operators import compare, duplicates, hub, intervals, link, lookup, metrics, satellite, temporal
 from siltstone.plans import config, scheduler, state
 from siltstone.plans.pipeline import Vault
-from siltstone.plans.shared import shared_folder
+from siltstone.plans.shared import checkpointed, shared_folder
 from siltstone.plans.store import Table
 from siltstone.sources import stage
 from siltstone.streaming.cdc import into_satellite, load_batch, stream_id
@@ -348,7 +348,7 @@ def compare_stage_stage(spark, sf_dir):
 
 @query(_SAT + f", s AS (FROM {_AFTER3}), a AS (SELECT h_customer_key, c_acctbal, c_mktsegment FROM s WHERE NOT dv_is_tombstone AND dv_rowstartdate <= DATE '2024-01-10' AND dv_rowenddate > DATE '2024-01-10'), b AS (SELECT h_customer_key, c_acctbal, c_mktsegment FROM s WHERE NOT dv_is_tombstone AND dv_rowstartdate <= DATE '2024-02-10' AND dv_rowenddate > DATE '2024-02-10') SELECT *, row_number() OVER (ORDER BY _master_table, h_customer_key, c_acctbal, c_mktsegment) AS _match_row FROM (SELECT 'left' AS _master_table, * FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'right', * FROM (FROM b EXCEPT FROM a))")
 def compare_sat_sat_pit(spark, sf_dir):
-    whole = loads(spark, sf_dir, 3)
+    whole = checkpointed(loads(spark, sf_dir, 3))  # both sides read it
     sides = [temporal.point_in_time(whole, datetime(2024, m, 10)) for m in (1, 2)]
     columns = ["h_customer_key", "c_acctbal", "c_mktsegment"]
     return compare.with_match_row(compare.left_right(*sides, [(c, c) for c in columns]))
@@ -860,3 +860,13 @@ def metrics_columns_by_load(spark, sf_dir):
     for k in range(3):
         parts.commit(metrics.profile_part(rows.where(F.col("l_orderkey") % 3 == k), columns))
     return metrics.merged_profile(parts.read(), columns).drop("domain")
+
+
+@query("SELECT * EXCLUDE (domain) FROM (" + _profile_sql("(SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey % 4 = 0, o_orderkey) AS h_orders_key FROM orders)", {"h_orders_key": False, "o_orderkey": False}) + ")")
+def metrics_hub_by_load(spark, sf_dir):
+    """The profile of a hub after two loads: the second call reads what the second load has added."""
+    vault, columns = loaded_orders(spark, sf_dir), ["h_orders_key", "o_orderkey"]
+    table_, parts = vault.table("hub", "orders"), Table(spark, vault.root, "profile/h_orders")
+    first = table_.versions()[1]  # the first made it empty
+    parts.commit(metrics.profile_part(table_.read(first), columns), note={"upto": first.number, "columns": columns})
+    return vault.profile("hub", "orders", columns).drop("domain")

@@ -95,6 +95,27 @@ def test_merged_profile(spark):
     assert plain(metrics.merged_profile(metrics.profile_part(rows.limit(0), columns), columns))["a"]["nulls"] == 0
 
 
+def test_a_profile_reads_what_is_new(spark, tmp_path):
+    v = Vault(spark, str(tmp_path / "vault"))
+    v.registry.insert("hub", config.HubConfig("thing", ("id",)))
+    with pytest.raises(config.ConfigError, match="never loaded"):
+        v.profile("hub", "thing", ["id"])
+    hub, columns = v.table("hub", "thing"), ["id", "name"]
+    rows = lambda a, b: spark.range(a, b).select("id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    plain = lambda df: {r["column_name"]: {k: x for k, x in r.asDict().items() if k != "domain"} for r in df.collect()}
+    exact = lambda: plain(metrics.column_profile(hub.read(), columns))
+    hub.commit(rows(0, 50))
+    first = hub.latest()
+    assert plain(v.profile("hub", "thing", columns)) == exact()
+    hub.commit(rows(90, 200))
+    assert hub.added(first, hub.latest()).count() == 110
+    for _ in range(2):
+        assert plain(v.profile("hub", "thing", columns)) == exact()
+    assert store.Table(spark, v.root, "profile/h_thing").read().count() == 2  # a row for each load, none for the call that found nothing new
+    hub.compact()
+    assert plain(v.profile("hub", "thing", columns)) == exact() and list(plain(v.profile("hub", "thing", ["id"]))) == ["id"]
+
+
 # Marks
 
 

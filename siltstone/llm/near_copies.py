@@ -15,7 +15,7 @@ similarity of 0.7 differ in more bits, so that few are verified in vain.
    node and the exclusive or of the first fingerprint words, which is all that a value of two nodes takes.
 2. Of each node's pairs one is verified first, then those of the others that this hasn't joined; the links make
    components. In a value of more than MANY nodes, those of different components are then paired
-   by 256 bits, and by whole fingerprints once they are pairs. What has been joined isn't verified again; what remains of a large group near the
+   by whole fingerprints, in the first such value that they share. What has been joined isn't verified again; what remains of a large group near the
    threshold is paired in full.
 
 Nodes meet each other by equality joins, which adaptive execution splits; no value is gathered in one task.
@@ -40,9 +40,8 @@ from siltstone.llm.words import mixed
 
 WIDTH, LEAST = 5, 0.8
 WORDS, RECALL, LEAST_SEGMENT = 24, 0.96, 18
-#: Differing bits allowed in the first 64 bits, in the first 256 and in all; 9.7, 38.8 and 233 are expected at a similarity of 0.8.
-FIRST_BITS, SOME_BITS, ALL_BITS = 22, 62, 289
-SOME_WORDS = 4
+#: Differing bits allowed in the first 64 bits and in all; 9.7 and 233 are expected at a similarity of 0.8.
+FIRST_BITS, ALL_BITS = 22, 289
 #: In values of more nodes than this, nodes meet the least one first.
 MANY = 4
 #: Lists of such values are broadcast up to this many, else shuffled.
@@ -146,8 +145,8 @@ def _alike(close: DataFrame, docs: DataFrame, width: int, least: float, id_col:
             found = [shingle_hashes(x, width).view(np.int64) for x in utf8_rows(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "grams"])
 
-    ids = close.select(F.col("a_id").alias(id_col)).union(close.select("b_id")).distinct()
-    grams = docs.select(id_col, text_col).join(ids, id_col, "left_semi").mapInArrow(run, "id long, grams array<long>")
+    ids = checkpointed(close.select(F.col("a_id").alias(id_col)).union(close.select("b_id")).distinct())
+    grams = docs.select(id_col, text_col).join(small(ids, BROADCAST_ROWS), id_col, "left_semi").mapInArrow(run, "id long, grams array<long>")
     both = close.join(grams.select(F.col("id").alias("a_id"), F.col("grams").alias("a_grams")), "a_id")
     both = both.join(grams.select(F.col("id").alias("b_id"), F.col("grams").alias("b_grams")), "b_id")
     both = both.select("a", "b", F.size("a_grams").alias("n"), F.size("b_grams").alias("m"), F.size(F.array_intersect("a_grams", "b_grams")).alias("common"))
@@ -189,11 +188,13 @@ def near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST, id_co
     crowd = crowd.select("slot", F.col("b").alias("node"))
     marked = checkpointed(crowd.join(nodes.select("node", "root"), "node"))
     apart = marked.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("slot")
-    some = [f"w{k}" for k in range(SOME_WORDS)]
-    dense = marked.join(small(checkpointed(apart), BROADCAST_ROWS), "slot", "left_semi").join(nodes.select("node", *some), "node")
-    of = lambda side: dense.select("slot", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "root", *some)))
-    across = of("a").join(of("b"), "slot").where((F.col("a_root") < F.col("b_root")) & (_apart("a_", "b_", SOME_WORDS) <= SOME_BITS))
-    across = _close(across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), nodes, least)
+    dense = checkpointed(marked.join(small(checkpointed(apart), BROADCAST_ROWS), "slot", "left_semi").select("slot", "node"))
+    held = dense.groupBy("node").agg(F.sort_array(F.collect_list("slot")).alias("slots"))  # one for each table at most
+    names = ["node", "root", "id", "size", "slots", *(f"w{k}" for k in range(WORDS))]
+    known = dense.join(nodes.join(held, "node").select(names), "node")
+    of = lambda side: known.select("slot", *(F.col(c).alias({"node": side}.get(c, f"{side}_{c}")) for c in names))
+    first = F.element_at(F.array_intersect("a_slots", "b_slots"), 1)  # a pair comes from the first value that it shares
+    across = of("a").join(of("b"), "slot").where((F.col("a_root") < F.col("b_root")) & _near(least) & (F.col("slot") == first)).select("a", "b", "a_id", "b_id")
     stars = nodes.where(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b"))
     nodes = _rooted(nodes, connected_components(stars.union(verified(across))))
     return marks.join(nodes.select("key", F.col("root").alias("group")), "key").select(F.col("id").alias(id_col), "group")

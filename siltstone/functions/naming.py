@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Defaults that results depend on.
 LOW_DATE = datetime(1900, 1, 1)
 HIGH_DATE = datetime(9999, 12, 31)
@@ -46,3 +49,9 @@ def next_abbreviation(last: str | None) -> str:
     if value >= 26**4:
         raise ValueError("no abbreviation is left")
     return "".join(chr(ord("a") + value // 26**k % 26) for k in (3, 2, 1, 0))
+
+
+def abbreviation(number: Column) -> Column:
+    """The code of a number from 0 on, in four letters; null where none is left."""
+    letters = [F.chr(97 + F.floor(number / 26**k) % 26) for k in (3, 2, 1, 0)]
+    return F.when((number >= 0) & (number < 26**4), F.concat(*letters))

@@ -44,3 +44,13 @@ def elapsed_text(milliseconds: int) -> str:
     parts = [word(n, unit) for n, unit in ((hours, "hr"), (minutes, "min")) if n]
     last = word(seconds, "sec")
     return f"{', '.join(parts)} and {last}" if parts else last
+
+
+def elapsed(milliseconds: Column) -> Column:
+    """``elapsed_text`` of a column."""
+    seconds = F.floor(milliseconds / 1000)
+    hours, minutes, rest = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
+    word = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n != 1, "s").otherwise(""))
+    parts = F.concat_ws(", ", F.when(hours > 0, word(hours, "hr")), F.when(minutes > 0, word(minutes, "min")))
+    whole = F.when(parts != "", F.concat(parts, F.lit(" and "), word(rest, "sec"))).otherwise(word(rest, "sec"))
+    return F.when(milliseconds < 1000, F.concat(milliseconds.cast("string"), F.lit(" milliseconds"))).otherwise(whole)

@@ -122,3 +122,8 @@ def merged_profile(parts: DataFrame, columns: list[str]) -> DataFrame:
 def profiled_today(key: int, day: date, run_type: str = "Weekly", only: int = 0) -> bool:
     """Whether a satellite's columns are profiled: each on one day of the week, all on a full run, one alone if it is named."""
     return key == only if only else run_type == "Full" or key % 7 == day.isoweekday() % 7
+
+
+def profiled_on(key: Column, day: Column) -> Column:
+    """``profiled_today`` of a weekly run, for columns: Monday is 1, Sunday 0."""
+    return key % 7 == (F.weekday(day) + 1) % 7

@@ -47,7 +47,7 @@ def _row(kind: str, body: dict):
         body = body | {"columns": {k: ColumnDef(**c) for k, c in body["columns"].items()}, "computed": tuple(map(tuple, body["computed"]))}
     if kind == "source":
         inner = body["source"]
-        source = Source(**inner | {"columns": tuple(inner["columns"]) if inner["columns"] else None})
+        source = Source(**inner | {"columns": tuple(inner["columns"]) if inner["columns"] else None, "declared": tuple(ColumnDef(**c) for c in inner["declared"])})
         return SourceConfig(**body | {"source": source, "satellites": tuple(body["satellites"])})
     if kind == "hub":
         body = body | {"keys": tuple(body["keys"])}

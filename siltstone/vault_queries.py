@@ -14,7 +14,7 @@ from siltstone.functions import macros, marks, naming, scalar
 from siltstone.functions.naming import END, IS_CURRENT, IS_TOMBSTONE, LOAD_TIME, RECORD_SOURCE, SOURCE_TIME, START
 from siltstone.functions.types import ColumnDef
 from siltstone.operators import compare, duplicates, hub, intervals, link, lookup, metrics, satellite, temporal
-from siltstone.plans import config, scheduler, state
+from siltstone.plans import config, release, scheduler, state
 from siltstone.plans.pipeline import Vault
 from siltstone.plans.shared import checkpointed, shared_folder
 from siltstone.plans.store import Table
@@ -870,3 +870,202 @@ def metrics_hub_by_load(spark, sf_dir):
     first = table_.versions()[1]  # the first made it empty
     parts.commit(metrics.profile_part(table_.read(first), columns), note={"upto": first.number, "columns": columns})
     return vault.profile("hub", "orders", columns).drop("domain")
+
+
+# Names, days and texts by column
+
+
+@query("SELECT CAST(d AS DATE) + INTERVAL 1 DAY - INTERVAL 1 MILLISECOND AS pit_date FROM (SELECT CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events), generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY) AS g(d)")
+def day_ends_of_events(spark, sf_dir):
+    """The ends of all days from the first event to the last."""
+    first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    return temporal.day_ends(spark, first.date(), last.date())
+
+
+@query("SELECT o_orderkey, o_orderkey % 7 = isodow(o_orderdate) % 7 AS profiled FROM orders")
+def metrics_profiled_days(spark, sf_dir):
+    """On which of their days objects would be profiled by a weekly run."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", metrics.profiled_on(F.col("o_orderkey"), F.to_date("o_orderdate")).alias("profiled"))
+
+
+@query("""WITH m AS (SELECT event_id, event_id * 7919 % 20000000 AS ms FROM events), s AS (SELECT event_id, ms, ms // 1000 // 3600 AS h, ms // 1000 // 60 % 60 AS m, ms // 1000 % 60 AS s FROM m),
+w AS (SELECT *, CASE WHEN h > 0 THEN h || ' hr' || CASE WHEN h <> 1 THEN 's' ELSE '' END END AS hw, CASE WHEN m > 0 THEN m || ' min' || CASE WHEN m <> 1 THEN 's' ELSE '' END END AS mw, s || ' sec' || CASE WHEN s <> 1 THEN 's' ELSE '' END AS sw FROM s)
+SELECT event_id, CASE WHEN ms < 1000 THEN ms || ' milliseconds' WHEN h = 0 AND m = 0 THEN sw ELSE concat_ws(', ', hw, mw) || ' and ' || sw END AS elapsed FROM w""")
+def elapsed_of_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalar.elapsed(F.col("event_id") * 7919 % 20_000_000).alias("elapsed"))
+
+
+@query("SELECT p_partkey, chr(CAST(97 + p_partkey // 17576 % 26 AS INT)) || chr(CAST(97 + p_partkey // 676 % 26 AS INT)) || chr(CAST(97 + p_partkey // 26 % 26 AS INT)) || chr(CAST(97 + p_partkey % 26 AS INT)) AS abbreviation FROM part WHERE p_partkey < 456976")
+def abbreviations_of_parts(spark, sf_dir):
+    found = table(spark, sf_dir, "part").select("p_partkey", naming.abbreviation(F.col("p_partkey")).alias("abbreviation"))
+    return found.where("abbreviation IS NOT NULL")
+
+
+# Configuration, releases and runs whose rows come from tables
+
+
+def rows_of(spark, sf_dir, name: str, *columns: str) -> list:
+    """Rows of a small table (suppliers, nations) as they configure something: configuration lives on the driver."""
+    return table(spark, sf_dir, name).select(*columns).orderBy(columns[0]).collect()
+
+
+@query("SELECT s_suppkey AS number, CASE WHEN s_suppkey % 7 = 0 THEN 'no hub' WHEN s_suppkey % 5 = 0 THEN 'two hubs' ELSE 'ok' END AS found FROM supplier")
+def config_checks(spark, sf_dir):
+    """A source for each supplier, checked: some feed a hub that isn't there, some two hubs without a link."""
+    r, out = config.Registry(), []
+    for name in ("supplier", "nation"):
+        r.insert("hub", config.HubConfig(name, ("key",)))
+    for (k,) in rows_of(spark, sf_dir, "supplier", "s_suppkey"):
+        hubs = {"nobody": {"a": "key"}} if k % 7 == 0 else {"supplier": {"a": "key"}} | ({"nation": {"b": "key"}} if k % 5 == 0 else {})
+        r.insert("source", config.SourceConfig(stage.Source(f"s{k}", path="x"), hubs))
+        try:
+            r.check(f"s{k}")
+            out.append((k, "ok"))
+        except config.ConfigError as e:
+            out.append((k, "two hubs" if "exactly one hub" in str(e) else "no hub"))
+    return spark.createDataFrame(out, "number long, found string")
+
+
+@query("SELECT 's' || s_suppkey AS source, 'Full' AS load_type, 'table' AS kind, 'p' || s_nationkey AS path FROM supplier WHERE s_suppkey % 3 <> 0")
+def config_stages(spark, sf_dir):
+    """The stages in use, of a source for each supplier; versions of every third one are out of use."""
+    r = config.Registry()
+    for k, n in rows_of(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"):
+        r.insert("source", config.SourceConfig(stage.Source(f"s{k}", path=f"p{n}"), {"h": {"a": "b"}}))
+        r.insert("version", config.VersionConfig(f"s{k}_1", f"s{k}", 1, active=k % 3 != 0))
+    return spark.createDataFrame(r.stages(), "source string, load_type string, kind string, path string")
+
+
+@query("SELECT 'm' || s_suppkey AS match, 'stage' AS left_kind, 'a' || s_nationkey AS left_object, 'k' || i AS left_column, 'sat' AS right_kind, 'b' || s_suppkey AS right_object, 'v' || i AS right_column FROM supplier, generate_series(0, s_suppkey % 3) AS g(i)")
+def config_matches(spark, sf_dir):
+    """Compared columns of a match for each supplier, of one to three columns."""
+    r = config.Registry()
+    for k, n in rows_of(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"):
+        r.insert("match", config.MatchConfig(f"m{k}", ("stage", f"a{n}"), ("sat", f"b{k}"), tuple((f"k{i}", f"v{i}") for i in range(k % 3 + 1))))
+    return spark.createDataFrame(r.matches())
+
+
+@query("SELECT CASE WHEN s_suppkey % 4 = 1 THEN 6 ELSE s_nationkey % 5 + 1 END AS release, 'h' || s_suppkey AS name, CASE WHEN s_suppkey % 4 = 0 THEN 'changed' ELSE 'key' END AS key FROM supplier WHERE s_suppkey % 6 <> 2")
+def release_round_trip_of_rows(spark, sf_dir):
+    """A hub for each supplier in a release of its nation's; some are changed, moved or deleted. Every release is written, read and applied elsewhere."""
+    path, r, other = f"{shared_folder(spark)}/release-{uuid4().hex}", config.Registry(), config.Registry()
+    for number in range(1, 7):
+        r.add_release(number)
+    for k, n in rows_of(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"):
+        r.insert("hub", config.HubConfig(f"h{k}", ("key",), n % 5 + 1))
+        if k % 6 == 2:
+            r.delete("hub", f"h{k}")
+        elif k % 4 == 0:
+            r.update("hub", f"h{k}", keys=("changed",))
+        elif k % 4 == 1:
+            r.move("hub", f"h{k}", 6)
+    for number in sorted({h.release for h in r.rows["hub"].values()}):
+        release.export(spark, r, number, f"{path}/{number}")
+        release.apply(other, release.load(spark, f"{path}/{number}"))
+    found = [(h.release, h.name, h.keys[0]) for h in other.rows["hub"].values()]
+    return spark.createDataFrame(found, "release int, name string, key string")
+
+
+@query("WITH c AS (SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'dv_' ELSE '' END || lower(replace(n_name, ' ', '_')) AS name, n_nationkey % 3 = 0 AS retired FROM nation) SELECT name, retired, CAST(CASE WHEN retired THEN -1 ELSE row_number() OVER (PARTITION BY retired ORDER BY NOT starts_with(name, 'dv_'), name) END AS BIGINT) AS place, 'aaaa' AS abbreviation FROM c")
+def config_recreated_satellite(spark, sf_dir):
+    """A satellite with a column for each nation, made anew when every third one has left its stage."""
+    names = [("dv_" if k % 5 == 0 else "") + n.lower().replace(" ", "_") for k, n in rows_of(spark, sf_dir, "nation", "n_nationkey", "n_name")]
+    columns = [ColumnDef(n, "int") for n in names]
+    r = config.Registry()
+    r.insert("satellite", config.SatelliteConfig("s", "h", "hub", config.satellite_columns(columns)))
+    again = r.recreate_satellite("s", [c for k, c in enumerate(columns) if k % 3])
+    found = [(n, c.retired, -1 if c.retired else place, again.abbreviation) for place, (n, c) in enumerate(again.columns.items(), 1)]
+    return spark.createDataFrame(found, "name string, retired boolean, place long, abbreviation string")
+
+
+def schedule_of(spark, sf_dir, name: str, key: str) -> scheduler.Schedules:
+    """A task for each row of a small table, which waits for the one of half its number; edges that would close a circle are refused as they are added."""
+    schedules = scheduler.Schedules()
+    schedules.insert(scheduler.Schedule("Nightly", {}))
+    keys = [k for (k,) in rows_of(spark, sf_dir, name, key)]
+    for k in keys:
+        schedules.add_member("Nightly", scheduler.Task(f"n{k}"))
+    for k in keys[1:]:
+        schedules.add_edge("Nightly", f"n{k}", f"n{k // 2}")
+    return schedules
+
+
+@query(f"WITH RECURSIVE e AS ({_NODES}), w(t, path) AS (SELECT DISTINCT predecessor, '[' || predecessor || ']' FROM e WHERE predecessor NOT IN (SELECT task FROM e) UNION ALL SELECT task, path || ' >>> [' || task || ']' FROM w JOIN e ON predecessor = t) SELECT path FROM w")
+def dag_schedule_paths(spark, sf_dir):
+    """Paths of a schedule that was put together task by task."""
+    return scheduler.paths(schedule_of(spark, sf_dir, "nation", "n_nationkey").edges(spark, "nightly"))
+
+
+@query("SELECT 'n' || r_regionkey AS task, 'Completed' AS status, CASE WHEN r_regionkey IN (1, 4) THEN 2 ELSE 1 END AS times, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS loaded, true AS in_order FROM region")
+def run_schedule(spark, sf_dir):
+    """A run of a task for each region, each a Spark job; two fail at first, the run goes on from its log and is restarted."""
+    log = state.Log(spark, f"{shared_folder(spark)}/runs-{uuid4().hex}", scheduler.RUN_SCHEMA)
+    schedules, done = schedule_of(spark, sf_dir, "region", "r_regionkey"), []
+    run = scheduler.Run.of(schedules.current(), "nightly")
+    run.number, run.log = 1, log
+
+    def load(task):
+        nations = table(spark, sf_dir, "nation").where(F.concat(F.lit("n"), F.col("n_regionkey").cast("string")) == task.name).count()
+        done.append((task.name, nations))
+        if task.name in ("n1", "n4") and done.count(done[-1]) == 1:
+            raise RuntimeError("the first try")
+
+    try:
+        run.process(load)
+    except scheduler.RunFailed:
+        run = scheduler.Run.resumed(log, 1)
+        run.restart()
+        run.process(load)
+    last = {n: i for i, (n, _) in enumerate(done)}
+    before = dict(schedules.rows["Nightly"].edges)
+    rows = [(n, sum(x == n for x, _ in done), loaded, n not in before or last[before[n]] < done.index((n, loaded))) for n, loaded in dict(done).items()]
+    times = spark.createDataFrame(rows, "task string, times int, loaded long, in_order boolean")
+    return scheduler.current_tasks(log.read()).select("task", "status").join(times, "task")
+
+
+# Loads that fail, and their times and marks
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS dv_source_date_time, DATE '2024-01-01' AS dv_rowstartdate FROM orders")
+def load_source_times(spark, sf_dir):
+    """A satellite whose source times are a column of its source."""
+    vault = Vault(spark, f"{shared_folder(spark)}/vault-{uuid4().hex}")
+    r = vault.registry
+    r.insert("hub", config.HubConfig("orders", ("o_orderkey",)))
+    r.insert("satellite", config.SatelliteConfig("orders", "orders", "hub", {"o_orderstatus": ColumnDef("status", "varchar", length=1)}, buckets=8))
+    r.insert("source", config.SourceConfig(stage.Source("orders", path=f"{sf_dir}/orders.parquet"), {"orders": {"o_orderkey": "o_orderkey"}}, satellites=("orders",), source_date="o_orderdate"))
+    vault.load("orders", "Full", T1)
+    found = vault.read_object("sat", "orders").join(vault.table("hub", "orders").read().select("h_orders_key", "o_orderkey"), "h_orders_key")
+    return plain(found.select("o_orderkey", SOURCE_TIME, START), drop=())
+
+
+@query("SELECT 1 AS run, 'error' AS level, CAST((SELECT sum(n) FROM (SELECT count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1)) AS BIGINT) AS duplicates UNION ALL SELECT 2, 'success', NULL")
+def journal_of_loads(spark, sf_dir):
+    """A load that fails on duplicate keys, and one that doesn't: how both ended is in the journal."""
+    vault = Vault(spark, f"{shared_folder(spark)}/vault-{uuid4().hex}")
+    r = vault.registry
+    r.insert("hub", config.HubConfig("user", ("user_id",)))
+    r.insert("satellite", config.SatelliteConfig("user", "user", "hub", {"event_type": ColumnDef("event_type", "varchar", length=-1)}, buckets=8))
+    latest = lambda s, run: table(s, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
+    for name, reader in (("all", lambda s, run: table(s, sf_dir, "events")), ("last", latest)):
+        r.insert("source", config.SourceConfig(stage.Source(name, kind="callable", reader=reader), {"user": {"user_id": "user_id"}}, satellites=("user",)))
+    try:
+        vault.load("all", "Full", T1, run=1)
+    except duplicates.DuplicateKeys:
+        vault.load("last", "Full", T2, run=2)
+    levels = F.when(F.col("severity") == state.severity("error"), "error").otherwise("success")
+    number = F.regexp_extract("message", r"(\d+) rows", 1)
+    return vault.journal.log.read().select(F.col("run").cast("int").alias("run"), levels.alias("level"), F.when(number != "", number).cast("long").alias("duplicates"))
+
+
+@query("WITH m AS (SELECT max(o_orderkey) // 2 AS half, max(o_orderkey) AS whole FROM orders) SELECT run, kind, CAST(mark AS VARCHAR) AS mark, CAST((SELECT count(*) FROM orders WHERE o_orderkey > low AND o_orderkey <= high) AS BIGINT) AS rows FROM (SELECT 1 AS run, half AS mark, -1 AS low, half AS high FROM m UNION ALL SELECT 2, whole, half, whole FROM m), (VALUES ('stage'), ('hub')) AS k(kind)")
+def load_marks(spark, sf_dir):
+    """Two deltas of orders in the order of their keys: the second begins where the first was told to end."""
+    vault = Vault(spark, f"{shared_folder(spark)}/vault-{uuid4().hex}")
+    r = vault.registry
+    r.insert("hub", config.HubConfig("orders", ("o_orderkey",)))
+    source = stage.Source("orders", "SequenceCdc", path=f"{sf_dir}/orders.parquet", sequence="o_orderkey", columns=("o_orderkey",))
+    r.insert("source", config.SourceConfig(source, {"orders": {"o_orderkey": "o_orderkey"}}))
+    vault.load("orders", "Delta", T1, run=1, until=table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] // 2)
+    vault.load("orders", "Delta", T2, run=2)
+    return vault.states.read().select(F.col("run").cast("int").alias("run"), "kind", "mark", "rows")

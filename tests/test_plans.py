@@ -25,6 +25,9 @@ def test_scalars(spark):
     row = one.select(scalar.proper_case(F.col("t")), scalar.int_to_date(F.col("d")), scalar.int_to_date(F.col("e")), scalar.int_to_datetime(F.col("d"), F.col("h")), scalar.int_to_string(F.col("d"))).first()
     assert tuple(row) == (" Hello World", date(2026, 1, 2), None, datetime(2026, 1, 2, 9, 30, 15, 500000), "20260102")
     assert [tuple(r) for r in scalar.split_strings(one, "l", ",").collect()] == [(1, "a"), (2, ""), (3, "b")]
+    numbers = [0, 5, 999, 1000, 61_000, 3_600_000, 3_723_000, 90_000_000]
+    texts = spark.createDataFrame([(n,) for n in numbers], "n long").select(scalar.elapsed(F.col("n"))).collect()
+    assert [r[0] for r in texts] == [scalar.elapsed_text(n) for n in numbers]
     assert [scalar.elapsed_text(x) for x in (5, 61_000, 3_723_000)] == ["5 milliseconds", "1 min and 1 sec", "1 hr, 2 mins and 3 secs"]
 
 
@@ -50,6 +53,7 @@ def test_types():
 
 def test_names():
     assert naming.key_name("hub", "x") == "h_x_key" and naming.access_name("pit", "x") == "get_x_pit"
+    assert naming.next_abbreviation("azzz") == "baaa"
     assert [naming.next_abbreviation(x) for x in (None, "aaaa", "aaaz", "azzz")] == ["aaaa", "aaab", "aaba", "baaa"]
 
 
@@ -329,6 +333,7 @@ def test_configuration_checks(vault):
 
 def test_releases_round_trip(spark, vault, tmp_path):
     r = vault[0].registry
+    r.declare("people", [ColumnDef("id", "bigint"), ColumnDef("name", "varchar", length=9, default="'x'")])
     release.export(spark, r, 0, str(tmp_path / "release"))
     rows = release.load(spark, str(tmp_path / "release"))
     other = config.Registry()

@@ -996,7 +996,7 @@ def dag_schedule_paths(spark, sf_dir):
     return scheduler.paths(schedule_of(spark, sf_dir, "nation", "n_nationkey").edges(spark, "nightly"))
 
 
-@query("SELECT 'n' || r_regionkey AS task, 'Completed' AS status, CASE WHEN r_regionkey IN (1, 4) THEN 2 ELSE 1 END AS times, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS loaded, true AS in_order FROM region")
+@query("SELECT 'n' || r_regionkey AS task, 'Completed' AS status, CASE WHEN r_regionkey IN (3, 4) THEN 2 ELSE 1 END AS times, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS loaded, true AS in_order FROM region")
 def run_schedule(spark, sf_dir):
     """A run of a task for each region, each a Spark job; two fail at first, the run goes on from its log and is restarted."""
     log = state.Log(spark, f"{shared_folder(spark)}/runs-{uuid4().hex}", scheduler.RUN_SCHEMA)
@@ -1007,7 +1007,7 @@ def run_schedule(spark, sf_dir):
     def load(task):
         nations = table(spark, sf_dir, "nation").where(F.concat(F.lit("n"), F.col("n_regionkey").cast("string")) == task.name).count()
         done.append((task.name, nations))
-        if task.name in ("n1", "n4") and done.count(done[-1]) == 1:
+        if task.name in ("n3", "n4") and done.count(done[-1]) == 1:
             raise RuntimeError("the first try")
 
     try:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is such a file or folder in whatever store the path names."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def sweep(spark: SparkSession, hours: float) -> list[str]:
+    """Delete what operators stored in the shared folder and nothing has changed for so many hours; gives the names.
+
+    Results are read lazily from there, so only the caller knows when nobody needs them any more: take more hours than
+    a query runs. Only folders that are named as operators name theirs are touched; checkpoints Spark removes
+    itself where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files, gone = top.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for f in files.listStatus(top) if files.exists(top) else []:
+        name, age = f.getPath().getName(), time.time() - f.getModificationTime() / 1000
+        if f.isDirectory() and age > hours * 3600 and re.fullmatch(r"[a-z]+-[0-9a-f]{32}", name):
+            files.delete(f.getPath(), True)
+            gone.append(name)
+    return sorted(gone)

@@ -1,7 +1,9 @@
 """Joins in time, incremental profiles, marks, typed stages, partitioned reads and streams that share a satellite."""
 
+import os
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from siltstone.operators import intervals, metrics, temporal
 from siltstone.operators.satellite import Satellite, initial
 from siltstone.plans import config, store
 from siltstone.plans.pipeline import Vault
+from siltstone.plans.shared import shared_folder, sweep
 from siltstone.sources import jdbc, stage
 from siltstone.streaming.cdc import into_satellite, load_batch, stream_id
 
@@ -198,6 +201,17 @@ def test_reads_in_parts(spark):
     assert jdbc.read_parts(spark, options, "k", 4).count() == 1000
 
 
+def test_the_shared_folder_is_swept(spark):
+    path = shared_folder(spark)
+    for name in ("postings-" + "0" * 32, "postings-" + "1" * 32, "other-name", "9" * 32):
+        spark.range(1).write.parquet(f"{path}/{name}")
+    local = Path(path.removeprefix("file:"))
+    for name in ("postings-" + "0" * 32, "other-name", "9" * 32):
+        os.utime(local / name, (0, 0))
+    assert sweep(spark, 24) == ["postings-" + "0" * 32]
+    assert {"postings-" + "1" * 32, "other-name", "9" * 32} <= set(os.listdir(local))
+
+
 # Streams
 
 

@@ -1,6 +1,6 @@
 """Licence templates: fixed values, the wording of licences and of the notices that authors put into their files.
 
-The long licences stand in ``license_files``, word for word, a file for each.
+The long licences stand in ``license_files``, a file for each, word for word as operating systems hand them out.
 """
 
 from pathlib import Path

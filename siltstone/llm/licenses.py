@@ -1,7 +1,7 @@
 """Licence scans: winnowed fingerprints pick templates, banded alignment reports what matched.
 
 The templates' winnowed word-gram fingerprints form an inverted index, in which every word-gram of a
-text is looked up (so a shared run of gram + window - 1 words is never missed; short notices have short
+text is looked up (so a shared run of gram + window - 1 words has one in common; short notices have short
 grams, long texts longer ones and wider windows). A twentieth of a template's fingerprints (one at least) that
 agree on nearby diagonals make a candidate, and a banded local alignment of template and text words gives the
 matched span and the share of the template's words that it covers. Candidates of one template are aligned

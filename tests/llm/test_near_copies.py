@@ -48,3 +48,16 @@ def test_groups_against_brute_force_with_a_large_group(spark, documents):
         groups.setdefault(r["group"], set()).add(r["doc_id"])
     assert len(rows) == len(texts)
     assert sorted(map(sorted, groups.values())) == [list(range(50)), *([k] for k in range(50, 70)), [70, 71], [72], [73, 74]]
+
+
+def test_very_long_texts_and_ties(spark, documents):
+    """Texts of megabytes, copies of them but for a word or for blanks, and rows that repeat."""
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(90_000)}" for _ in range(300_000)]
+    other = [f"x{rng.randrange(90_000)}" for _ in range(200_000)]
+    texts = [" ".join(words), " ".join([*words[:5], "changed", *words[6:]]), "  ".join(words), " ".join(other), "a b c", "a b c", None]
+    rows = near_copies.near_copies(documents(texts), id_col="doc_id").collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["group"], []).append(r["doc_id"])
+    assert sorted(map(sorted, groups.values())) == [[0, 1, 2], [3], [4, 5], [6]]

@@ -200,3 +200,18 @@ def test_ids_that_are_not_whole_numbers_are_refused(spark, tmp_path):
     docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
     with pytest.raises(TypeError, match="whole number"):
         token_files.write(docs, str(tmp_path / "x"), PATH, end_id=1)
+
+
+def test_texts_of_megabytes(spark, tmp_path):
+    """Files and packing of a text of millions of letters beside short ones: all ids, in order, in whole pieces."""
+    rng = random.Random(12)
+    long = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(1, 12))) for _ in range(250_000))
+    docs = spark.createDataFrame([(1, long), (2, "short"), (3, None)], "doc_id long, text string")
+    want = {1: plain(long, 1), 2: plain("short", 1), 3: plain("", 1)}
+    token_files.write(docs, str(tmp_path / "files"), PATH, end_id=1)
+    assert {r["doc_id"]: r["ids"] for r in token_files.read(spark, str(tmp_path / "files")).collect()} == want
+    pieces = packing.pack_documents(docs, PATH, end_id=1, capacity=2048).where("doc_id = 1").orderBy("piece").collect()
+    ends = [p["start"] + p["length"] for p in pieces]
+    assert [p["start"] for p in pieces] == [0, *ends[:-1]] and ends[-1] == len(want[1]) and all(p["length"] == 2048 for p in pieces[:-1])
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert [p["ids_crc32"] for p in pieces] == [crc(want[1][p["start"] : p["start"] + p["length"]]) for p in pieces]

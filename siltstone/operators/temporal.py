@@ -67,6 +67,8 @@ def as_of(facts: DataFrame, versions: DataFrame, keys: list[str], at: str, paylo
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unknown join {how}")
+    if clash := set(payload.values()) & set(facts.columns):
+        raise ValueError(f"facts have columns {sorted(clash)} already")
     present = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*keys, at)))
     known, time = facts.where(present), F.col(at).cast("timestamp_ntz")
     hot = checkpointed(known.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("__hot")))

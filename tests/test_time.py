@@ -61,6 +61,8 @@ def test_as_of_has_no_range_join_and_takes_empty_tables(spark):
     assert temporal.as_of(df, sat.limit(0), ["k"], "t", {"v": "state"}).where("state is null").count() == 400
     with pytest.raises(ValueError):
         temporal.as_of(df, sat, ["k"], "t", {}, "outer")
+    with pytest.raises(ValueError, match="already"):
+        temporal.as_of(df, sat, ["k"], "t", {"v": "n"})
 
 
 def test_points_and_overlaps_against_loops(spark):

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed, utf8_rows
-from siltstone.llm.tokens import encoder
+from siltstone.llm.common import checkpointed, pieces, utf8_rows
+from siltstone.llm.tokens import SLICE_BYTES, encoder
 
 
 @dataclass(frozen=True)
@@ -119,21 +119,18 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, i
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = end_id.to_bytes(4, "little")
         with encoder(vocabulary) as words:
-            for batch in batches:
-                row, start, length, crc = [], [], [], []
-                for k, text in enumerate(utf8_rows(batch.column(1))):
-                    ids = words.encode(text) + end
-                    for at in range(0, len(ids), 4 * capacity):
-                        part = ids[at : at + 4 * capacity]
-                        row.append(k)
-                        start.append(at // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                start = pa.array(start, pa.int64())
-                piece = pa.array([s // capacity for s in start.to_pylist()], pa.int32())
-                columns = [batch.column(0).take(pa.array(row, pa.int64())), piece, start, pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            for batch in pieces(batches, SLICE_BYTES, text_col):
+                ids, counts = words.encode_all(utf8_rows(batch.column(1)), end_id)
+                data, first = memoryview(ids.astype("<u4").tobytes()), np.cumsum(counts) - counts
+                n = -(-counts // capacity)
+                row = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(counts[row] - start, capacity)
+                begin = 4 * (first[row] + start)
+                crc = [zlib.crc32(data[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
@@ -141,5 +138,5 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, i
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token pieces of all rows, each with its sequence and its place there. Ids may repeat or be null."""
-    pieces = checkpointed(token_pieces(docs, vocabulary, end_id, capacity, id_col, text_col))
-    return pack(pieces, capacity, (id_col, "piece"))
+    found = checkpointed(token_pieces(docs, vocabulary, end_id, capacity, id_col, text_col))
+    return pack(found, capacity, (id_col, "piece"))

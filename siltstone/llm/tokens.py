@@ -1,33 +1,88 @@
-"""Token ids by the tokenizers library, word by word with a bounded cache.
+"""Token ids by the tokenizers library, part by part with a bounded cache.
 
 The vocabulary's normaliser and splitter never join text across ASCII white space, so the ids of a
-text are the ids of its white-space words in order. Each distinct word is encoded by the library once
-for as long as the cache holds it, and then looked up. Words of ASCII and precomposed Latin-1 letters, digits and ASCII marks are
-already normal but for their case; their pre-tokens go to the library's model directly. All others (other
-scripts, apostrophes, control characters, special-token strings) go through the library's whole pipeline.
+text are the ids of its white-space words in order. Words of ASCII and precomposed Latin-1 letters, digits and
+ASCII marks are already normal but for their case; their pre-tokens (runs of letters, single digits, runs of marks)
+go to the library's model directly. All others (other scripts, apostrophes, control characters, special-token
+strings) go whole through the library's pipeline.
+
+Texts are cut some megabytes at a time, as bytes in numpy; Arrow numbers the distinct parts. The library sees each
+of them once for as long as the cache holds it.
 """
 
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Distinct words, and parts of words, that a worker keeps while its task runs; about 200 bytes each.
-CACHE_WORDS = 300_000
-_SIMPLE = re.compile("[!-&(-;=-{}~À-ÖØ-öø-ÿ]+\\Z")
-_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Distinct parts of words that a worker keeps while its task runs; about 200 bytes each.
+CACHE_WORDS = 500_000
+#: Bytes of text that are cut at a time, about; a word is never cut.
+SLICE_BYTES = 1 << 22
+_WHITE = b" \t\n\v\f\r"
+_CUT = re.compile(rb"[ \t-\r]")
 #: Byte-level alphabet: bytes that aren't printable (in Latin-1) stand as characters from 256 on, in their order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-
-
-def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_ALPHABET = "".join(chr(b if b in _PRINTABLE else 256 + _OTHERS.index(b)) for b in range(256))
+#: Kinds of bytes. Latin-1 letters are 0xC3 and a byte below 0xC0; all other multi-byte characters begin with an odd byte.
+_LETTER, _DIGIT, _MARK, _SPACE = range(4)
+_KIND = np.full(256, _MARK, np.uint8)
+_KIND[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = _LETTER
+_KIND[0x80:] = _LETTER
+_KIND[list(b"0123456789")] = _DIGIT
+_KIND[list(_WHITE)] = _SPACE
+_ODD = np.zeros(256, bool)
+_ODD[[k for k in range(33) if k not in _WHITE]] = True
+_ODD[[*b"'<|\x7f", 0xC0, 0xC1, 0xC2, *range(0xC4, 256)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def _parts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, odd, body, offsets) of the parts of words in bytes of UTF-8: where each starts and whether it is a word
+    for the whole pipeline; their bytes without white space, lower-cased but in odd words, and n + 1 offsets there."""
+    kinds, body = _KIND[data], _LOWER[data]
+    latin = np.flatnonzero(data == 0xC3) + 1
+    second = data[latin]
+    body[latin[second < 0x9F]] += 0x20
+    odd = _ODD[data]
+    odd[latin[(second == 0x97) | (second == 0xB7)]] = True  # multiplication and division signs
+    inside = kinds != _SPACE
+    start = kinds == _DIGIT
+    start[:1] = True
+    start[1:] |= kinds[1:] != kinds[:-1]
+    start &= inside
+    there = np.flatnonzero(odd)
+    odd[:] = False
+    if len(there):
+        head = inside.copy()
+        head[1:] &= ~inside[:-1]
+        words = np.flatnonzero(head)
+        strange = np.zeros(len(words), bool)
+        strange[np.searchsorted(words, there, side="right") - 1] = True
+        odd[words[0] :] = np.repeat(strange, np.diff(words, append=len(data)))
+        start &= head | ~odd
+        body = np.where(odd, data, body)
+    starts = np.flatnonzero(start)
+    offsets = np.cumsum(inside, dtype=np.int32)[starts] - np.int32(1)
+    body = body[inside]
+    return starts, odd[starts], body, np.append(offsets, np.int32(len(body)))
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(lengths)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(len(out))
+    return out
 
 
 class WordEncoder:
@@ -36,49 +91,77 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.forget()
 
     def forget(self) -> None:
-        """Release the caches, for what the worker does next."""
-        self.words, self.parts = {}, {}
-
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            found = pack([t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_ALPHABET))])
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            self.parts[part] = found
-        return found
-
-    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        learned, other = {}, []
-        for word in missing:
-            text = word.decode()
-            if _SIMPLE.match(text):
-                learned[word] = b"".join(map(self._part, _PIECES.findall(text.lower())))
-            else:
-                other.append(text)
-        for at in range(0, len(other), 10_000):
-            some = other[at : at + 10_000]
-            for text, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                learned[text.encode()] = pack(found.ids)
-        return learned
+        """Release the cache, for what the worker does next."""
+        self.numbers: dict[bytes, int] = {}  # of the parts known; part k has ids[ends[k] : ends[k + 1]]
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, simple: list[bytes], whole: list[bytes]) -> None:
+        """Numbers and ids for parts that aren't known yet."""
+        found = [[t.id for t in self.model.tokenize(p.decode() if p.isascii() else p.decode("latin-1").translate(_ALPHABET))] for p in simple]
+        for at in range(0, len(whole), 10_000):
+            some = [w.decode() for w in whole[at : at + 10_000]]
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        self.numbers.update(zip(simple + whole, range(len(self.numbers), len(self.numbers) + len(found)), strict=True))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = b" ".join(texts)
+        data.decode()  # what isn't UTF-8 is an error
+        starts, odd, body, offsets = _parts(np.frombuffer(data, np.uint8))
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        of, distinct = coded.indices.to_numpy(), coded.dictionary
+        whole = np.zeros(len(distinct), bool)
+        whole[of[odd]] = True
+        at = np.frombuffer(distinct.buffers()[1], np.int32, len(distinct) + 1).tolist() if len(distinct) else [0]
+        kept = distinct.buffers()[2].to_pybytes() if len(distinct) else b""
+        parts = [kept[a:b] for a, b in zip(at, at[1:], strict=False)]
+        missing = [(p, w) for p, w in zip(parts, whole.tolist(), strict=True) if p not in self.numbers]
+        if missing:
+            self._learn([p for p, w in missing if not w], [p for p, w in missing if w])
+        number = np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts))[of]
+        begins = self.ends[number]
+        lengths = self.ends[number + 1] - begins
+        ids = self.ids[_spread(begins, lengths)]
+        if len(self.numbers) > CACHE_WORDS:
+            self.forget()
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        heads = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return ids, np.diff(before[np.searchsorted(starts, heads)])
+
+    def encode_all(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts one after the other, ``end_id`` after each if there is one, and how many each text has."""
+        counts, found = np.zeros(len(texts), np.int64), []
+        some, of, size = [], [], 0
+        for k, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                cut = _CUT.search(text, at + SLICE_BYTES) if len(text) - at > SLICE_BYTES else None
+                to = cut.start() if cut else len(text)
+                some.append(text[at:to])
+                of.append(k)
+                size += to - at
+                at = to
+                if size >= SLICE_BYTES:
+                    ids, n = self._encode(some)
+                    found.append(ids)
+                    np.add.at(counts, of, n)
+                    some, of, size = [], [], 0
+        if some:
+            ids, n = self._encode(some)
+            found.append(ids)
+            np.add.at(counts, of, n)
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        if end_id is None:
+            return ids, counts
+        return np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        found = list(map(self.words.get, words))
-        if None not in found:
-            return b"".join(found)
-        learned = self._learn(set(words).difference(self.words))
-        if len(self.words) + len(learned) <= CACHE_WORDS:
-            self.words.update(learned)
-            return b"".join(map(self.words.__getitem__, words))
-        out = b"".join([learned[w] if f is None else f for w, f in zip(words, found, strict=True)])
-        self.words.clear()
-        return out
+        return self.encode_all([text])[0].astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -88,7 +171,7 @@ def _encoder(path: str) -> WordEncoder:
 
 @contextmanager
 def encoder(path: str) -> Iterator[WordEncoder]:
-    """The worker's encoder of a vocabulary file; its caches are released at the end."""
+    """The worker's encoder of a vocabulary file; its cache is released at the end."""
     found = _encoder(path)
     try:
         yield found

@@ -1,5 +1,6 @@
 import os
 import random
+import sys
 import zlib
 from collections import defaultdict
 
@@ -215,3 +216,31 @@ def test_texts_of_megabytes(spark, tmp_path):
     assert [p["start"] for p in pieces] == [0, *ends[:-1]] and ends[-1] == len(want[1]) and all(p["length"] == 2048 for p in pieces[:-1])
     crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
     assert [p["ids_crc32"] for p in pieces] == [crc(want[1][p["start"] : p["start"] + p["length"]]) for p in pieces]
+
+
+def test_slices_cut_at_white_space_change_nothing(monkeypatch):
+    """Texts of many scripts, cut into slices of some bytes and encoded together: the library's ids, and how many each text has."""
+    rng, whole = random.Random(3), Tokenizer.from_file(PATH)
+    often = "abcXYZ ÀÖ×÷ßÿ019.,-'\n\t\x0b\x1c\x85\xa0 Σσéπ東ё̈<|>"
+    texts = ["".join(rng.choices(often, k=rng.randint(0, 60))) for _ in range(2_000)] + TEXTS
+    want = [e.ids for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for size in (1, 7, 500, 1 << 22):
+        monkeypatch.setattr("siltstone.llm.tokens.SLICE_BYTES", size)
+        ids, counts = WordEncoder(PATH).encode_all([(t or "").encode() for t in texts], 9)
+        assert np.split(ids, np.cumsum(counts))[-1].size == 0
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [[*w, 9] for w in want]
+    with pytest.raises(UnicodeDecodeError):
+        WordEncoder(PATH).encode(b"ab \xc3x")
+
+
+def test_calls_go_by_distinct_parts_and_not_by_words():
+    """20,000 different words of 17 parts: the library sees each part once, and no word has calls of its own."""
+    words, calls = WordEncoder(PATH), []
+    text = " ".join(f"Word{k} word,{k}." for k in range(10_000)) + " WORD:"
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        got = words.encode(text.encode())
+    finally:
+        sys.setprofile(None)
+    assert np.frombuffer(got, "<u4").tolist() == plain(text, 0)[:-1]
+    assert len(calls) < 2_000

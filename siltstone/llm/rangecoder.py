@@ -28,6 +28,7 @@ import numpy as np
 #: Ids of a block, and lanes that a full block has; shorter blocks have a lane for LEAST_STEPS ids.
 BLOCK, LANES, LEAST_STEPS = 1 << 20, 2048, 256
 SLOTS1, SLOTS2 = 12, 1
+GROUP = 4  # blocks that are coded side by side, to share numpy's calls; nothing in the files depends on it
 HASH_BITS = 18
 TOTAL_BITS, ZERO_BITS = 24, 20
 _COUNT_BITS = 11
@@ -47,72 +48,132 @@ def _classes(edges: tuple[int, ...]) -> np.ndarray:
     return np.searchsorted(np.array(edges), np.arange(_SEEN), side="right")
 
 
-_NUMBERS = np.arange(SLOTS1 + SLOTS2, dtype=np.int32)[:, None]
+_SLOTS = SLOTS1 + SLOTS2
+_SLOT_BITS = 4  # a count and a slot's number within its table fit 15 bits
+_NUMBERS8 = np.arange(_SLOTS, dtype=np.uint8)[:, None]
+_NUMBERS16 = np.concatenate([np.arange(SLOTS2, dtype=np.int16), np.arange(SLOTS1, dtype=np.int16)])[:, None]
+_PARTS = (slice(0, SLOTS2), slice(SLOTS2, _SLOTS))
+_NONE = 255
+_CLASSES = 6 * 9
 _CLASS2, _CLASS1 = _classes((1, 2, 3, 5, 9)), _classes((1, 3, 7, 15, 31, 63, 127, 255))
 
 
 class _Model:
-    """Slots hold an id (from 1; 0 is empty) above a count of _COUNT_BITS; a context is a row of slots."""
-
-    def __init__(self, alphabet: int, lanes: int):
-        self.tables = [np.zeros((1 << HASH_BITS, SLOTS2), np.int32), np.zeros((alphabet + 1, SLOTS1), np.int32)]
-        self.zero = np.ones(alphabet, np.int64)
-        self.weights = np.tile(np.array([0.2, 0.3, 0.5]), (6 * 9, 1))
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.steps = 0
+    """The models of some blocks, side by side: lanes and rows of a block follow those of the block before.
+
+    Slots hold an id (from 1; 0 is empty) above a count of _COUNT_BITS; a context is a row of slots. Blocks share no
+    row, class or sum. Arrays are (slots, lanes) and as narrow as their values allow, as each operation reads them from
+    the cache.
+    """
+
+    def __init__(self, alphabet: int, lanes: list[int]):
+        blocks = len(lanes)
+        block = np.repeat(np.arange(blocks), lanes)
+        self.tables = [np.zeros((blocks << HASH_BITS, SLOTS2), np.int32), np.zeros((blocks * (alphabet + 1), SLOTS1), np.int32)]
+        self.zero = np.ones((blocks, alphabet + 1), np.int64)  # from the second column on
+        self.coded: list[np.ndarray] = []  # what ``zero`` doesn't count yet
+        self.weights = np.tile(np.array([0.2, 0.3, 0.5]), (blocks * _CLASSES, 1))
+        self.hashed, self.classed, self.row = block << HASH_BITS, (block * _CLASSES).astype(np.int32), block * (alphabet + 1)
+        self.apart = block << ZERO_BITS + 1  # sums of a block, plus this, are above all of the blocks before
+        self.spread = np.arange(blocks)[:, None] << ZERO_BITS + 1
+        self.last = np.zeros(len(block), np.int64)
+        self.before = np.zeros(len(block), np.int64)
+        self.lanes = np.arange(len(block))
+        self.steps = self.n = 0
         self.refresh()
 
     def refresh(self) -> None:
         """Order-0 sums, scaled to 2^ZERO_BITS; each id keeps one at least."""
-        n = len(self.zero)
-        sums = np.zeros(n + 1, np.int64)
-        np.cumsum(self.zero, out=sums[1:])
-        self.sums = sums * ((1 << ZERO_BITS) - n) // sums[-1] + np.arange(n + 1)
+        n = self.zero.shape[1] - 1
+        if self.coded:
+            self.zero += 24 * np.bincount(np.concatenate(self.coded), minlength=self.zero.size).reshape(self.zero.shape)
+            self.coded = []
+        sums = np.zeros_like(self.zero)
+        np.cumsum(self.zero[:, 1:], axis=1, out=sums[:, 1:])
+        self.sums = sums * ((1 << ZERO_BITS) - n) // sums[:, -1:] + np.arange(n + 1)
+        self.keys = (self.sums + self.spread).reshape(-1)
+
+    def _room(self, n: int) -> None:
+        """Arrays for n lanes, kept from step to step."""
+        self.n = n
+        self.found, self.ids, self.mass, self.ends, self.same, self.wide = (np.empty((_SLOTS, n), np.int32) for _ in range(6))
+        self.mass2, self.shared = np.empty((SLOTS2, n), np.int32), np.empty((SLOTS2, n), np.int32)
+        self.counts, self.order = np.empty((_SLOTS, n), np.int16), np.empty((_SLOTS, n), np.int16)
+        self.match, self.number = np.empty((_SLOTS, n), bool), np.empty((_SLOTS, n), np.uint8)
+        self.seen, self.kinds, self.first = np.empty((2, n), np.int32), np.empty((2, n), np.uint8), np.empty((2, n), np.uint8)
+        self.lane = self.lanes[:n]
 
     def predict(self, n: int) -> None:
         """For the first n lanes: ids and masses (slots, lanes), their running sums, and what is left for order 0."""
+        if n != self.n:
+            self._room(n)
         last, before = self.last[:n], self.before[:n]
-        hashed = ((before.astype(np.uint64) << np.uint64(24)) + last.astype(np.uint64)) * _MUL >> np.uint64(64 - HASH_BITS)
-        self.rows = [hashed.astype(np.int64), last]
-        self.found = np.concatenate([t.take(r, axis=0).T for t, r in zip(self.tables, self.rows, strict=True)])
-        self.ids, self.counts = self.found >> _COUNT_BITS, self.found & _COUNT
-        parts = (self.counts[:SLOTS2], self.counts[SLOTS2:])
-        seen = [p.sum(axis=0, dtype=np.int32) for p in parts]
-        kinds = [(p > 0).sum(axis=0, dtype=np.int32) for p in parts]
-        self.set = _CLASS2.take(seen[0], mode="clip") * 9 + _CLASS1.take(seen[1], mode="clip")
-        self.mass = np.empty((SLOTS2 + SLOTS1, n), np.int32)
-        self.mass2, mass1 = np.empty((SLOTS2, n), np.int32), self.mass[SLOTS2:]
-        for k, (part, out) in enumerate(zip(parts, (self.mass2, mass1), strict=True)):
-            share = self.weights[:, k].take(self.set) * (1 << TOTAL_BITS) / (seen[k] + 0.5 * kinds[k] + 0.5)
-            np.multiply(part, share.astype(np.int32), out=out)
-        self.shared = np.empty((SLOTS2, n), np.int32)  # what order 1 adds to the ids that order 2 has too
-        for k in range(SLOTS2):
-            same = mass1 * (self.ids[SLOTS2:] == self.ids[k])
-            same.sum(axis=0, dtype=np.int32, out=self.shared[k])
+        hashed = ((before.view(np.uint64) << np.uint64(24)) + last.view(np.uint64)) * _MUL >> np.uint64(64 - HASH_BITS)
+        self.rows = [hashed.view(np.int64) + self.hashed[:n], last + self.row[:n]]
+        for table, rows, part in zip(self.tables, self.rows, _PARTS, strict=True):
+            taken = table.take(rows, axis=0)
+            for k, out in enumerate(self.found[part]):
+                out[:] = taken[:, k]
+        np.right_shift(self.found, _COUNT_BITS, out=self.ids)
+        counts = np.bitwise_and(self.found, _COUNT, out=self.wide)
+        self.counts[:] = counts
+        some = np.greater(self.counts, 0, out=self.match).view(np.uint8)
+        for k, part in enumerate(_PARTS):
+            np.add.reduce(counts[part], axis=0, dtype=np.int32, out=self.seen[k])
+            np.add.reduce(some[part], axis=0, dtype=np.uint8, out=self.kinds[k])
+        self.set = _CLASS2.take(self.seen[0], mode="clip") * np.int32(9) + _CLASS1.take(self.seen[1], mode="clip")
+        self.set += self.classed[:n]
+        share = self.weights[:, :2].T.take(self.set, axis=1)
+        share *= 1 << TOTAL_BITS
+        whole = np.multiply(self.kinds, 0.5, dtype=np.float64)
+        whole += self.seen
+        whole += 0.5
+        share /= whole
+        mass1 = self.mass[SLOTS2:]
+        for part, own, out in zip(_PARTS, share.astype(np.int32), (self.mass2, mass1), strict=True):
+            np.multiply(counts[part], own, out=out)
+        for k in range(SLOTS2):  # shared: what order 1 adds to the ids that order 2 has too
+            same = self.same[SLOTS2:]
+            same[:] = np.equal(self.ids[SLOTS2:], self.ids[k], out=self.match[SLOTS2:]).view(np.int8)
+            np.multiply(same, mass1, out=same)
+            np.add.reduce(same, axis=0, dtype=np.int32, out=self.shared[k])
             mass1 -= same
         np.add(self.mass2, self.shared, out=self.mass[:SLOTS2])
-        self.ends = np.cumsum(self.mass, axis=0, dtype=np.int32)
+        self.ends[0] = self.mass[0]
+        for k in range(1, _SLOTS):
+            np.add(self.ends[k - 1], self.mass[k], out=self.ends[k])
         self.rest = (1 << TOTAL_BITS) - self.ends[-1].astype(np.int64)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of the ids coded."""
-        self.match = self.ids == ids
-        slot = np.where(self.match, _NUMBERS, SLOTS1 + SLOTS2).min(axis=0)
-        at = np.minimum(slot, SLOTS1 + SLOTS2 - 1) * len(ids) + np.arange(len(ids))
-        size = self.mass.take(at) * (slot < SLOTS1 + SLOTS2)
-        low = self.sums.take(ids - 1) * self.rest >> ZERO_BITS
-        high = self.sums.take(ids) * self.rest >> ZERO_BITS
-        by_slot = size > 0
-        return np.where(by_slot, self.ends.take(at) - size, self.ends[-1] + low), np.where(by_slot, size, high - low)
+        np.equal(self.ids, ids.astype(np.int32), out=self.match)
+        number = np.subtract(self.match.view(np.uint8), np.uint8(1), out=self.number)
+        number |= _NUMBERS8
+        for k, part in enumerate(_PARTS):
+            np.minimum.reduce(number[part], axis=0, out=self.first[k])
+        slot = np.minimum(*self.first)
+        at = np.minimum(slot, np.uint8(_SLOTS - 1)).astype(np.int64) * self.n + self.lane
+        size = self.mass.take(at) * (slot != _NONE)
+        self.placed = ids + self.row[: self.n]
+        low = self.sums.take(self.placed - 1) * self.rest >> ZERO_BITS
+        high = self.sums.take(self.placed) * self.rest >> ZERO_BITS
+        no_slot = (size == 0).astype(np.int64)
+        start = self.ends.take(at) - size
+        return start + (self.ends[-1] + low - start) * no_slot, size + (high - low) * no_slot
 
     def lookup(self, value: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold these values."""
         value = value.astype(np.int32)
-        at = (self.ends[:-1] <= value).sum(axis=0) * len(value) + np.arange(len(value))
-        inner = np.maximum(value - self.ends[-1], 0).astype(np.int64)
-        ids = np.searchsorted(self.sums, ((inner + 1 << ZERO_BITS) - 1) // self.rest, side="right")
-        return np.where(value < self.ends[-1], self.ids.take(at), ids)
+        below = np.less_equal(self.ends[:-1], value, out=self.match[:-1]).view(np.uint8)
+        slot = np.add.reduce(below, axis=0, dtype=np.uint8)
+        ids = self.ids.take(slot.astype(np.int64) * self.n + self.lane).astype(np.int64)
+        other = np.flatnonzero(value >= self.ends[-1])
+        inner = (value[other] - self.ends[-1, other]).astype(np.int64)
+        share = ((inner + 1 << ZERO_BITS) - 1) // self.rest[other] + self.apart[other]
+        both = np.sort(share << 32 | other)  # neighbours in order are found faster
+        other = both & 0xFFFFFFFF
+        ids[other] = np.searchsorted(self.keys, both >> 32, side="right") - self.row[other]
+        return ids
 
     def learn(self, match: np.ndarray) -> None:
         """Move the weights of the classes seen towards what each prediction contributed."""
@@ -131,19 +192,29 @@ class _Model:
         self.weights[some, 2] += lack
 
     def update(self, ids: np.ndarray) -> None:
-        n, lane, match = len(ids), np.arange(len(ids)), self.match
+        n = len(ids)
         if self.steps < 64 or self.steps % _LEARN == 0:
-            self.learn(match)
-        fresh = (ids << _COUNT_BITS) + 1
-        for table, rows, part in ((self.tables[0], self.rows[0], slice(0, SLOTS2)), (self.tables[1], self.rows[1], slice(SLOTS2, None))):
-            counts, is_in = self.counts[part], match[part]
-            # The slot of the id, else the one of the least count.
-            best = np.where(is_in, _NUMBERS[: len(counts)] - 64, (counts << 6) + _NUMBERS[: len(counts)]).min(axis=0)
-            slot, there = best & 63, best < 0
-            at = slot * n + lane
-            entry, count = self.found[part].take(at), counts.take(at)
-            table.reshape(-1)[rows * table.shape[1] + slot] = np.where(there, entry + (count < _COUNT), np.where(count <= 1, fresh, entry - 1))
-        self.zero += 24 * np.bincount(ids - 1, minlength=len(self.zero))
+            self.learn(self.match)
+        fresh = (ids << _COUNT_BITS).astype(np.int32) + np.int32(1)
+        order = np.left_shift(self.counts, _SLOT_BITS, out=self.order)
+        order |= _NUMBERS16
+        # The slot of the id, else the one of the least count. No numpy.where: its branches cost more than the sums.
+        there = self.first != _NONE
+        slot = np.empty((2, n), np.uint8)
+        for part, own in zip(_PARTS, slot, strict=True):
+            least = np.minimum.reduce(order[part], axis=0)
+            least &= np.int16((1 << _SLOT_BITS) - 1)
+            own[:] = least + np.int16(part.start)
+        slot |= -there.view(np.uint8)
+        slot = np.minimum(slot, self.first).astype(np.int64)
+        entry = self.found.take(slot * n + self.lane)
+        count = entry & _COUNT
+        more, often = there & (count < _COUNT), count > 1
+        entry += more.view(np.int8) - (often > there).view(np.int8)
+        entry ^= (entry ^ fresh) & -(~(there | often)).view(np.int8).astype(np.int32)
+        for table, rows, own, part, new in zip(self.tables, self.rows, slot, _PARTS, entry, strict=True):
+            table.reshape(-1)[rows * table.shape[1] + (own - part.start)] = new
+        self.coded.append(self.placed)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
         self.steps += 1
@@ -157,87 +228,139 @@ def _shape(n: int) -> tuple[int, int]:
     return -(-n // steps), steps
 
 
-def _encode_block(ids: np.ndarray, alphabet: int) -> bytes:
-    lanes, steps = _shape(len(ids))
-    padded = np.zeros(lanes * steps, np.int64)
-    padded[: len(ids)] = ids
-    columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    short = len(ids) - steps * (lanes - 1)
+def _lanes(sizes: list[int]) -> tuple[list[int], int, list[int]]:
+    """(lanes of each block, steps, lanes that have an id at each step) of blocks of which only the last may be shorter."""
+    shapes = [_shape(n) for n in sizes]
+    lanes, (own, last) = [x for x, _ in shapes], shapes[-1]
+    short, steps = sizes[-1] - last * (own - 1), shapes[0][1]
+    return lanes, steps, [sum(lanes) - (own if t >= last else t >= short) for t in range(steps)]
+
+
+def _groups(sizes: list[int]) -> list[slice]:
+    """Blocks that are coded side by side: GROUP of those whose lanes are all of one length, and a shorter last one that
+    takes no more steps. Others are coded alone."""
+    if not sizes:
+        return []
+    lanes, steps = _shape(sizes[0])
+    some = GROUP if lanes * steps == sizes[0] else 1
+    even = len(sizes) - (sizes[-1] < sizes[0])
+    found = [slice(at, min(at + some, even)) for at in range(0, even, some)]
+    if even < len(sizes):
+        fits = lanes * steps == sizes[0] and _shape(sizes[-1])[1] <= steps
+        found[-1:] = [slice(found[-1].start, len(sizes))] if fits else [found[-1], slice(even, len(sizes))]
+    return found
+
+
+def _encode_blocks(parts: list[np.ndarray], alphabet: int) -> list[bytes]:
+    lanes, steps, active = _lanes([len(p) for p in parts])
+    columns, first = np.zeros((steps, sum(lanes)), np.int64), 0
+    for part, n in zip(parts, lanes, strict=True):
+        own = _shape(len(part))[1]
+        padded = np.zeros(n * own, np.int64)
+        padded[: len(part)] = part
+        columns[:own, first : first + n] = padded.reshape(n, own).T
+        first += n
     model = _Model(alphabet, lanes)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
+    low, size = np.zeros(first, np.uint64), np.full(first, 1 << 48, np.uint64)
     width = 2 * steps + 4
-    words, at = np.zeros(lanes * width, np.uint32), np.arange(lanes) * width
-    for t in range(steps):
-        n = lanes - (t >= short)
-        x = columns[t, :n]
+    words, at = np.zeros(first * width, np.uint32), np.arange(first) * width
+    for x, n in zip(columns, active, strict=True):
+        x = x[:n]
         model.predict(n)
         start, freq = model.interval(x)
         r = size[:n] >> np.uint64(TOTAL_BITS)
-        low[:n] += r * start.astype(np.uint64)
-        size[:n] = r * freq.astype(np.uint64)
-        while len(out := np.flatnonzero(size[:n] >> _BITS32 == 0)):
-            emitted = low[out]
-            words[at[out]] = emitted >> _BITS32
-            at[out] += 1
+        low[:n] += r * start.view(np.uint64)
+        size[:n] = r * freq.view(np.uint64)
+        out = np.flatnonzero(size[:n] <= _MASK32)
+        while len(out):
+            emitted, place, wide = low[out], at[out], size[out] << _BITS16
+            words[place] = emitted >> _BITS32
+            at[out] = place + 1
             low[out] = (emitted & _MASK32) << _BITS16
-            size[out] <<= _BITS16
+            size[out] = wide
+            out = out[wide <= _MASK32]
         model.update(x)
     for _ in range(3):
         words[at] = low >> _BITS32
         at += 1
         low = (low & _MASK32) << _BITS16
-    begin = np.arange(lanes) * width
-    used = at - begin
-    flat = words[np.repeat(begin - (np.cumsum(used) - used), used) + np.arange(used.sum())]
-    while (carry := flat >> np.uint32(16)).any():
-        flat &= np.uint32(0xFFFF)
-        flat[:-1] += carry[1:]
-    return used.astype("<u2").tobytes() + flat.astype("<u2").tobytes()
-
-
-def _decode_block(data: bytes, n_ids: int, alphabet: int) -> np.ndarray:
-    lanes, steps = _shape(n_ids)
-    used = np.frombuffer(data, "<u2", lanes).astype(np.int64)
-    words = np.concatenate([np.frombuffer(data, "<u2", offset=2 * lanes), np.zeros(3, np.uint16)]).astype(np.uint64)
-    at = np.cumsum(used) - used
+    begins = np.arange(first) * width
+    used, found, first = at - begins, [], 0
+    for n in lanes:
+        own, begin = used[first : first + n], begins[first : first + n]
+        flat = words[np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+        while (carry := flat >> np.uint32(16)).any():
+            flat &= np.uint32(0xFFFF)
+            flat[:-1] += carry[1:]
+        found.append(own.astype("<u2").tobytes() + flat.astype("<u2").tobytes())
+        first += n
+    return found
+
+
+def _decode_blocks(parts: list[bytes], sizes: list[int], alphabet: int) -> list[np.ndarray]:
+    lanes, steps, active = _lanes(sizes)
+    begins, words, first = [], [], 0
+    for data, n in zip(parts, lanes, strict=True):
+        used = np.frombuffer(data, "<u2", n).astype(np.int64)
+        begins.append(first + np.cumsum(used) - used)
+        words.append(np.frombuffer(data, "<u2", offset=2 * n))
+        first += len(words[-1])
+    words, at = np.concatenate([*words, np.zeros(3, np.uint16)]).astype(np.uint64), np.concatenate(begins)
     code = words[at] << _BITS32 | words[at + 1] << _BITS16 | words[at + 2]
     at += 3
-    size = np.full(lanes, 1 << 48, np.uint64)
-    short = n_ids - steps * (lanes - 1)
+    size = np.full(len(at), 1 << 48, np.uint64)
     model = _Model(alphabet, lanes)
-    out = np.zeros((steps, lanes), np.int64)
-    for t in range(steps):
-        n = lanes - (t >= short)
+    out = np.zeros((steps, len(at)), np.int64)
+    for t, n in enumerate(active):
         model.predict(n)
         r = size[:n] >> np.uint64(TOTAL_BITS)
-        value = np.minimum(code[:n] // r, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int64)
+        value = np.minimum(code[:n] // r, np.uint64((1 << TOTAL_BITS) - 1)).view(np.int64)
         x = model.lookup(value)
         start, freq = model.interval(x)
-        code[:n] -= r * start.astype(np.uint64)
-        size[:n] = r * freq.astype(np.uint64)
-        while len(more := np.flatnonzero(size[:n] >> _BITS32 == 0)):
-            code[more] = code[more] << _BITS16 | words.take(at[more], mode="clip")
-            at[more] += 1
-            size[more] <<= _BITS16
+        code[:n] -= r * start.view(np.uint64)
+        size[:n] = r * freq.view(np.uint64)
+        more = np.flatnonzero(size[:n] <= _MASK32)
+        while len(more):
+            place, wide = at[more], size[more] << _BITS16
+            code[more] = code[more] << _BITS16 | words.take(place, mode="clip")
+            at[more] = place + 1
+            size[more] = wide
+            more = more[wide <= _MASK32]
         model.update(x)
         out[t, :n] = x
-    return np.ascontiguousarray(out.T).reshape(-1)[:n_ids]
+    found, first = [], 0
+    for count, n in zip(sizes, lanes, strict=True):
+        found.append(out[: _shape(count)[1], first : first + n].T.reshape(-1)[:count])
+        first += n
+    return found
+
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, ascending, and the place of each id among them, from 1."""
+    most = int(ids.max(initial=0))
+    if most < max(1 << 20, len(ids)):  # a table of all ids up to the largest
+        there = np.zeros(most + 1, bool)
+        there[ids] = True
+        return np.flatnonzero(there).astype(ids.dtype), np.cumsum(there)[ids]
+    alphabet, dense = np.unique(ids, return_inverse=True)
+    return alphabet, dense.reshape(-1).astype(np.int64) + 1
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, list[bytes]]:
     """(alphabet, blocks): the ids that occur, ascending, and each block of ``block`` ids coded over them."""
-    alphabet, dense = np.unique(ids, return_inverse=True)
+    alphabet, dense = _numbered(ids)
     if len(alphabet) > ALPHABET_LIMIT or block > BLOCK:
         raise ValueError(f"{len(alphabet)} different ids, blocks of {block}; {ALPHABET_LIMIT} and {BLOCK} are the most")
-    dense = dense.reshape(-1).astype(np.int64) + 1
-    return alphabet, [_encode_block(dense[at : at + block], len(alphabet)) for at in range(0, len(ids), block)]
+    parts = [dense[at : at + block] for at in range(0, len(ids), block)]
+    return alphabet, [data for some in _groups([len(p) for p in parts]) for data in _encode_blocks(parts[some], len(alphabet))]
 
 
 def decode(alphabet: np.ndarray, blocks: list[bytes], count: int, block: int = BLOCK) -> np.ndarray:
     """The ``count`` ids that ``encode`` made these blocks of."""
     if not count:
         return np.zeros(0, np.uint32)
-    parts = [_decode_block(data, min(block, count - k * block), len(alphabet)) for k, data in enumerate(blocks)]
+    sizes = [min(block, count - k * block) for k in range(len(blocks))]
+    parts = [ids for some in _groups(sizes) for ids in _decode_blocks(blocks[some], sizes[some], len(alphabet))]
     return alphabet.astype(np.uint32)[np.concatenate(parts) - 1]
 
 

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import rangecoder
-from siltstone.llm.common import utf8_rows
-from siltstone.llm.tokens import encoder
+from siltstone.llm.common import pieces, utf8_rows
+from siltstone.llm.tokens import SLICE_BYTES, encoder
 
 MAGIC, VERSION = b"SLT1", 2
 _HEAD = struct.Struct("<4sHIIQII")
@@ -92,22 +92,23 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, first = TaskContext.get().partitionId(), 0
-        end = struct.pack("<I", end_id)
         numbers, counts, parts, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             columns = [pa.array([shard], pa.int32()), pa.array([first]), pa.array([len(ids)]), pa.array([dump(numbers, counts, ids)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["shard", "first", "n_ids", "payload"])
 
         with encoder(vocabulary) as words:
-            for batch in batches:
-                for number, text in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1)), strict=True):
-                    found = words.encode(text) + end
+            for batch in pieces(batches, SLICE_BYTES):
+                ids, own = words.encode_all(utf8_rows(batch.column(1)), end_id)
+                at = 0
+                for number, count in zip(batch.column(0).to_pylist(), own.tolist(), strict=True):
                     numbers.append(number)
-                    parts.append(found)
-                    counts.append(len(found) // 4)
-                    size += counts[-1]
+                    counts.append(count)
+                    parts.append(ids[at : at + count])
+                    at += count
+                    size += count
                     if size >= PAYLOAD_IDS:
                         yield flush()
                         first += size

@@ -244,3 +244,39 @@ def test_calls_go_by_distinct_parts_and_not_by_words():
         sys.setprofile(None)
     assert np.frombuffer(got, "<u4").tolist() == plain(text, 0)[:-1]
     assert len(calls) < 2_000
+
+
+def test_blocks_side_by_side_are_the_blocks_alone():
+    """Whatever is coded beside it, a block has the bytes that it had when blocks were coded one by one."""
+    ids = (np.arange(9_000, dtype=np.uint64) * 2654435761 % 4093 % 97 * (np.arange(9_000) % 7 + 1)).astype(np.uint32)
+    _, blocks = rangecoder.encode(ids, block=2000)
+    assert [zlib.crc32(b) for b in blocks] == [635325852, 2635097271, 408920670, 1783552881, 2952747277]
+    for block, n in ((2000, 9000), (2048, 8192), (2048, 9000), (2048, 8193), (1024, 9000), (256, 1791)):
+        own = []
+        for group in (1, 2, 3, 4, 5):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(rangecoder, "GROUP", group)
+                found, blocks = rangecoder.encode(ids[:n], block=block)
+                assert (rangecoder.decode(found, blocks, n, block=block) == ids[:n]).all()
+                own = own or blocks
+                assert blocks == own
+                parts = [rangecoder.decode(found, [b], min(block, n - k * block), block=block) for k, b in enumerate(blocks)]
+                assert (np.concatenate(parts) == ids[:n]).all()
+
+
+def test_blocks_side_by_side_share_their_calls():
+    """Four blocks make the numpy calls of about one, when they are written and when they are read."""
+    ids = np.random.default_rng(5).integers(0, 300, 4096).astype(np.uint32)
+
+    def calls(f):
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(event) if event in ("call", "c_call") else None)
+        try:
+            f()
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    (one, data), (four, more) = rangecoder.encode(ids[:1024], block=1024), rangecoder.encode(ids, block=1024)
+    assert calls(lambda: rangecoder.encode(ids, block=1024)) < 2 * calls(lambda: rangecoder.encode(ids[:1024], block=1024))
+    assert calls(lambda: rangecoder.decode(four, more, 4096, block=1024)) < 2 * calls(lambda: rangecoder.decode(one, data, 1024, block=1024))

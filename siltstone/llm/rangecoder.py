@@ -54,10 +54,17 @@ _NUMBERS8 = np.arange(_SLOTS, dtype=np.uint8)[:, None]
 _NUMBERS16 = np.concatenate([np.arange(SLOTS2, dtype=np.int16), np.arange(SLOTS1, dtype=np.int16)])[:, None]
 _PARTS = (slice(0, SLOTS2), slice(SLOTS2, _SLOTS))
 _NONE = 255
+_TILE = 16  # steps that are turned from lanes to steps at a time
 _CLASSES = 6 * 9
 _CLASS2, _CLASS1 = _classes((1, 2, 3, 5, 9)), _classes((1, 3, 7, 15, 31, 63, 127, 255))
 
 
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b of whole numbers below 2^48 and 2^26 whose quotient is below 2^25, by doubles, which divide faster: a quotient
+    that isn't whole is 2^-26 from the next whole number or further, and its rounding moves it by 2^-29 at most."""
+    return np.divide(a, b, dtype=np.float64).astype(np.int64)
+
+
 class _Model:
     """The models of some blocks, side by side: lanes and rows of a block follow those of the block before.
 
@@ -90,13 +97,13 @@ class _Model:
             self.coded = []
         sums = np.zeros_like(self.zero)
         np.cumsum(self.zero[:, 1:], axis=1, out=sums[:, 1:])
-        self.sums = sums * ((1 << ZERO_BITS) - n) // sums[:, -1:] + np.arange(n + 1)
+        self.sums = _quotient(sums * ((1 << ZERO_BITS) - n), sums[:, -1:]) + np.arange(n + 1)
         self.keys = (self.sums + self.spread).reshape(-1)
 
     def _room(self, n: int) -> None:
         """Arrays for n lanes, kept from step to step."""
         self.n = n
-        self.found, self.ids, self.mass, self.ends, self.same, self.wide = (np.empty((_SLOTS, n), np.int32) for _ in range(6))
+        self.found, self.ids, self.mass, self.ends, self.wide = (np.empty((_SLOTS, n), np.int32) for _ in range(5))
         self.mass2, self.shared = np.empty((SLOTS2, n), np.int32), np.empty((SLOTS2, n), np.int32)
         self.counts, self.order = np.empty((_SLOTS, n), np.int16), np.empty((_SLOTS, n), np.int16)
         self.match, self.number = np.empty((_SLOTS, n), bool), np.empty((_SLOTS, n), np.uint8)
@@ -133,11 +140,16 @@ class _Model:
         for part, own, out in zip(_PARTS, share.astype(np.int32), (self.mass2, mass1), strict=True):
             np.multiply(counts[part], own, out=out)
         for k in range(SLOTS2):  # shared: what order 1 adds to the ids that order 2 has too
-            same = self.same[SLOTS2:]
-            same[:] = np.equal(self.ids[SLOTS2:], self.ids[k], out=self.match[SLOTS2:]).view(np.int8)
-            np.multiply(same, mass1, out=same)
-            np.add.reduce(same, axis=0, dtype=np.int32, out=self.shared[k])
-            mass1 -= same
+            match, number = self.match[SLOTS2:], self.number[SLOTS2:]
+            np.equal(self.ids[SLOTS2:], self.ids[k], out=match)
+            np.subtract(match.view(np.uint8), np.uint8(1), out=number)
+            number |= _NUMBERS8[SLOTS2:]
+            slot = np.minimum.reduce(number, axis=0)
+            both = np.flatnonzero(slot != _NONE)  # of several slots that match all are empty
+            at = slot.take(both).astype(np.int64) * n + both
+            self.shared[k] = 0
+            self.shared[k, both] = self.mass.take(at)
+            self.mass.reshape(-1)[at] = 0
         np.add(self.mass2, self.shared, out=self.mass[:SLOTS2])
         self.ends[0] = self.mass[0]
         for k in range(1, _SLOTS):
@@ -169,7 +181,7 @@ class _Model:
         ids = self.ids.take(slot.astype(np.int64) * self.n + self.lane).astype(np.int64)
         other = np.flatnonzero(value >= self.ends[-1])
         inner = (value[other] - self.ends[-1, other]).astype(np.int64)
-        share = ((inner + 1 << ZERO_BITS) - 1) // self.rest[other] + self.apart[other]
+        share = _quotient((inner + 1 << ZERO_BITS) - 1, self.rest[other]) + self.apart[other]
         both = np.sort(share << 32 | other)  # neighbours in order are found faster
         other = both & 0xFFFFFFFF
         ids[other] = np.searchsorted(self.keys, both >> 32, side="right") - self.row[other]
@@ -253,19 +265,20 @@ def _groups(sizes: list[int]) -> list[slice]:
 
 def _encode_blocks(parts: list[np.ndarray], alphabet: int) -> list[bytes]:
     lanes, steps, active = _lanes([len(p) for p in parts])
-    columns, first = np.zeros((steps, sum(lanes)), np.int64), 0
+    columns, first = np.zeros((steps, sum(lanes)), np.int32), 0
     for part, n in zip(parts, lanes, strict=True):
         own = _shape(len(part))[1]
-        padded = np.zeros(n * own, np.int64)
+        padded = np.zeros(n * own, np.int32)
         padded[: len(part)] = part
-        columns[:own, first : first + n] = padded.reshape(n, own).T
+        for t in range(0, own, _TILE):
+            columns[t : min(t + _TILE, own), first : first + n] = padded.reshape(n, own)[:, t : t + _TILE].T
         first += n
     model = _Model(alphabet, lanes)
     low, size = np.zeros(first, np.uint64), np.full(first, 1 << 48, np.uint64)
     width = 2 * steps + 4
-    words, at = np.zeros(first * width, np.uint32), np.arange(first) * width
+    words, at = np.zeros(first * width, np.uint32), np.arange(first)  # the k-th words of all lanes lie together
     for x, n in zip(columns, active, strict=True):
-        x = x[:n]
+        x = x[:n].astype(np.int64)
         model.predict(n)
         start, freq = model.interval(x)
         r = size[:n] >> np.uint64(TOTAL_BITS)
@@ -275,20 +288,20 @@ def _encode_blocks(parts: list[np.ndarray], alphabet: int) -> list[bytes]:
         while len(out):
             emitted, place, wide = low[out], at[out], size[out] << _BITS16
             words[place] = emitted >> _BITS32
-            at[out] = place + 1
+            at[out] = place + first
             low[out] = (emitted & _MASK32) << _BITS16
             size[out] = wide
             out = out[wide <= _MASK32]
         model.update(x)
     for _ in range(3):
         words[at] = low >> _BITS32
-        at += 1
+        at += first
         low = (low & _MASK32) << _BITS16
-    begins = np.arange(first) * width
-    used, found, first = at - begins, [], 0
+    used, found, across, first = at // first, [], first, 0
     for n in lanes:
-        own, begin = used[first : first + n], begins[first : first + n]
-        flat = words[np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+        own = used[first : first + n]
+        place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        flat = words[place * across + np.repeat(np.arange(first, first + n), own)]
         while (carry := flat >> np.uint32(16)).any():
             flat &= np.uint32(0xFFFF)
             flat[:-1] += carry[1:]
@@ -305,16 +318,16 @@ def _decode_blocks(parts: list[bytes], sizes: list[int], alphabet: int) -> list[
         begins.append(first + np.cumsum(used) - used)
         words.append(np.frombuffer(data, "<u2", offset=2 * n))
         first += len(words[-1])
-    words, at = np.concatenate([*words, np.zeros(3, np.uint16)]).astype(np.uint64), np.concatenate(begins)
-    code = words[at] << _BITS32 | words[at + 1] << _BITS16 | words[at + 2]
+    words, at = np.concatenate([*words, np.zeros(3, np.uint16)]), np.concatenate(begins)
+    code = words[at].astype(np.uint64) << _BITS32 | words[at + 1].astype(np.uint64) << _BITS16 | words[at + 2]
     at += 3
     size = np.full(len(at), 1 << 48, np.uint64)
     model = _Model(alphabet, lanes)
-    out = np.zeros((steps, len(at)), np.int64)
+    out = np.zeros((steps, len(at)), np.int32)
     for t, n in enumerate(active):
         model.predict(n)
         r = size[:n] >> np.uint64(TOTAL_BITS)
-        value = np.minimum(code[:n] // r, np.uint64((1 << TOTAL_BITS) - 1)).view(np.int64)
+        value = np.minimum(_quotient(code[:n].view(np.int64), r.view(np.int64)), (1 << TOTAL_BITS) - 1)
         x = model.lookup(value)
         start, freq = model.interval(x)
         code[:n] -= r * start.view(np.uint64)
@@ -330,7 +343,11 @@ def _decode_blocks(parts: list[bytes], sizes: list[int], alphabet: int) -> list[
         out[t, :n] = x
     found, first = [], 0
     for count, n in zip(sizes, lanes, strict=True):
-        found.append(out[: _shape(count)[1], first : first + n].T.reshape(-1)[:count])
+        own = _shape(count)[1]
+        ids = np.empty((n, own), np.int32)
+        for t in range(0, own, _TILE):
+            ids[:, t : t + _TILE] = out[t : min(t + _TILE, own), first : first + n].T
+        found.append(ids.reshape(-1)[:count])
         first += n
     return found
 

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from siltstone.llm import rangecoder
 from siltstone.llm.common import pieces, utf8_rows
-from siltstone.llm.tokens import SLICE_BYTES, encoder
+from siltstone.llm.tokens import SLICE_BYTES, SLICES, encoder
 
 MAGIC, VERSION = b"SLT1", 2
 _HEAD = struct.Struct("<4sHIIQII")
@@ -99,8 +99,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str
             columns = [pa.array([shard], pa.int32()), pa.array([first]), pa.array([len(ids)]), pa.array([dump(numbers, counts, ids)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["shard", "first", "n_ids", "payload"])
 
-        with encoder(vocabulary) as words:
-            for batch in pieces(batches, SLICE_BYTES):
+        with encoder(vocabulary, keep=True) as words:
+            for batch in pieces(batches, SLICES * SLICE_BYTES):
                 ids, own = words.encode_all(utf8_rows(batch.column(1)), end_id)
                 at = 0
                 for number, count in zip(batch.column(0).to_pylist(), own.tolist(), strict=True):

@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow.parquet
 import pytest
 from siltstone.llm import packing, rangecoder, token_files
-from siltstone.llm.tokens import WordEncoder
+from siltstone.llm.tokens import WordEncoder, encoder
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -280,3 +280,46 @@ def test_blocks_side_by_side_share_their_calls():
     (one, data), (four, more) = rangecoder.encode(ids[:1024], block=1024), rangecoder.encode(ids, block=1024)
     assert calls(lambda: rangecoder.encode(ids, block=1024)) < 2 * calls(lambda: rangecoder.encode(ids[:1024], block=1024))
     assert calls(lambda: rangecoder.decode(four, more, 4096, block=1024)) < 2 * calls(lambda: rangecoder.decode(one, data, 1024, block=1024))
+
+
+def test_the_next_task_finds_the_parts_of_the_one_before(monkeypatch):
+    """Token files keep a worker's cache: the library doesn't see known parts again. Without ``keep`` it is released."""
+    texts = [(t or "").encode() for t in TEXTS]
+    with encoder(PATH, keep=True) as words:
+        ids, counts = words.encode_all(texts, 1)
+    with encoder(PATH) as words:
+        monkeypatch.setattr(words, "model", None)
+        monkeypatch.setattr(words, "tokenizer", None)
+        again, own = words.encode_all(texts, 1)
+        assert again.tolist() == ids.tolist() == [i for t in TEXTS for i in plain(t, 1)] and own.tolist() == counts.tolist()
+    with encoder(PATH) as words, pytest.raises(AttributeError):
+        words.encode(b"quick")
+
+
+@pytest.mark.parametrize("slices", [1, 2, 3])
+def test_parts_looked_up_for_several_slices_at_once(monkeypatch, slices):
+    """Rounds of few small slices, a cache that is always full, and texts that a round ends within."""
+    monkeypatch.setattr("siltstone.llm.tokens.SLICES", slices)
+    monkeypatch.setattr("siltstone.llm.tokens.SLICE_BYTES", 16)
+    monkeypatch.setattr("siltstone.llm.tokens.CACHE_WORDS", 3)
+    ids, counts = WordEncoder(PATH).encode_all([(t or "").encode() for t in TEXTS], 1)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [plain(t, 1) for t in TEXTS]
+
+
+def test_quotients_by_doubles_are_whole():
+    """Up to the bounds that the coder has: also just below and at multiples."""
+    rng = np.random.default_rng(8)
+    b = np.concatenate([rng.integers(1, 1 << 26, 100_000), rng.integers(1, 1 << 9, 1000), [(1 << 26) - 1, (1 << 24) - 1, 1 << 24, 1]])
+    most = np.minimum((1 << 48) // b, 1 << 25) - 1
+    for q in (most, (most * rng.random(len(b))).astype(np.int64), np.ones_like(b)):
+        for a in (q * b, np.maximum(q * b - 1, 0), q * b + b - 1, q * b + rng.integers(0, b)):
+            assert (rangecoder._quotient(a, b) == a // b).all()
+
+
+def test_a_block_of_a_thousand_lanes_keeps_its_bytes():
+    """The bytes that the coder made before its arrays lay by steps."""
+    k = np.arange(1 << 18, dtype=np.uint64)
+    ids = (k * np.uint64(2654435761) % np.uint64(4093) % np.uint64(97) * (k % np.uint64(7) + np.uint64(1))).astype(np.uint32)
+    alphabet, blocks = rangecoder.encode(ids)
+    assert [zlib.crc32(b) for b in blocks] == [4098008627]
+    assert (rangecoder.decode(alphabet, blocks, len(ids)) == ids).all()

@@ -83,6 +83,32 @@ def test_points_and_overlaps_against_loops(spark):
         assert intervals.points_within(left, right, "x", "lo", "hi").count() == 0
 
 
+def test_points_in_small_blocks_with_ties_against_a_loop(spark, monkeypatch):
+    """Blocks that begin and end within equal times, more blocks than one interval meets, several units to a block."""
+    for name, v in {"POINTS": 4, "UNIT": 3, "PAIRS": 50}.items():
+        monkeypatch.setattr(intervals, name, v)
+    r = random.Random(6)
+    points = [(n, r.choice([7, 7, 7, 20, r.randrange(-30, 60)])) for n in range(90)]
+    spans = [(n, a, None if n % 8 == 0 else a + r.choice([0, 0, 1, 5, 40])) for n, a in enumerate(r.choices([-40, 6, 7, 7, 8, 20, 21, 33, 70], k=60))]
+    p, i = spark.createDataFrame(points, "p int, x long").repartition(3), spark.createDataFrame(spans, "i int, lo long, hi long")
+    for open_low in (False, True):
+        got = intervals.points_within(p, i, "x", "lo", "hi", open_low).select("p", "i").collect()
+        assert sorted(map(tuple, got)) == sorted((n, k) for n, x in points for k, a, b in spans if (a < x or a == x and not open_low) and (b is None or x <= b))
+
+
+def test_pairs_of_long_intervals_spread_over_tasks(spark):
+    """Intervals that haven't ended meet nearly all points: no task gets most of the pairs, also where neither side is broadcast."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    p = spark.range(16_000).select(F.col("id").alias("x"))
+    i = spark.range(4_000).select(F.col("id").alias("lo"), F.lit(None).cast("long").alias("hi"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sizes = [r["count"] for r in intervals.points_within(p, i, "x", "lo", "hi").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sum(sizes) == sum(16_000 - k for k in range(4_000)) and max(sizes) <= 0.75 * sum(sizes)
+
+
 # Profiles
 
 
